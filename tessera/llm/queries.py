@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.oracle import ORACLE_SQL
 from tessera.llm.sharding import shard_documents
 from tessera.session import table
 
+#: The public vocabulary file that op2 reads; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
@@ -20,11 +24,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_bpe": op2_bpe,
     "op7_sharding": op7_sharding,
 }
