@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.langid import identify_language
 from tessera.llm.oracle import ORACLE_SQL
+from tessera.llm.quality import classify_quality
 from tessera.llm.sharding import shard_documents
+from tessera.llm.toxicity import classify_toxicity
 from tessera.session import table
 
 #: The public vocabulary file that op2 reads; a parameter of the operator.
@@ -34,12 +37,27 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
+    "op10_quality": op10_quality,
 }
