@@ -33,8 +33,9 @@ def exact_dedup(
     empty result. Other columns of the input are not read.
 
     Every level is a narrow table: counts are combined before their shuffle, so a group
-    of a third of all rows is one row there, and rows meet the surviving groups in a
-    join at the end of its own job, where adaptive execution splits a hot key.
+    of a third of all rows is one row there. Rows meet the surviving groups, read back
+    from a staged table, in a join at the end of its own job: there adaptive execution
+    can split a hot key.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     rows = docs.select(F.col(key).alias("_id"), text_of(docs, text).alias("_text"))
@@ -50,8 +51,10 @@ def exact_dedup(
     seen = scratch.stage(seen.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
     lengths = seen.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
+    lengths = scratch.stage(lengths, "repeated-lengths")
     same_length = scratch.stage(seen.join(lengths, "_len", "left_semi"), "lengths")
     heads = same_length.groupBy("_len", "_head").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    heads = scratch.stage(heads, "repeated-heads")
     same_head = scratch.stage(same_length.join(heads, ["_len", "_head"], "left_semi"), "heads")
     if not digest_all:
         again = rows.select(*shape, full)
@@ -63,6 +66,7 @@ def exact_dedup(
     best = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     groups = same_head.groupBy(*level).agg(F.count("*").alias("_n"), best.alias("_best")).where("_n > 1")
     groups = groups.select(*level, "_n", F.col("_best.id").alias("_keep"), F.col("_best.row").alias("_keep_row"))
+    groups = scratch.stage(groups, "groups")
     if digest_all:
         found = seen.join(groups, level, "left")
     else:
