@@ -11,6 +11,7 @@ from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.langid import identify_language
 from tessera.llm.oracle import ORACLE_SQL
+from tessera.llm.pii import KINDS, find_personal_data
 from tessera.llm.quality import classify_quality
 from tessera.llm.sharding import shard_documents
 from tessera.llm.toxicity import classify_toxicity
@@ -41,6 +42,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    packed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.withColumn("base", base).select(
+        "doc_id",
+        *counts,
+        F.sha2(packed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        packed(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -57,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op10_quality": op10_quality,
