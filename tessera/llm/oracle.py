@@ -15,4 +15,31 @@ SELECT doc_id,
 FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1}
+OP5 = r"""
+WITH t(list_name, action, pattern, change, dated) AS (VALUES {changes}),
+intervals AS (
+  SELECT * FROM (
+    SELECT list_name, action, pattern, change, dated AS a,
+           lead(dated) OVER (PARTITION BY list_name, action, pattern ORDER BY dated, change) AS b
+    FROM t)
+  WHERE change = 'add' AND (b IS NULL OR b > a)),
+p AS (
+  SELECT page_id, url, (DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INT))::DATE AS fetched_at,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') AS host,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)', 1)) AS path
+  FROM pages),
+hit AS (
+  SELECT p.url, p.fetched_at, i.*,
+         row_number() OVER (PARTITION BY p.url, p.fetched_at ORDER BY length(pattern) DESC, action, list_name, pattern) AS rank,
+         count(*) OVER (PARTITION BY p.url, p.fetched_at) AS n
+  FROM (SELECT DISTINCT url, fetched_at, host, path FROM p) p JOIN intervals i
+    ON i.a <= p.fetched_at AND (i.b IS NULL OR p.fetched_at < i.b)
+   AND (p.host = i.pattern OR ends_with(p.host, '.' || i.pattern)
+        OR (contains(i.pattern, '/') AND starts_with(p.host || '/' || regexp_replace(p.path, '/+', '/', 'g') || '/', i.pattern || '/'))))
+SELECT p.page_id, p.url, p.fetched_at, p.host,
+       CASE WHEN p.host IS NULL THEN 'invalid' ELSE coalesce(h.action, 'none') END AS decision,
+       h.list_name, h.pattern, coalesce(h.n, 0) AS n_active
+FROM p LEFT JOIN hit h ON h.url = p.url AND h.fetched_at = p.fetched_at AND h.rank = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op5_url_filters": OP5}

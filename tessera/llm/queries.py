@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_round_trip
+from tessera.llm.decontaminate import find_leaks
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.langid import identify_language
-from tessera.llm.oracle import ORACLE_SQL
+from tessera.llm.oracle import ORACLE_SQL as WRITTEN
 from tessera.llm.pii import KINDS, find_personal_data
 from tessera.llm.quality import classify_quality
 from tessera.llm.sharding import shard_documents
 from tessera.llm.toxicity import classify_toxicity
+from tessera.llm.url_filters import filter_urls
 from tessera.session import table
 
 #: The public vocabulary file that op2 reads; a parameter of the operator.
@@ -42,6 +44,34 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Changes of the filter lists that op5 uses: list, action, pattern, change, date.
+LIST_CHANGES = """
+('gambling', 'block', 'casino-win.example.com', 'add', DATE '2024-01-10'),
+('gambling', 'block', 'free-bets.example.com', 'add', DATE '2024-02-01'),
+('gambling', 'block', 'free-bets.example.com', 'remove', DATE '2024-06-15'),
+('gambling', 'block', 'free-bets.example.com', 'add', DATE '2024-09-01'),
+('pharma', 'block', 'cheap-pills.example.com', 'add', DATE '2024-03-20'),
+('pharma', 'block', 'cheap-pills.example.com/de', 'add', DATE '2024-05-05'),
+('pharma', 'allow', 'cheap-pills.example.com/fr', 'add', DATE '2024-04-01'),
+('pharma', 'allow', 'cheap-pills.example.com/fr', 'remove', DATE '2024-08-01'),
+('curated', 'allow', 'blog.tionsh.example.com', 'add', DATE '2023-12-01'),
+('curated', 'allow', 'example.org', 'add', DATE '2024-01-01'),
+('curated', 'allow', 'example.org', 'remove', DATE '2024-07-01'),
+('spam', 'block', 'tionble.example.org', 'add', DATE '2024-02-10'),
+('spam', 'block', 'tionble.example.org', 'remove', DATE '2024-02-10'),
+('spam', 'block', 'tiontion.example.net', 'add', DATE '2024-03-01'),
+('spam', 'block', 'example.net', 'add', DATE '2024-10-01')
+"""
+#: The tables have no fetch dates: a page counts as fetched on a day of 2024 that its number decides.
+FETCHED = "date_add(DATE '2024-01-01', CAST((page_id * 37) % 366 AS INT))"
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{FETCHED} AS fetched_at")
+    entries = spark.sql(f"SELECT * FROM VALUES {LIST_CHANGES} AS t(list_name, action, pattern, change, dated)")
+    return filter_urls(captures, entries)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     packed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
@@ -64,16 +94,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+ORACLE_SQL: dict[str, str] = {name: sql.replace("{changes}", LIST_CHANGES) for name, sql in WRITTEN.items()}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op5_url_filters": op5_url_filters,
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
