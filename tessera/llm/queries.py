@@ -11,6 +11,7 @@ from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.langid import identify_language
+from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.oracle import ORACLE_SQL as WRITTEN
 from tessera.llm.pii import KINDS, find_personal_data
 from tessera.llm.quality import classify_quality
@@ -44,6 +45,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 #: Changes of the filter lists that op5 uses: list, action, pattern, change, date.
 LIST_CHANGES = """
 ('gambling', 'block', 'casino-win.example.com', 'add', DATE '2024-01-10'),
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_url_filters": op5_url_filters,
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
