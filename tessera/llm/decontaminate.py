@@ -110,7 +110,51 @@ class ItemIndex:
             entries, shares = [e for e, _ in found], [x for _, x in found]
             cuts = range(0, len(found), POSTINGS_BLOCK)
             self.postings.append(Posting(entries, shares, [entries[min(c + POSTINGS_BLOCK, len(found)) - 1] for c in cuts], [max(shares[c : c + POSTINGS_BLOCK]) for c in cuts], max(shares)))
-        self.most = np.array([p.most for p in self.postings] + [0.0])
+        self._set_common_apart(df, n)
+
+    def _set_common_apart(self, df: Counter, n: int, spare: float = 0.12) -> None:
+        """Splits the terms as in WAND's bound: common ones give no entry more than `spare` of its weight.
+
+        So a passage can reach a threshold only for an entry to which its rare terms give
+        at least the threshold less what common terms can give that entry (self.given).
+        """
+        self.given = np.zeros(n)
+        common = set()
+        for word in sorted(self.term, key=lambda w: (-df[w], w)):
+            posting = self.postings[self.term[word]]
+            more = self.given.copy()
+            more[posting.entries] += posting.shares
+            if df[word] < 2 or more.max() > spare:
+                break
+            self.given = more
+            common.add(self.term[word])
+        lists = [([], []) if t in common else (p.entries, p.shares) for t, p in enumerate(self.postings)]
+        self.length = np.array([len(e) for e, _ in lists] + [0])
+        self.start = np.cumsum(self.length) - self.length
+        self.rare_entries = np.array([e for entries, _ in lists for e in entries], np.int64)
+        self.rare_shares = np.array([x for _, shares in lists for x in shares])
+
+    def open_blocks(self, at: np.ndarray, term: np.ndarray, same: np.ndarray, threshold: float) -> np.ndarray:
+        """The blocks that begin a passage in which some entry can reach the threshold.
+
+        at and term are the distinct (block, term) pairs in order; same tells where the
+        next block is of the same text. A term in both blocks counts twice, so the sums
+        are bounds. Taken for some blocks at a time, to hold a bounded number of sums.
+        """
+        n, count = len(self.given), len(same)
+        need = threshold - self.given - 1e-9
+        step = max(1, (1 << 22) // n)
+        found = []
+        for a in range(0, count, step):
+            b = min(a + step, count)
+            lo, hi = np.searchsorted(at, [a, b + 1])
+            length = self.length[term[lo:hi]]
+            where = np.repeat(self.start[term[lo:hi]] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            cell = np.repeat(at[lo:hi] - a, length) * n + self.rare_entries[where]
+            sums = np.bincount(cell, self.rare_shares[where], (b + 1 - a) * n).reshape(-1, n)
+            sums[:-1] += sums[1:] * same[a:b, None]
+            found.append(a + np.flatnonzero((sums[:-1] >= need).any(axis=1)))
+        return np.concatenate(found)
 
     def terms_of(self, words: list[str]) -> np.ndarray:
         """The term number of each raw word, or the number of terms where it has none."""
@@ -178,8 +222,7 @@ class ItemIndex:
     def leaks(self, memo: WordMemo, texts: list[str], threshold: float, overlap: float) -> list[tuple[int, object, int, float, float, float]]:
         """(text number, item, first word of the passage, score, question, answer) of each verified item, once per text and item.
 
-        A passage is searched only if the largest shares of its terms together reach the
-        threshold: the bound that WAND starts from, taken for all passages at once.
+        Only the passages that open_blocks() leaves are searched.
         """
         none = len(self.term)
         if not none:
@@ -196,14 +239,12 @@ class ItemIndex:
         hit = terms < none
         pairs = np.unique(block[hit] * (none + 1) + terms[hit])
         at, term = pairs // (none + 1), pairs % (none + 1)
-        bound = np.bincount(at, self.most[term], int(blocks.sum()) + 1)
         owner = np.repeat(np.arange(len(words)), blocks)
-        ahead = np.zeros(len(owner))
-        same = np.flatnonzero(owner[1:] == owner[:-1])
-        ahead[same] = bound[same + 1]
+        same = np.append(owner[1:] == owner[:-1], False)
+        open_blocks = self.open_blocks(at, term, same, threshold)
         best: dict[tuple[int, object], tuple] = {}
         starts = np.searchsorted(at, np.arange(len(owner) + 2))
-        for b in np.flatnonzero(bound[: len(owner)] + ahead >= threshold - 1e-9).tolist():
+        for b in open_blocks.tolist():
             i = int(owner[b])
             last = b + 1 if b + 1 < len(owner) and owner[b + 1] == i else b
             found = self.search(np.unique(term[starts[b] : starts[last + 1]]).tolist(), threshold)
