@@ -80,7 +80,18 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy(F.md5(F.col(key).cast("string")), F.col(key)).limit(most)
 
 
-def slices(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets at most `rows` rows of whole texts travel to a Python worker at once, which bounds its memory and the JVM's.
+
+    This is a setting of the session; a smaller one that is already there stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    told = int(spark.conf.get(name))
+    if told <= 0 or told > rows:
+        spark.conf.set(name, str(rows))
+
+
+def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts holding about `most` characters each; a longer text is alone."""
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -99,7 +110,7 @@ class WordMemo:
     it is full, so memory is bounded and results never depend on what is in it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], most: int = 400_000) -> None:
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], most: int = 200_000) -> None:
         self.compute, self.most = compute, most
         self.index: dict[str, int] = {}
         self.rows: np.ndarray | None = None

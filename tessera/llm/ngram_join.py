@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, WordMemo
+from tessera.llm.common import Scratch, slices, small_batches
 from tessera.llm.components import connected_components
 
 WORDS = 5
@@ -52,29 +52,81 @@ _ENTRY = np.dtype([("token", "<u8"), ("key", "<i8"), ("place", "<u2")])
 _SEEN = np.dtype([("token", "<u8"), ("key", "<i8")])
 
 
-def word_memo() -> WordMemo:
-    return WordMemo(lambda words: np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, as long as the longest slice so far."""
 
+    def __init__(self, base: int = 0x9E3779B97F4A7C15) -> None:
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
 
-def shingle_set(text: str, memo: WordMemo, width: int = WORDS) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles.
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 1 << 16)
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (self.base, self.inverse))
+        return self.up, self.down
 
-    A-Z are lower-cased and words end at the six ASCII white-space characters, which is
-    what splitting bytes does. Fewer words than a shingle make one shingle.
+
+_POWERS = _Powers()
+#: A 64-bit number for each byte, spread by multiplication.
+_BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(40))
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LONG_WORD = 256
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _ODD[1]
+    x = (x ^ (x >> np.uint64(29))) * _ODD[2]
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the first byte's place of every word of lower-cased bytes.
+
+    A word's hash is a polynomial in its bytes modulo 2**64, taken for all words at once
+    from running sums, then mixed with its length. A word over 256 bytes, where such
+    polynomials can be made to collide, is hashed by itself.
     """
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = memo(words)
-    n = max(1, len(words) - width + 1)
-    mixed = hashes[:n] * _ODD[0] + np.uint64(min(width, len(words)))
-    for i in range(1, min(width, len(words))):
-        mixed ^= mixed >> np.uint64(29)
-        mixed = mixed * _ODD[1] + hashes[i : n + i] * _ODD[i % 5]
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= _ODD[2]
-    mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    raw = np.frombuffer(data, np.uint8)
+    space = _IS_SPACE[raw]
+    edges = np.flatnonzero(np.diff(np.r_[True, space, True]))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _POWERS.upto(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * down[: len(raw)], out=sums[1:])
+    hashes = _mixed((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64) * _ODD[4])
+    for i in np.flatnonzero(ends - starts > _LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return hashes, starts
+
+
+def shingle_sets(texts: list[str], width: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles.
+
+    A-Z are lower-cased, and words end at the six ASCII white-space characters. Fewer
+    words than a shingle make one shingle, which no longer text's shingle equals.
+    """
+    for a, b in slices(texts):
+        parts = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts[a:b]]
+        hashes, starts = word_hashes(b" ".join(parts))
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        stops = np.searchsorted(starts, ends)
+        n = max(0, len(hashes) - width + 1)
+        rolled = hashes[:n] * _ODD[0]
+        for i in range(1, width):
+            rolled ^= rolled >> np.uint64(29)
+            rolled = rolled * _ODD[1] + hashes[i : n + i] * _ODD[i % 5]
+        rolled = _mixed(rolled)
+        first = 0
+        for last in stops.tolist():
+            words = last - first
+            if words >= width:
+                yield np.unique(rolled[first : last - width + 1])
+            elif words:
+                yield np.array([xxhash.xxh3_64_intdigest(hashes[first:last].tobytes(), seed=words)], np.uint64)
+            else:
+                yield np.zeros(0, np.uint64)
+            first = last
 
 
 def set_key(tokens: np.ndarray) -> bytes:
@@ -199,6 +251,25 @@ def search_large(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[i
     return sorted(found)
 
 
+def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """As many of the pairs as tie their members together, and no more: fewer than n."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    kept = []
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append((i, j))
+    return kept
+
+
 # -- distributed steps ---------------------------------------------------------------
 
 
@@ -206,12 +277,11 @@ def _scan(rows: DataFrame, buckets: int) -> DataFrame:
     """A row for each text (key, n, set) and rows of packed (shingle, set) of the counted share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counted = word_memo(), set()
+        counted = set()
         names = ["id", "n", "set", "key", "bucket", "packed"]
         for batch in batches:
             ids, ns, keys, seen = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = shingle_set(text, memo)
+            for tokens in shingle_sets(batch.column(1).to_pylist()):
                 ns.append(len(tokens))
                 key = set_key(tokens) if len(tokens) else None
                 keys.append(key)
@@ -258,7 +328,7 @@ def _lists(rows: DataFrame, common: np.ndarray, buckets: int, percent: int) -> D
     shared = spark.sparkContext.broadcast(common)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, done, parts, held = word_memo(), set(), [], 0
+        done, parts, held = set(), [], 0
         apart = shared.value
 
         def flush() -> pa.RecordBatch:
@@ -267,8 +337,7 @@ def _lists(rows: DataFrame, common: np.ndarray, buckets: int, percent: int) -> D
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                tokens = shingle_set(text, memo)
+            for tokens in shingle_sets(batch.column(1).to_pylist()):
                 key = set_key(tokens)
                 if not len(tokens) or key in done:  # copies in one task are entered once
                     continue
@@ -309,7 +378,7 @@ def _lists(rows: DataFrame, common: np.ndarray, buckets: int, percent: int) -> D
 
 
 def _search(rows: DataFrame, members: DataFrame, parts: int, percent: int) -> DataFrame:
-    """The links (a, b) within groups of documents: members has gid and rep, rows the texts by _id.
+    """Links (a, b) that tie together what is linked within groups of documents: members has gid and rep, rows the texts by _id.
 
     Each document's set is computed once and sent to its groups; a group's sets meet in one task.
     """
@@ -320,10 +389,9 @@ def _search(rows: DataFrame, members: DataFrame, parts: int, percent: int) -> Da
     texts = rows.join(wanted, rows["_id"] == wanted["rep"]).select("_id", "_text", "gids")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in batches:
-            for i in range(batch.num_rows):
-                packed = shingle_set(batch.column(1)[i].as_py(), memo).tobytes()
+            for i, tokens in enumerate(shingle_sets(batch.column(1).to_pylist())):
+                packed = tokens.tobytes()
                 gids = batch.column(2)[i].as_py()
                 for k in range(0, len(gids), 256):
                     some = gids[k : k + 256]
@@ -336,7 +404,7 @@ def _search(rows: DataFrame, members: DataFrame, parts: int, percent: int) -> Da
         gid, reps, sets = None, [], []
 
         def links() -> pa.RecordBatch:
-            pairs = search_large(sets, percent)
+            pairs = forest(search_large(sets, percent), len(sets))
             kind = pa.array(reps)
             return pa.RecordBatch.from_arrays([kind.take(pa.array([p[0] for p in pairs], pa.int64())), kind.take(pa.array([p[1] for p in pairs], pa.int64()))], ["a", "b"])
 
@@ -372,6 +440,7 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     What is broadcast is bounded: common shingles by COMMON, group tables by a count.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
