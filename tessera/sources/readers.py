@@ -54,7 +54,9 @@ def annotations(spark: SparkSession, *folders: str) -> DataFrame:
         schema = T.StructType([*_ddl(ANNOTATION).fields, T.StructField("_corrupt", T.StringType())])
         read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
         rows = read.option("pathGlobFilter", "*.json").json(folder).select("*", F.col("_metadata.file_path").alias("path"))
-        rows = rows.select("path", stem(F.col("path")).alias("stem"), F.lit(rank).alias("source_rank"), "imagePath", "shapes", F.col("_corrupt").isNotNull().alias("is_bad"))
+        # a size is never negative: the term only names a column, as reading nothing but the corrupt text is refused
+        bad = F.coalesce(F.col("_corrupt").isNotNull() | (F.size("shapes") < -1), F.lit(False))
+        rows = rows.select("path", stem(F.col("path")).alias("stem"), F.lit(rank).alias("source_rank"), "imagePath", "shapes", bad.alias("is_bad"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
