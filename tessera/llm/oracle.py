@@ -42,4 +42,51 @@ SELECT p.page_id, p.url, p.fetched_at, p.host,
 FROM p LEFT JOIN hit h ON h.url = p.url AND h.fetched_at = p.fetched_at AND h.rank = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op5_url_filters": OP5}
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                               ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle
+    FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node) r USING (doc_id)
+"""
+
+
+def _crc_step(bits: int) -> str:
+    """One byte of CRC-32, bit by bit, over the running value c and the byte b."""
+    step = "xor(c, b)"
+    for _ in range(bits):
+        step = f"xor(({step}) >> 1, 3988292384 * (({step}) & 1))"
+    return step
+
+
+OP7 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT::HUGEINT AS key FROM documents),
+j AS (
+  SELECT doc_id, shards, key AS state, -1::BIGINT AS b, 0::BIGINT AS j FROM d, unnest([24, 25]) t(shards)
+  UNION ALL
+  SELECT doc_id, shards, next, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / (((next >> 33) + 1)::DOUBLE)))::BIGINT
+  FROM (SELECT *, (state * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM j WHERE j < shards)),
+s AS (SELECT doc_id, max(j) FILTER (shards = 24 AND j < 24) AS shard, max(j) FILTER (shards = 25 AND j < 25) AS grown FROM j GROUP BY doc_id),
+c AS (
+  SELECT doc_id, octet_length(bytes) + 8 AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(bytes), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, b: {_crc_step(8)}), 4294967295) AS text_crc32
+  FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown::INTEGER AS grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 16, 3))::INTEGER // 4, doc_id) - 1 AS slot
+FROM c JOIN s USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op4_ngram_jaccard": OP4, "op5_url_filters": OP5, "op7_sharding": OP7}

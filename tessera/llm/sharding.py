@@ -32,10 +32,19 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
+def digest_of(column: Column) -> Column:
+    """The md5 of any column's text, the same in every engine that has md5; null counts as empty text."""
+    return F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
+
+
 def stable_key(column: Column) -> Column:
-    """A 60-bit key of any column's text, the same in every engine that has md5; null counts as empty text."""
-    digest = F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    """A 60-bit key: the first 15 digits of the digest."""
+    return F.conv(F.substring(digest_of(column), 1, 15), 16, 10).cast("long")
+
+
+def block_of(column: Column) -> Column:
+    """One of BLOCKS blocks, by the three digits after those of the key."""
+    return F.floor(F.conv(F.substring(digest_of(column), 16, 3), 16, 10).cast("int") / (4096 // BLOCKS)).cast("int")
 
 
 def jump_shard(column: Column, shards: int) -> Column:
@@ -64,7 +73,7 @@ def shard_documents(
     with one key get slots of their own. A null key counts as empty text; an empty
     table gives an empty result; other columns of the input are not read.
     """
-    block = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BLOCKS)).cast("int").alias("_block")
+    block = block_of(F.col(key)).alias("_block")
     shard = jump_shard(F.col(key), shards).alias("shard")
     counts = docs.select(F.col(key)).select(shard, block).groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = (
