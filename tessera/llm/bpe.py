@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, text_of
+from tessera.llm.common import slices, small_batches, text_of
 
 NOTHING = np.int64(1 << 62)
 #: Letters and numbers that Unicode 16.0 added to 15.1, as ranges (fixed values): the
@@ -78,7 +78,7 @@ class Vocabulary:
     special: dict[str, int]
     words: dict[bytes, bytes] = field(default_factory=dict)
     chunks: dict[str, bytes] = field(default_factory=dict)
-    most: int = 250_000
+    most: int = 150_000
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -322,6 +322,7 @@ def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     of its file, is broadcast; memos of words and chunks are bounded in each worker.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.load(path))
     rows = docs.select(docs[key], text_of(docs, text).alias("_text"))
 

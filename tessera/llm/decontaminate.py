@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordMemo, slices
+from tessera.llm.common import WordMemo, slices, small_batches
 
 SHINGLE = 5
 POSTINGS_BLOCK = 8
@@ -280,6 +280,7 @@ def find_leaks(
     columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     told = items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     shards = max(1, -(-told.count() // shard_items))
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordMemo, bounded_sample, fold_of, slices, sum_by_text
+from tessera.llm.common import WordMemo, bounded_sample, fold_of, slices, small_batches, sum_by_text
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -177,6 +177,7 @@ def identify_language(
     are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(train_language_model(docs, key, text, lang, most, folds, held))
     rows = docs.select(F.col(key), (fold_of(docs, key, folds) == held).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 

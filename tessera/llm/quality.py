@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordMemo, bounded_sample, fold_of, slices, sum_by_text
+from tessera.llm.common import WordMemo, bounded_sample, fold_of, slices, small_batches, sum_by_text
 from tessera.llm.langid import softmax, word_ngrams
 
 ORDERS = (1, 3, 4, 5)
@@ -142,6 +142,7 @@ def classify_quality(
 
 def score_texts(docs: DataFrame, shared, score, key: str, text: str, folds: int, held: int, threshold: float) -> DataFrame:
     """Scores texts by a broadcast model with word_rows(); score(model, memo, texts) gives the numbers."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), (fold_of(docs, key, folds) == held).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
