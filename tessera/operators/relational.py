@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A global order is numbered in this many blocks: their sizes are a table of fixed size, so no task holds all rows.
-BLOCKS = 256
-
-
 def first_match(left: DataFrame, right: DataFrame, key: str, rank: Column, *order: str) -> DataFrame:
     """Inner join on key with the right row of the smallest rank; right columns but the key must not clash."""
     best = right.groupBy(key).agg(F.min_by(F.struct(*[c for c in right.columns if c != key]), F.struct(rank.alias("r"), *order)).alias("_best"))
@@ -32,7 +28,7 @@ def keep_one(df: DataFrame, key: str | list[str], order: list[Column], last: boo
 def with_position(df: DataFrame, block: Column, order: list[Column], out: str = "position") -> tuple[DataFrame, Column]:
     """Adds each row's place from 0 in a global order, and gives the number of rows as a column over it.
 
-    block must rise with the order and take at most a few hundred values. Rows are numbered
+    block must rise with the order, be null for no row and take at most a few hundred values. Rows are numbered
     within their block; the blocks' offsets are a small table and broadcast.
     """
     from pyspark.sql import Window
@@ -47,8 +43,8 @@ def with_position(df: DataFrame, block: Column, order: list[Column], out: str =
 
 
 def hash_order(key: str) -> tuple[Column, list[Column]]:
-    """A shuffled order that is the same everywhere: by md5 of the key, then the key; with its blocks, by the first two digits."""
-    digest = F.md5(F.col(key).cast("string"))
+    """A shuffled order that is the same everywhere: by md5 of the key, then the key; with its blocks, by the first two digits. A null key comes first."""
+    digest = F.coalesce(F.md5(F.col(key).cast("string")), F.lit(""))
     return F.substring(digest, 1, 2), [digest, F.col(key)]
 
 
@@ -56,7 +52,7 @@ def range_block(df: DataFrame, key: str, blocks: int = 64) -> Column:
     """Blocks of a numeric order, by approximate quantiles of the key."""
     cuts = sorted(set(df.approxQuantile(key, [i / blocks for i in range(1, blocks)], 0.005)))
     bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(bounds, lambda c: c <= F.col(key)))
+    return F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(key))), F.lit(0))
 
 
 def assign_split(df: DataFrame, key: str, train: float = 0.85, val: float = 0.10) -> DataFrame:

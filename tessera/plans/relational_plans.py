@@ -41,9 +41,11 @@ def detection_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where("ratio >= 0.002")
     score = F.col("conf") + 0.5 * F.least(F.col("ratio") / 0.25, F.lit(1.0)) - 0.45 * F.col("off") * F.col("off")
     rows = rows.withColumn("score", score)
-    best = R.ranked_best(rows, ["l_orderkey"], F.col("score"), F.col("l_linenumber"), F.col("l_partkey"))
-    mean = rows.groupBy("l_orderkey").agg(F.avg("off").alias("centre"), F.max(F.col("conf") * F.greatest(F.col("ratio") * 1e5, F.lit(1.0))).alias("mask_score"))
-    return best.join(mean, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 4).alias(c) for c in ("score", "centre", "mask_score")])
+    place = F.struct((-F.col("score")).alias("s"), "l_linenumber", "l_partkey")
+    best = rows.groupBy("l_orderkey").agg(
+        F.min(place).alias("b"), F.avg("off").alias("centre"), F.max(F.col("conf") * F.greatest(F.col("ratio") * 1e5, F.lit(1.0))).alias("mask_score")
+    ).select("l_orderkey", "b.l_linenumber", "b.l_partkey", (-F.col("b.s")).alias("score"), "centre", "mask_score")
+    return best.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(c, 4).alias(c) for c in ("score", "centre", "mask_score")])
 
 
 DETECTION_COMPOSITE = """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS conf, l_extendedprice/1e5 AS ratio, l_quantity/50-0.5 AS off_ FROM lineitem WHERE l_extendedprice/1e5>=0.002),
@@ -130,22 +132,20 @@ def topk_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best line of each order and at most three that go with it: near in score, size and position."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") + 0.01).alias("conf"), F.col("l_extendedprice").alias("area"))
     rows = rows.withColumn("score", F.col("conf") * F.col("area"))
-    best = R.ranked_best(rows, ["l_orderkey"], F.col("score"), F.col("l_linenumber"), F.col("l_partkey"))
-    best = best.select("l_orderkey", F.col("l_linenumber").alias("b_line"), F.col("l_partkey").alias("b_part"), F.col("conf").alias("b_conf"), F.col("area").alias("b_area"))
-    overlap = F.least("area", "b_area") / (F.greatest("area", "b_area") * 1.5)
-    near = rows.join(best, "l_orderkey").withColumn("is_best", (F.col("l_linenumber") == F.col("b_line")) & (F.col("l_partkey") == F.col("b_part")))
-    fits = (F.col("conf") >= 0.25 * F.col("b_conf")) & F.col("area").between(0.30 * F.col("b_area"), 10 * F.col("b_area")) & overlap.between(0.02, 0.70)
-    order = Window.partitionBy("l_orderkey").orderBy(F.col("is_best").desc(), F.col("score").desc(), "l_linenumber", "l_partkey")
-    fused = near.where(F.col("is_best") | fits).withColumn("rank", F.row_number().over(order)).where("rank <= 4")
+    order = Window.partitionBy("l_orderkey").orderBy(F.col("score").desc(), "l_linenumber", "l_partkey")
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("best", F.first(F.struct("conf", "area")).over(order))
+    overlap = F.least("area", "best.area") / (F.greatest("area", "best.area") * 1.5)
+    fits = (F.col("conf") >= 0.25 * F.col("best.conf")) & F.col("area").between(0.30 * F.col("best.area"), 10 * F.col("best.area")) & overlap.between(0.02, 0.70)
+    # the best line comes first in the same order, so one exchange and one sort serve both windows
+    fused = rows.where((F.col("place") == 1) | fits).withColumn("rank", F.row_number().over(order)).where("rank <= 4")
     return fused.select("l_orderkey", "l_linenumber", "l_partkey", "rank", F.round("score", 4).alias("score"))
 
 
-TOPK = """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount+0.01 AS conf, l_extendedprice AS area, (l_discount+0.01)*l_extendedprice AS score FROM lineitem),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber, l_partkey) AS k FROM r) WHERE k=1),
-j AS (SELECT r.*, r.l_linenumber=b.l_linenumber AND r.l_partkey=b.l_partkey AS best, r.conf>=0.25*b.conf AND r.area BETWEEN 0.30*b.area AND 10*b.area
-  AND least(r.area,b.area)/(greatest(r.area,b.area)*1.5) BETWEEN 0.02 AND 0.70 AS fits FROM r JOIN b USING (l_orderkey))
-SELECT l_orderkey, l_linenumber, l_partkey, rank::INTEGER AS rank, round(score,4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY best DESC, score DESC, l_linenumber, l_partkey) AS rank
-FROM j WHERE best OR fits) WHERE rank<=4"""
+TOPK = """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount+0.01 AS conf, l_extendedprice AS area, (l_discount+0.01)*l_extendedprice AS score,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_discount+0.01)*l_extendedprice DESC, l_linenumber, l_partkey) AS k FROM lineitem),
+j AS (SELECT r.*, r.conf>=0.25*b.conf AND r.area BETWEEN 0.30*b.area AND 10*b.area AND least(r.area,b.area)/(greatest(r.area,b.area)*1.5) BETWEEN 0.02 AND 0.70 AS fits
+  FROM r JOIN r b ON b.l_orderkey=r.l_orderkey AND b.k=1)
+SELECT l_orderkey, l_linenumber, l_partkey, rank::INTEGER AS rank, round(score,4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS rank FROM j WHERE k=1 OR fits) WHERE rank<=4"""
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:

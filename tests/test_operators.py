@@ -25,6 +25,12 @@ def test_split_rounds_half_even(spark):
         assert {r["split"]: r["count"] for r in rows} == want
 
 
+def test_positions_keep_rows_with_null_keys(spark):
+    df = spark.createDataFrame([(None,), (1,), (2,), (2,)], "k long")
+    assert Rel.assign_split(df, "k").count() == 4
+    assert Rel.stride_sample(df, Rel.range_block(df, "k", 2), [F.col("k")], 9).count() == 4
+
+
 def test_keep_one_last_and_first(spark):
     df = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("b", 0, 3)], "k string, r int, v int")
     last = {r.k: (r.v, r.n) for r in Rel.keep_one(df, "k", [F.col("r")], True).collect()}
