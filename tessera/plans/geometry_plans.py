@@ -97,7 +97,15 @@ FROM t WHERE rank = 1"""
 
 def poly_convex_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quadrilateral(polygons(spark, sf_dir).select("vec_id", "gt"), "gt", "q")
-    return rows.select("vec_id", F.size("q").alias("n"), F.posexplode_outer("q").alias("i", "p")).select("vec_id", "n", "i", r4(F.col("p.x")).alias("x"), r4(F.col("p.y")).alias("y"))
+    return rows.select("vec_id", F.size("q").alias("n"), F.posexplode_outer("q").alias("i", "p")).select("vec_id", "n", "i", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))
+
+
+CONVEX_QUAD = f"""WITH {GT}, c AS (SELECT vec_id, arg_min(ROW(x,y),x+y) AS p0, arg_min(ROW(x,y),y-x) AS p1, arg_max(ROW(x,y),x+y) AS p2, arg_min(ROW(x,y),x-y) AS p3, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY vec_id),
+l AS (SELECT vec_id, CASE WHEN len(list_distinct([p0,p1,p2,p3]))<4 THEN [ROW(x0,y0),ROW(x1,y0),ROW(x1,y1),ROW(x0,y1)] ELSE [p0,p1,p2,p3] END AS ps FROM c),
+q AS (SELECT vec_id, p[1] AS x, p[2] AS y FROM (SELECT vec_id, unnest(ps) AS p FROM l)),
+a AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY -atan2(y-my, x-mx)) AS k FROM (SELECT *, avg(x) OVER (PARTITION BY vec_id) AS mx, avg(y) OVER (PARTITION BY vec_id) AS my FROM q)),
+s AS (SELECT vec_id, arg_min(k, x+y) AS first FROM a GROUP BY vec_id)
+SELECT vec_id, 4 AS n, ((k-first+4)%4)::INTEGER AS i, round(round_even(x,6),2) AS x, round(round_even(y,6),2) AS y FROM a JOIN s USING (vec_id)"""
 
 
 def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +256,13 @@ def distance_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("kept").alias("n_kept"), r4(G.fold_sum(G.xs(F.col("kept")))).alias("x_sum"), F.size("hull_input").alias("n_distinct"), r4(F.col("hull_input")[0]["x"]).alias("first_x"))
 
 
+DISTANCE_DEDUPE = f"""WITH RECURSIVE {GT}, d AS (SELECT vec_id, i, round(x/40.0)*3.0 AS dx, round(y/40.0)*0.5 AS dy FROM v),
+f AS (SELECT vec_id, i, dx AS lx, dy AS ly, dx AS fx, dy AS fy, 1 AS n, dx AS total FROM d WHERE i=0
+ UNION ALL SELECT f.vec_id, d.i, CASE WHEN keep THEN dx ELSE lx END, CASE WHEN keep THEN dy ELSE ly END, fx, fy, n+keep::INT, total+CASE WHEN keep THEN dx ELSE 0 END
+ FROM f JOIN d ON d.vec_id=f.vec_id AND d.i=f.i+1, LATERAL (SELECT sqrt(power(dx-lx,2)+power(dy-ly,2))>=1.25 AS keep)),
+e AS (SELECT *, n>1 AND sqrt(power(fx-lx,2)+power(fy-ly,2))<1.25 AS closed FROM f WHERE i=5)
+SELECT vec_id, (n-closed::INT)::INTEGER AS n_kept, round(total-CASE WHEN closed THEN lx ELSE 0 END,4) AS x_sum, 6 AS n_distinct, round(round_even((SELECT min(x) FROM v WHERE v.vec_id=e.vec_id),6),4) AS first_x FROM e"""
+
 QUERIES = {
     "poly_area": (poly_area, POLY_AREA),
     "poly_bbox_grid": (poly_bbox_grid, POLY_BBOX_GRID),
@@ -255,7 +270,7 @@ QUERIES = {
     "poly_point_in": (poly_point_in, POLY_POINT_IN),
     "poly_edge_distance": (poly_edge_distance, POLY_EDGE_DISTANCE),
     "poly_dedupe_resample": (poly_dedupe_resample, POLY_RESAMPLE),
-    "poly_convex_quad": (poly_convex_quad, None),
+    "poly_convex_quad": (poly_convex_quad, CONVEX_QUAD),
     "box_iou": (box_iou, BOX_IOU),
     "iou_eval_summary": (iou_eval_summary, IOU_EVAL),
     "reject_rules": (reject_rules, REJECT),
@@ -264,5 +279,5 @@ QUERIES = {
     "crop_shift": (crop_shift, CROP_SHIFT),
     "target_annotation": (target_annotation, TARGET_ANNOTATION),
     "depth_projection": (depth_projection, DEPTH),
-    "distance_dedupe": (distance_dedupe, None),
+    "distance_dedupe": (distance_dedupe, DISTANCE_DEDUPE),
 }

@@ -91,6 +91,15 @@ def mask_largest_cc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polygons(spark, sf_dir).select("vec_id", R.measured([F.col("gt")], measure, schema).alias("m")).select("vec_id", "m.*")
 
 
+MASK_CC = f"""WITH RECURSIVE {_sql_pixels("a", "v", 0)}, l AS (SELECT vec_id, y, x, y*{SIDE}+x AS r FROM a
+ UNION SELECT q.vec_id, q.y, q.x, l.r FROM l JOIN a q ON q.vec_id=l.vec_id AND abs(q.y-l.y)<=1 AND abs(q.x-l.x)<=1),
+m AS (SELECT vec_id, y, x, min(r) AS r FROM l GROUP BY vec_id, y, x),
+c AS (SELECT vec_id, r, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM m GROUP BY vec_id, r),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, r) AS k, count(*) OVER (PARTITION BY vec_id) AS nc, sum(n) OVER (PARTITION BY vec_id) AS total FROM c)
+SELECT e.vec_id, coalesce(total,0)::INTEGER AS n_set, coalesce(nc,0)::INTEGER AS n_components, coalesce(n,0)::INTEGER AS n_largest, coalesce(x0,-1)::INTEGER AS x_min, coalesce(y0,-1)::INTEGER AS y_min, coalesce(x1,-1)::INTEGER AS x_max, coalesce(y1,-1)::INTEGER AS y_max
+FROM embeddings e LEFT JOIN b ON b.vec_id=e.vec_id AND k=1"""
+
+
 def mask_profile_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     def measure(a: np.ndarray) -> dict:
         mask = R.fill(a / CELL * 2, 2 * SIDE, 2 * SIDE)
@@ -122,7 +131,7 @@ QUERIES = {
     "mask_iou": (mask_iou, MASK_IOU),
     "mask_set_ops": (mask_set_ops, MASK_SET_OPS),
     "mask_morph": (mask_morph, MASK_MORPH),
-    "mask_largest_cc": (mask_largest_cc, None),
+    "mask_largest_cc": (mask_largest_cc, MASK_CC),
     "mask_profile_trim": (mask_profile_trim, None),
     "mask_hull_backfill_trim": (mask_hull_backfill_trim, None),
 }
