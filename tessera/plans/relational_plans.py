@@ -205,7 +205,7 @@ def peak_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each image: the widest row of the middle band, the first later row under 55 % of it, and the run around it."""
     rows = row_profile(spark, sf_dir).select("img", "y", "width")
     peaks = rows.where("y BETWEEN 9 AND 25").groupBy("img").agg(F.min_by("y", F.struct((-F.col("width")).alias("w"), "y")).alias("peak"), F.max("width").alias("top"))
-    joined = rows.join(F.broadcast(peaks), "img")
+    joined = rows.join(peaks, "img")
     drop = F.greatest(F.lit(5), (F.col("top") * 0.55).cast("int"))
     low = F.col("width") < F.rint(F.col("top") * 0.68)
     found = joined.groupBy("img", "peak", "top").agg(
