@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -66,6 +67,43 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def cuts_of(text: str) -> list[str] | None:
+    """A text cut before each space; None where a run of white space reaches over such a cut.
+
+    A word never reaches over a space that follows a non-space or precedes one, so each
+    chunk can be split by itself and remembered.
+    """
+    if _ODD_SPACE.search(text):
+        return None
+    first, *rest = text.split(" ")
+    return [first, *[" " + c for c in rest]]
+
+
+def words_of_chunk(chunk: str) -> list[bytes]:
+    """The words of a chunk as the pattern has them; the common forms are told apart without it.
+
+    These are letters, marks, letters and then marks, and such parts with single line
+    feeds between them. An apostrophe after letters matters only before letters.
+    """
+    body = chunk[1:] if chunk[:1] == " " else chunk
+    if body.isalpha():
+        return [chunk.encode()]
+    letters = body.rstrip(string.punctuation)
+    if not letters and body:
+        return [chunk.encode()]
+    if letters.isalpha():
+        cut = len(chunk) - len(body) + len(letters)
+        return [chunk[:cut].encode(), chunk[cut:].encode()]
+    parts = body.split("\n")
+    if len(parts) > 1 and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+        out = words_of_chunk(chunk[: len(chunk) - len(body) + len(parts[0])])
+        for part in parts[1:]:
+            out.append(b"\n")
+            out += words_of_chunk(part)
+        return out
+    return [w.encode() for w in word_pattern().findall(chunk)]
+
+
 @dataclass
 class Vocabulary:
     """Merges and tokens of a byte-level BPE file; its size is fixed by the file, so it may be broadcast."""
@@ -78,7 +116,7 @@ class Vocabulary:
     special: dict[str, int]
     words: dict[bytes, bytes] = field(default_factory=dict)
     chunks: dict[str, bytes] = field(default_factory=dict)
-    most: int = 150_000
+    most: int = 200_000
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -248,39 +286,34 @@ class Vocabulary:
             new = list({w for words in pieces for w in words})
         self.words.update(zip(new, self.merge_words(new)))
         get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in pieces]
-
-    def _split(self, texts: list[str]) -> list[list[bytes]]:
-        find, out = word_pattern().findall, []
-        for text in texts:
-            body = text[1:] if text[:1] == " " else text
-            if body.isalpha():  # one word, as the pattern would have it
-                out.append([text.encode()])
-            elif body[:-1].isalpha() and body[-1] in ",.;:!?":
-                out.append([text[:-1].encode(), body[-1].encode()])
-            else:
-                out.append([w.encode() for w in find(text)])
-        return out
+        return [get(words[0]) if len(words) == 1 else b"".join(map(get, words)) for words in pieces]
+
+    def _learn(self, cuts: set[str]) -> None:
+        """Encodes chunks that the memo does not hold, all together; the memo is bounded."""
+        new = list(cuts.difference(self.chunks))
+        if len(self.chunks) + len(new) > self.most:
+            self.chunks.clear()
+            new = list(cuts)
+        self.chunks.update(zip(new, self._encode_pieces([words_of_chunk(c) for c in new])))
 
     def _encode_plain(self, text: str) -> bytes:
-        """A text without special tokens.
-
-        Cut before each space that follows a non-space or precedes one: words never
-        reach over such a place, so each chunk is split and merged by itself and
-        remembered. A text with a longer run of white space around a space is split whole.
-        """
-        if _ODD_SPACE.search(text):
-            return self._encode_pieces(self._split([text]))[0]
-        first, *rest = text.split(" ")
-        known = self.chunks
-        cuts = [first, *[" " + c for c in rest]]
-        new = list(set(cuts).difference(known))
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(cuts))
-            known.update(zip(new, self._encode_pieces(self._split(new))))
-        return b"".join(map(known.__getitem__, cuts))
+        """A text without special tokens."""
+        cuts = cuts_of(text)
+        if cuts is None:
+            return self._encode_pieces([[w.encode() for w in word_pattern().findall(text)]])[0]
+        self._learn(set(cuts))
+        return b"".join(map(self.chunks.__getitem__, cuts))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode() of several texts; their new words are merged together, which is much faster."""
+        cuts = [None if any(s in text for s in self.special) else cuts_of(text) for text in texts]
+        self._learn({c for cut in cuts if cut is not None for c in cut})
+        get = self.chunks.__getitem__
+        out = [b"" if cut is None else b"".join(map(get, cut)) for cut in cuts]
+        for i, cut in enumerate(cuts):  # these may empty the memo
+            if cut is None:
+                out[i] = self.encode(texts[i])
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed as little-endian unsigned 32-bit integers; special tokens in it have their ids."""
@@ -297,21 +330,6 @@ class Vocabulary:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _warm(vocabulary: Vocabulary, texts: list[str]) -> None:
-    """Merges the new words of a slice of texts together, which is much faster than text by text."""
-    chunks: set[str] = set()
-    for text in texts:
-        if not _ODD_SPACE.search(text) and not any(s in text for s in vocabulary.special):
-            first, *rest = text.split(" ")
-            chunks.add(first)
-            chunks.update(" " + c for c in rest)
-    new = list(chunks.difference(vocabulary.chunks))
-    if len(vocabulary.chunks) + len(new) > vocabulary.most:
-        vocabulary.chunks.clear()
-        new = list(chunks)
-    vocabulary.chunks.update(zip(new, vocabulary._encode_pieces(vocabulary._split(new))))
-
-
 def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
@@ -331,8 +349,7 @@ def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str =
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                _warm(vocabulary, texts[a:b])
-                ids = [vocabulary.encode(t) for t in texts[a:b]]
+                ids = vocabulary.encode_all(texts[a:b])
                 back = [vocabulary.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(back, pa.string())],
