@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordMemo, slices, small_batches
+from tessera.llm.common import WordMemo, slices, small_batches, sum_by_text
 
 SHINGLE = 5
 POSTINGS_BLOCK = 8
@@ -157,9 +157,9 @@ class ItemIndex:
         return np.concatenate(found)
 
     def terms_of(self, words: list[str]) -> np.ndarray:
-        """The term number of each raw word, or the number of terms where it has none."""
+        """The term number of each raw word, the number of terms where it has none, -1 where the word is marks alone."""
         none = len(self.term)
-        return np.fromiter((self.term.get(plain(w), none) for w in words), np.int64, len(words))[:, None]
+        return np.fromiter((self.term.get(p, none) if (p := plain(w)) else -1 for w in words), np.int64, len(words))[:, None]
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: (entry, score) of every entry whose score is at least the threshold."""
@@ -228,10 +228,12 @@ class ItemIndex:
         if not none:
             return []
         words = [t.split() for t in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        if not sizes.sum():
+        raw = np.fromiter(map(len, words), np.int64, len(words))
+        if not raw.sum():
             return []
         terms = memo([w for ws in words for w in ws])[:, 0]
+        sizes = sum_by_text((terms >= 0)[:, None], raw)[:, 0].astype(np.int64)
+        terms = terms[terms >= 0]  # marks alone are no words: a table's bars do not stretch a passage
         blocks = -(-sizes // self.block)
         first = np.cumsum(blocks) - blocks
         offset = np.cumsum(sizes) - sizes
@@ -243,6 +245,7 @@ class ItemIndex:
         same = np.append(owner[1:] == owner[:-1], False)
         open_blocks = self.open_blocks(at, term, same, threshold)
         best: dict[tuple[int, object], tuple] = {}
+        told: tuple[int, list[str]] = -1, []
         starts = np.searchsorted(at, np.arange(len(owner) + 2))
         for b in open_blocks.tolist():
             i = int(owner[b])
@@ -251,7 +254,9 @@ class ItemIndex:
             if not found:
                 continue
             begin = (b - int(first[i])) * self.block
-            passage = [w for w in map(plain, words[i][begin : begin + 2 * self.block]) if w]
+            if told[0] != i:
+                told = i, [w for w in map(plain, words[i]) if w]
+            passage = told[1][begin : begin + 2 * self.block]
             for entry, score in found:
                 question, answer = self.parts[entry]
                 q, a = covered(question, passage), covered(answer, passage)

@@ -43,7 +43,9 @@ def test_bpe_equals_library(vocabulary, library, text):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=40).map("".join) | st.text(max_size=120))
 def test_bpe_equals_library_on_any_text(vocabulary, library, text):
-    assert ids_of(vocabulary, text) == library.encode(text, add_special_tokens=False).ids
+    told = library.encode(text, add_special_tokens=False).ids
+    assert ids_of(vocabulary, text) == told
+    assert np.frombuffer(vocabulary.encode_all(["", text, text + " x"])[1], "<u4").tolist() == told
 
 
 def test_bpe_rows_and_single_words_agree(vocabulary):
@@ -56,7 +58,7 @@ def test_bpe_memo_is_bounded(vocabulary):
     small = bpe.Vocabulary.load(VOCABULARY)
     small.most = 20
     texts = [" ".join(f"w{i}x{j}" for j in range(15)) for i in range(10)]
-    assert [small.encode(t) for t in texts] == [vocabulary.encode(t) for t in texts]
+    assert [small.encode(t) for t in texts] == [vocabulary.encode(t) for t in texts] == small.encode_all(texts)
 
 
 def test_decode_of_broken_bytes(vocabulary, library):
@@ -253,6 +255,8 @@ def test_leaks_in_long_texts():
     texts = [noise(300), "", noise(137) + " " + items[4][1].upper() + " " + noise(50), items[7][1], noise(3) + " " + items[1][1].split(". ")[0]]
     got = {(i, item) for i, item, *_ in index.leaks(WordMemo(index.terms_of), texts, 0.5, 0.5)}
     assert got == {(2, 4), (3, 7)}
+    barred = [noise(60) + " " + " | ".join(items[9][1].split()) + " | " + noise(30), " ".join(w + "%%%" for w in items[11][1].split()), "| | % |"]
+    assert {(i, item) for i, item, *_ in index.leaks(WordMemo(index.terms_of), barred, 0.5, 0.5)} == {(0, 9), (1, 11)}
     assert decontaminate.ItemIndex([]).leaks(WordMemo(index.terms_of), texts, 0.5, 0.5) == []
 
 
