@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Scratch
+
 #: Intervals are broadcast up to this many rows; beyond it the join shuffles, and adaptive execution splits hot hosts.
 BROADCAST_ROWS = 200_000
 
@@ -53,8 +55,9 @@ def filter_urls(
     Captures of one URL and day are judged once, and every capture meets its verdict
     again by (URL, day): repeated rows keep their number. The candidate patterns of a URL
     are its host's suffixes and its path's prefixes, so the join is on equal patterns, and
-    the interval decides among them. A hot host's captures are spread by URL and day. The
-    intervals are broadcast while they are few, by a count; an empty list decides nothing.
+    the interval decides among them. A hot host's captures are spread by URL and day, and
+    verdicts are read back from a staged table, so that adaptive execution can split a hot
+    URL. The intervals are broadcast while they are few, by a count; an empty list decides nothing.
     """
     added = ("host", "decision", "list_name", "pattern", "n_active")
     captures = captures.drop(*added)
@@ -71,6 +74,7 @@ def filter_urls(
     active = wanted.join(intervals, "pattern").where("valid_from <= _day AND (valid_to IS NULL OR _day < valid_to)")
     rank = F.struct((-F.length("pattern")).alias("n"), F.col("action"), F.col("list_name"), F.col("pattern"))
     verdicts = active.groupBy("_url", "_day").agg(F.min(rank).alias("_best"), F.count("*").alias("_n"))
+    verdicts = Scratch(captures.sparkSession, "url-filters").stage(verdicts, "verdicts")
     valid = F.col("_day").isNotNull() & host_of(F.col("_url")).isNotNull()
     return keyed.join(verdicts, ["_url", "_day"], "left").select(
         *captures.columns,
