@@ -8,7 +8,6 @@ text's logits are a mean over its n-grams, and so a sum over its words.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,10 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordMemo, bounded_sample, fold_of, slices, small_batches, sum_by_text
+from tessera.llm.common import WordMemo, bounded_sample, fold_of, lean, slices, small_batches, sum_by_text
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return any(map(str.isalpha, text))
 
 
 def word_ngrams(words: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +143,7 @@ def fit_language_model(
 
 def predict_languages(model: LanguageModel | None, memo: WordMemo | None, texts: list[str]) -> tuple[list[str], list[float]]:
     """The language and its calibrated probability for each text; `und` and 0 without a letter or a model."""
-    words = [t.lower().split() if model and _LETTER.search(t) else [] for t in texts]
+    words = [t.lower().split() if model and has_letter(t) else [] for t in texts]
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if model and any(words):
         rows = memo([w for ws in words for w in ws])
@@ -158,7 +161,7 @@ def train_language_model(docs: DataFrame, key: str, text: str, lang: str, most:
     sample = bounded_sample(rows.select(F.col(key), F.col(lang)), key, most)
     chosen = rows.select(F.col(key), F.col(text), F.col(lang)).join(F.broadcast(sample.select(key).distinct()), key, "left_semi")
     told = chosen.orderBy(F.md5(F.col(key).cast("string")), F.col(key)).limit(most).select(text, lang).collect()
-    told = [(t, str(name)) for t, name in told if _LETTER.search(t)]
+    told = [(t, str(name)) for t, name in told if has_letter(t)]
     return fit_language_model([t for t, _ in told], [name for _, name in told]) if told else None
 
 
@@ -194,6 +197,6 @@ def identify_language(
                 )
 
     schema = T.StructType([docs.schema[key], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
