@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, small_batches, text_of
+from tessera.llm.common import lean, slices, small_batches, text_of
 
 NOTHING = np.int64(1 << 62)
 #: Letters and numbers that Unicode 16.0 added to 15.1, as ranges (fixed values): the
@@ -355,6 +355,8 @@ def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str =
                     [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(back, pa.string())],
                     names=[key, "ids", "decoded"],
                 )
+        vocabulary.words.clear()
+        vocabulary.chunks.clear()
 
     schema = T.StructType([docs.schema[key], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver has collected its garbage, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written once to the shared folder and read back.
 
@@ -64,6 +77,14 @@ class Scratch:
     def drop(self, name: str | None = None) -> None:
         _remove(self.spark, f"{self.path}/{name}" if name else self.path)
 
+    def keep_only(self, *names: str) -> None:
+        """Removes the staged tables that no result reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        for status in at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at):
+            if status.getPath().getName() not in names:
+                self.drop(status.getPath().getName())
+
 
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     """The text, with null as empty."""
@@ -91,6 +112,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that gives its memory back to the system at the end of a task.
+
+    A Python worker waits for further tasks, and what it holds meanwhile counts as the executor's.
+    """
+
+    def leaving_nothing(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return leaving_nothing
+
+
 def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts holding about `most` characters each; a longer text is alone."""
     start, size = 0, 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordMemo, slices, small_batches, sum_by_text
+from tessera.llm.common import WordMemo, lean, slices, small_batches, sum_by_text
 
 SHINGLE = 5
 POSTINGS_BLOCK = 8
@@ -314,7 +314,7 @@ def find_leaks(
                         names=schema.names,
                     )
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(lean(run), schema)
 
     out = None
     for shard in range(shards):
