@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, slices, small_batches
+from tessera.llm.common import Scratch, lean, let_go, slices, small_batches
 from tessera.llm.components import connected_components
 
 WORDS = 5
@@ -277,10 +277,19 @@ def _scan(rows: DataFrame, buckets: int) -> DataFrame:
     """A row for each text (key, n, set) and rows of packed (shingle, set) of the counted share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = set()
+        counted, seen, held = set(), [], 0
         names = ["id", "n", "set", "key", "bucket", "packed"]
+        id_type = None
+
+        def flush() -> pa.RecordBatch:
+            found, packed = packed_by_bucket(np.concatenate(seen), buckets)
+            seen.clear()
+            empty = pa.nulls(len(found))
+            return pa.RecordBatch.from_arrays([empty.cast(id_type), empty.cast(pa.int64()), empty.cast(pa.binary()), empty.cast(pa.int64()), pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names)
+
         for batch in batches:
-            ids, ns, keys, seen = batch.column(0), [], [], []
+            ids, ns, keys = batch.column(0), [], []
+            id_type = ids.type
             for tokens in shingle_sets(batch.column(1).to_pylist()):
                 ns.append(len(tokens))
                 key = set_key(tokens) if len(tokens) else None
@@ -290,14 +299,16 @@ def _scan(rows: DataFrame, buckets: int) -> DataFrame:
                     part = np.empty(len(tokens), _SEEN)
                     part["token"], part["key"] = tokens, short_key(key)
                     seen.append(part)
+                    held += len(tokens)
             nothing = pa.nulls(len(ns))
             yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array([k and short_key(k) for k in keys], pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
-            if seen:
-                found, packed = packed_by_bucket(np.concatenate(seen), buckets)
-                empty = pa.nulls(len(found))
-                yield pa.RecordBatch.from_arrays([empty.cast(ids.type), empty.cast(pa.int64()), empty.cast(pa.binary()), empty.cast(pa.int64()), pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names)
+            if held > 1 << 20:
+                yield flush()
+                held = 0
+        if seen:
+            yield flush()
 
-    return rows.mapInArrow(run, f"id {rows.schema['_id'].dataType.simpleString()}, n long, set binary, key long, bucket int, packed binary")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['_id'].dataType.simpleString()}, n long, set binary, key long, bucket int, packed binary")
 
 
 def _common_shingles(packed: DataFrame, scratch: Scratch, buckets: int) -> np.ndarray:
@@ -310,7 +321,7 @@ def _common_shingles(packed: DataFrame, scratch: Scratch, buckets: int) -> np.nd
         tokens, n = tokens[n > 1], n[n > 1]
         yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
-    counts = packed.repartition(buckets, "bucket").select("packed").mapInArrow(run, "token long, n long")
+    counts = packed.repartition(buckets, "bucket").select("packed").mapInArrow(lean(run), "token long, n long")
     counts = scratch.stage(counts, "counts")
     histogram = sorted((r[0], r[1]) for r in counts.groupBy(F.least("n", F.lit(4096)).alias("c")).count().collect())
     total, least = 0, 4097
@@ -373,8 +384,8 @@ def _lists(rows: DataFrame, common: np.ndarray, buckets: int, percent: int) -> D
             ["token", "key", "place"],
         )
 
-    packed = rows.mapInArrow(entries, "bucket int, packed binary").repartition(buckets, "bucket")
-    return packed.select("packed").mapInArrow(merged, "token long, key long, place int")
+    packed = rows.mapInArrow(lean(entries), "bucket int, packed binary").repartition(buckets, "bucket")
+    return packed.select("packed").mapInArrow(lean(merged), "token long, key long, place int")
 
 
 def _search(rows: DataFrame, members: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -420,9 +431,9 @@ def _search(rows: DataFrame, members: DataFrame, parts: int, percent: int) -> Da
         if len(sets) > 1:
             yield links()
 
-    grouped = texts.mapInArrow(spread, f"gid string, rep {id_type}, packed binary")
+    grouped = texts.mapInArrow(lean(spread), f"gid string, rep {id_type}, packed binary")
     grouped = grouped.repartition(parts, "gid").sortWithinPartitions("gid", "rep")
-    return grouped.mapInArrow(found, f"a {id_type}, b {id_type}")
+    return grouped.mapInArrow(lean(found), f"a {id_type}, b {id_type}")
 
 
 def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -452,6 +463,7 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = scratch.stage(classes, "classes")
 
     lists = scratch.stage(_lists(rows, common, 4 * parts, percent), "lists")
+    let_go(spark)
     lists = scratch.stage(lists.join(classes.where("rep IS NOT NULL").select("key", "rep", "n"), "key").select("token", "rep", "n", "place"), "entries")
     sizes = scratch.stage(lists.groupBy("token").agg(F.count("*").alias("length")).where(f"length > {LONG}"), "long")
 
@@ -464,6 +476,7 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
         members = scratch.stage(members, f"members-{turn}")
         some = scratch.stage(_search(rows, members, parts, percent), f"links-{turn}")
         links = some if links is None else links.unionByName(some)
+        let_go(spark)
     joined = scratch.stage(connected_components(links, scratch, "first"), "joined")
 
     # all pairs of one list that are not yet in one component and can reach the required overlap
@@ -486,11 +499,14 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = scratch.stage(pairs.select(F.concat_ws(":", "x.token", cut("rep1"), cut("rep2")).alias("gid"), "rep1", "rep2"), "pairs")
     members = pairs.selectExpr("gid", "rep1 AS rep").unionByName(pairs.selectExpr("gid", "rep2 AS rep")).distinct()
     members = scratch.stage(members, "members")
+    let_go(spark)
     links = links.unionByName(scratch.stage(_search(rows, members, parts, percent), "links"))
 
     components = connected_components(links, scratch, "last")
     placed = classes.join(components, classes["rep"] == components["node"], "left")
     placed = scratch.stage(placed.select("set", "rep", F.coalesce("component", "rep").alias("component")), "placed")
+    scratch.keep_only("sets", "placed")
+    let_go(spark)
     found = sets.drop("key").join(placed, "set", "left")
     return found.select(
         F.col("id").alias(key),
