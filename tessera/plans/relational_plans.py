@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
@@ -311,10 +311,14 @@ GATE_FIRST = """SELECT user_id%50 AS run, min(event_id) FILTER (value>=120) AS f
 CASE WHEN min(event_id) FILTER (value>=120) IS NULL THEN 'exhausted' ELSE 'passed' END AS status FROM events GROUP BY 1"""
 
 
-def repair_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to six recorded repair attempts per run, folded in order: stop at a score of 3 or a failed stage, accept what is no worse."""
-    rows = table(spark, sf_dir, "events").select((F.col("event_id") % 300).alias("run"), F.floor(F.col("event_id") / 300).alias("attempt"), (F.floor(F.col("value")) % 5).cast("int").alias("score"), (F.col("event_type") != "error").alias("ok"))
-    runs = rows.where("attempt < 6").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("attempt", "score", "ok"))).alias("tries"))
+def repair_attempts(spark: SparkSession, sf_dir: str, run: Column, attempt: Column) -> DataFrame:
+    """Events as recorded repair attempts: run, attempt, score and whether the stage went through."""
+    return table(spark, sf_dir, "events").select(run.alias("run"), attempt.alias("attempt"), (F.floor(F.col("value")) % 5).cast("int").alias("score"), (F.col("event_type") != "error").alias("ok"))
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """Attempts folded in order within their run: stop at a score of 3 or a failed stage, accept what is no worse."""
+    runs = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("attempt", "score", "ok"))).alias("tries"))
     start = F.struct(F.lit(1).alias("score"), F.lit(0).alias("used"), F.lit(0).alias("accepted"), F.lit(False).alias("stopped"))
 
     def step(s, t):
@@ -330,6 +334,16 @@ def repair_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run", "score", "used", "accepted", status.alias("status"))
 
 
+def repair_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to six recorded repair attempts of each of 300 runs, folded: as its SQL, the first 1800 events and no others."""
+    return folded(repair_attempts(spark, sf_dir, F.col("event_id") % 300, F.floor(F.col("event_id") / 300)).where("attempt < 6"))
+
+
+def repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an attempt of a run of six ids, folded: the runs grow with the table."""
+    return folded(repair_attempts(spark, sf_dir, F.floor(F.col("event_id") / 6), F.col("event_id")))
+
+
 REPAIR_FOLD = """WITH RECURSIVE t AS (SELECT event_id%300 AS run, event_id//300 AS attempt, (floor(value)::BIGINT%5)::INTEGER AS score, event_type<>'error' AS ok FROM events WHERE event_id//300<6),
 f AS (SELECT run, -1::BIGINT AS attempt, 1 AS score, 0 AS used, 0 AS accepted, false AS stopped FROM (SELECT DISTINCT run FROM t)
  UNION ALL SELECT f.run, t.attempt, CASE WHEN f.stopped OR f.score>=3 THEN f.score WHEN t.ok AND t.score>=f.score THEN t.score ELSE f.score END,
@@ -338,6 +352,13 @@ f AS (SELECT run, -1::BIGINT AS attempt, 1 AS score, 0 AS used, 0 AS accepted, f
 SELECT run, score, used, accepted, CASE WHEN score>=3 THEN 'ok' WHEN stopped THEN 'failed' ELSE 'low_score' END AS status
 FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY attempt DESC) AS k FROM f) WHERE k=1"""
 
+REPAIR_RUNS = """WITH RECURSIVE t AS (SELECT event_id//6 AS run, row_number() OVER (PARTITION BY event_id//6 ORDER BY event_id, floor(value)::BIGINT%5, event_type<>'error') AS k, (floor(value)::BIGINT%5)::INTEGER AS score, event_type<>'error' AS ok FROM events),
+f AS (SELECT run, 0::BIGINT AS k, 1 AS score, 0 AS used, 0 AS accepted, false AS stopped FROM (SELECT DISTINCT run FROM t)
+ UNION ALL SELECT f.run, t.k, CASE WHEN t.ok AND t.score>=f.score THEN t.score ELSE f.score END, f.used+1, f.accepted+(t.ok AND t.score>=f.score)::INTEGER, NOT t.ok
+  FROM f JOIN t ON t.run=f.run AND t.k=f.k+1 WHERE NOT f.stopped AND f.score<3)
+SELECT run, score, used, accepted, CASE WHEN score>=3 THEN 'ok' WHEN stopped THEN 'failed' ELSE 'low_score' END AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k DESC) AS r FROM f) WHERE r=1"""
+
 QUERIES = {
     "largest_shape": (largest_shape, LARGEST_SHAPE),
     "best_detection": (best_detection, BEST_DETECTION),
@@ -365,4 +386,5 @@ QUERIES = {
     "fallback_decision": (fallback_decision, FALLBACK_DECISION),
     "gate_first_pass": (gate_first_pass, GATE_FIRST),
     "repair_fold": (repair_fold, REPAIR_FOLD),
+    "repair_runs": (repair_runs, REPAIR_RUNS),
 }
