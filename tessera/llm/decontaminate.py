@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND.
 
-The index is over the items, and every passage of every training text is a query. A
-passage is two adjacent blocks of words; a block is as long as the longest index entry,
-so a copy of an entry lies whole in some passage. An item's score is the share of its own
+The index is over whole items, and every passage of every training text is a query. A
+passage is two adjacent blocks of words; a block is as long as the longest item of an
+index, so a copy of an item lies whole in some passage. Items of over SHORT words have
+indexes of their own, by length, so that they do not stretch the others' passages. An item's score is the share of its own
 BM25 weight that the passage covers, so one threshold fits items of any length. What the
 search retrieves is verified: the passage must hold the item's question, by five-word
 shingles, and its answer.
@@ -26,7 +27,7 @@ from tessera.llm.common import WordMemo, lean, slices, small_batches, sum_by_tex
 
 SHINGLE = 5
 POSTINGS_BLOCK = 8
-LONGEST_ENTRY = 256
+SHORT = 256
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _ANSWER = re.compile(r"(?:^|\n)\s*(?:answer|a)\s*[:.]\s+", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -79,23 +80,47 @@ class Posting:
     most: float
 
 
+def length_class(n: int) -> int:
+    """0 up to SHORT words, then one more each time the number doubles."""
+    return max(0, (n - 1).bit_length() - (SHORT - 1).bit_length())
+
+
+@dataclass
+class ItemCounts:
+    """What BM25 and the passages need to know of all items: how many have a word, their words, items by word, the longest by class."""
+
+    n: int
+    words: int
+    df: dict[str, int]
+    longest: dict[int, int]
+
+    @staticmethod
+    def of(texts: list[str]) -> ItemCounts:
+        bags = [Counter(words) for words in map(words_of, texts) if words]
+        sizes = [sum(bag.values()) for bag in bags]
+        longest: dict[int, int] = {}
+        for size in sizes:
+            longest[length_class(size)] = max(size, longest.get(length_class(size), 0))
+        return ItemCounts(len(bags), sum(sizes), Counter(w for bag in bags for w in bag), longest)
+
+
 class ItemIndex:
-    """BM25 index of test items; an item longer than LONGEST_ENTRY words has several entries."""
+    """BM25 index of test items, each whole; counts are of all items, by default of these."""
 
-    def __init__(self, items: list[tuple[object, str]], k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, items: list[tuple[object, str]], k1: float = 1.2, b: float = 0.75, counts: ItemCounts | None = None) -> None:
+        counts = counts or ItemCounts.of([text or "" for _, text in items])
         self.items: list[object] = []
         self.parts: list[tuple[list[str], list[str]]] = []
         bags: list[Counter] = []
+        self.block = SHINGLE
         for item, text in items:
-            words = words_of(text or "")
-            pieces = [words[i : i + LONGEST_ENTRY] for i in range(0, len(words), LONGEST_ENTRY)]
-            for piece in pieces:
+            if words := words_of(text or ""):
                 self.items.append(item)
-                self.parts.append(question_and_answer(text) if len(pieces) == 1 else (piece, []))
-                bags.append(Counter(piece))
-        self.block = max([SHINGLE, *(sum(bag.values()) for bag in bags)])
-        n, mean = len(bags), sum(sum(bag.values()) for bag in bags) / max(1, len(bags))
-        df = Counter(w for bag in bags for w in bag)
+                self.parts.append(question_and_answer(text))
+                bags.append(Counter(words))
+                self.block = max(self.block, counts.longest[length_class(len(words))])
+        n, mean = counts.n, counts.words / max(1, counts.n)
+        df = {w: counts.df[w] for bag in bags for w in bag}
         idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
         self.term = {w: i for i, w in enumerate(sorted(df))}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
@@ -110,9 +135,9 @@ class ItemIndex:
             entries, shares = [e for e, _ in found], [x for _, x in found]
             cuts = range(0, len(found), POSTINGS_BLOCK)
             self.postings.append(Posting(entries, shares, [entries[min(c + POSTINGS_BLOCK, len(found)) - 1] for c in cuts], [max(shares[c : c + POSTINGS_BLOCK]) for c in cuts], max(shares)))
-        self._set_common_apart(df, n)
+        self._set_common_apart(df, len(bags))
 
-    def _set_common_apart(self, df: Counter, n: int, spare: float = 0.12) -> None:
+    def _set_common_apart(self, df: dict[str, int], n: int, spare: float = 0.12) -> None:
         """Splits the terms as in WAND's bound: common ones give no entry more than `spare` of its weight.
 
         So a passage can reach a threshold only for an entry to which its rare terms give
@@ -206,9 +231,8 @@ class ItemIndex:
                 for c in cursors[: pivot + 1]:
                     advance(c, limit)
             elif cursors[0][0] == entry:
-                score = 0.0
+                score = math.fsum(c[2].shares[c[1]] for c in cursors[: pivot + 1])
                 for c in cursors[: pivot + 1]:
-                    score += c[2].shares[c[1]]
                     advance(c, entry + 1)
                 if score >= slack:
                     found.append((entry, score))
@@ -267,6 +291,15 @@ class ItemIndex:
         return list(best.values())
 
 
+def item_indexes(items: list[tuple[object, str]], counts: ItemCounts | None = None) -> list[ItemIndex]:
+    """An index for each class of length among the items."""
+    counts = counts or ItemCounts.of([text for _, text in items])
+    classes: dict[int, list[tuple[object, str]]] = {}
+    for item, text in items:
+        classes.setdefault(length_class(len(words_of(text))), []).append((item, text))
+    return [ItemIndex(classes[c], counts=counts) for c in sorted(classes)]
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     threshold: float = 0.5, overlap: float = 0.5, shard_items: int = 50_000,
@@ -295,19 +328,18 @@ def find_leaks(
     )
     kind = T.StructType([schema[item]])
 
-    def searched(index: ItemIndex) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
+    def searched(indexes: list[ItemIndex]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            own = shared.value
-            memo = WordMemo(own.terms_of)
+            own = [(index, WordMemo(index.terms_of)) for index in shared.value]
             item_type = to_arrow_schema(kind).field(0).type
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for a, b in slices(texts):
-                    found = own.leaks(memo, texts[a:b], threshold, overlap)
+                    found = [row for index, memo in own for row in index.leaks(memo, texts[a:b], threshold, overlap)]
                     at, ids, passage, score, q, an = zip(*found) if found else ([],) * 6
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array([a + i for i in at], pa.int64())), pa.array(ids, item_type), pa.array(passage, pa.int64()), *(pa.array(x, pa.float64()) for x in (score, q, an))],
@@ -319,6 +351,6 @@ def find_leaks(
     out = None
     for shard in range(shards):
         own = told if shards == 1 else told.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(shards)) == shard)
-        part = searched(ItemIndex(sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (str(r[0]), r[1]))))
+        part = searched(item_indexes(sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (str(r[0]), r[1]))))
         out = part if out is None else out.unionByName(part)
     return out

@@ -260,6 +260,22 @@ def test_leaks_in_long_texts():
     assert decontaminate.ItemIndex([]).leaks(WordMemo(index.terms_of), texts, 0.5, 0.5) == []
 
 
+@pytest.mark.parametrize("n", [257, 600])
+def test_long_items_are_verified_whole(n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    long = [word() for _ in range(n - 1)]
+    item = " ".join(long[:-1]) + f". {long[-1]} the"
+    short = (2, " ".join(word() for _ in range(20)) + ". green it is.")
+    clean = "the " + " ".join(word() for _ in range(900))
+    half = " ".join(long[: n // 3]) + " " + clean
+    texts = [clean, half, clean + " " + item + " " + clean, clean + " " + short[1], " ".join(long[:-1])]
+    indexes = decontaminate.item_indexes([(1, item), short])
+    assert [index.block for index in indexes] == [23, n]
+    got = {(i, found): (q, a) for index in indexes for i, found, _, _, q, a in index.leaks(WordMemo(index.terms_of), texts, 0.5, 0.5)}
+    assert got == {(2, 1): (1.0, 1.0), (3, 2): (1.0, 1.0)}
+
+
 def test_memo_and_sums():
     memo = WordMemo(lambda ws: np.array([[len(w)] for w in ws], float).reshape(-1, 1), most=5)
     for _ in range(20):

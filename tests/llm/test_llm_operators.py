@@ -227,6 +227,16 @@ def test_leaks(spark, docs, none, rows):
     assert find_leaks(none, items).count() == 0 and find_leaks(docs, items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [257, 600])
+def test_leaks_of_long_items(spark, n):
+    rng = random.Random(n)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item = f"{noise(n - 2)}. answer the"
+    docs = spark.createDataFrame([(1, f"the {noise(400)}"), (2, f"{noise(99)} {item} {noise(99)}"), (3, f"the answer {noise(50)}"), (4, " ".join(item.split()[: n // 3]) + f" the {noise(99)}")], "doc_id long, text string")
+    found = find_leaks(docs, spark.createDataFrame([(7, item), (8, noise(12))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.question, r.answer) for r in found] == [(2, 7, 1.0, 1.0)] and abs(found[0].score - 1) < 1e-9
+
+
 def test_url_filters(spark):
     entries = spark.sql(f"SELECT * FROM VALUES {queries.LIST_CHANGES} AS t(list_name, action, pattern, change, dated)")
     assert validity(entries).where("pattern = 'tionble.example.org'").count() == 0
