@@ -36,9 +36,12 @@ def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the texts whose language is undetermined: null, empty, or without any letter."""
-    found = identify_language(docs)
-    return without(docs, found.where(F.col("lang_pred") == UNDETERMINED), "pipeline-language")
+    """Rejects the texts whose language is undetermined: null, empty, or without any letter.
+
+    Without a labelled row to learn from, texts with a letter stay; so do those of a language labelled `und`, whose score is above 0.
+    """
+    found = identify_language(docs, unlearned=None)
+    return without(docs, found.where((F.col("lang_pred") == UNDETERMINED) & (F.col("score") == 0)), "pipeline-language")
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,10 +141,13 @@ def fit_language_model(
     return model
 
 
-def predict_languages(model: LanguageModel | None, memo: WordMemo | None, texts: list[str]) -> tuple[list[str], list[float]]:
-    """The language and its calibrated probability for each text; `und` and 0 without a letter or a model."""
-    words = [t.lower().split() if model and has_letter(t) else [] for t in texts]
-    names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+def predict_languages(
+    model: LanguageModel | None, memo: WordMemo | None, texts: list[str], unlearned: str | None = UNDETERMINED
+) -> tuple[list[str | None], list[float]]:
+    """The language and its calibrated probability for each text; `und` and 0 without a letter, `unlearned` and 0 without a model."""
+    lettered = [has_letter(t) for t in texts]
+    words = [t.lower().split() if model and told else [] for t, told in zip(texts, lettered)]
+    names, scores = [unlearned if told and not model else UNDETERMINED for told in lettered], [0.0] * len(texts)
     if model and any(words):
         rows = memo([w for ws in words for w in ws])
         p = model.probabilities(model.logits(sum_by_text(rows, map(len, words))))
@@ -166,7 +169,8 @@ def train_language_model(docs: DataFrame, key: str, text: str, lang: str, most:
 
 
 def identify_language(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 3000, folds: int = 3, held: int = 1
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 3000, folds: int = 3, held: int = 1,
+    unlearned: str | None = UNDETERMINED,
 ) -> DataFrame:
     """Predicts the language of every whole text.
 
@@ -175,7 +179,8 @@ def identify_language(
     rows outside the held-out fold, those with the smallest md5 of the key: a bounded
     sample, so its idf, weights and temperature have a fixed size and are broadcast. Only text
     and lang are learned from, and only text is scored. A text that is null or has no
-    letter gets `und` and 0, as does every text when there is nothing to learn from.
+    letter gets `und` and 0; when there is nothing to learn from, a text with a letter
+    gets `unlearned` and 0.
     Rows are independent: ties, repeated rows and null keys pass through; other columns
     are not read.
     """
@@ -190,7 +195,7 @@ def identify_language(
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts):
-                names, scores = predict_languages(model, memo, texts[a:b])
+                names, scores = predict_languages(model, memo, texts[a:b], unlearned)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     names=[key, "held_out", "lang_pred", "score"],

@@ -298,3 +298,18 @@ def test_pipeline(spark, tmp_path, rows):
     assert kept[0] < len(rows) + 4 and kept[3] < kept[2]
     got = sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == sorted((r.doc_id, r.ids_sha256) for r in out.collect())
+
+
+@pytest.mark.parametrize("labelled", ["none", "held_out", "und"])
+def test_language_stage_without_labels(spark, tmp_path, rows, labelled):
+    """Only texts without a letter go when there is nothing to learn from, or when `und` is all there is to learn."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    lang = {"none": lambda i: None, "held_out": lambda i: "en" if held(i) else None, "und": lambda i: "und"}[labelled]
+    docs = spark.createDataFrame([(i, t, lang(i), s, n) for i, t, _, s, n in [*rows, (501, "12345 !!", None, "s", 8)]], DOCS)
+    kept = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t, *_ in rows if t and any(c.isalpha() for c in t))
+    if labelled == "none":
+        docs.repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+        spark.createDataFrame([(1, "nothing like this here. no.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+        assert {r.lang_pred for r in identify_language(docs).collect()} == {"und"}
