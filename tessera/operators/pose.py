@@ -6,7 +6,7 @@ and pin them with fixed(), as each is read many times.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
@@ -174,22 +174,36 @@ def contact_candidates(df: DataFrame, width: int, height: int, step: int = 12) -
     """Points of a grid on the seat, away from its sides and in the middle of its depth, with their weights.
 
     df has seat and back and whatever identifies a row; each row becomes its candidates: x, y, weight, depth_t.
+    It may have contact, the points of a contact region: one with an area is used instead of the seat, with a
+    band of depths that depends on how upright the seat's depth is in the frame.
     """
-    own = [c for c in df.columns if c not in ("seat", "back")]
+    own = [c for c in df.columns if c not in ("seat", "back", "contact")]
     seat = F.col("seat")
-    df = fixed(df, "_b", G.bounding_box(seat))
-    df = fixed(df, "_margin", G.clamp(0.04 * F.sqrt(F.greatest(G.polygon_area(seat), F.lit(1.0))), 4.0, 30.0))
+    df = fixed(df, "_area", contact_area(df))
+    on, use = F.col("_area.points"), F.col("_area.given")
+    df = fixed(df, "_b", G.bounding_box(on))
+    df = fixed(df, "_margin", G.clamp(0.04 * F.sqrt(F.greatest(G.polygon_area(on), F.lit(1.0))), 4.0, 30.0))
     cx, cy = (F.col("back")[0]["x"] + F.col("back")[1]["x"]) * 0.5, (F.col("back")[0]["y"] + F.col("back")[1]["y"]) * 0.5
     away = F.transform(G.edges(seat), lambda e: F.struct(F.hypot((e["a"]["x"] + e["b"]["x"]) * 0.5 - cx, (e["a"]["y"] + e["b"]["y"]) * 0.5 - cy).alias("d"), e["i"].alias("i")))
     df = fixed(df, "_k", F.array_min(away)["i"])
     corner = lambda i: G.at(seat, F.col("_k") + i)
     middle = lambda i, j: G.point((corner(i)["x"] + corner(j)["x"]) * 0.5, (corner(i)["y"] + corner(j)["y"]) * 0.5)
     df = fixed(df, "_e", F.struct(corner(0).alias("a"), corner(1).alias("b"), middle(0, 1).alias("m"), middle(2, 3).alias("f")))
-    axis = lambda low, high, n: F.sequence(F.greatest(F.floor(low), F.lit(0)).cast("int"), F.least(F.ceil(high), F.lit(n - 1)).cast("int"), F.lit(step))
+    depth = lambda of: F.col(f"_e.f.{of}") - F.col(f"_e.m.{of}")
+    upright = F.abs(depth("y")) / F.sqrt(F.greatest(depth("x") * depth("x") + depth("y") * depth("y"), F.lit(1e-8)))
+    names = ("least", "most", "at", "sigma")
+    band = lambda *told: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, told)])
+    steep, slanted, flat = band(0.34, 0.84, 0.54, 0.16), band(0.27, 0.88, 0.49, 0.18), band(0.2, 0.9, 0.46, 0.2)
+    df = fixed(df, "_band", F.when(~use, band(0.08, 0.92, 0.35, 0.23)).when(upright >= 0.75, steep).when(upright >= 0.55, slanted).otherwise(flat))
+
+    def axis(low: Column, high: Column, n: int) -> Column:
+        a, b = F.greatest(F.floor(low), F.lit(0)).cast("int"), F.least(F.ceil(high), F.lit(n - 1)).cast("int")
+        return F.when(a <= b, F.sequence(a, F.greatest(a, b), F.lit(step)))
+
     df = df.withColumn("_y", F.explode(axis(F.col("_b.y_min"), F.col("_b.y_max"), height)))
     df = df.withColumn("_x", F.explode(axis(F.col("_b.x_min"), F.col("_b.x_max"), width)))
     x, y = F.col("_x").cast("double"), F.col("_y").cast("double")
-    df = df.where(G.point_in_polygon(x, y, seat)).where(G.edge_distance(x, y, seat) >= F.col("_margin"))
+    df = df.where(G.point_in_polygon(x, y, on)).where(G.edge_distance(x, y, on) >= F.col("_margin"))
 
     def share(p: str, q: str) -> Column:
         a, b = F.col(f"_e.{p}"), F.col(f"_e.{q}")
@@ -197,12 +211,42 @@ def contact_candidates(df: DataFrame, width: int, height: int, step: int = 12) -
         n = dx * dx + dy * dy
         return F.when(n > 1e-8, ((x - a["x"]) * dx + (y - a["y"]) * dy) / F.greatest(n, F.lit(1e-8))).otherwise(F.lit(0.5))
 
-    df = df.select(*own, x.alias("x"), y.alias("y"), share("m", "f").alias("t"), share("a", "b").alias("u")).where("t BETWEEN 0.08 AND 0.92")
+    df = df.select(*own, x.alias("x"), y.alias("y"), share("m", "f").alias("t"), share("a", "b").alias("u"), "_band").where("t BETWEEN _band.least AND _band.most")
     bell = lambda c, at, sigma: F.exp(-0.5 * F.pow((F.col(c) - at) / sigma, 2))
-    weight = G.clamp(bell("t", 0.35, 0.23) * bell("u", 0.5, 0.33), 0.0, 1.0)
+    weight = G.clamp(bell("t", F.col("_band.at"), F.col("_band.sigma")) * bell("u", 0.5, 0.33), 0.0, 1.0)
     return df.select(*own, "x", "y", F.round(weight, 4).alias("weight"), F.round("t", 4).alias("depth_t"))
 
 
+def contact_area(df: DataFrame) -> Column:
+    """points, and given: those of contact that are numbers, if they are three at least and have an area, else the seat's."""
+    if "contact" not in df.columns:
+        return F.struct(F.col("seat").alias("points"), F.lit(False).alias("given"))
+    told = F.filter(F.coalesce("contact", F.array().cast(df.schema["contact"].dataType)), lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    given = F.when(F.size(told) >= 3, G.polygon_area(told) > 1.0).otherwise(F.lit(False))
+    return F.struct(F.when(given, told).otherwise(F.col("seat")).alias("points"), given.alias("given"))
+
+
+def ranked_candidates(df: DataFrame, width: int, height: int, step: int = 12, most: int = 1500) -> DataFrame:
+    """All contact candidates by falling weight and then in scan order: a stride over them beyond `most`, the centroid where there is none.
+
+    What identifies a row must be unique; rank starts at 1.
+    """
+    own = [c for c in df.columns if c not in ("seat", "back", "contact")]
+    found = contact_candidates(df, width, height, step).withColumn("_found", F.lit(1))
+    area = fixed(df, "_area", contact_area(df)).select(*own, F.col("_area.points").alias("_p"))
+    mean = lambda of: F.aggregate(of(F.col("_p")), F.lit(0.0), lambda a, v: a + v) / F.size("_p")
+    place = lambda of, n: _two(G.clamp(mean(of), 0.0, n - 1.0))
+    none = area.select(*own, place(G.xs, width).alias("x"), place(G.ys, height).alias("y"), F.lit(1.0).alias("weight"), F.lit(0.5).alias("depth_t"), F.lit(0).alias("_found"))
+    whole = Window.partitionBy(*own)
+    rows = found.unionByName(none).withColumn("_n", F.sum("_found").over(whole)).where("_found = 1 OR _n = 0")
+    rows = rows.withColumn("_r", F.row_number().over(whole.orderBy(F.col("weight").desc(), "y", "x")) - 1)
+    stride = F.col("_n") / F.lit(float(most))
+    near = F.floor(F.col("_r") / stride).cast("int")
+    taken = F.filter(F.sequence(near - 1, near + 1), lambda i: (i >= 0) & (i < most) & (F.rint(i * stride) == F.col("_r")))
+    rows = rows.withColumn("rank", F.when(F.col("_n") <= most, F.col("_r")).otherwise(F.get(taken, F.lit(0))) + 1).where("rank IS NOT NULL")
+    return rows.select(*own, "rank", "x", "y", "weight", "depth_t")
+
+
 def effective_size(points: Column, side: str, told: Column) -> Column:
     """A frame's side as told, or as large as its points need."""
     most = F.array_max(F.transform(points, lambda p: p[side]))

@@ -124,12 +124,19 @@ SELECT vec_id, source, CASE source WHEN 'model' THEN 'ok' WHEN 'parts' THEN 'low
 
 
 def hip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five heaviest contact points of each seat, by rounded weight and then in scan order."""
+    """The five heaviest contact points of each seat, by rounded weight and then in scan order, as its SQL; seat_candidates has all."""
     rows = P.contact_candidates(geometries(spark, sf_dir).select("vec_id", "seat", "back"), FRAME, FRAME)
     order = Window.partitionBy("vec_id").orderBy(F.col("weight").desc(), "y", "x")
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("vec_id", "rank", "x", "y", "weight", "depth_t")
 
 
+def seat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contact points of each seat, by rounded weight and then in scan order; every second seat has a contact region of its own."""
+    rows = geometries(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    contact = F.when(F.col("vec_id") % 2 == 1, polygon(16, 3))
+    return P.ranked_candidates(rows.select("vec_id", "seat", "back", contact.alias("contact")), FRAME, FRAME)
+
+
 HIP = f"""WITH {SQL_ISSUES}, a AS (SELECT vec_id, greatest(4.0,least(30.0,0.04*sqrt(greatest(abs(sum(sx*ey-ex*sy))*0.5,1.0)))) AS margin FROM e GROUP BY vec_id),
 n AS (SELECT vec_id, e.i, row_number() OVER (PARTITION BY vec_id ORDER BY sqrt(power((sx+ex)*0.5-kx,2)+power((sy+ey)*0.5-ky,2)), e.i) AS r FROM e JOIN bk USING (vec_id)),
 q AS (SELECT n.vec_id, p.x, p.y, (p.i-n.i+4)%4 AS o FROM n JOIN v p ON p.vec_id=n.vec_id WHERE r=1),
@@ -229,6 +236,7 @@ QUERIES = {
     "local_check_score": (local_check_score, LOCAL_CHECK),
     "fallback_cascade": (fallback_cascade, FALLBACK),
     "hip_candidates": (hip_candidates, HIP),
+    "seat_candidates": (seat_candidates, None),
     "denormalise_grid": (denormalise_grid, DENORMALISE),
     "sanitize_repair": (sanitize_repair, None),
     "parts_quality": (parts_quality, PARTS),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import struct
 
 import numpy as np
@@ -13,6 +14,7 @@ from tessera.functions import jsonx
 from tessera.functions import text as X
 from tessera.operators import chat as C
 from tessera.operators import metrics as M
+from tessera.operators import pose
 from tessera.operators import raster as R
 from tessera.operators import relational as Rel
 from tessera.sources import readers, writers
@@ -182,3 +184,60 @@ def test_stream_of_arrivals(spark, tmp_path):
     assert spark.table("firsts").count() == 5
     assert {(r.k, r.n, r.total) for r in spark.table("counts").collect()} == {(f"k{i}", 4, float(4 * i + 30)) for i in range(5)}
     assert {r.s for r in spark.range(300).select(arrivals.split_of("id").alias("s")).collect()} == {"train", "val", "test"}
+
+
+def candidates_by_hand(seat, back, contact, w, h, step, most):
+    """All candidates of one seat, one point at a time."""
+    area = lambda p: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))) / 2
+    own = contact is not None and len(contact) >= 3 and area(contact) > 1.0
+    poly = contact if own else seat
+    mid = lambda a, b: ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
+    k = min(range(4), key=lambda i: math.dist(mid(seat[i], seat[(i + 1) % 4]), mid(*back)))
+    a, b, c, d = (seat[(k + i) % 4] for i in range(4))
+    m, f = mid(a, b), mid(c, d)
+    share = lambda p, q, x, y: ((x - p[0]) * (q[0] - p[0]) + (y - p[1]) * (q[1] - p[1])) / math.dist(p, q) ** 2
+    upright = abs(f[1] - m[1]) / math.dist(m, f)
+    low, high, at, sigma = (0.08, 0.92, 0.35, 0.23) if not own else (0.34, 0.84, 0.54, 0.16) if upright >= 0.75 else (0.27, 0.88, 0.49, 0.18) if upright >= 0.55 else (0.2, 0.9, 0.46, 0.2)
+    edges, found = list(zip(poly, poly[1:] + poly[:1])), []
+    xs, ys = [p[0] for p in poly], [p[1] for p in poly]
+    margin = max(4.0, min(30.0, 0.04 * math.sqrt(max(area(poly), 1.0))))
+
+    def away(x, y, p, q):
+        t = max(0.0, min(1.0, share(p, q, x, y)))
+        return math.dist((x, y), (p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+
+    for y in range(max(0, math.floor(min(ys))), min(h - 1, math.ceil(max(ys))) + 1, step):
+        for x in range(max(0, math.floor(min(xs))), min(w - 1, math.ceil(max(xs))) + 1, step):
+            inside = sum((p[1] > y) != (q[1] > y) and x < (p[0] - q[0]) * (y - q[1]) / (p[1] - q[1]) + q[0] for p, q in edges) % 2
+            t, u = share(m, f, x, y), share(a, b, x, y)
+            if inside and min(away(x, y, p, q) for p, q in edges) >= margin and low <= t <= high:
+                weight = math.exp(-0.5 * ((t - at) / sigma) ** 2) * math.exp(-0.5 * ((u - 0.5) / 0.33) ** 2)
+                found.append((float(x), float(y), round(weight, 4), round(t, 4)))
+    if not found:
+        found = [(round(max(0.0, min(w - 1.0, sum(xs) / len(xs))), 2), round(max(0.0, min(h - 1.0, sum(ys) / len(ys))), 2), 1.0, 0.5)]
+    found.sort(key=lambda p: -p[2])
+    if len(found) > most:
+        found = [found[min(round(i * len(found) / most), len(found) - 1)] for i in range(most)]
+    return found
+
+
+@pytest.mark.parametrize(("step", "most"), [(12, 1500), (3, 1500), (5, 40)])
+def test_ranked_candidates(spark, step, most):
+    """Whole seats, tiny ones, ones outside the frame, contact regions at three slants and ones that are no area."""
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    wide, region = box(20.3, 30.7, 181.0, 170.0), [(41.0, 52.0), (180.5, 61.0), (171.0, 183.0), (60.0, 170.5)]
+    slant = [(30.0, 30.0), (150.0, 110.0), (190.0, 190.0), (20.0, 150.0)]
+    turned = [(41.0, 20.0), (130.0, 95.0), (70.0, 170.0), (20.0, 100.0)]
+    above, aside, corner = [(100.0, 10.0), (120.0, 10.0)], [(2.0, 100.0), (2.0, 120.0)], [(190.0, 10.0), (200.0, 20.0)]
+    seats = [(wide, above, None), (wide, above, region), (wide, aside, region), (turned, corner, turned[::-1]), (slant, aside, region[:3]), (wide, above, region[:2]), (wide, above, [(1.0, 1.0)] * 3), (box(50.0, 50.0, 6.0, 5.0), above, None), (box(300.0, 300.0, 40.0, 40.0), above, None)]
+    kind = "array<struct<x: double, y: double>>"
+    df = spark.createDataFrame([(i, *s) for i, s in enumerate(seats)], f"id int, seat {kind}, back {kind}, contact {kind}")
+    got = {}
+    for r in pose.ranked_candidates(df, 224, 224, step, most).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r["rank"], r.x, r.y, r.weight, r.depth_t))
+    assert sorted(got) == list(range(len(seats)))
+    for i, (seat, back, contact) in enumerate(seats):
+        want = candidates_by_hand(seat, back, contact, 224, 224, step, most)
+        assert [g[0] for g in got[i]] == list(range(1, len(want) + 1))
+        assert np.abs(np.array([g[1:] for g in got[i]]) - np.array(want)).max() < 1.1e-4, i
+    assert len(got[0]) > 5 and [len(got[i]) for i in (7, 8)] == [1, 1]
