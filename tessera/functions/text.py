@@ -68,6 +68,13 @@ def schedule(text: Column) -> Column:
     return F.filter(steps, lambda n: n > 0)
 
 
+def lora_targets(text: Column) -> Column:
+    """Names of a comma-separated list without blank ones; `all-linear` alone where the text is blank."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    names = F.filter(F.transform(F.split(text, ","), bare), lambda s: s != "")
+    return F.when(bare(text) == "", F.array(F.lit("all-linear"))).otherwise(names)
+
+
 def assembled(system: Column, inputs: Column, issues: Column) -> Column:
     """A prompt of its parts with blank lines between; missing parts leave none."""
     return F.concat_ws("\n\n", system, F.concat(F.lit("Input JSON:\n"), inputs), F.concat(F.lit("Previous issues:\n"), issues))

@@ -170,6 +170,24 @@ def local_checks(seat: Column, floor: Column, pose: dict[str, Column], height: i
     return {name: check.cast("int") for name, check in zip(CHECKS, found)}
 
 
+def project_fallback(local: Column, checks: dict[str, Column], fallback: Column, checker: Column, least: Column, rechecked: Column | None = None) -> Column:
+    """Whether a fallback pose must be tried and is accepted, and the scores after that: must_project, accepted, checker, local, effective.
+
+    local and checks are of the base pose (a check that is null counts as passed), fallback is the fallback's local
+    score, checker the recorded one, rechecked the fallback's own where there is one. A fallback is accepted when its
+    local score is higher and its effective score, the lesser of both, is no lower.
+    """
+    again = checker if rechecked is None else F.coalesce(rechecked, checker)
+    failed = lambda name: F.coalesce(checks.get(name, F.lit(1)), F.lit(1)) == 0
+    must = (local < least) | failed("hip_on_seat") | failed("ankles_below_seat_near_floor")
+    accepted = must & (fallback > local) & (F.least(again, fallback) >= F.least(checker, local))
+    pick = lambda a, b: F.when(accepted, a).otherwise(b)
+    return F.struct(
+        must.alias("must_project"), accepted.alias("accepted"), pick(again, checker).alias("checker"),
+        pick(fallback, local).alias("local"), pick(F.least(again, fallback), F.least(checker, local)).alias("effective"),
+    )
+
+
 def contact_candidates(df: DataFrame, width: int, height: int, step: int = 12) -> DataFrame:
     """Points of a grid on the seat, away from its sides and in the middle of its depth, with their weights.
 

@@ -241,3 +241,44 @@ def test_ranked_candidates(spark, step, most):
         assert [g[0] for g in got[i]] == list(range(1, len(want) + 1))
         assert np.abs(np.array([g[1:] for g in got[i]]) - np.array(want)).max() < 1.1e-4, i
     assert len(got[0]) > 5 and [len(got[i]) for i in (7, 8)] == [1, 1]
+
+
+def test_zone_candidates():
+    chair = np.zeros((90, 120), bool)
+    chair[10:80, 15:110] = True
+    zone, (back, front, depth) = R.hip_zone(chair), R.depth_axis(chair)
+    assert zone.any() and back == (62.0, 16.0) and front == (62.0, 73.0)
+    ys, xs = np.nonzero(zone)
+    want = []
+    for y in range(ys.min(), ys.max() + 1, 5):
+        for x in range(xs.min(), xs.max() + 1, 5):
+            if zone[y, x]:
+                t, u = (y - 16) / 57, (xs.max() - x) / (xs.max() - xs.min())
+                want.append((float(x), float(y), round(math.exp(-0.5 * ((t - 0.52) / 0.2) ** 2) * math.exp(-0.5 * ((u - 0.5) / 0.33) ** 2), 4), round(t, 4)))
+    want.sort(key=lambda p: -p[2])
+    told = lambda found: [tuple(p.values()) for p in found]
+    assert len(want) > 40 and told(R.zone_candidates(zone, back, front, depth, 5)) == want
+    assert told(R.zone_candidates(zone, back, front, depth, 5, 40)) == [want[round(i * len(want) / 40)] for i in range(40)]
+    assert told(R.zone_candidates(np.zeros((30, 41), bool), back, front, depth)) == [(20.5, 15.0, 1.0, None)]
+    odd = np.zeros((30, 41), bool)
+    odd[3, 5] = odd[4, 4] = True  # the grid starts at their corner and meets neither
+    assert told(R.zone_candidates(odd, back, front, depth)) == [(4.5, 3.5, 1.0, None)]
+
+
+def test_lora_targets(spark):
+    told = {"": ["all-linear"], " \t": ["all-linear"], " all-linear ": ["all-linear"], "q_proj, v_proj\t,,k": ["q_proj", "v_proj", "k"], ",": []}
+    rows = spark.createDataFrame([(t,) for t in told], "t string").select("t", X.lora_targets(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == told
+
+
+def test_fallback_projection(spark):
+    """Base local score, hip and ankle checks, fallback's local score, checker, the fallback's checker -> tried, accepted, effective."""
+    cases = [
+        (4, 1, 1, 4, 3, None, False, False, 3), (2, 1, 1, 4, 3, None, True, True, 3), (3, 0, 1, 4, 3, None, True, True, 3), (3, 1, 0, 3, 4, None, True, False, 3),
+        (3, 1, 0, 2, 4, None, True, False, 3), (2, 0, 0, 4, 1, None, True, True, 1), (2, 0, 0, 4, 3, 1, True, False, 2), (2, 0, 0, 4, 3, 4, True, True, 4), (4, None, None, 4, 4, None, False, False, 4),
+    ]
+    df = spark.createDataFrame(cases, "l int, hip int, ankles int, f int, c int, again int, tried boolean, taken boolean, effective int")
+    checks = {"hip_on_seat": F.col("hip"), "ankles_below_seat_near_floor": F.col("ankles")}
+    got = df.select("*", pose.project_fallback(F.col("l"), checks, F.col("f"), F.col("c"), F.lit(3), F.col("again")).alias("p")).collect()
+    assert [(r.p.must_project, r.p.accepted, r.p.effective) for r in got] == [c[6:] for c in cases]
+    assert all((r.p.local, r.p.checker) == ((r.f, r.again or r.c) if r.taken else (r.l, r.c)) for r in got)
