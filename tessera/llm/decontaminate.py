@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import WordMemo, lean, slices, small_batches, sum_by_text
+from tessera.llm.common import Scratch, WordMemo, lean, slices, small_batches, sum_by_text
 
 SHINGLE = 5
 POSTINGS_BLOCK = 8
@@ -300,6 +300,28 @@ def item_indexes(items: list[tuple[object, str]], counts: ItemCounts | None = No
     return [ItemIndex(classes[c], counts=counts) for c in sorted(classes)]
 
 
+def shard_counts(told: DataFrame) -> Callable[[DataFrame], ItemCounts]:
+    """Counts over all items, for one shard at a time: the driver gets the words of that shard only."""
+    scratch = Scratch(told.sparkSession, "items")
+
+    def told_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(len, words)), pa.int64()), pa.array([sorted(set(ws)) for ws in words], pa.list_(pa.string()))], names=["n", "words"])
+
+    words = lambda items: items.select("_text").mapInArrow(lean(told_words), "n long, words array<string>")
+    each = scratch.stage(words(told), "words").where("n > 0")
+    df = scratch.stage(each.select(F.explode("words").alias("word")).groupBy("word").count(), "df")
+    size_class = F.greatest(F.lit(0), F.length(F.bin(F.col("n") - 1)) - (SHORT - 1).bit_length())
+    sizes = each.groupBy(size_class.alias("c")).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("longest")).collect()
+
+    def counts(own: DataFrame) -> ItemCounts:
+        held = df.join(words(own).select(F.explode("words").alias("word")).distinct(), "word", "left_semi").collect()
+        return ItemCounts(sum(r["k"] for r in sizes), sum(r["n"] for r in sizes), {r["word"]: r["count"] for r in held}, {r["c"]: r["longest"] for r in sizes})
+
+    return counts
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     threshold: float = 0.5, overlap: float = 0.5, shard_items: int = 50_000,
@@ -312,7 +334,9 @@ def find_leaks(
     of one sentence has no answer part, and its answer share is 1.
 
     The items are collected and broadcast in shards of at most `shard_items` rows, so
-    a benchmark of any size is searched with bounded memory, one scan per shard. Null and
+    a benchmark of any size is searched with bounded memory, one scan per shard. Word
+    counts, lengths and passages are those of all items in any number of shards, so
+    scores do not depend on it. Null and
     empty texts and items match nothing; a text or a passage that repeats is found each
     time; rows that repeat give repeated rows; an empty table gives an empty result; other
     columns are not read.
@@ -348,9 +372,11 @@ def find_leaks(
 
         return rows.mapInArrow(lean(run), schema)
 
+    counts_of = shard_counts(told) if shards > 1 else lambda own: None
     out = None
     for shard in range(shards):
         own = told if shards == 1 else told.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(shards)) == shard)
-        part = searched(item_indexes(sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (str(r[0]), r[1]))))
+        rows_of = sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (str(r[0]), r[1]))
+        part = searched(item_indexes(rows_of, counts_of(own)))
         out = part if out is None else out.unionByName(part)
     return out

@@ -237,6 +237,17 @@ def test_leaks_of_long_items(spark, n):
     assert [(r.doc_id, r.item_id, r.question, r.answer) for r in found] == [(2, 7, 1.0, 1.0)] and abs(found[0].score - 1) < 1e-9
 
 
+def test_leaks_do_not_depend_on_shards(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(70)]
+    made = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, f"{made(rng.randint(3, 30))}. {made(2)}.") for i in range(30)] + [(30, made(300)), (31, made(700)), (31, made(9)), (32, ""), (33, None), (34, "..."), (35, "one. two")]
+    docs = [(i, f"{made(40)} {' '.join((w := items[i % 32][1].split())[len(w) * (i % 4) // 8 :])} {made(rng.randint(0, 90))}") for i in range(90)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, few, many = (sorted(map(tuple, find_leaks(docs, items, shard_items=n).collect())) for n in (50_000, 13, 2))
+    assert len(one) > 50 and any(r[3] < 1 for r in one) and one == few == many
+
+
 def test_url_filters(spark):
     entries = spark.sql(f"SELECT * FROM VALUES {queries.LIST_CHANGES} AS t(list_name, action, pattern, change, dated)")
     assert validity(entries).where("pattern = 'tionble.example.org'").count() == 0
