@@ -1,8 +1,12 @@
 """A corpus pipeline: language ID, exact dedup, n-gram Jaccard join, benchmark decontamination, BPE.
 
-Every stage works on all that the one before it kept, and what it decides takes effect.
-All but the last return the columns of documents. run() writes each stage's rows as
-Parquet to the shared folder and reads them again for the next one.
+Every stage works on all that the one before it kept, and what it decides takes effect,
+row by row: a doc_id may be null or repeat with different texts. All but the last return
+the columns of documents. run() writes each stage's rows as Parquet to the shared folder,
+reads them again for the next one and removes what no stage reads any more.
+
+Null, empty and very long texts, repeated rows, empty tables and further columns have the results
+that the operators' docstrings state; no stage fails on them.
 """
 
 from __future__ import annotations
@@ -13,26 +17,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_round_trip
-from tessera.llm.common import Scratch
-from tessera.llm.decontaminate import find_leaks
-from tessera.llm.exact_dedup import exact_dedup, normalised
-from tessera.llm.langid import UNDETERMINED, identify_language
+from tessera.llm.common import Scratch, unused
+from tessera.llm.decontaminate import leaks_column
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.langid import UNDETERMINED, language_column, train_language_model
 from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.queries import VOCABULARY
 from tessera.session import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Keys of dropped rows up to this number are broadcast; beyond it the join shuffles by key.
-BROADCAST_KEYS = 1_000_000
+#: Marks of dropped rows up to this number, of about 250 bytes each, are broadcast; beyond it the join shuffles by mark.
+BROADCAST_ROWS = 200_000
+
+
+def marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a column that tells its rows apart, the same in every scan, and that column's name.
+
+    Rows of files are told apart by file and place in it. Any other table is written
+    down with numbers first, as its rows have no order of their own.
+    """
+    name = unused("_row", docs)
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        return docs.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index")), name
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    return Scratch(docs.sparkSession, "pipeline-rows").stage(numbered, "rows"), name
 
 
-def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """The rows whose doc_id is not among the dropped ones; dropped is written down first, as it takes long to make."""
-    dropped = Scratch(docs.sparkSession, name).stage(dropped.select("doc_id").distinct(), "dropped")
-    if dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """The rows whose mark is not among the dropped ones; these are written down first, as they take long to find."""
+    dropped = Scratch(docs.sparkSession, "pipeline-dropped").stage(dropped.select(row), "rows")
+    if dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, row, "left_anti").drop(row)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,32 +57,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without a labelled row to learn from, texts with a letter stay; so do those of a language labelled `und`, whose score is above 0.
     """
-    found = identify_language(docs, unlearned=None)
-    return without(docs, found.where((F.col("lang_pred") == UNDETERMINED) & (F.col("score") == 0)), "pipeline-language")
+    model = train_language_model(docs)
+    found = unused("_found", docs)
+    told = docs.withColumn(found, language_column(model, docs, unlearned=None))
+    rejected = (F.col(f"{found}.lang_pred") == UNDETERMINED) & (F.col(f"{found}.score") == 0)
+    return told.where(~F.coalesce(rejected, F.lit(False))).drop(found)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row that exact dedup keeps; of rows that repeat with one doc_id and text, one."""
-    groups = Scratch(spark, "pipeline-exact").stage(exact_dedup(docs, digest_all=True).where("group_size > 1"), "groups")
-    kept = without(docs, groups.join(groups.where("kept").select("doc_id").distinct(), "doc_id", "left_anti"), "pipeline-copies")
-    again = groups.where("kept OR doc_id = keep_id").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id").distinct()
-    again = Scratch(spark, "pipeline-exact").stage(again, "again")
-    if again.isEmpty():
-        return kept
-    text = normalised(F.coalesce("text", F.lit("")))
-    once = kept.join(again, "doc_id", "left_semi").withColumn("_digest", F.sha2(text, 256)).dropDuplicates(["doc_id", "_digest"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    """Of equal texts, the row that exact dedup keeps; of rows that are equal in all, one."""
+    docs, row = marked(docs)
+    return without(docs, exact_dedup(docs, digest_all=True, row=row).where("NOT kept"), row)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join, the document with the smallest doc_id."""
-    found = ngram_jaccard_join(docs)
-    return without(docs, found.where("doc_id <> component_id"), "pipeline-near")
+    """Of each component of the n-gram Jaccard join, the document with the smallest doc_id; one with none comes last."""
+    docs, row = marked(docs)
+    found = ngram_jaccard_join(docs, carry=(row,)).where("component IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    found = Scratch(spark, "pipeline-near").stage(found.select("component", order.alias("place")), "found")
+    first = found.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dropped = found.join(first, "component").where("place <> first").select(F.col("place.row").alias(row))
+    return without(docs, dropped, row)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a verified test item of benchmark."""
-    return without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")), "pipeline-leaks")
+    for leaks in leaks_column(docs, table(spark, sf_dir, "benchmark")):
+        docs = docs.where(F.size(leaks) == 0)
+    return docs
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,5 +117,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.stage(stage(spark, docs, sf_dir), name)
+        with Scratch.temporary():
+            docs = scratch.stage(stage(spark, docs, sf_dir), name)
+        scratch.keep_only(name)
     return STAGES[-1][1](spark, docs, sf_dir)

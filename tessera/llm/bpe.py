@@ -14,7 +14,7 @@ import json
 import re
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import lean, slices, small_batches, text_of
 
 NOTHING = np.int64(1 << 62)
+#: Words and chunks up to this length are remembered, so that memos are bounded in bytes as well.
+LONGEST_KEPT = 64
 #: Letters and numbers that Unicode 16.0 added to 15.1, as ranges (fixed values): the
 #: vocabulary's library splits by 16.0, and Python's tables may be older.
 LETTERS_16 = (
@@ -284,31 +286,43 @@ class Vocabulary:
         if len(self.words) + len(new) > self.most:
             self.words.clear()
             new = list({w for words in pieces for w in words})
-        self.words.update(zip(new, self.merge_words(new)))
-        get = self.words.__getitem__
+        made = dict(zip(new, self.merge_words(new)))
+        self.words.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST_KEPT)
+        known = self.words
+
+        def get(word: bytes) -> bytes:
+            ids = known.get(word)
+            return made[word] if ids is None else ids
+
         return [get(words[0]) if len(words) == 1 else b"".join(map(get, words)) for words in pieces]
 
-    def _learn(self, cuts: set[str]) -> None:
-        """Encodes chunks that the memo does not hold, all together; the memo is bounded."""
+    def _learn(self, cuts: set[str]) -> Callable[[str], bytes]:
+        """Encodes chunks that the memo does not hold, all together, and returns what gives each one's ids.
+
+        The memo is bounded: it takes `most` chunks, none over LONGEST_KEPT characters.
+        """
         new = list(cuts.difference(self.chunks))
         if len(self.chunks) + len(new) > self.most:
             self.chunks.clear()
             new = list(cuts)
-        self.chunks.update(zip(new, self._encode_pieces([words_of_chunk(c) for c in new])))
+        made = dict(zip(new, self._encode_pieces([words_of_chunk(c) for c in new])))
+        long = {c: ids for c, ids in made.items() if len(c) > LONGEST_KEPT}
+        self.chunks.update((c, ids) for c, ids in made.items() if len(c) <= LONGEST_KEPT)
+        if not long:
+            return self.chunks.__getitem__
+        return lambda c: long[c] if len(c) > LONGEST_KEPT else self.chunks[c]
 
     def _encode_plain(self, text: str) -> bytes:
         """A text without special tokens."""
         cuts = cuts_of(text)
         if cuts is None:
             return self._encode_pieces([[w.encode() for w in word_pattern().findall(text)]])[0]
-        self._learn(set(cuts))
-        return b"".join(map(self.chunks.__getitem__, cuts))
+        return b"".join(map(self._learn(set(cuts)), cuts))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """encode() of several texts; their new words are merged together, which is much faster."""
         cuts = [None if any(s in text for s in self.special) else cuts_of(text) for text in texts]
-        self._learn({c for cut in cuts if cut is not None for c in cut})
-        get = self.chunks.__getitem__
+        get = self._learn({c for cut in cuts if cut is not None for c in cut})
         out = [b"" if cut is None else b"".join(map(get, cut)) for cut in cuts]
         for i, cut in enumerate(cuts):  # these may empty the memo
             if cut is None:
@@ -337,7 +351,8 @@ def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     null or empty text has no ids and decodes to an empty text. Rows are independent:
     ties, repeated rows and null keys pass through, an empty table gives an empty
     result, and other columns of the input are not read. The vocabulary, of the size
-    of its file, is broadcast; memos of words and chunks are bounded in each worker.
+    of its file, is broadcast; memos of words and chunks are bounded in each worker, in
+    number and in length. A very long word is merged by a tree of its own.
     """
     spark = docs.sparkSession
     small_batches(spark)

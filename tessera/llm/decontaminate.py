@@ -19,15 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, WordMemo, lean, slices, small_batches, sum_by_text
+from tessera.llm.common import Scratch, WordMemo, lean, slices, small_batches, sum_by_text, text_of
 
 SHINGLE = 5
 POSTINGS_BLOCK = 8
 SHORT = 256
+#: Sums that are held at a time, and the items up to which they are held for every item of a block.
+CELLS, DENSE_ENTRIES = 1 << 21, 1024
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _ANSWER = re.compile(r"(?:^|\n)\s*(?:answer|a)\s*[:.]\s+", re.IGNORECASE)
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -164,22 +166,54 @@ class ItemIndex:
 
         at and term are the distinct (block, term) pairs in order; same tells where the
         next block is of the same text. A term in both blocks counts twice, so the sums
-        are bounds. Taken for some blocks at a time, to hold a bounded number of sums.
+        are bounds. Sums are held for some blocks at a time: for each entry where these are few,
+        else only for the (block, entry) pairs that rare terms give anything, so the work is
+        in proportion to the rare terms' lists however many items there are.
         """
         n, count = len(self.given), len(same)
         need = threshold - self.given - 1e-9
-        step = max(1, (1 << 22) // n)
+        length = self.length[term]
+        total = np.concatenate([[0], np.cumsum(length)])
         found = []
-        for a in range(0, count, step):
-            b = min(a + step, count)
+        a = 0
+        while a < count:
+            # as many blocks as have CELLS postings together, or one
+            first = total[np.searchsorted(at, a)]
+            b = int(np.searchsorted(total[np.searchsorted(at, np.arange(a + 1, count + 1))], first + CELLS, "right")) + a
+            b = min(max(b, a + 1), a + max(1, CELLS // n) if n <= DENSE_ENTRIES else count, count)
             lo, hi = np.searchsorted(at, [a, b + 1])
-            length = self.length[term[lo:hi]]
-            where = np.repeat(self.start[term[lo:hi]] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            cell = np.repeat(at[lo:hi] - a, length) * n + self.rare_entries[where]
-            sums = np.bincount(cell, self.rare_shares[where], (b + 1 - a) * n).reshape(-1, n)
-            sums[:-1] += sums[1:] * same[a:b, None]
-            found.append(a + np.flatnonzero((sums[:-1] >= need).any(axis=1)))
-        return np.concatenate(found)
+            some = length[lo:hi]
+            where = np.repeat(self.start[term[lo:hi]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+            cell = np.repeat(at[lo:hi] - a, some) * n + self.rare_entries[where]
+            if n <= DENSE_ENTRIES:
+                sums = np.bincount(cell, self.rare_shares[where], (b + 1 - a) * n).reshape(-1, n)
+                sums[:-1] += sums[1:] * same[a:b, None]
+                found.append(a + np.flatnonzero((sums[:-1] >= need).any(axis=1)))
+            else:
+                found.append(a + self._open_sparse(cell, self.rare_shares[where], same[a:b], need))
+            a = b
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def _open_sparse(self, cell: np.ndarray, share: np.ndarray, same: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """open_blocks() over (block, entry) cells that have a share, each block's cells with those of the next one."""
+        n = len(need)
+        order = np.argsort(cell, kind="stable")
+        cell, share = cell[order], share[order]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        cell, own = cell[first], np.add.reduceat(share, first) if len(first) else share[:0]
+        block, entry = cell // n, cell % n
+
+        def share_at(wanted: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(cell, wanted), len(cell) - 1)
+            return np.where(cell[at] == wanted, own[at], 0.0)
+
+        follows = np.append(same, False)
+        here = own + np.where(follows[block], share_at(cell + n), 0.0)
+        before = (block > 0) & follows[block - 1]
+        is_open = (here >= need[entry]) & (block < len(same))
+        # a passage whose first block gives an entry nothing, and its second enough
+        only_second = before & (own >= need[entry])
+        return np.union1d(block[is_open], block[only_second] - 1)
 
     def terms_of(self, words: list[str]) -> np.ndarray:
         """The term number of each raw word, the number of terms where it has none, -1 where the word is marks alone."""
@@ -322,61 +356,82 @@ def shard_counts(told: DataFrame) -> Callable[[DataFrame], ItemCounts]:
     return counts
 
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+def leaks_column(
+    docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     threshold: float = 0.5, overlap: float = 0.5, shard_items: int = 50_000,
-) -> DataFrame:
-    """Test items that training texts contain: one row per text and item.
-
-    Returns key, item, passage (number of its first word), score (share of the item's
-    BM25 weight), question and answer (shares of their shingles in the passage). Items
-    whose score and both shares reach `threshold` and `overlap` are returned; an item
-    of one sentence has no answer part, and its answer share is 1.
-
-    The items are collected and broadcast in shards of at most `shard_items` rows, so
-    a benchmark of any size is searched with bounded memory, one scan per shard. Word
-    counts, lengths and passages are those of all items in any number of shards, so
-    scores do not depend on it. Null and
-    empty texts and items match nothing; a text or a passage that repeats is found each
-    time; rows that repeat give repeated rows; an empty table gives an empty result; other
-    columns are not read.
-    """
+) -> list[Column]:
+    """For each shard of the items, the verified items that a text contains, as an array; see find_leaks()."""
     spark = docs.sparkSession
     small_batches(spark)
     told = items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     shards = max(1, -(-told.count() // shard_items))
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = T.StructType(
-        [docs.schema[key], T.StructField(item, items.schema[item].dataType), T.StructField("passage", T.LongType())]
+    kind = T.StructType(
+        [T.StructField(item, items.schema[item].dataType), T.StructField("passage", T.LongType())]
         + [T.StructField(name, T.DoubleType()) for name in ("score", "question", "answer")]
     )
-    kind = T.StructType([schema[item]])
 
-    def searched(indexes: list[ItemIndex]) -> DataFrame:
+    def searched(indexes: list[ItemIndex]) -> Column:
         shared = spark.sparkContext.broadcast(indexes)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
             own = [(index, WordMemo(index.terms_of)) for index in shared.value]
             item_type = to_arrow_schema(kind).field(0).type
             for batch in batches:
-                texts = batch.column(1).to_pylist()
+                texts = batch.to_pylist()
+                found: list[tuple] = []
                 for a, b in slices(texts):
-                    found = [row for index, memo in own for row in index.leaks(memo, texts[a:b], threshold, overlap)]
-                    at, ids, passage, score, q, an = zip(*found) if found else ([],) * 6
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([a + i for i in at], pa.int64())), pa.array(ids, item_type), pa.array(passage, pa.int64()), *(pa.array(x, pa.float64()) for x in (score, q, an))],
-                        names=schema.names,
-                    )
+                    rows = [(a + i, *rest) for index, memo in own for i, *rest in index.leaks(memo, texts[a:b], threshold, overlap)]
+                    found += sorted(rows, key=lambda r: r[0])
+                at, ids, passage, score, q, an = zip(*found) if found else ([],) * 6
+                rows = pa.StructArray.from_arrays(
+                    [pa.array(ids, item_type), pa.array(passage, pa.int64()), *(pa.array(x, pa.float64()) for x in (score, q, an))], kind.fieldNames()
+                )
+                ends = np.cumsum(np.bincount(np.asarray(at, np.int64), minlength=len(texts)))
+                yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), rows)
+
+        run = lean(run)
+
+        @F.arrow_udf(T.ArrayType(kind))
+        def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from run(batches)
 
-        return rows.mapInArrow(lean(run), schema)
+        return leaks(text_of(docs, text))
 
     counts_of = shard_counts(told) if shards > 1 else lambda own: None
-    out = None
+    out = []
     for shard in range(shards):
         own = told if shards == 1 else told.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(shards)) == shard)
         rows_of = sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (str(r[0]), r[1]))
-        part = searched(item_indexes(rows_of, counts_of(own)))
+        out.append(searched(item_indexes(rows_of, counts_of(own))))
+    return out
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+    threshold: float = 0.5, overlap: float = 0.5, shard_items: int = 50_000,
+) -> DataFrame:
+    """Test items that training texts contain: one row per text and item.
+
+    Returns key, item, passage (number of its first word), score (share of the item's
+    BM25 weight), question and answer (shares of their shingles in the passage). Items
+    whose score and both shares reach `threshold` and `overlap` are returned; an item
+    of one sentence has no answer part, and its answer share is 1. Of several passages
+    that hold an item, the first of those with the highest score is told.
+
+    The items are collected and broadcast in shards of at most `shard_items` rows, so
+    a benchmark of any size is searched with bounded memory, one scan per shard. Word
+    counts, lengths and passages are those of all items in any number of shards, so
+    scores do not depend on it. An item of any length is indexed and verified whole; its
+    passages are as long as it. Null and
+    empty texts and items match nothing; a text or a passage that repeats is found each
+    time; rows that repeat give repeated rows; an empty table gives an empty result; other
+    columns are not read.
+    """
+    out = None
+    for leaks in leaks_column(docs, items, text, item, item_text, threshold, overlap, shard_items):
+        part = docs.select(F.col(key).alias("_key"), F.explode(leaks).alias("_leak"))
+        part = part.select(F.col("_key").alias(key), "_leak.*")
         out = part if out is None else out.unionByName(part)
     return out

@@ -14,7 +14,7 @@ def normalised(text: Column) -> Column:
 
 
 def exact_dedup(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = 64, digest_all: bool = False
+    docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = 64, digest_all: bool = False, row: str | None = None
 ) -> DataFrame:
     """Groups of rows whose normalised texts are equal, and the row of each group that stays.
 
@@ -38,9 +38,11 @@ def exact_dedup(
     can split a hot key.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    rows = docs.select(F.col(key).alias("_id"), text_of(docs, text).alias("_text"))
-    rows = rows.select("_id", F.length("_text").alias("_points"), normalised(F.col("_text")).alias("_norm"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col(key).alias("_id"), text_of(docs, text).alias("_text"), *([number.alias("_row")] if row else []))
+    rows = rows.select("_id", F.length("_text").alias("_points"), normalised(F.col("_text")).alias("_norm"), *(["_row"] if row else []))
     shape = [
+        *(["_row"] if row else []),
         "_id",
         "_points",
         F.length("_norm").alias("_len"),
@@ -48,7 +50,7 @@ def exact_dedup(
     ]
     full = F.unhex(F.sha2("_norm", 256)).alias("_sha")
     seen = rows.select(*shape, full) if digest_all else rows.select(*shape, F.lit(None).cast("binary").alias("_sha"))
-    seen = scratch.stage(seen.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    seen = scratch.stage(seen if row else seen.withColumn("_row", number), "rows")
 
     lengths = seen.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
     lengths = scratch.stage(lengths, "repeated-lengths")
@@ -60,7 +62,7 @@ def exact_dedup(
         again = rows.select(*shape, full)
         wanted = same_head.select("_id", "_len", "_head").distinct()
         digests = again.join(wanted, [again["_id"].eqNullSafe(wanted["_id"]), again["_len"] == wanted["_len"], again["_head"] == wanted["_head"]], "left_semi")
-        same_head = scratch.stage(digests.withColumn("_row", F.monotonically_increasing_id()), "digests")
+        same_head = scratch.stage(digests if row else digests.withColumn("_row", number), "digests")
 
     level = ["_len", "_head", "_sha"]
     best = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), F.col("_row").alias("row")))
@@ -73,9 +75,10 @@ def exact_dedup(
         alone = seen.join(heads, ["_len", "_head"], "left_anti")
         found = same_head.join(groups, level, "left").unionByName(
             alone.select(*same_head.columns).withColumns(
-                {"_n": F.lit(None).cast("long"), "_keep": F.lit(None).cast(docs.schema[key].dataType), "_keep_row": F.lit(None).cast("long")}
+                {"_n": F.lit(None).cast("long"), "_keep": F.lit(None).cast(docs.schema[key].dataType), "_keep_row": F.lit(None).cast(seen.schema["_row"].dataType)}
             )
         )
+    scratch.keep_only("rows", "groups", *([] if digest_all else ["repeated-heads", "heads", "digests"]))
     in_group = F.col("_n").isNotNull()
     return found.select(
         F.col("_id").alias(key),
@@ -83,4 +86,5 @@ def exact_dedup(
         F.when(in_group, F.col("_n")).otherwise(F.lit(1).cast("long")).alias("group_size"),
         F.when(in_group, F.col("_row") == F.col("_keep_row")).otherwise(F.lit(True)).alias("kept"),
         F.col("_sha").alias("digest"),
+        *([F.col("_row").alias(row)] if row else []),
     )

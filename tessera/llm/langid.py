@@ -13,11 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import WordMemo, bounded_sample, fold_of, lean, slices, small_batches, sum_by_text
+from tessera.llm.common import WordMemo, bounded_sample, fold_of, lean, small_batches, smallest_keys, sum_by_text, text_of, word_groups
 
 UNDETERMINED = "und"
 
@@ -29,10 +28,17 @@ def has_letter(text: str) -> bool:
 
 def word_ngrams(words: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of words with end marks: bucket and word number of each, in order of words."""
-    joined = "".join(f"\x02{w}\x03" for w in words)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    owner = np.repeat(np.arange(len(words)), sizes)
+    return ngrams_of_marked([f"\x02{w}\x03" for w in words], orders, buckets)
+
+
+def ngrams_of_marked(marked: list[str], orders: tuple[int, ...], buckets: int, own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """word_ngrams() of words that have their end marks; own tells in how many first characters of each an n-gram may begin."""
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    begins = None
+    if own is not None and own != sizes.tolist():
+        begins = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(np.asarray(own), sizes)
     mixed = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     found, owners = [], []
     rolling = np.zeros(len(points), np.uint64)
@@ -43,6 +49,8 @@ def word_ngrams(words: list[str], orders: tuple[int, ...], buckets: int) -> tupl
         rolling = rolling[:last] * np.uint64(0xD6E8FEB86659FD93) + mixed[n - 1 :]
         if n in orders:
             inside = owner[:last] == owner[n - 1 :]
+            if begins is not None:
+                inside &= begins[:last]
             code = rolling[inside]
             code = (code ^ (code >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
             found.append(((code >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))
@@ -53,6 +61,41 @@ def word_ngrams(words: list[str], orders: tuple[int, ...], buckets: int) -> tupl
     return np.concatenate(found)[order], np.concatenate(owners)[order]
 
 
+def segments(words: list[str], orders: tuple[int, ...], most: int = 1 << 20) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Words in groups of about `most` characters, with the numbers they have and the characters in which their n-grams begin.
+
+    A word longer than that comes in overlapping parts, each in a group of its own; n-grams
+    that begin beyond a part's own characters are the next part's.
+    """
+    numbers, group, held = [], [], 0
+    for i, word in enumerate(words):
+        marked = f"\x02{word}\x03"
+        if len(marked) > most:
+            for start in range(0, len(marked), most):
+                yield [i], [marked[start : start + most + max(orders) - 1]], [min(most, len(marked) - start)]
+            continue
+        if group and held + len(marked) > most:
+            yield numbers, group, list(map(len, group))
+            numbers, group, held = [], [], 0
+        numbers.append(i)
+        group.append(marked)
+        held += len(marked)
+    if group:
+        yield numbers, group, list(map(len, group))
+
+
+def sum_ngrams(words: list[str], orders: tuple[int, ...], weights: np.ndarray) -> np.ndarray:
+    """For each word the sums of its n-grams' rows of weights, and the number of its n-grams."""
+    out = np.zeros((len(words), weights.shape[1] + 1))
+    for numbers, group, own in segments(words, orders):
+        found, owner = ngrams_of_marked(group, orders, len(weights), own)
+        at = np.asarray(numbers, np.int64)
+        for k in range(weights.shape[1]):
+            out[at, k] += np.bincount(owner, weights[found, k], len(group))
+        out[at, -1] += np.bincount(owner, minlength=len(group))
+    return out
+
+
 @dataclass
 class LanguageModel:
     """Weights with idf folded in (buckets x languages), biases and the temperature; its size is fixed."""
@@ -65,12 +108,7 @@ class LanguageModel:
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """For each word: the sum of its n-grams' weights by language, and the number of its n-grams."""
-        found, owner = word_ngrams(words, self.orders, len(self.weights))
-        out = np.zeros((len(words), len(self.languages) + 1))
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, self.weights[found, k], len(words))
-        out[:, -1] = np.bincount(owner, minlength=len(words))
-        return out
+        return sum_ngrams(words, self.orders, self.weights)
 
     def logits(self, sums: np.ndarray) -> np.ndarray:
         return sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias
@@ -87,10 +125,13 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 def fit_language_model(
     texts: list[str], languages: list[str], buckets: int = 1 << 18, orders: tuple[int, ...] = (1, 2, 3, 4),
     epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, scale: float = 40.0,
-    most_ngrams: int = 40_000,
+    most_ngrams: int = 40_000, counts: tuple[np.ndarray, int] | None = None,
 ) -> LanguageModel:
     """Learns from labelled texts. Each ninth text is set aside to fit the temperature.
 
+    counts are the texts that hold each bucket and the number of texts, of the whole
+    corpus; without them, of the texts given.
+
     A text longer than `most_ngrams` n-grams is cut into several training examples, so
     all of it is learned from. scale multiplies the features, as FTRL's step sizes want
     features of about 1.
@@ -105,7 +146,8 @@ def fit_language_model(
             at, n = np.unique(found[start : start + most_ngrams], return_counts=True)
             examples.append((at, n / n.sum(), label[language], i % 9 == 0 and len(texts) >= 50))
             seen[at] += 1
-    idf = np.log((1 + len(examples)) / (1 + seen)) + 1
+    df, many = counts or (seen, len(examples))
+    idf = np.log((1 + many) / (1 + df)) + 1
     z = np.zeros((buckets, len(names)))
     n2 = np.zeros((buckets, len(names)))
     b = np.zeros(len(names))
@@ -146,62 +188,145 @@ def predict_languages(
 ) -> tuple[list[str | None], list[float]]:
     """The language and its calibrated probability for each text; `und` and 0 without a letter, `unlearned` and 0 without a model."""
     lettered = [has_letter(t) for t in texts]
-    words = [t.lower().split() if model and told else [] for t, told in zip(texts, lettered)]
     names, scores = [unlearned if told and not model else UNDETERMINED for told in lettered], [0.0] * len(texts)
-    if model and any(words):
-        rows = memo([w for ws in words for w in ws])
-        p = model.probabilities(model.logits(sum_by_text(rows, map(len, words))))
-        for i, ws in enumerate(words):
-            if ws:
-                k = int(p[i].argmax())
-                names[i], scores[i] = model.languages[k], float(p[i, k])
+    if model and any(lettered):
+        sums = np.zeros((len(texts), len(model.languages) + 1))
+        for group in word_groups([t if told else "" for t, told in zip(texts, lettered)]):
+            words = [piece.lower().split() for _, piece in group]
+            if any(words):
+                rows = memo([w for ws in words for w in ws])
+                np.add.at(sums, [i for i, _ in group], sum_by_text(rows, map(len, words)))
+        p = model.probabilities(model.logits(sums))
+        best = p.argmax(axis=1)
+        for i, told in enumerate(lettered):
+            if told:
+                names[i], scores[i] = model.languages[best[i]], float(p[i, best[i]])
     return names, scores
 
 
-def train_language_model(docs: DataFrame, key: str, text: str, lang: str, most: int, folds: int, held: int) -> LanguageModel | None:
-    """The model of the rows outside the held-out fold that have a language and a text; None without any."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (fold_of(docs, key, folds) != held))
-    sample = bounded_sample(rows.select(F.col(key), F.col(lang)), key, most)
-    chosen = rows.select(F.col(key), F.col(text), F.col(lang)).join(F.broadcast(sample.select(key).distinct()), key, "left_semi")
-    told = chosen.orderBy(F.md5(F.col(key).cast("string")), F.col(key)).limit(most).select(text, lang).collect()
-    told = [(t, str(name)) for t, name in told if has_letter(t)]
-    return fit_language_model([t for t, _ in told], [name for _, name in told]) if told else None
-
-
-def identify_language(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 3000, folds: int = 3, held: int = 1,
-    unlearned: str | None = UNDETERMINED,
-) -> DataFrame:
-    """Predicts the language of every whole text.
-
-    Returns key, held_out (crc32 of the key modulo `folds` is `held`), lang_pred and
-    score (the calibrated probability, 0 to 1). The model is fitted on at most `most`
-    rows outside the held-out fold, those with the smallest md5 of the key: a bounded
-    sample, so its idf, weights and temperature have a fixed size and are broadcast. Only text
-    and lang are learned from, and only text is scored. A text that is null or has no
-    letter gets `und` and 0; when there is nothing to learn from, a text with a letter
-    gets `unlearned` and 0.
-    Rows are independent: ties, repeated rows and null keys pass through; other columns
-    are not read.
+class NgramCounter:
+    """In how many texts each bucket of n-grams occurs, with a bounded memo of the buckets of words."""
+
+    def __init__(self, orders: tuple[int, ...], buckets: int, most: int = 100_000, most_chars: int = 2 << 20) -> None:
+        self.orders, self.most, self.most_chars = orders, most, most_chars
+        self.df = np.zeros(buckets, np.int64)
+        self.texts = self.chars = 0
+        self.known: dict[str, np.ndarray] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        for numbers, group, own in segments(words, self.orders):
+            found, owner = ngrams_of_marked(group, self.orders, len(self.df), own)
+            cuts = np.searchsorted(owner, np.arange(len(group) + 1))
+            for i, a, b in zip(numbers, cuts, cuts[1:]):
+                part = np.unique(found[a:b]).astype(np.int32)
+                self.known[words[i]] = np.union1d(self.known[words[i]], part) if words[i] in self.known else part
+        self.chars += sum(map(len, words))
+
+    def add(self, text: str) -> None:
+        held = np.zeros(len(self.df), bool)
+        for group in word_groups([text]):
+            words = {w for _, piece in group for w in piece.lower().split()}
+            if new := [w for w in words if w not in self.known]:
+                if len(self.known) + len(new) > self.most or self.chars + sum(map(len, new)) > self.most_chars:
+                    self.known, self.chars, new = {}, 0, list(words)
+                self._learn(new)
+            if words:
+                held[np.concatenate([self.known[w] for w in words])] = True
+        self.df += held
+        self.texts += 1
+
+
+def count_ngrams(texts: DataFrame, orders: tuple[int, ...], buckets: int, blocks: int = 64) -> tuple[np.ndarray, int]:
+    """In how many texts each bucket occurs, over all rows, and the number of rows.
+
+    A task sends one vector, in blocks of equal size; each block is summed as its parts arrive.
+    The result has the fixed size of the table of buckets.
     """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = NgramCounter(orders, buckets)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counter.add(text)
+        if counter.texts:
+            parts = [p.astype("<i8").tobytes() for p in np.split(counter.df, blocks)]
+            n = [counter.texts, *[0] * (blocks - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(n, pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "df"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        n = 0
+        for batch in batches:
+            for block, more, df in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(df, "<i8")
+                total[block] = total[block] + part if block in total else part
+                n += more
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n, *[0] * (len(total) - 1)], pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "n", "df"])
+
+    kind = "block int, n long, df binary"
+    rows = texts.mapInArrow(lean(counted), kind).repartition(blocks, "block").mapInArrow(lean(summed), kind).collect()
+    df = np.zeros((blocks, buckets // blocks), np.int64)
+    for r in rows:
+        df[r["block"]] = np.frombuffer(r["df"], "<i8")
+    return df.ravel(), sum(r["n"] for r in rows)
+
+
+def train_language_model(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 3000, most_chars: int = 1 << 26,
+    folds: int = 3, held: int = 1, buckets: int = 1 << 18,
+) -> LanguageModel | None:
+    """The model of the rows outside the held-out fold that have a language and a text with a letter; None without any."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (fold_of(docs, key, folds) != held))
+    rows = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_value"))
+    told = bounded_sample(rows, smallest_keys(rows.select("_key"), "_key", most), most_chars)
+    told = [(t, name) for t, name in told if has_letter(t)]
+    if not told:
+        return None
+    orders = (1, 2, 3, 4)
+    counts = count_ngrams(rows.where("_text IS NOT NULL").select("_text"), orders, buckets)
+    return fit_language_model([t for t, _ in told], [name for _, name in told], buckets, orders, counts=counts)
+
+
+def language_column(model: LanguageModel | None, docs: DataFrame, text: str = "text", unlearned: str | None = UNDETERMINED) -> Column:
+    """A struct of lang_pred and score for each text; other columns of the rows stay in the JVM."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(train_language_model(docs, key, text, lang, most, folds, held))
-    rows = docs.select(F.col(key), (fold_of(docs, key, folds) == held).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         memo = WordMemo(model.word_rows) if model else None
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                names, scores = predict_languages(model, memo, texts[a:b], unlearned)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=[key, "held_out", "lang_pred", "score"],
-                )
+            names, scores = predict_languages(model, memo, batch.to_pylist(), unlearned)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    run = lean(run)
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(batches)
+
+    return found(text_of(docs, text))
 
-    schema = T.StructType([docs.schema[key], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(lean(run), schema)
 
+def identify_language(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 3000, most_chars: int = 1 << 26,
+    folds: int = 3, held: int = 1, unlearned: str | None = UNDETERMINED,
+) -> DataFrame:
+    """Predicts the language of every whole text.
 
+    Returns key, held_out (crc32 of the key modulo `folds` is `held`), lang_pred and
+    score (the calibrated probability, 0 to 1). Document frequencies are counted over all
+    rows outside the held-out fold that have a language; weights and temperature are fitted
+    on at most `most` of these rows and `most_chars` characters, one row a key, those with
+    the smallest md5 of the key. The model has a fixed size and is broadcast. Only text
+    and lang are learned from, and only text is scored. A text that is null or has no
+    letter gets `und` and 0; when there is nothing to learn from, a text with a letter
+    gets `unlearned` and 0. Of several rows of one key, one is learned from.
+    A very long text is read in parts. Rows are independent: ties, repeated rows and null
+    keys pass through; an empty table gives an empty result; other columns are not read.
+    """
+    model = train_language_model(docs, key, text, lang, most, most_chars, folds, held)
+    found = docs.select(F.col(key), (fold_of(docs, key, folds) == held).alias("held_out"), language_column(model, docs, text, unlearned).alias("_found"))
+    return found.select(F.col(key), "held_out", "_found.lang_pred", "_found.score")

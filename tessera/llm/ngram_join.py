@@ -6,11 +6,14 @@ DivideSkip:
 
 1. Of a set's lists, the T - 1 longest can never be decisive alone, so a similar partner
    is in one of the remaining short ones: the prefix. Prefix entries are shuffled by
-   shingle and merged into lists. The order that makes common shingles long lists comes
+   shingle and merged into lists; entries of common shingles, whose lists may be of any
+   length, are spread by set instead. The order that makes common shingles long lists comes
    from their counts in a hashed share of the texts; any order gives the same result, a
    good one gives short lists.
 2. Sets that meet in a list, and whose sizes and places in the order allow the required
-   overlap, are brought together whole in small groups. In a group the sets' inverted
+   overlap, are brought together whole in small groups. Of two such sets the smaller must
+   hold the shared shingle early enough for a partner of its own size or more: so a passage
+   that very many otherwise different texts share makes long lists, and no pairs. In a group the sets' inverted
    lists are searched with DivideSkip: short lists are merged by a heap, long ones are
    probed by binary search, and sets that reach the required overlap are links.
 
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, lean, let_go, slices, small_batches
+from tessera.llm.common import Scratch, lean, slices, small_batches
 from tessera.llm.components import connected_components
 
 WORDS = 5
@@ -43,13 +46,16 @@ SAMPLE = 16
 COMMON = 1 << 20
 #: Lists up to this length are searched directly; a group of sets searched together is about as large.
 LONG = 64
-#: Rows up to which a table of groups by document is broadcast to the scan of the texts.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a table of groups by document, of about 100 bytes a row, is broadcast to the scan of the texts.
+BROADCAST_ROWS = 200_000
+#: Prefix entries (of 20 bytes) that one bucket holds on average; a task merges one or a few buckets in memory.
+BUCKET_ENTRIES = 1 << 20
+#: Bytes of whole sets that are sent on together, or one set alone.
+SET_BYTES = 1 << 23
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_ENTRY = np.dtype([("token", "<u8"), ("key", "<i8"), ("place", "<u2")])
-_SEEN = np.dtype([("token", "<u8"), ("key", "<i8")])
+_ENTRY = np.dtype([("token", "<u8"), ("key", "<i8"), ("place", "<u4")])
 
 
 class _Powers:
@@ -144,13 +150,13 @@ def required(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    return (((tokens * _ODD[3]) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    return (((values.astype(np.uint64) * _ODD[3]) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
-def packed_by_bucket(rows: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
-    """Rows with a token, as one packed value per bucket."""
-    bucket = bucket_of(rows["token"], buckets)
+def packed_by_bucket(rows: np.ndarray, by: str, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Entries as one packed value per bucket, by the hash of their token or their key."""
+    bucket = bucket_of(rows[by], buckets)
     order = np.argsort(bucket, kind="stable")
     found, start = np.unique(bucket[order], return_index=True)
     ends = [*start[1:].tolist(), len(rows)]
@@ -158,6 +164,16 @@ def packed_by_bucket(rows: np.ndarray, buckets: int) -> tuple[list[int], list[by
     return found.tolist(), [ordered[a:b].tobytes() for a, b in zip(start.tolist(), ends)]
 
 
+def in_order(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sorted shingles in the global order, the common ones last and by their counts, and how many are not common."""
+    if not len(common):
+        return tokens, len(tokens)
+    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    is_common = common[at] == tokens
+    last = tokens[is_common][np.argsort(rank[at[is_common]])]
+    return np.concatenate([tokens[~is_common], last]), len(tokens) - len(last)
+
+
 # -- search within a group -----------------------------------------------------------
 
 
@@ -273,55 +289,46 @@ def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 # -- distributed steps ---------------------------------------------------------------
 
 
-def _scan(rows: DataFrame, buckets: int) -> DataFrame:
-    """A row for each text (key, n, set) and rows of packed (shingle, set) of the counted share."""
+def _scan(rows: DataFrame, carry: list[str]) -> DataFrame:
+    """A row for each text: id, n, set (128 bits), key (64 of them), counted (the set itself, in the counted share) and carried columns."""
+    names = ["id", "n", "set", "key", "counted", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted, seen, held = set(), [], 0
-        names = ["id", "n", "set", "key", "bucket", "packed"]
-        id_type = None
-
-        def flush() -> pa.RecordBatch:
-            found, packed = packed_by_bucket(np.concatenate(seen), buckets)
-            seen.clear()
-            empty = pa.nulls(len(found))
-            return pa.RecordBatch.from_arrays([empty.cast(id_type), empty.cast(pa.int64()), empty.cast(pa.binary()), empty.cast(pa.int64()), pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names)
-
+        counted = set()
         for batch in batches:
-            ids, ns, keys = batch.column(0), [], []
-            id_type = ids.type
-            for tokens in shingle_sets(batch.column(1).to_pylist()):
-                ns.append(len(tokens))
-                key = set_key(tokens) if len(tokens) else None
-                keys.append(key)
-                if key and key[0] % SAMPLE == 0 and key not in counted:
-                    counted.add(key)
-                    part = np.empty(len(tokens), _SEEN)
-                    part["token"], part["key"] = tokens, short_key(key)
-                    seen.append(part)
-                    held += len(tokens)
-            nothing = pa.nulls(len(ns))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array([k and short_key(k) for k in keys], pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
-            if held > 1 << 20:
-                yield flush()
-                held = 0
-        if seen:
-            yield flush()
-
-    return rows.mapInArrow(lean(run), f"id {rows.schema['_id'].dataType.simpleString()}, n long, set binary, key long, bucket int, packed binary")
-
-
-def _common_shingles(packed: DataFrame, scratch: Scratch, buckets: int) -> np.ndarray:
-    """The shingles that two or more texts of the counted share hold: at most COMMON, the most common ones, sorted."""
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts, SET_BYTES):
+                ns, keys, sets = [], [], []
+                for tokens in shingle_sets(texts[a:b]):
+                    ns.append(len(tokens))
+                    key = set_key(tokens) if len(tokens) else None
+                    keys.append(key)
+                    new = key is not None and key[0] % SAMPLE == 0 and key not in counted
+                    sets.append(tokens.tobytes() if new else None)
+                    if new:
+                        counted.add(key)
+                own = [c.slice(a, b - a) for c in batch.columns]
+                columns = [own[0], pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array([k and short_key(k) for k in keys], pa.int64()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *own[2:]], names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    told = [f"id {kinds['_id']}", "n long", "set binary", "key long", "counted binary", *[f"`{c}` {kinds[c]}" for c in carry]]
+    return rows.mapInArrow(lean(run), ", ".join(told))
+
+
+def _common_shingles(counted: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that two or more sets of the counted share hold, sorted, and their ranks by count.
+
+    They are at most COMMON, the most common ones; counts are combined before their shuffle.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for batch in batches for x in batch.column(0).to_pylist()]
-        rows = np.unique(np.frombuffer(b"".join(blobs), _SEEN))
-        tokens, n = np.unique(rows["token"], return_counts=True)
-        tokens, n = tokens[n > 1], n[n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column(0)[i].as_py(), "<i8"))], ["token"])
 
-    counts = packed.repartition(buckets, "bucket").select("packed").mapInArrow(lean(run), "token long, n long")
+    once = counted.groupBy("set").agg(F.first("counted").alias("counted")).select("counted")
+    counts = once.mapInArrow(lean(tokens), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     counts = scratch.stage(counts, "counts")
     histogram = sorted((r[0], r[1]) for r in counts.groupBy(F.least("n", F.lit(4096)).alias("c")).count().collect())
     total, least = 0, 4097
@@ -329,122 +336,165 @@ def _common_shingles(packed: DataFrame, scratch: Scratch, buckets: int) -> np.nd
         if total + many > COMMON:
             break
         total, least = total + many, c
-    found = [r[0] for r in counts.where(F.col("n") >= least).select("token").collect()] if total else []
-    return np.sort(np.array(found, np.int64).astype(np.uint64))
-
-
-def _lists(rows: DataFrame, common: np.ndarray, buckets: int, percent: int) -> DataFrame:
-    """The inverted lists of prefix shingles that two or more sets share: token, key (64 bits of a set), place."""
+    found = counts.where(F.col("n") >= least).select("token", "n").collect() if total else []
+    told = np.array([r[0] for r in found], np.int64).astype(np.uint64)
+    n = np.array([r[1] for r in found], np.int64)
+    order = np.argsort(told)
+    told, n = told[order], n[order]
+    rank = np.empty(len(told), np.int32)
+    rank[np.lexsort((told, n))] = np.arange(len(told))
+    return told, rank
+
+
+def _lists(rows: DataFrame, common: np.ndarray, rank: np.ndarray, buckets: int, percent: int) -> DataFrame:
+    """The inverted lists of prefix shingles: token, key (64 bits of a set), place; without lists of one set.
+
+    Entries of common shingles, which two or more sets are known to hold, go to buckets by set.
+    All others go by shingle, and their lists are merged in one task each: those are short, as
+    a shingle of many sets is held by two of the counted share.
+    """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(common)
+    shared = spark.sparkContext.broadcast((common, rank))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, parts, held = set(), [], 0
-        apart = shared.value
+        done, parts, held = set(), ([], []), 0
 
-        def flush() -> pa.RecordBatch:
-            found, packed = packed_by_bucket(np.concatenate(parts), buckets)
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for part, by in zip(parts, ("token", "key")):
+                if part:
+                    found, packed = packed_by_bucket(np.concatenate(part), by, buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([by == "key"] * len(found), pa.bool_()), pa.array(packed, pa.binary())], ["bucket", "is_common", "packed"])
+                    part.clear()
 
         for batch in batches:
-            for tokens in shingle_sets(batch.column(1).to_pylist()):
+            for tokens in shingle_sets(batch.column(0).to_pylist()):
                 key = set_key(tokens)
                 if not len(tokens) or key in done:  # copies in one task are entered once
                     continue
                 done.add(key)
                 n = len(tokens)
                 length = n - -(-percent * n // 100) + 1
-                if len(apart):
-                    at = np.minimum(np.searchsorted(apart, tokens), len(apart) - 1)
-                    is_common = apart[at] == tokens
-                    tokens = np.concatenate([tokens[~is_common], tokens[is_common]])
+                ordered, first = in_order(tokens, *shared.value)
                 part = np.empty(length, _ENTRY)
-                part["token"], part["key"] = tokens[:length], short_key(key)
-                part["place"] = np.minimum(np.arange(length), 65535)
-                parts.append(part)
+                part["token"], part["key"], part["place"] = ordered[:length], short_key(key), np.arange(length)
+                parts[0].append(part[:first])
+                parts[1].append(part[first:])
                 held += length
-            if held > 1 << 20:
-                yield flush()
-                held = 0
-        if parts:
-            yield flush()
+                if held > 1 << 20:
+                    yield from flush()
+                    held = 0
+        yield from flush()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.frombuffer(b"".join(x for batch in batches for x in batch.column(0).to_pylist()), _ENTRY)
-        rows = rows[np.lexsort((rows["key"], rows["token"]))]
-        if len(rows):
-            first = np.r_[True, (rows["token"][1:] != rows["token"][:-1]) | (rows["key"][1:] != rows["key"][:-1])]
-            rows = rows[first]
-            starts = np.flatnonzero(np.r_[True, rows["token"][1:] != rows["token"][:-1]])
-            length = np.diff(np.r_[starts, len(rows)])
-            rows = rows[np.repeat(length > 1, length)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["token"].astype(np.int64)), pa.array(rows["key"]), pa.array(rows["place"].astype(np.int32))],
-            ["token", "key", "place"],
-        )
-
-    packed = rows.mapInArrow(lean(entries), "bucket int, packed binary").repartition(buckets, "bucket")
-    return packed.select("packed").mapInArrow(lean(merged), "token long, key long, place int")
-
-
-def _search(rows: DataFrame, members: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Links (a, b) that tie together what is linked within groups of documents: members has gid and rep, rows the texts by _id.
-
-    Each document's set is computed once and sent to its groups; a group's sets meet in one task.
+        blobs: tuple[list[bytes], list[bytes]] = ([], [])
+        for batch in batches:
+            for is_common, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                blobs[is_common].append(packed)
+        for is_common in (0, 1):
+            rows = np.frombuffer(b"".join(blobs[is_common]), _ENTRY)
+            blobs[is_common].clear()
+            rows = rows[np.lexsort((rows["key"], rows["token"]))]
+            if len(rows):
+                rows = rows[np.r_[True, (rows["token"][1:] != rows["token"][:-1]) | (rows["key"][1:] != rows["key"][:-1])]]
+            if len(rows) and not is_common:
+                starts = np.flatnonzero(np.r_[True, rows["token"][1:] != rows["token"][:-1]])
+                length = np.diff(np.r_[starts, len(rows)])
+                rows = rows[np.repeat(length > 1, length)]
+            for k in range(0, len(rows), 1 << 18):
+                some = rows[k : k + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(some["token"].astype(np.int64)), pa.array(some["key"]), pa.array(some["place"].astype(np.int64))], ["token", "key", "place"])
+
+    packed = rows.select("_text").mapInArrow(lean(entries), "bucket int, is_common boolean, packed binary").repartition(buckets, "bucket")
+    return packed.select("is_common", "packed").mapInArrow(lean(merged), "token long, key long, place long")
+
+
+def _wanted(members: DataFrame, classes: DataFrame, most: int = 1024) -> DataFrame:
+    """The groups of each set, with its representative's id: at most about `most` in one array, in more arrays where there are more."""
+    many = members.groupBy("node").agg(F.count("*").alias("_k")).where(F.col("_k") > most)
+    salted = members.join(many, "node", "left").withColumn("_s", F.when(F.col("_k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("gid"), F.ceil(F.col("_k") / most))))
+    packed = salted.groupBy("node", "_s").agg(F.collect_set("gid").alias("gids")).select("node", "gids")
+    return packed.join(classes.select("node", "rep", "set"), "node")
+
+
+def _search(rows: DataFrame, classes: DataFrame, members: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links (a, b) that tie together what is linked within groups of sets: members has gid and node, rows the texts by _id.
+
+    Each set is computed once and sent to its groups; a group's sets meet in one task. Of the
+    rows with a representative's id, those with another set are left out.
     """
-    id_type = rows.schema["_id"].dataType.simpleString()
-    wanted = members.groupBy("rep").agg(F.collect_set("gid").alias("gids"))
+    wanted = _wanted(members, classes)
     if members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, rows["_id"] == wanted["rep"]).select("_id", "_text", "gids")
+    texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["rep"])).select("_text", "set", "node", "gids")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, tokens in enumerate(shingle_sets(batch.column(1).to_pylist())):
-                packed = tokens.tobytes()
-                gids = batch.column(2)[i].as_py()
-                for k in range(0, len(gids), 256):
-                    some = gids[k : k + 256]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.string()), batch.column(0).take(pa.array([i] * len(some))), pa.array([packed] * len(some), pa.binary())],
-                        ["gid", "rep", "packed"],
-                    )
+            for i, tokens in enumerate(shingle_sets(batch.column(0).to_pylist())):
+                if not len(tokens) or set_key(tokens) != batch.column(1)[i].as_py():
+                    continue
+                packed, node, gids = tokens.tobytes(), batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                step = max(1, SET_BYTES // len(packed))
+                for k in range(0, len(gids), step):
+                    some = gids[k : k + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([node] * len(some), pa.int64()), pa.array([packed] * len(some), pa.binary())], ["gid", "node", "packed"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gid, reps, sets = None, [], []
+        gid, nodes, sets = None, [], []
 
         def links() -> pa.RecordBatch:
             pairs = forest(search_large(sets, percent), len(sets))
-            kind = pa.array(reps)
-            return pa.RecordBatch.from_arrays([kind.take(pa.array([p[0] for p in pairs], pa.int64())), kind.take(pa.array([p[1] for p in pairs], pa.int64()))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for g, rep, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):
+                g, node = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 if g != gid:
                     if len(sets) > 1:
                         yield links()
-                    gid, reps, sets = g, [], []
-                if not reps or reps[-1] != rep:  # a document that repeats in the input comes once
-                    reps.append(rep)
-                    sets.append(np.frombuffer(packed, np.uint64))
+                    gid, nodes, sets = g, [], []
+                if not nodes or nodes[-1] != node:  # a text that repeats in the input comes once
+                    nodes.append(node)
+                    sets.append(np.frombuffer(batch.column(2)[k].as_py(), np.uint64))
         if len(sets) > 1:
             yield links()
 
-    grouped = texts.mapInArrow(lean(spread), f"gid string, rep {id_type}, packed binary")
-    grouped = grouped.repartition(parts, "gid").sortWithinPartitions("gid", "rep")
-    return grouped.mapInArrow(lean(found), f"a {id_type}, b {id_type}")
+    grouped = texts.mapInArrow(lean(spread), "gid string, node long, packed binary")
+    grouped = grouped.repartition(parts, "gid").sortWithinPartitions("gid", "node")
+    return grouped.mapInArrow(lean(found), "a long, b long")
 
 
-def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def _candidates(tagged: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of one list, not yet in one component, whose sizes and places allow the required overlap: token, length, node1, node2.
+
+    A pair's overlap is at most what comes from its first shared shingle on, so an entry
+    has partners up to a size, `reach`. A pair is made from its smaller set's entry, whose
+    reach must be its own size at least, and its larger set's. Lists are joined by size class as
+    well: sizes of a pair are of one class or of adjacent ones.
+    """
+    mixed = tagged.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("length"))
+    open_lists = tagged.join(mixed.where("lo <> hi").select("token", "length"), "token")
+    # n + m may be at most (100 + percent) / percent of what is left from the place on
+    open_lists = open_lists.withColumn("reach", F.expr(f"(n - place) * {100 + percent} div {percent} - n"))
+    open_lists = open_lists.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent + 0.01))))
+    own = ("node", "n", "c", "reach")
+    smaller = open_lists.where("reach >= n").select("token", "length", F.explode(F.array("size", F.col("size") + 1)).alias("size"), *[F.col(x).alias(f"{x}1") for x in own])
+    larger = open_lists.select("token", "size", *[F.col(x).alias(f"{x}2") for x in own])
+    fit = f"c1 <> c2 AND (n1 < n2 OR n1 = n2 AND node1 < node2) AND n2 <= reach1 AND n1 <= reach2 AND 100 * n1 >= {percent} * n2"
+    pairs = smaller.join(larger, ["token", "size"]).where(fit)
+    return pairs.groupBy("node1", "node2").agg(F.min(F.struct("token", "length")).alias("x")).select("x.token", "x.length", "node1", "node2")
+
+
+def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Sets, links and components of all texts.
 
     Returns one row per input row: key, n_shingles, component_id (the smallest key
-    reachable by links) and rep (the smallest key of the rows with the same set; links are
-    searched between these). A null or empty text, or one of white space alone, has an
-    empty set and is linked with nothing, not even with another empty one. Fewer than five
-    words make one shingle. Rows that repeat share their set; a null key gets an id of its
-    own set's smallest key, and null if there is none. Other columns are not read.
+    reachable by links), rep (the smallest key of the rows with the same set), component (a
+    number that the rows of one component share; null for an empty set) and the columns
+    named in `carry`. A null or empty text, or one of white space alone, has an empty set and
+    is linked with nothing, not even with another empty one. Fewer than five words make one
+    shingle. Rows that repeat share their set; a key that repeats with different texts has
+    a row for each, and links are those of each text. A null key gets its component's
+    smallest key, and null if there is none. Other columns are not read.
 
     Exact but for collisions of 64-bit hashes of shingles: no cap on partners, lists or
     candidates. Copies are collapsed into one set before any search, by partial minima.
@@ -455,62 +505,57 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scratch = Scratch(spark, "ngram-join")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    carried = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_own_{i}") for i, c in enumerate(carry)])
 
-    scanned = scratch.stage(_scan(rows, 4 * parts), "sets")
-    sets = scanned.where("bucket IS NULL").select("id", "n", "set", "key")
-    common = _common_shingles(scanned.where("bucket IS NOT NULL").select("bucket", "packed"), scratch, 4 * parts)
+    sets = scratch.stage(_scan(carried, carried.columns[2:]), "sets")
+    common, rank = _common_shingles(sets.where("counted IS NOT NULL").select("set", "counted"), scratch)
+    sets = sets.drop("counted")
     classes = sets.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("key").alias("key"))
-    classes = scratch.stage(classes, "classes")
+    classes = scratch.stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    entries = classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
+    buckets = max(4 * parts, -(-int(entries) // BUCKET_ENTRIES))
 
-    lists = scratch.stage(_lists(rows, common, 4 * parts, percent), "lists")
-    let_go(spark)
-    lists = scratch.stage(lists.join(classes.where("rep IS NOT NULL").select("key", "rep", "n"), "key").select("token", "rep", "n", "place"), "entries")
+    lists = scratch.stage(_lists(rows, common, rank, buckets, percent), "lists")
+    lists = scratch.stage(lists.join(classes.select("key", "node", "n"), "key").select("token", "node", "n", "place"), "entries")
+    scratch.drop("lists")
     sizes = scratch.stage(lists.groupBy("token").agg(F.count("*").alias("length")).where(f"length > {LONG}"), "long")
 
     # two rounds of random subgroups of long lists: each set goes to its longest list
     links = None
     for turn in range(2):
-        longest = lists.join(sizes, "token").groupBy("rep").agg(F.max(F.struct("length", "token")).alias("x"))
-        sub = F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("x.length") / (LONG // 2)))
-        members = longest.select(F.concat_ws(":", "x.token", sub.cast("string")).alias("gid"), "rep")
+        longest = lists.join(sizes, "token").groupBy("node").agg(F.max(F.struct("length", "token")).alias("x"))
+        sub = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("x.length") / (LONG // 2)))
+        members = longest.select(F.concat_ws(":", "x.token", sub.cast("string")).alias("gid"), "node")
         members = scratch.stage(members, f"members-{turn}")
-        some = scratch.stage(_search(rows, members, parts, percent), f"links-{turn}")
+        some = scratch.stage(_search(rows, classes, members, parts, percent), f"links-{turn}")
         links = some if links is None else links.unionByName(some)
-        let_go(spark)
-    joined = scratch.stage(connected_components(links, scratch, "first"), "joined")
+    joined = scratch.stage(connected_components(links, scratch, "first"), "joined").withColumnRenamed("component", "c")
 
-    # all pairs of one list that are not yet in one component and can reach the required overlap
-    tagged = lists.join(joined, lists["rep"] == joined["node"], "left").select("token", "rep", "n", "place", F.coalesce("component", "rep").alias("c"))
+    # what is not yet in one component and can reach the required overlap
+    tagged = lists.join(joined, "node", "left").select("token", "node", "n", "place", F.coalesce("c", "node").alias("c"))
     tagged = scratch.stage(tagged, "tagged")
-    mixed = tagged.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("length")).where("lo <> hi").select("token", "length")
-    mixed = scratch.stage(mixed, "mixed")
-    open_lists = scratch.stage(tagged.join(mixed, "token"), "open")
-    left = open_lists.select("token", "length", *[F.col(x).alias(f"{x}1") for x in ("rep", "n", "place", "c")])
-    right = open_lists.select("token", *[F.col(x).alias(f"{x}2") for x in ("rep", "n", "place", "c")])
-    reachable = (
-        "rep1 < rep2 AND c1 <> c2 "
-        f"AND 100 * least(n1, n2) >= {percent} * greatest(n1, n2) "
-        # a place of 65535 stands for all later ones and bounds nothing
-        f"AND (greatest(place1, place2) >= 65535 OR least(n1 - place1, n2 - place2) >= ceil({percent} * (n1 + n2) / {100 + percent}))"
-    )
-    pairs = left.join(right, "token").where(reachable).groupBy("rep1", "rep2").agg(F.min(F.struct("token", "length")).alias("x"))
-    blocks = F.ceil(F.col("x.length") / (LONG // 2))
-    cut = lambda rep: F.when(F.col("x.length") <= LONG, F.lit(0)).otherwise(F.pmod(F.xxhash64(rep), blocks)).cast("string")
-    pairs = scratch.stage(pairs.select(F.concat_ws(":", "x.token", cut("rep1"), cut("rep2")).alias("gid"), "rep1", "rep2"), "pairs")
-    members = pairs.selectExpr("gid", "rep1 AS rep").unionByName(pairs.selectExpr("gid", "rep2 AS rep")).distinct()
+    scratch.drop("entries")
+    pairs = _candidates(tagged, percent)
+    blocks = F.ceil(F.col("length") / (LONG // 2))
+    cut = lambda node: F.when(F.col("length") <= LONG, F.lit(0)).otherwise(F.pmod(F.xxhash64(node), blocks)).cast("string")
+    pairs = scratch.stage(pairs.select(F.concat_ws(":", "token", cut("node1"), cut("node2")).alias("gid"), "node1", "node2"), "pairs")
+    scratch.drop("tagged")
+    members = pairs.selectExpr("gid", "node1 AS node").unionByName(pairs.selectExpr("gid", "node2 AS node")).distinct()
     members = scratch.stage(members, "members")
-    let_go(spark)
-    links = links.unionByName(scratch.stage(_search(rows, members, parts, percent), "links"))
+    links = links.unionByName(scratch.stage(_search(rows, classes, members, parts, percent), "links"))
 
     components = connected_components(links, scratch, "last")
-    placed = classes.join(components, classes["rep"] == components["node"], "left")
-    placed = scratch.stage(placed.select("set", "rep", F.coalesce("component", "rep").alias("component")), "placed")
+    placed = classes.join(components, "node", "left").select("set", "rep", F.coalesce("component", "node").alias("component"))
+    placed = scratch.stage(placed, "grouped")
+    least = placed.groupBy("component").agg(F.min("rep").alias("least"))
+    placed = scratch.stage(placed.join(least, "component"), "placed")
     scratch.keep_only("sets", "placed")
-    let_go(spark)
     found = sets.drop("key").join(placed, "set", "left")
     return found.select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("least", "id").alias("component_id"),
         F.coalesce("rep", "id").alias("rep"),
+        "component",
+        *[F.col(f"_own_{i}").alias(c) for i, c in enumerate(carry)],
     )

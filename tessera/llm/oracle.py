@@ -15,17 +15,28 @@ SELECT doc_id,
 FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """
 
-OP5 = r"""
-WITH t(list_name, action, pattern, change, dated) AS (VALUES {changes}),
+_HOST = r"nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '')"
+OP5 = (
+    r"""
+WITH h AS (SELECT DISTINCT {host} AS host FROM pages),
+g AS (SELECT host, list_transform(range(6), lambda k: ('0x' || substr(md5(host), 2 * k::INT + 1, 2))::INT) AS d FROM h WHERE host IS NOT NULL),
+n AS (SELECT host, d, 'list-' || (d[1] % 4)::VARCHAR AS list_name, CASE WHEN d[2] < 128 THEN 'block' ELSE 'allow' END AS action,
+             CASE WHEN d[2] < 128 THEN 'allow' ELSE 'block' END AS other FROM g),
+t AS (
+  SELECT list_name, action, host AS pattern, 'add' AS change, d[3] AS n FROM n
+  UNION SELECT list_name, action, host, 'remove', d[3] + d[4] % 90 FROM n WHERE d[4] < 128
+  UNION SELECT list_name, action, host, 'add', d[3] + d[4] % 90 + 1 + d[5] % 60 FROM n WHERE d[4] < 64
+  UNION SELECT list_name, action, host, 'remove', d[3] FROM n WHERE d[4] >= 250
+  UNION SELECT 'paths', other, host || '/' || substr('defresen', 1 + 2 * (d[6] % 4), 2), 'add', d[6] FROM n WHERE d[5] < 128
+  UNION SELECT 'domains', 'block', regexp_extract(host, '([^.]*\.)?[^.]*$'), 'add', 300 FROM n),
 intervals AS (
   SELECT * FROM (
-    SELECT list_name, action, pattern, change, dated AS a,
-           lead(dated) OVER (PARTITION BY list_name, action, pattern ORDER BY dated, change) AS b
+    SELECT list_name, action, pattern, change, (DATE '2024-01-01' + n)::DATE AS a,
+           lead((DATE '2024-01-01' + n)::DATE) OVER (PARTITION BY list_name, action, pattern ORDER BY n, change) AS b
     FROM t)
   WHERE change = 'add' AND (b IS NULL OR b > a)),
 p AS (
-  SELECT page_id, url, (DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INT))::DATE AS fetched_at,
-         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') AS host,
+  SELECT page_id, url, (DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INT))::DATE AS fetched_at, {host} AS host,
          lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)', 1)) AS path
   FROM pages),
 hit AS (
@@ -40,7 +51,8 @@ SELECT p.page_id, p.url, p.fetched_at, p.host,
        CASE WHEN p.host IS NULL THEN 'invalid' ELSE coalesce(h.action, 'none') END AS decision,
        h.list_name, h.pattern, coalesce(h.n, 0) AS n_active
 FROM p LEFT JOIN hit h ON h.url = p.url AND h.fetched_at = p.fetched_at AND h.rank = 1
-"""
+""".replace("{host}", _HOST)
+)
 
 OP4 = r"""
 WITH RECURSIVE w AS (

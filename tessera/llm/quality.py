@@ -18,20 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import WordMemo, bounded_sample, fold_of, lean, slices, small_batches, sum_by_text
-from tessera.llm.langid import softmax, word_ngrams
+from tessera.llm.common import WordMemo, bounded_sample, fold_of, lean, small_batches, smallest_keys, sum_by_text, text_of, word_groups
+from tessera.llm.langid import softmax, sum_ngrams, word_ngrams
 
 ORDERS = (1, 3, 4, 5)
 #: Stands in a document for each word that repeats the word before it, as a word of its own.
 REPEAT = "\x01="
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words by white space, and a mark for each immediate repetition."""
+def words_of(text: str, before: str = "") -> list[str]:
+    """Lower-case words by white space, and a mark for each immediate repetition; `before` is the word before the text."""
     words = text.lower().split()
-    return words + [REPEAT] * sum(map(eq, words[1:], words))
+    return words + [REPEAT] * (sum(map(eq, words[1:], words)) + (words[:1] == [before]))
 
 
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,10 +55,10 @@ class QualityModel:
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """Each word's part of the logit of class 1 against class 0."""
-        unit = self.table @ (self.out[:, 1] - self.out[:, 0])
-        found, owner = subwords(words, len(self.table))
-        count = np.maximum(np.bincount(owner, minlength=len(words)), 1)
-        return np.bincount(owner, unit[found], len(words))[:, None] / count[:, None]
+        unit = (self.table @ (self.out[:, 1] - self.out[:, 0]))[:, None].astype(np.float64)
+        sums = sum_ngrams(words, ORDERS, unit)
+        whole = np.fromiter((hash_word(w, len(unit)) for w in words), np.int64, len(words))
+        return (sums[:, :1] + unit[whole]) / (sums[:, 1:] + 1)
 
 
 def fit_quality_model(
@@ -97,45 +96,58 @@ def fit_quality_model(
 
 def score_quality(model: QualityModel | None, memo: WordMemo | None, texts: list[str], empty: float = 0.0) -> np.ndarray:
     """The probability of class 1 for each text; `empty` for a text without words or without a model."""
-    words = [words_of(t) if model else [] for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    scores = np.full(len(texts), empty)
-    if sizes.any():
-        rows = memo([w for ws in words for w in ws])
-        logit = sum_by_text(rows, sizes)[:, 0] / np.maximum(sizes, 1) + float(model.bias[1] - model.bias[0])
-        scores = np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(logit, -50, 50))), empty)
-    return scores
+    sums, sizes = np.zeros(len(texts)), np.zeros(len(texts))
+    last: dict[int, str] = {}
+    for group in word_groups(texts) if model else ():
+        words = []
+        for i, piece in group:
+            words.append(words_of(piece, last.get(i, "")))
+            if words[-1]:
+                last = {i: words[-1][-1 - words[-1].count(REPEAT)]}
+        if any(words):
+            rows = memo([w for ws in words for w in ws])
+            at = [i for i, _ in group]
+            np.add.at(sums, at, sum_by_text(rows, map(len, words))[:, 0])
+            np.add.at(sizes, at, list(map(len, words)))
+    if not sizes.any():
+        return np.full(len(texts), empty)
+    logit = sums / np.maximum(sizes, 1) + float(model.bias[1] - model.bias[0])
+    return np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(logit, -50, 50))), empty)
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int, folds: int, held: int
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int, most_chars: int, folds: int, held: int
 ) -> list[tuple[str, int]]:
-    """At most `most` labelled texts outside the held-out fold: the keys with the smallest md5."""
+    """Labelled texts outside the held-out fold: at most `most`, one a key, of the keys with the smallest md5."""
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold_of(labels, key, folds) != held))
-    told = told.groupBy(key).agg(F.max(label).alias("_label"))
-    told = bounded_sample(told, key, most)
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text"))
-    rows = rows.join(F.broadcast(told), key)
-    rows = rows.orderBy(F.md5(F.col(key).cast("string")), F.col(key)).limit(most)
-    return [(t, int(y)) for t, y in rows.select("_text", "_label").collect()]
+    keys = smallest_keys(told, key, most)
+    if not keys:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(k,) for k in keys], f"_key {labels.schema[key].dataType.simpleString()}")
+    values = told.select(F.col(key).alias("_key"), F.col(label).alias("_value")).join(F.broadcast(wanted), "_key", "left_semi")
+    values = values.groupBy("_key").agg(F.max("_value").alias("_value"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(values), "_key")
+    return [(t, int(y)) for t, y in bounded_sample(rows, keys, most_chars)]
 
 
 def classify_quality(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-    threshold: float = 0.3, most: int = 4000, folds: int = 5, held: int = 0,
+    threshold: float = 0.3, most: int = 4000, most_chars: int = 1 << 26, folds: int = 5, held: int = 0,
 ) -> DataFrame:
     """Scores every whole text for quality.
 
     Returns key, held_out (crc32 of the key modulo `folds` is `held`), score (the
     probability of label 1) and predicted (1 if score >= threshold). The model is fitted
-    on at most `most` labelled rows outside the held-out fold, a bounded sample, and has
-    a fixed size, so it is broadcast. Only text is scored. A null or empty text, or one
-    of white space alone, scores 0; every text does when there is nothing to learn from.
-    A key with several labels counts with the largest. Rows are independent: ties,
-    repeated rows and null keys pass through; other columns are not read.
+    on labelled rows outside the held-out fold, at most `most` of them and `most_chars`
+    characters, one a key: a bounded sample, and the model has a fixed size, so it is
+    broadcast. Only text is scored. A null or empty text, or one of white space alone,
+    scores 0; every text does when there is nothing to learn from. A key with several
+    labels counts with the largest; of several rows of one key, one is learned from. A very
+    long text is read in parts. Rows are independent: ties, repeated rows and null keys
+    pass through; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    told = labelled_sample(docs, labels, key, text, label, most, folds, held)
+    told = labelled_sample(docs, labels, key, text, label, most, most_chars, folds, held)
     model = fit_quality_model([t for t, _ in told], [y for _, y in told]) if told else None
     return score_texts(docs, spark.sparkContext.broadcast(model), score_quality, key, text, folds, held, threshold)
 
@@ -143,19 +155,18 @@ def classify_quality(
 def score_texts(docs: DataFrame, shared, score, key: str, text: str, folds: int, held: int, threshold: float) -> DataFrame:
     """Scores texts by a broadcast model with word_rows(); score(model, memo, texts) gives the numbers."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key), (fold_of(docs, key, folds) == held).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         memo = WordMemo(model.word_rows) if model else None
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                scores = score(model, memo, texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))],
-                    names=[key, "held_out", "score", "predicted"],
-                )
-
-    schema = T.StructType([docs.schema[key], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rows.mapInArrow(lean(run), schema)
+            yield pa.array(score(model, memo, batch.to_pylist()), pa.float64())
+
+    run = lean(run)
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(batches)
+
+    found = docs.select(F.col(key), (fold_of(docs, key, folds) == held).alias("held_out"), scored(text_of(docs, text)).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

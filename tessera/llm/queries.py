@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +13,16 @@ from tessera.llm.decontaminate import find_leaks
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.langid import identify_language
 from tessera.llm.ngram_join import ngram_jaccard_join
-from tessera.llm.oracle import ORACLE_SQL as WRITTEN
+from tessera.llm.oracle import ORACLE_SQL
 from tessera.llm.pii import KINDS, find_personal_data
 from tessera.llm.quality import classify_quality
 from tessera.llm.sharding import shard_documents
 from tessera.llm.toxicity import classify_toxicity
-from tessera.llm.url_filters import filter_urls
+from tessera.llm.url_filters import filter_urls, host_of
 from tessera.session import table
 
 #: The public vocabulary file that op2 reads; a parameter of the operator.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -46,35 +47,46 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("rep")
-
-
-#: Changes of the filter lists that op5 uses: list, action, pattern, change, date.
-LIST_CHANGES = """
-('gambling', 'block', 'casino-win.example.com', 'add', DATE '2024-01-10'),
-('gambling', 'block', 'free-bets.example.com', 'add', DATE '2024-02-01'),
-('gambling', 'block', 'free-bets.example.com', 'remove', DATE '2024-06-15'),
-('gambling', 'block', 'free-bets.example.com', 'add', DATE '2024-09-01'),
-('pharma', 'block', 'cheap-pills.example.com', 'add', DATE '2024-03-20'),
-('pharma', 'block', 'cheap-pills.example.com/de', 'add', DATE '2024-05-05'),
-('pharma', 'allow', 'cheap-pills.example.com/fr', 'add', DATE '2024-04-01'),
-('pharma', 'allow', 'cheap-pills.example.com/fr', 'remove', DATE '2024-08-01'),
-('curated', 'allow', 'blog.tionsh.example.com', 'add', DATE '2023-12-01'),
-('curated', 'allow', 'example.org', 'add', DATE '2024-01-01'),
-('curated', 'allow', 'example.org', 'remove', DATE '2024-07-01'),
-('spam', 'block', 'tionble.example.org', 'add', DATE '2024-02-10'),
-('spam', 'block', 'tionble.example.org', 'remove', DATE '2024-02-10'),
-('spam', 'block', 'tiontion.example.net', 'add', DATE '2024-03-01'),
-('spam', 'block', 'example.net', 'add', DATE '2024-10-01')
-"""
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("rep", "component")
+
+
 #: The tables have no fetch dates: a page counts as fetched on a day of 2024 that its number decides.
 FETCHED = "date_add(DATE '2024-01-01', CAST((page_id * 37) % 366 AS INT))"
 
 
+def list_changes(pages: DataFrame) -> DataFrame:
+    """Dated changes of filter lists, as the tables have none: derived from the md5 of every host of the pages.
+
+    Each host is added to a list on a day of 2024. Half of them are removed again, half of
+    those are added once more, and a few are removed on the day they were added. Half of the
+    hosts have an entry of the opposite action for the first step of their paths, and each domain
+    above a host (its last two labels) is added to a list of its own.
+    """
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
+    digit = lambda k: F.conv(F.substring(F.md5(F.col("host").cast("binary")), k, 2), 16, 10).cast("int")
+    told = hosts.select("host", *[digit(2 * k + 1).alias(f"d{k}") for k in range(6)])
+    day = lambda n: F.expr(f"date_add(DATE '2024-01-01', {n})")
+    name = F.concat(F.lit("list-"), (F.col("d0") % 4).cast("string"))
+    action, other = (F.expr(f"CASE WHEN d1 < 128 THEN '{x}' ELSE '{y}' END") for x, y in (("block", "allow"), ("allow", "block")))
+    entry = lambda where, list_name, what, pattern, change, dated: told.where(where).select(list_name.alias("list_name"), what.alias("action"), pattern.alias("pattern"), F.lit(change).alias("change"), dated.alias("dated"))
+    host, domain = F.col("host"), F.substring_index("host", ".", -2)
+    parts = [
+        entry("true", name, action, host, "add", day("d2")),
+        entry("d3 < 128", name, action, host, "remove", day("d2 + d3 % 90")),
+        entry("d3 < 64", name, action, host, "add", day("d2 + d3 % 90 + 1 + d4 % 60")),
+        entry("d3 >= 250", name, action, host, "remove", day("d2")),
+        entry("d4 < 128", F.lit("paths"), other, F.concat(host, F.lit("/"), F.expr("substr('defresen', 1 + 2 * (d5 % 4), 2)")), "add", day("d5")),
+        entry("true", F.lit("domains"), F.lit("block"), domain, "add", day("300")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{FETCHED} AS fetched_at")
-    entries = spark.sql(f"SELECT * FROM VALUES {LIST_CHANGES} AS t(list_name, action, pattern, change, dated)")
-    return filter_urls(captures, entries)
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages.selectExpr("page_id", "url", f"{FETCHED} AS fetched_at"), list_changes(pages.select("url")))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +119,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-ORACLE_SQL: dict[str, str] = {name: sql.replace("{changes}", LIST_CHANGES) for name, sql in WRITTEN.items()}
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,

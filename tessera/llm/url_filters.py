@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, unused
 
 #: Intervals are broadcast up to this many rows; beyond it the join shuffles, and adaptive execution splits hot hosts.
 BROADCAST_ROWS = 200_000
@@ -50,37 +50,50 @@ def filter_urls(
     one with the longest pattern decides; of equal ones `allow` before `block`, then the
     first list by name. Returns the captures' columns with host, decision (allow, block,
     none, or invalid for a URL without host or a missing date), list_name, pattern and
-    n_active; columns of the captures with these names are replaced.
+    n_active; columns of the captures with these names are replaced, and all others kept.
 
     Captures of one URL and day are judged once, and every capture meets its verdict
     again by (URL, day): repeated rows keep their number. The candidate patterns of a URL
-    are its host's suffixes and its path's prefixes, so the join is on equal patterns, and
-    the interval decides among them. A hot host's captures are spread by URL and day, and
-    verdicts are read back from a staged table, so that adaptive execution can split a hot
-    URL. The intervals are broadcast while they are few, by a count; an empty list decides nothing.
+    are its host's suffixes and its path's prefixes, as long and as deep as any pattern is, so
+    they are few for a very long URL too; the join is on equal patterns, and the interval
+    decides among them. A hot host's captures are spread by URL and day, and verdicts are
+    read back from a staged table, so that adaptive execution can split a hot URL. The
+    intervals are staged, and broadcast while they are few, by a count; beyond it a hot
+    pattern's join is split likewise. An empty list decides nothing, and an empty table of captures gives
+    an empty result. A null URL or date makes a capture invalid.
     """
     added = ("host", "decision", "list_name", "pattern", "n_active")
-    captures = captures.drop(*added)
-    keyed = captures.withColumns({"_url": F.col(url), "_day": F.to_date(F.col(fetched))})
-    asked = keyed.select("_url", "_day").where("_url IS NOT NULL AND _day IS NOT NULL").distinct().withColumn("host", host_of(F.col("_url")))
-    labels, steps = F.split("host", r"\."), F.filter(F.split(path_of(F.col("_url")), "/"), lambda s: s != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat_ws("/", F.col("host"), F.lower(F.array_join(F.slice(steps, 1, i), "/")))))
-    candidates = F.concat(suffixes, F.coalesce(prefixes, F.array().cast("array<string>")))
-    wanted = asked.where("host IS NOT NULL").select("_url", "_day", F.explode(F.array_distinct(candidates)).alias("pattern"))
-    intervals = validity(entries)
-    if intervals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    captures = captures.select(*[c for c in captures.columns if c.lower() not in added])
+    at, day, best, many = (unused(name, captures) for name in ("_url", "_day", "_best", "_n"))
+    keyed = captures.withColumns({at: F.col(url), day: F.to_date(F.col(fetched))})
+    scratch = Scratch(captures.sparkSession, "url-filters")
+    intervals = scratch.stage(validity(entries), "intervals")
+    host, path = F.substring_index("pattern", "/", 1), F.size(F.split("pattern", "/")) - 1
+    told = intervals.agg(F.count("*"), F.max(F.size(F.split(host, r"\."))), F.max(path)).first()
+    longest, deepest = told[1] or 0, told[2] or 0
+
+    asked = keyed.select(F.col(at).alias("url"), F.col(day).alias("day")).where("url IS NOT NULL AND day IS NOT NULL").distinct()
+    asked = asked.withColumn("host", host_of(F.col("url"))).where("host IS NOT NULL")
+    labels, steps = F.split("host", r"\."), F.filter(F.split(F.lower(path_of(F.col("url"))), "/"), lambda s: s != "")
+    upto = lambda parts, most: F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most)))
+    suffixes = F.transform(upto(labels, max(1, longest)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
+    prefixes = F.when((F.size(steps) > 0) & F.lit(deepest > 0), F.transform(upto(steps, max(1, deepest)), lambda i: F.concat_ws("/", "host", F.array_join(F.slice(steps, 1, i), "/"))))
+    candidates = F.array_distinct(F.concat(suffixes, F.coalesce(prefixes, F.array().cast("array<string>"))))
+    wanted = asked.select("url", "day", F.explode(candidates).alias("pattern"))
+    if told[0] <= BROADCAST_ROWS:
         intervals = F.broadcast(intervals)
-    active = wanted.join(intervals, "pattern").where("valid_from <= _day AND (valid_to IS NULL OR _day < valid_to)")
+    active = wanted.join(intervals, "pattern").where("valid_from <= day AND (valid_to IS NULL OR day < valid_to)")
     rank = F.struct((-F.length("pattern")).alias("n"), F.col("action"), F.col("list_name"), F.col("pattern"))
-    verdicts = active.groupBy("_url", "_day").agg(F.min(rank).alias("_best"), F.count("*").alias("_n"))
-    verdicts = Scratch(captures.sparkSession, "url-filters").stage(verdicts, "verdicts")
-    valid = F.col("_day").isNotNull() & host_of(F.col("_url")).isNotNull()
-    return keyed.join(verdicts, ["_url", "_day"], "left").select(
-        *captures.columns,
-        host_of(F.col("_url")).alias("host"),
-        F.when(valid, F.coalesce("_best.action", F.lit("none"))).otherwise(F.lit("invalid")).alias("decision"),
-        F.col("_best.list_name").alias("list_name"),
-        F.col("_best.pattern").alias("pattern"),
-        F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"),
+    verdicts = active.groupBy(F.col("url").alias(at), F.col("day").alias(day)).agg(F.min(rank).alias(best), F.count("*").alias(many))
+    verdicts = scratch.stage(verdicts, "verdicts")
+    scratch.drop("intervals")
+    own = host_of(F.col(at))
+    valid = F.col(day).isNotNull() & own.isNotNull()
+    return keyed.join(verdicts, [at, day], "left").select(
+        *[F.col(f"`{c}`") for c in captures.columns],
+        own.alias("host"),
+        F.when(valid, F.coalesce(F.col(best)["action"], F.lit("none"))).otherwise(F.lit("invalid")).alias("decision"),
+        F.col(best)["list_name"].alias("list_name"),
+        F.col(best)["pattern"].alias("pattern"),
+        F.coalesce(many, F.lit(0)).cast("long").alias("n_active"),
     )

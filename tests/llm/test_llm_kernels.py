@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import bpe, decontaminate, langid, ngram_join, pii, quality, sharding, toxicity
+from tessera.llm import bpe, common, decontaminate, langid, ngram_join, pii, quality, sharding, toxicity
 from tessera.llm.common import WordMemo, slices, sum_by_text
 from tessera.llm.queries import VOCABULARY
 
@@ -197,12 +197,38 @@ def test_tagger_gradient_and_training():
         assert (up - down) / 2e-3 == pytest.approx(float(grads[name][at]), abs=2e-4)
 
 
-def test_model_adds_spans_and_keeps_base_ones():
-    model = pii.train_tagger(pii.training_windows(["some words that stand around here in a plain text"]))
-    text = "some words, card 4444 3333 2222 1110 and here a@b.org, 10.2.3.4 in the text " * 3
-    (base, spans), (none, nothing), (_, empty) = pii.find_spans(model, [text, "no digits here", ""])
-    assert set(base) <= set(spans) and any(k == 2 for k, _, _ in spans) and not any(k == 2 for k, _, _ in base)
+@pytest.fixture(scope="module")
+def tagger():
+    return pii.train_tagger(pii.training_windows(pii.labelled_texts(["some words that stand around here in a plain text of the town"])))
+
+
+def test_model_adds_plausible_spans_and_keeps_base_ones(tagger):
+    text = "some words, card 4111.1111.1111.1111 and here a@b.org, 10.2.3.4 in the text " * 3
+    (base, spans), (none, nothing), (_, empty) = pii.find_spans(tagger, [text, "no digits here", ""])
+    assert set(base) <= set(spans) and sum(k == 2 for k, _, _ in spans) == 3 and not any(k == 2 for k, _, _ in base)
     assert spans == sorted(spans) and none == nothing == empty == []
+    for wrong in ("1234567890123457", "9999 8888 7777 6666", "1234-5678-9012-3456", "20240115103022", "3.14159265358979", "999.888.777.666", "2024-01-15", "10 000 000"):
+        assert pii.find_spans(tagger, [f"some words stand here {wrong} and others follow in a text"])[0] == ([], [])
+
+
+def test_added_spans_on_held_out_texts(tagger):
+    """Precision and recall of what the model adds, on generated spans and hard look-alikes that it has not seen."""
+    told = pii.labelled_texts(["other words in this town that nobody has seen before, of a house and of a street"], 1000, seed=99)
+    right = wrong = missed = 0
+    for (_, spans), (base, found) in zip(told, pii.find_spans(tagger, [t for t, _ in told])):
+        added, want = set(found) - set(base), {s for s in spans if not any(x < s[2] and s[1] < y for _, x, y in base)}
+        right, wrong, missed = right + len(added & want), wrong + len(added - want), missed + len(want - added)
+    assert right / (right + wrong) >= 0.97 and right / (right + missed) >= 0.85
+
+
+def test_reconciled_windows_of_a_long_text(tagger):
+    """Spans do not depend on where in a text they stand, or on how long it is."""
+    part = "some words stand here 10[.]0[.]0[.]7 and others follow in a text of the town (555) 010-7788 as words do. "
+    own = [s for s in pii.find_spans(tagger, [part])[0][1]]
+    assert [k for k, _, _ in own] == [1, 3]
+    found = pii.find_spans(tagger, [part * 3000])[0][1]
+    want = sorted((k, a + n * len(part), b + n * len(part)) for n in range(3000) for k, a, b in own)
+    assert len(set(found) & set(want)) >= 0.97 * len(want) and len(found) <= len(want)
 
 
 def test_language_model_learns():
@@ -220,6 +246,111 @@ def test_language_model_learns():
     assert langid.predict_languages(None, None, ["the"]) == (["und"], [0.0])
 
 
+def test_toxicity_tells_use_from_mention():
+    """The label is decided by quotation alone: a term that is said, quoted, or reported."""
+    rng = random.Random(1)
+    texts, labels = [], []
+    for i in range(400):
+        words = [f"word{rng.randrange(300)}" for _ in range(40)]
+        words[17:21] = [["so", "you", "are", "blorgface"], ["so", "you", "are", '"blorgface"'], ["as", "they", "said", "blorgface"], ["so", "you", "are", "here"]][i % 4]
+        texts.append(" ".join(words))
+        labels.append(int(i % 4 == 0))
+    model = toxicity.fit_toxicity_model(texts[:300], labels[:300])
+    scores = toxicity.score_toxicity(model, WordMemo(model.word_rows), texts[300:])
+    assert [u.text for u in model.units] == ["blorgface"] and ((scores >= 0.5) == np.array(labels[300:])).all()
+
+
+def test_toxicity_learns_no_noise_terms():
+    """Terms that only happen to be in some texts of label 1 are not learned; stems that come again and again are."""
+    rng = random.Random(2)
+    made = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([5, 6]))) for _ in range(40))
+    clean = [made() + (" zzkarou" if i % 10 == 0 else "") for i in range(500)]
+    bad = [made() + " " + " ".join("zzkar" + rng.choice("abcdefgh") + rng.choice("abcdefgh") + rng.choice("abcdefgh") for _ in range(4)) for _ in range(100)]
+    units = toxicity.learn_lexicon(clean + bad, [0] * 500 + [1] * 100)
+    assert len(units) <= 3 and all(u.text.startswith("zzkar") for u in units) and toxicity.Unit("zzkar", True, 2) in units
+
+
+@pytest.mark.parametrize("most", [7, 60, 1 << 20])
+def test_texts_in_parts_score_as_whole(monkeypatch, most):
+    """However small the parts in which texts are read, scores are those of whole texts."""
+    rng = random.Random(3)
+    words = "red blue blue green idiot warm idiot cold said road river ünder".split() + ["x" * 90]
+    texts = ["", "  ", *[" ".join(rng.choice(words) for _ in range(n)) for n in (1, 5, 30, 200, 3)]]
+    labels = [0, 0, 0, 1, 1, 0, 1]
+    models = [
+        (langid, lambda m, memo: langid.predict_languages(m, memo, texts)[1], langid.fit_language_model(texts[2:], ["a", "b"] * 2 + ["a"], buckets=1 << 12)),
+        (quality, lambda m, memo: quality.score_quality(m, memo, texts), quality.fit_quality_model(texts, labels, buckets=1 << 12)),
+        (toxicity, lambda m, memo: toxicity.score_toxicity(m, memo, texts), toxicity.ToxicityModel([toxicity.Unit("idiot", False), toxicity.Unit("gree", True, 2)])),
+    ]
+    want = [score(m, WordMemo(m.word_rows)) for _, score, m in models]
+    for module, _, _ in models:
+        monkeypatch.setattr(module, "word_groups", lambda t, most=most: common.word_groups(t, most))
+    for (_, score, m), told in zip(models, want):
+        assert np.allclose(score(m, WordMemo(m.word_rows)), told)
+
+
+@given(st.text("ab \n", max_size=60), st.integers(1, 9))
+def test_pieces_are_the_text(text, most):
+    parts = list(common.pieces(text, most))
+    assert "".join(parts) == text and [w for p in parts for w in p.split()] == text.split()
+    assert [(i, p) for g in common.word_groups([text, "", text], most) for i, p in g] == [(i, p) for i, t in enumerate([text, "", text]) for p in common.pieces(t, most)]
+
+
+@given(st.lists(st.text("abé", max_size=12), max_size=6), st.integers(1, 5))
+def test_ngrams_of_long_words_in_segments(words, most):
+    weights = np.random.default_rng(0).normal(size=(64, 2))
+    orders = (1, 2, 4)
+    got = np.zeros((len(words), 3))
+    for numbers, group, own in langid.segments(words, orders, most):
+        found, owner = langid.ngrams_of_marked(group, orders, 64, own)
+        for n, o in zip(found, owner):
+            got[numbers[o]] += [*weights[n], 1]
+    assert np.allclose(got, langid.sum_ngrams(words, orders, weights))
+
+
+def test_ngram_counts_are_those_of_texts(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    counter = langid.NgramCounter((1, 2, 3), 256, most=10, most_chars=60)
+    want = np.zeros(256, int)
+    for t in texts:
+        counter.add(t)
+        want[np.unique(langid.word_ngrams(t.lower().split(), (1, 2, 3), 256)[0])] += 1
+    assert (counter.df == want).all() and counter.texts == 40
+
+
+def test_memos_are_bounded_in_bytes(vocabulary):
+    """20,000 different texts without spaces leave almost nothing behind."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnop"
+    for start in range(0, 20_000, 500):
+        texts = ["".join(rng.choice(letters) for _ in range(80)) + str(i) for i in range(start, start + 500)]
+        assert all(vocabulary.decode(ids) == t for t, ids in zip(texts[:3], vocabulary.encode_all(texts)))
+    assert all(len(k) <= bpe.LONGEST_KEPT for memo in (vocabulary.words, vocabulary.chunks) for k in memo)
+    assert sum(len(k) for memo in (vocabulary.words, vocabulary.chunks) for k in memo) < 8 << 20
+    memo = WordMemo(lambda ws: np.array([[len(w)] for w in ws], float).reshape(-1, 1), most_chars=1000)
+    for n in (300, 2000, 10):
+        assert memo(["x" * n, "y" * n])[:, 0].tolist() == [n, n] and memo.chars <= 1000
+
+
+def test_scratch_root_is_never_guessed_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_root(Session())
+
+
 def test_quality_model_learns():
     rng = random.Random(1)
     words = "red blue green warm cold road river".split()
@@ -246,6 +377,40 @@ def test_item_index_equals_full_scoring():
             assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in got)
 
 
+@pytest.mark.parametrize("dense", [0, 1024])
+def test_open_blocks_lose_no_entry(monkeypatch, dense):
+    """Whatever a full scoring of both blocks of a passage finds is in an open block, by dense and by sparse sums."""
+    monkeypatch.setattr(decontaminate, "DENSE_ENTRIES", dense)
+    monkeypatch.setattr(decontaminate, "CELLS", 300)
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(90)]
+    index = decontaminate.ItemIndex([(i, " ".join(rng.choice(vocab[: rng.choice([20, 90])]) for _ in range(rng.randint(3, 25)))) for i in range(60)])
+    for _ in range(20):
+        blocks = [sorted({index.term[w] for w in rng.sample(vocab, rng.randint(0, 14)) if w in index.term}) for _ in range(25)]
+        same = np.array([rng.random() < 0.7 for _ in blocks])
+        same[-1] = False
+        at = np.array([b for b, ts in enumerate(blocks) for _ in ts], np.int64)
+        term = np.array([t for ts in blocks for t in ts], np.int64)
+        found = set(index.open_blocks(at, term, same, 0.5).tolist())
+        assert len(found) < 25
+        for b, ts in enumerate(blocks):
+            if index.search(sorted({*ts, *(blocks[b + 1] if same[b] else [])}), 0.5):
+                assert b in found
+
+
+def test_sparse_and_dense_sums_find_the_same(monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(rng.randint(5, 30))) + ". " + " ".join(word() for _ in range(3))) for i in range(200)]
+    index = decontaminate.ItemIndex(items)
+    texts = [" ".join(word() for _ in range(rng.randint(0, 200))) + " " + items[rng.randrange(200)][1] for _ in range(60)] + ["", "...", "zzz zz"]
+    told = []
+    for dense in (1024, 0):
+        monkeypatch.setattr(decontaminate, "DENSE_ENTRIES", dense)
+        told.append(sorted(index.leaks(WordMemo(index.terms_of), texts, 0.5, 0.5)))
+    assert told[0] == told[1] and len(told[0]) >= 60
+
+
 def test_leaks_in_long_texts():
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -260,18 +425,18 @@ def test_leaks_in_long_texts():
     assert decontaminate.ItemIndex([]).leaks(WordMemo(index.terms_of), texts, 0.5, 0.5) == []
 
 
-@pytest.mark.parametrize("n", [257, 600])
+@pytest.mark.parametrize("n", [255, 256, 257, 300, 600, 2000])
 def test_long_items_are_verified_whole(n):
     rng = random.Random(n)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     long = [word() for _ in range(n - 1)]
     item = " ".join(long[:-1]) + f". {long[-1]} the"
     short = (2, " ".join(word() for _ in range(20)) + ". green it is.")
-    clean = "the " + " ".join(word() for _ in range(900))
+    clean = "the " + " ".join(word() for _ in range(900)) + " a calm text about the weather and nothing of the test"
     half = " ".join(long[: n // 3]) + " " + clean
     texts = [clean, half, clean + " " + item + " " + clean, clean + " " + short[1], " ".join(long[:-1])]
     indexes = decontaminate.item_indexes([(1, item), short])
-    assert [index.block for index in indexes] == [23, n]
+    assert [index.block for index in indexes] == ([n] if n <= 256 else [23, n])
     got = {(i, found): (q, a) for index in indexes for i, found, _, _, q, a in index.leaks(WordMemo(index.terms_of), texts, 0.5, 0.5)}
     assert got == {(2, 1): (1.0, 1.0), (3, 2): (1.0, 1.0)}
 

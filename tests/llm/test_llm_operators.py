@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ngram_join, queries
+from tessera.llm import ngram_join, queries, url_filters
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.components import connected_components
 from tessera.llm.common import Scratch
@@ -31,7 +31,7 @@ from tessera.llm.url_filters import filter_urls, validity
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators add, as columns of the input.
-CLASH = ("kept", "keep_id", "group_size", "digest", "shard", "slot", "size", "score", "held_out", "predicted", "ids", "spans", "n", "rep", "component_id", "host", "decision", "set", "key", "_row")
+CLASH = ("kept", "keep_id", "group_size", "digest", "shard", "slot", "size", "score", "held_out", "predicted", "ids", "spans", "n", "rep", "component_id", "host", "decision", "set", "key", "_row", "component", "_found", "_text", "_key", "_leak", "node", "passage", "lang_pred")
 
 
 def text_rows():
@@ -174,6 +174,44 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want and len(got) == len(rows)
 
 
+def test_ngram_join_by_row(spark):
+    """One key with different texts has links for each of them; keys that are null have the component's smallest key."""
+    base = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    near = lambda t, x: t + f" {x}"
+    rows = [(7, base), (7, other), (9, near(base, "a")), (3, near(other, "b")), (None, near(base, "c")), (None, near(other, "d")), (None, "alone here"), (None, None), (7, None)]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, number long"), carry=("number",)).collect()
+    told = {r.number: r for r in got}
+    assert [told[i].component_id for i in range(9)] == [7, 3, 7, 3, 7, 3, None, None, 7]
+    assert told[0].component == told[2].component == told[4].component != told[1].component == told[3].component == told[5].component
+    assert told[7].component is None and told[8].component is None and told[6].component is not None
+
+
+def test_ngram_join_of_very_long_texts(spark, tmp_path):
+    """Sets of over a million shingles, in many groups, and near copies of them."""
+    words = np.char.add("w", np.arange(1_100_000).astype(str))
+    long = " ".join(words)
+    rows = [(1, long), (2, long + " more"), (3, " ".join(words[: 900_000])), (4, " ".join(words[:700_000])), (5, long.upper())]
+    rows += [(10 + i, " ".join(words[20_000 * i : 20_000 * i + 60])) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert [got[i] for i in range(1, 6)] == [(1_099_996, 1), (1_099_997, 1), (899_996, 1), (699_996, 1), (1_099_996, 1)]  # 4 by way of 3
+    assert all(got[10 + i] == (56, 10 + i) for i in range(40))
+
+
+def test_shared_passages_make_no_pairs(spark):
+    """Unlinked texts that share 81 % of their shingles: no candidate pair is made, however many they are."""
+    rng = random.Random(3)
+    common = " ".join(f"b{rng.randrange(999)}" for _ in range(174))
+    df = spark.createDataFrame([(i, common + " " + " ".join(f"u{i}x{k}" for k in range(40))) for i in range(600)], "doc_id long, text string")
+    lists = [(t, i, 214, 40 + t) for t in range(14) for i in range(600)]  # their first shared shingles stand after the 40 of their own
+    tagged = spark.createDataFrame(lists, "token long, node long, n long, place long").withColumn("c", F.col("node"))
+    assert ngram_join._candidates(tagged, 75).count() == 0
+    assert ngram_join.ngram_jaccard_join(df).where("component_id <> doc_id").count() == 0
+    near = tagged.withColumn("place", F.col("place") - 12)
+    assert ngram_join._candidates(near.where("node < 20"), 75).count() == 190
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(50, 99), rng.randint(50, 99)) for _ in range(30)] + [(200, x) for x in range(201, 260)]
@@ -248,17 +286,39 @@ def test_leaks_do_not_depend_on_shards(spark):
     assert len(one) > 50 and any(r[3] < 1 for r in one) and one == few == many
 
 
-def test_url_filters(spark):
-    entries = spark.sql(f"SELECT * FROM VALUES {queries.LIST_CHANGES} AS t(list_name, action, pattern, change, dated)")
+#: Dated changes of filter lists: list, action, pattern, change, date.
+LIST_CHANGES = """
+('gambling', 'block', 'casino-win.example.com', 'add', DATE '2024-01-10'),
+('gambling', 'block', 'free-bets.example.com', 'add', DATE '2024-02-01'),
+('gambling', 'block', 'free-bets.example.com', 'remove', DATE '2024-06-15'),
+('gambling', 'block', 'free-bets.example.com', 'add', DATE '2024-09-01'),
+('pharma', 'block', 'cheap-pills.example.com', 'add', DATE '2024-03-20'),
+('pharma', 'block', 'cheap-pills.example.com/de', 'add', DATE '2024-05-05'),
+('pharma', 'allow', 'cheap-pills.example.com/fr', 'add', DATE '2024-04-01'),
+('pharma', 'allow', 'cheap-pills.example.com/fr', 'remove', DATE '2024-08-01'),
+('spam', 'block', 'tionble.example.org', 'add', DATE '2024-02-10'),
+('spam', 'block', 'tionble.example.org', 'remove', DATE '2024-02-10')
+"""
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_url_filters(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(url_filters, "BROADCAST_ROWS", broadcast)
+    entries = spark.sql(f"SELECT * FROM VALUES {LIST_CHANGES} AS t(list_name, action, pattern, change, dated)")
     assert validity(entries).where("pattern = 'tionble.example.org'").count() == 0
+    deep = "https://cheap-pills.example.com/fr/" + "x/" * 20_000
     told = [
         (1, "https://casino-win.example.com/x", "2024-01-09", "none"), (2, "https://a.CASINO-win.example.com:8080/x", "2024-01-10", "block"), (3, "http://free-bets.example.com", "2024-07-01", "none"),
         (4, "http://free-bets.example.com", "2024-09-01", "block"), (5, "https://cheap-pills.example.com/fr/9?x#y", "2024-05-01", "allow"), (6, "https://cheap-pills.example.com/fr/9", "2024-08-01", "block"),
         (7, "not a url", "2024-08-01", "invalid"), (8, None, "2024-08-01", "invalid"), (9, "https://x.example.org/", None, "invalid"), (10, "https://notcasino-win.example.com/", "2024-08-01", "none"), (2, "https://a.CASINO-win.example.com:8080/x", "2024-01-10", "block"),
+        (11, deep, "2024-05-01", "allow"), (12, "https://" + "a." * 2000 + "casino-win.example.com/", "2024-05-01", "block"), (None, "", "2024-05-01", "invalid"),
     ]
-    df = spark.createDataFrame([t[:3] + ("own",) for t in told], "page_id long, url string, fetched_at string, host string")
+    own = ["host", "_n", "_best", "_url", "_day", "valid_from", "day", "Pattern", "list_name", "action"]
+    df = spark.createDataFrame([(*t[:3], *own) for t in told], "page_id long, url string, fetched_at string, " + ", ".join(f"{c} string" for c in own))
     got = filter_urls(df, entries).collect()
-    assert sorted((r.page_id, r.decision) for r in got) == sorted((t[0], t[3]) for t in told)
+    assert sorted((str(r.page_id), r.decision) for r in got) == sorted((str(t[0]), t[3]) for t in told)
+    kept = ("_n", "_best", "_url", "_day", "valid_from", "day", "action")
+    assert all(getattr(r, c) == c for r in got for c in ("valid_from", "day", "action")) and all(r[c] == c for r in got for c in kept)
     assert {r.decision for r in filter_urls(df, entries.where("false")).collect()} == {"none", "invalid"} and filter_urls(df.where("false"), entries).count() == 0
 
 
@@ -311,6 +371,36 @@ def test_pipeline(spark, tmp_path, rows):
     assert got == sorted((r.doc_id, r.ids_sha256) for r in out.collect())
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null keys, one key with a good and a bad text, rows that repeat: what one row deserves happens to no other."""
+    item = "these are the words of a question that stands in the test about rivers. the answer is green."
+    prose = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    rows = [
+        (7, "12 34"), (7, prose("kept")), (None, "56 78 !"), (None, prose("nokey")), (None, prose("nokey")), (8, prose("twice")), (8, prose("twice")), (9, prose("twice")),
+        (10, prose("near") + " x"), (None, prose("near") + " y"), (11, f"{prose('leak')} {item}"), (11, prose("clean")), (None, f"{item} {prose('other')}"), (12, None), (12, ""), (12, prose("last")),
+    ]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    wants = [
+        sorted((str(i), t) for i, t in rows if t and any(c.isalpha() for c in t)),
+        sorted([("7", prose("kept")), ("None", prose("nokey")), ("8", prose("twice")), ("10", prose("near") + " x"), ("None", prose("near") + " y"), ("11", f"{prose('leak')} {item}"), ("11", prose("clean")), ("None", f"{item} {prose('other')}"), ("12", prose("last"))]),
+    ]
+    wants.append([r for r in wants[1] if not r[1].endswith(" y")])
+    wants.append([r for r in wants[2] if item not in r[1]])
+    read, scratch = spark.read.parquet(str(tmp_path / "documents.parquet")), Scratch(spark, "t")
+    for source in (read, spark.createDataFrame(read.collect(), DOCS)):  # rows of files, and rows without a place
+        docs = source.withColumn("_row", F.lit("own")).withColumn("_found", F.lit("own"))
+        for (name, stage), want in zip(corpus_pipeline.STAGES, wants):
+            out = scratch.stage(stage(spark, docs, str(tmp_path)), name)
+            assert out.columns == docs.columns
+            assert sorted((str(r.doc_id), r.text) for r in out.collect()) == want, name
+            docs = out
+    staged = lambda: {p.name for p in Path(scratch.path.removeprefix("file://")).parent.iterdir()}
+    before = staged()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(wants[3])
+    assert [name.startswith("tessera-pipeline-") for name in staged() - before] == [True]  # the table that the last stage reads
+
+
 @pytest.mark.parametrize("labelled", ["none", "held_out", "und"])
 def test_language_stage_without_labels(spark, tmp_path, rows, labelled):
     """Only texts without a letter go when there is nothing to learn from, or when `und` is all there is to learn."""
