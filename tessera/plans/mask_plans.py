@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import fixed
 from tessera.operators import raster as R
 from tessera.plans.common import FRAME, polygons, r4, sql_edges, sql_points
 
@@ -14,8 +15,16 @@ CELL = FRAME / SIDE
 FINE = 56
 
 
-def _pixels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return R.pixels(polygons(spark, sf_dir).select("vec_id", name), name, SIDE, CELL)
+def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, a and b: ground truth and prediction as bit rows, made once for each row."""
+    both = F.struct(R.bit_rows(F.col("gt"), SIDE, CELL).alias("a"), R.bit_rows(F.col("pred"), SIDE, CELL).alias("b"))
+    return fixed(polygons(spark, sf_dir).select("vec_id", "gt", "pred"), "m", both).select("vec_id", "m.a", "m.b")
+
+
+def _by_op(rows: DataFrame, counts: dict) -> DataFrame:
+    """A row for each operation whose result has pixels: vec_id, op, n."""
+    told = F.array(*[F.struct(F.lit(name).alias("op"), n.alias("n")) for name, n in counts.items()])
+    return rows.select("vec_id", F.explode(told).alias("x")).select("vec_id", "x.op", "x.n").where("n > 0")
 
 
 def _sql_pixels(name: str, points: str, first: int) -> str:
@@ -28,11 +37,10 @@ BOTH = f"{_sql_pixels('a', 'v', 0)}, {_sql_pixels('b', 'w', 12)}"
 
 
 def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intersection over union of ground truth and prediction by a full join of their pixels."""
-    a = _pixels(spark, sf_dir, "gt").withColumn("a", F.lit(1))
-    b = _pixels(spark, sf_dir, "pred").withColumn("b", F.lit(1))
-    counts = a.join(b, ["vec_id", "y", "x"], "full").groupBy("vec_id").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("common"), F.count("*").alias("either"))
-    return counts.select("vec_id", "common", "either", r4(F.col("common") / F.col("either")).alias("iou"))
+    """Intersection over union of ground truth and prediction, by bits of rows."""
+    a, b = F.col("a"), F.col("b")
+    rows = _masks(spark, sf_dir).select("vec_id", R.bit_count(R.bit_and(a, b)).alias("common"), R.bit_count(R.bit_or(a, b)).alias("either"))
+    return rows.where("either > 0").select("*", r4(F.col("common") / F.col("either")).alias("iou"))
 
 
 MASK_IOU = f"""WITH {BOTH} SELECT vec_id, count(*) FILTER (na=1 AND nb=1) AS common, count(*) AS either, round(count(*) FILTER (na=1 AND nb=1)/count(*)::DOUBLE,4) AS iou
@@ -41,14 +49,9 @@ FROM (SELECT vec_id, y, x, max(s=1)::INT AS na, max(s=2)::INT AS nb FROM (SELECT
 
 def mask_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, intersection, a band of rows and the flip of a prediction, as counts of pixels."""
-    a, b = _pixels(spark, sf_dir, "gt"), _pixels(spark, sf_dir, "pred")
-    flipped = b.withColumn("x", SIDE - 1 - F.col("x"))
-    parts = {"a_or_b": a.union(b).distinct(), "a_and_b": a.intersect(b), "a_in_band": a.where("y BETWEEN 4 AND 11"), "a_and_flip": a.join(flipped, ["vec_id", "y", "x"], "left_semi"), "a_not_b": a.join(b, ["vec_id", "y", "x"], "left_anti")}
-    told = None
-    for name, rows in parts.items():
-        counted = rows.groupBy("vec_id").agg(F.count("*").alias("n")).select("vec_id", F.lit(name).alias("op"), "n")
-        told = counted if told is None else told.unionByName(counted)
-    return told
+    a, b = F.col("a"), F.col("b")
+    parts = {"a_or_b": R.bit_or(a, b), "a_and_b": R.bit_and(a, b), "a_in_band": F.slice(a, 5, 8), "a_and_flip": R.bit_and(a, R.bit_flip(b, SIDE)), "a_not_b": R.bit_minus(a, b)}
+    return _by_op(_masks(spark, sf_dir), {name: R.bit_count(rows) for name, rows in parts.items()})
 
 
 MASK_SET_OPS = f"""WITH {BOTH} SELECT vec_id, 'a_or_b' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY vec_id
@@ -58,13 +61,10 @@ UNION ALL SELECT vec_id, 'a_and_flip', count(*) FROM (SELECT * FROM a INTERSECT
 
 def mask_morph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dilation, erosion, closing and opening by a square of three, as counts of pixels."""
-    a = _pixels(spark, sf_dir, "gt")
-    parts = {"dilate": R.dilated(a, 3, SIDE), "erode": R.eroded(a, 3, SIDE), "close": R.eroded(R.dilated(a, 3, SIDE), 3, SIDE), "open": R.dilated(R.eroded(a, 3, SIDE), 3, SIDE)}
-    told = None
-    for name, rows in parts.items():
-        counted = rows.groupBy("vec_id").agg(F.count("*").alias("n")).select("vec_id", F.lit(name).alias("op"), "n")
-        told = counted if told is None else told.unionByName(counted)
-    return told
+    rows = fixed(_masks(spark, sf_dir).select("vec_id", "a"), "m", F.struct(R.bit_dilate(F.col("a"), SIDE).alias("d"), R.bit_erode(F.col("a"), SIDE).alias("e")))
+    d, e = F.col("m.d"), F.col("m.e")
+    parts = {"dilate": d, "erode": e, "close": R.bit_erode(d, SIDE), "open": R.bit_dilate(e, SIDE)}
+    return _by_op(rows, {name: R.bit_count(m) for name, m in parts.items()})
 
 
 def _sql_grow(name: str, src: str) -> str:
@@ -110,21 +110,75 @@ def mask_profile_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polygons(spark, sf_dir).select("vec_id", R.measured([F.col("gt")], measure, schema).alias("m")).select("vec_id", "m.*")
 
 
-def mask_hull_backfill_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def measure(a: np.ndarray, b: np.ndarray) -> dict:
+def _measured(spark: SparkSession, sf_dir: str, measure, *names: str) -> DataFrame:
+    """A number of each name for every pair of polygons on the fine grid: measure gets the mask and the chair, a hull around both polygons."""
+
+    def run(a: np.ndarray, b: np.ndarray) -> dict:
         scale = FINE / FRAME
-        mask, chair = R.fill(a * scale, FINE, FINE), R.hull_mask(R.fill(a * scale, FINE, FINE) | R.fill(b * scale, FINE, FINE))
-        deep = R.deep_style(mask, chair, 0.42)
+        mask = R.fill(a * scale, FINE, FINE)
+        return dict(zip(names, map(int, measure(mask, R.hull_mask(mask | R.fill(b * scale, FINE, FINE)), a))))
+
+    schema = "struct<" + ",".join(f"{name}:int" for name in names) + ">"
+    return polygons(spark, sf_dir).select("vec_id", R.measured([F.col("gt"), F.col("pred")], run, schema).alias("m")).select("vec_id", "m.*")
+
+
+def mask_hull_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir, lambda m, chair, _: (m.sum(), chair.sum(), R.smooth_by_hull(m, chair).sum()), "n_set", "n_chair", "n_hull")
+
+
+def mask_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seat's prior from the chair, and the mask flooded into it."""
+
+    def measure(m: np.ndarray, chair: np.ndarray, _: np.ndarray) -> tuple:
+        prior = R.seat_prior(chair)
+        return prior.sum(), R.backfill(m, prior, 0.2, 0.2, 0.1).sum()
+
+    return _measured(spark, sf_dir, measure, "n_prior", "n_backfill")
+
+
+def mask_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def measure(m: np.ndarray, chair: np.ndarray, _: np.ndarray) -> tuple:
+        deep = R.deep_style(m, chair, 0.42)
+        return deep.sum(), R.front_style(deep, 0.5).sum()
+
+    return _measured(spark, sf_dir, measure, "n_deep", "n_front")
+
+
+def mask_hip_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hip zone of a chair and how many candidates it gives; a chair under 20 pixels has neither."""
+
+    def measure(m: np.ndarray, chair: np.ndarray, _: np.ndarray) -> tuple:
         zone = R.hip_zone(chair)
-        ring = R.outline(mask)
-        clipped = R.clip_polygon(a, 40.0, 40.0, 180.0, 180.0)
-        return {
-            "n_set": int(mask.sum()), "n_hull": int(R.smooth_by_hull(mask, chair).sum()), "n_backfill": int(R.backfill(mask, R.seat_prior(chair), 0.2, 0.2, 0.1).sum()),
-            "n_deep": int(deep.sum()), "n_front": int(R.front_style(deep, 0.5).sum()), "n_depth": int(R.trim_depth(mask).sum()), "n_zone": int(zone.sum()), "n_ring": len(ring), "n_clipped": len(clipped),
-        }
+        return zone.sum(), len(R.zone_candidates(zone, *R.depth_axis(chair), 3)) if chair.sum() >= 20 else 0
+
+    return _measured(spark, sf_dir, measure, "n_zone", "n_candidates")
+
+
+def mask_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the outline, and of the polygon cut to a rectangle."""
+    return _measured(spark, sf_dir, lambda m, _, a: (len(R.outline(m)), len(R.clip_polygon(a, 40.0, 40.0, 180.0, 180.0))), "n_ring", "n_clipped")
+
+
+def mask_depth_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range of depth that a mask is cut to, from the middle of the polygon's first side to that of its fourth, and the pixels left."""
+
+    def run(a: np.ndarray) -> dict:
+        mask = R.fill(a / CELL, SIDE, SIDE)
+        back, front = (tuple((a[i] + a[i + 1]) / 2 / CELL) for i in (0, 3))
+        chosen, kept = R.depth_range(mask, back, front, least=8)
+        return {"n_set": int(mask.sum()), "low": chosen[0] if chosen else -1.0, "n_kept": int(kept.sum())}
+
+    return polygons(spark, sf_dir).select("vec_id", R.measured([F.col("gt")], run, "struct<n_set:int,low:double,n_kept:int>").alias("m")).select("vec_id", "m.*")
+
 
-    schema = "struct<" + ",".join(f"n_{k}:int" for k in ("set", "hull", "backfill", "deep", "front", "depth", "zone", "ring", "clipped")) + ">"
-    return polygons(spark, sf_dir).select("vec_id", R.measured([F.col("gt"), F.col("pred")], measure, schema).alias("m")).select("vec_id", "m.*")
+MASK_DEPTH = f"""WITH {_sql_pixels("a", "v", 0)}, s AS (SELECT vec_id, (max(x) FILTER (i=0)+max(x) FILTER (i=1))/2/{CELL} AS bx, (max(y) FILTER (i=0)+max(y) FILTER (i=1))/2/{CELL} AS b_y,
+  (max(x) FILTER (i=3)+max(x) FILTER (i=4))/2/{CELL} AS fx, (max(y) FILTER (i=3)+max(y) FILTER (i=4))/2/{CELL} AS f_y FROM v GROUP BY vec_id),
+w AS (SELECT *, fx-bx AS dx, f_y-b_y AS dy, (fx-bx)*(fx-bx)+(f_y-b_y)*(f_y-b_y) AS n2 FROM s),
+r AS (SELECT vec_id, bx, b_y, dx, dy, n2, unnest(CASE WHEN abs(dy)/sqrt(greatest(n2,1e-8))>=0.75 THEN [[0.32,0.86],[0.28,0.90],[0.24,0.92]] WHEN abs(dy)/sqrt(greatest(n2,1e-8))>=0.55 THEN [[0.26,0.90],[0.22,0.93],[0.18,0.95]] ELSE [[0.20,0.95],[0.16,0.96]] END)::DOUBLE[] AS lim FROM w),
+t AS (SELECT vec_id, count(*) AS n FROM a GROUP BY vec_id),
+k AS (SELECT r.vec_id, lim[1] AS low, count(*) FILTER (((x-bx)*dx+(y-b_y)*dy)/n2 >= lim[1] AND ((x-bx)*dx+(y-b_y)*dy)/n2 <= lim[2]) AS kept FROM r JOIN a USING (vec_id) GROUP BY r.vec_id, lim[1], lim[2]),
+f AS (SELECT vec_id, low, kept, row_number() OVER (PARTITION BY vec_id ORDER BY low DESC) AS o FROM k JOIN t USING (vec_id) WHERE kept >= greatest(8, floor(0.36*n)))
+SELECT e.vec_id, coalesce(t.n,0)::INTEGER AS n_set, coalesce(f.low,-1.0)::DOUBLE AS low, coalesce(f.kept,t.n,0)::INTEGER AS n_kept FROM embeddings e LEFT JOIN t USING (vec_id) LEFT JOIN f ON f.vec_id=e.vec_id AND f.o=1"""
 
 
 QUERIES = {
@@ -133,5 +187,10 @@ QUERIES = {
     "mask_morph": (mask_morph, MASK_MORPH),
     "mask_largest_cc": (mask_largest_cc, MASK_CC),
     "mask_profile_trim": (mask_profile_trim, None),
-    "mask_hull_backfill_trim": (mask_hull_backfill_trim, None),
+    "mask_hull_smooth": (mask_hull_smooth, None),
+    "mask_backfill": (mask_backfill, None),
+    "mask_styles": (mask_styles, None),
+    "mask_depth_trim": (mask_depth_trim, MASK_DEPTH),
+    "mask_hip_zone": (mask_hip_zone, None),
+    "mask_outline": (mask_outline, None),
 }

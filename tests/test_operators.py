@@ -133,10 +133,167 @@ def test_raster_shapes():
     assert {tuple(p) for p in clipped.tolist()} == {(2, 2), (5, 2), (5, 5), (2, 5)} and len(R.clip_polygon(square, 20, 20, 30, 30)) == 0
     assert R.hip_zone(np.ones((30, 30), bool)).any() and not R.hip_zone(np.zeros((30, 30), bool)).any()
     mask = R.fill(square + 8, 28, 28)
-    for f in (lambda m: R.trim_sides(m, 0.1, 1), lambda m: R.trim_rows(m, 0.68, 1), R.seat_prior, lambda m: R.front_style(m, 0.5), R.trim_depth):
+    for f in (lambda m: R.trim_sides(m, 0.1, 1), lambda m: R.trim_rows(m, 0.68, 1), R.seat_prior, lambda m: R.front_style(m, 0.5)):
         assert not (f(mask) & ~mask).any() and not f(np.zeros((4, 4), bool)).any()
 
 
+def pixels_of(mask):
+    return {tuple(p) for p in np.argwhere(mask).tolist()}
+
+
+def parts_of(pixels):
+    """Sets of pixels that hang together by eight neighbours, the largest first, of equal ones that with the first pixel."""
+    left, parts = set(pixels), []
+    while left:
+        stack, own = [min(left)], set()
+        while stack:
+            p = stack.pop()
+            if p in left:
+                left.discard(p)
+                own.add(p)
+                stack += [(p[0] + dy, p[1] + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        parts.append(own)
+    return sorted(parts, key=lambda s: (-len(s), min(s)))
+
+
+def largest(pixels):
+    return parts_of(pixels)[0] if pixels else set()
+
+
+def spans_of(pixels):
+    return {y: (min(x for yy, x in pixels if yy == y), max(x for yy, x in pixels if yy == y)) for y in {y for y, _ in pixels}}
+
+
+def grown_by(pixels, tall, wide, shape):
+    return {(y + dy, x + dx) for y, x in pixels for dy in range(-tall, tall + 1) for dx in range(-wide, wide + 1) if 0 <= y + dy < shape[0] and 0 <= x + dx < shape[1]}
+
+
+def closed(pixels, half, shape):
+    wide = grown_by(pixels, half, half, shape)
+    inside = lambda y, x: all((y + dy, x + dx) in wide for dy in range(-half, half + 1) for dx in range(-half, half + 1) if 0 <= y + dy < shape[0] and 0 <= x + dx < shape[1])
+    return {p for p in wide if inside(*p)}
+
+
+def masks(n, seed):
+    """Random shapes: blobs with holes, thin ones, several parts, and nothing."""
+    rng = np.random.default_rng(seed)
+    for k in range(n):
+        shape = (int(rng.integers(18, 30)), int(rng.integers(18, 30)))
+        mask = np.zeros(shape, bool)
+        for _ in range(int(rng.integers(0, 4))):
+            y, x, h, w = (int(rng.integers(0, m)) for m in (*shape, 16, 16))
+            mask[y : y + h, x : x + w] = True
+        yield mask & (rng.random(shape) < (1.0 if k % 2 else 0.93))
+
+
+def test_masks_against_plain_sets():
+    """Seat prior, backfill, hip zone, deep and front style, depth trim and distances, each against sets of pixels."""
+    shown = 0
+    for mask, other in zip(masks(60, 1), masks(60, 2)):
+        shape = mask.shape
+        chair = np.zeros(shape, bool)
+        chair[: other.shape[0], : other.shape[1]] = other[: shape[0], : shape[1]]
+        chair |= mask
+        own, whole, spans = pixels_of(mask), pixels_of(chair), spans_of(pixels_of(chair))
+        prior: set = set()
+        if len(whole) >= 20:
+            y0, y1 = min(spans), max(spans)
+            low, high = y0 + round(0.34 * (y1 - y0 + 1)), min(y1, y0 + round(0.70 * (y1 - y0 + 1)))
+            for y in range(low, high + 1) if high > low else ():
+                if y in spans:
+                    a, b = spans[y]
+                    m = round(0.12 * (b - a + 1))
+                    left = min(a + m, shape[1] - 1)
+                    prior |= {(y, x) for x in range(left, max(min(shape[1] - 1, b - m), left) + 1)}
+        prior = largest(prior)
+        assert pixels_of(R.seat_prior(chair)) == prior
+
+        got, want, start = pixels_of(R.backfill(mask, R.seat_prior(chair), 0.2, 0.2, 0.1, 3)), largest(own), largest(own)
+        if want and prior:
+            box = lambda p: (min(x for _, x in p), min(y for y, _ in p), max(x for _, x in p), max(y for y, _ in p))
+            (px0, py0, px1, py1), (sx0, sy0, sx1, sy1) = box(start), box(prior)
+            w, h = sx1 - sx0 + 1, sy1 - sy0 + 1
+            ax0, ax1 = max(sx0, px0 - max(2, round(0.2 * w))), min(sx1, px1 + max(2, round(0.2 * w)))
+            ay0, ay1 = max(sy0, py0 - max(2, round(0.2 * h))), min(sy1, py1 + max(1, round(0.1 * h)))
+            target = {(y, x) for y, x in prior if ax0 <= x <= ax1 and ay0 <= y <= ay1}
+            if ax1 > ax0 and ay1 > ay0 and start & target:
+                reached = start & target
+                for _ in range(3):
+                    reached = grown_by(reached, 1, 1, shape) & target
+                want = largest(reached)
+                shown += want != start
+        assert got == want
+
+        distance = R.edge_distance(chair)
+        out = [(y, x) for y in range(-1, shape[0] + 1) for x in range(-1, shape[1] + 1) if (y, x) not in whole]
+        for y, x in whole:
+            assert distance[y, x] == pytest.approx(min(math.hypot(y - v, x - u) for v, u in out))
+        assert not distance[~chair].any()
+
+        zone: set = set()
+        if len(whole) >= 20:
+            (bx, by), (fx, fy), depth = R.depth_axis(chair)
+            y0, tall = min(y for y, _ in whole), max(4.0, max(y for y, _ in whole) - min(y for y, _ in whole))
+            for (ex, ey), far in (((bx, by), False), ((fx, fy), True)):
+                for share in (0.18, 0.25):
+                    end = [(y, x) for y, x in whole if (y >= y0 + (1 - share) * tall if far else y <= y0 + share * tall)]
+                    if len(end) >= 20:
+                        break
+                end = end or [(y, x) for y, x in whole if y == max(v for v, _ in whole)]
+                assert (ex, ey) == pytest.approx((sum(x for _, x in end) / len(end), sum(y for y, _ in end) / len(end)))
+            n2 = (fx - bx) ** 2 + (fy - by) ** 2
+            assert all(depth[y, x] == pytest.approx(((x - bx) * (fx - bx) + (y - by) * (fy - by)) / n2, abs=1e-9) for y, x in whole)
+            t = lambda y, x: depth[y, x]  # noqa: B023, E731
+            margin = max(4.0, min(30.0, 0.045 * math.sqrt(len(whole))))
+            zone = largest({p for p in whole if distance[p] >= margin and 0.30 <= t(*p) <= 0.86})
+            if len(zone) < 80:
+                zone = largest({p for p in whole if distance[p] >= max(2.0, margin / 2) and 0.22 <= t(*p) <= 0.92})
+        assert pixels_of(R.hip_zone(chair)) == zone
+
+        start, deep = largest(own), set()
+        if start:
+            y0, y1 = min(y for y, _ in start), max(y for y, _ in start)
+            h = y1 - y0 + 1
+            k = max(3, round(0.42 * h))
+            k += k % 2 == 0
+            deep = {(y, x) for y, x in grown_by(start, k // 2, 2, shape) & whole if round(y0 - 1.1 * h) <= y <= round(y1 + 0.35 * h)}
+            deep = largest(closed(deep, 2, shape))
+        assert pixels_of(R.deep_style(mask, chair, 0.42)) == deep
+        front = set()
+        if deep:
+            y0, y1 = min(y for y, _ in deep), max(y for y, _ in deep)
+            front = largest(closed({(y, x) for y, x in deep if y > y1 - max(1, round(0.5 * (y1 - y0 + 1)))}, 2, shape))
+        assert pixels_of(R.front_style(R.deep_style(mask, chair, 0.42), 0.5)) == front
+    assert shown > 5
+
+
+def test_depth_trim():
+    """The strictest range that leaves 36 % of the pixels and 64 of them, by how upright the axis is."""
+    mask = np.ones((50, 40), bool)
+    for (back, front), ranges in {((20.0, 0.0), (20.0, 49.0)): ((0.32, 0.86),), ((0.0, 10.0), (39.0, 40.0)): ((0.26, 0.90),), ((0.0, 25.0), (39.0, 25.0)): ((0.20, 0.95),)}.items():
+        chosen, kept = R.depth_range(mask, back, front)
+        n2 = (front[0] - back[0]) ** 2 + (front[1] - back[1]) ** 2
+        t = lambda y, x: ((x - back[0]) * (front[0] - back[0]) + (y - back[1]) * (front[1] - back[1])) / n2  # noqa: B023, E731
+        assert chosen == ranges[0] and pixels_of(kept) == {(y, x) for y in range(50) for x in range(40) if chosen[0] <= t(y, x) <= chosen[1]}
+        assert pixels_of(R.trim_depth(mask, back, front)) == closed(pixels_of(kept), 1, mask.shape)
+    top = mask & (np.arange(50) < 14)[:, None]  # all but the loosest range leave too little
+    assert R.depth_range(top, (20.0, 0.0), (20.0, 49.0))[0] is None and (R.trim_depth(top, (20.0, 0.0), (20.0, 49.0)) == top).all()
+    assert R.depth_range(mask & (np.arange(50) < 20)[:, None], (20.0, 0.0), (20.0, 49.0))[0] == (0.24, 0.92)
+    assert R.depth_range(mask, (3.0, 3.0), (3.0, 3.0))[0] is None and not R.trim_depth(np.zeros((4, 4), bool), (0.0, 0.0), (0.0, 4.0)).any()
+
+
+def test_bit_rows_equal_masks(spark):
+    rng = np.random.default_rng(3)
+    polygons = [rng.random((int(rng.integers(3, 8)), 2)) * 16 for _ in range(60)]
+    df = spark.createDataFrame([(i, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(polygons)], "i int, p array<struct<x:double,y:double>>")
+    rows = df.select("i", R.bit_rows(F.col("p"), 16, 1.0).alias("a"))
+    rows = rows.select("i", "a", R.bit_dilate(F.col("a"), 16).alias("d"), R.bit_erode(F.col("a"), 16).alias("e"), R.bit_flip(F.col("a"), 16).alias("f")).collect()
+    grid = lambda bits: np.array([[b >> k & 1 for k in range(16)] for b in bits], bool)
+    for r in rows:
+        mask = R.fill(polygons[r.i], 16, 16)
+        assert (grid(r.a) == mask).all() and (grid(r.d) == R.dilate(mask, 3)).all() and (grid(r.e) == R.erode(mask, 3)).all() and (grid(r.f) == mask[:, ::-1]).all()
+
+
 def test_image_headers(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 640, 480)
     gif = b"GIF89a" + struct.pack("<HH", 7, 9)
