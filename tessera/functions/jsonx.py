@@ -26,7 +26,7 @@ def without_fence(text: str) -> str:
 def _object(text: str) -> dict | None:
     try:
         found = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):  # what is nested too deeply is not an object that can be used
         return None
     return found if isinstance(found, dict) else None
 
@@ -55,6 +55,12 @@ def last_object(text: str) -> dict | None:
     return next((o for a, b in reversed(top_level_spans(text)) if (o := _object(text[a:b])) is not None), None)
 
 
+def _end_of_run(text: str, start: int) -> int:
+    """Where a run of opening brackets ends, less the depth that a parser reaches from there."""
+    run = re.compile(r'[\s\[{]*(?:"[^"]*"\s*:\s*[\[{][\s\[{]*)*').match(text, start)
+    return max(start + 1, run.end() - 500)
+
+
 def best_object(text: str, target: str) -> dict | None:
     """The whole text as an object, else the object in it with the most expected keys, the longest of equals.
 
@@ -66,9 +72,15 @@ def best_object(text: str, target: str) -> dict | None:
         return whole
     wanted, decoder = {"task", "image_size", target}, json.JSONDecoder()
     best: tuple[int, int, dict] | None = None
+    skip = 0
     for m in re.finditer(r"\{", text):
+        if m.start() < skip:
+            continue
         try:
             found, end = decoder.raw_decode(text, m.start())
+        except RecursionError:
+            skip = _end_of_run(text, m.start())
+            continue
         except ValueError:
             continue
         rank = (max(1, len(wanted & found.keys())), end - m.start())
@@ -160,16 +172,10 @@ def recovered(text: Column, task: str, target: str) -> Column:
 
 
 def lenient_number(text: Column) -> Column:
-    """number() of JSON texts of single values."""
-
-    def one(told: str | None) -> float | None:
-        try:
-            return None if told is None else number(json.loads(told))
-        except ValueError:
-            return None
-
-    @F.pandas_udf("double")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(one).astype(float)
-
-    return run(text)
+    """number() of JSON texts of single values: a number, or a quoted one with thousands separators or a pixel unit."""
+    told = F.trim(text)
+    quoted = F.regexp_extract(told, r'^"([^"\\]*)"$', 1)
+    bare = F.regexp_replace(F.regexp_replace(F.trim(quoted), ",", ""), r"\s*[pP][xX]$", "")
+    plain = F.when(told.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"), told).when(bare.rlike(r"^[+-]?(?:[0-9]+(?:_[0-9]+)*\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), F.replace(bare, F.lit("_"), F.lit("")))
+    value = plain.try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)

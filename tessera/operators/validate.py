@@ -26,11 +26,12 @@ def then(done: Column, more: Column) -> Column:
     return F.when(F.size(done) == 0, more).otherwise(done)
 
 
-def point_errors(points: Column, label: str, width: Column, height: Column) -> Column:
+def point_errors(points: Column, label: str | Column, width: Column, height: Column) -> Column:
     """For each point: numbers must be there, and lie in the frame."""
+    told = F.lit(label) if isinstance(label, str) else label
 
     def of(p: Column, i: Column) -> Column:
-        name = F.concat(F.lit(f"{label}["), i.cast("string"), F.lit("]"))
+        name = F.concat(told, F.lit("["), i.cast("string"), F.lit("]"))
         missing = p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"])
         out_x, out_y = (p["x"] < 0) | (p["x"] > width - 1), (p["y"] < 0) | (p["y"] > height - 1)
         return F.when(missing, F.array(F.concat(name, F.lit(" must have numeric x and y")))).otherwise(
@@ -93,31 +94,60 @@ def part_issues(seat_conf: Column, floor_conf: Column, back_conf: Column, seat_s
     )
 
 
-def part_errors(confidences: dict[str, Column], flags: dict[str, Column], armrests: Column, legs: Column) -> Column:
-    """Confidences in [0, 1], flags present, at most two armrests and eight legs."""
-    found = [(value.isNull() | (value < 0) | (value > 1), f"parts.{name} must be a number in [0, 1]") for name, value in confidences.items()]
+def part_errors(confidences: dict[str, Column], flags: dict[str, Column], lists: dict[str, tuple[Column, int]], width: Column, height: Column) -> Column:
+    """Confidences and flags of parts, and the items of their lists (by name: items and the most there may be), without repeats.
+
+    An item is struct<line, confidence, visible>; a null list is an empty one.
+    """
+
+    def share(value: Column, name: str | Column) -> list[tuple[Column, Column]]:
+        name = F.lit(name) if isinstance(name, str) else name
+        missing = value.isNull() | F.isnan(value)
+        return [(missing, F.concat(name, F.lit(" must be numeric"))), (~missing & ((value < 0) | (value > 1)), F.concat(name, F.lit(" must be in [0,1]")))]
+
+    def items(name: str, told: Column, most: int) -> Column:
+        def of(item: Column, i: Column) -> Column:
+            label = F.concat(F.lit(f"parts.{name}["), i.cast("string"), F.lit("]"))
+            wrong = item["line"].isNull() | (F.size(item["line"]) != 2)
+            line = F.when(wrong, F.array(F.concat(label, F.lit(".line must be a list of 2 points")))).otherwise(point_errors(item["line"], F.concat(label, F.lit(".line")), width, height))
+            rest = errors(*share(item["confidence"], F.concat(label, F.lit(".confidence"))), (item["visible"].isNull(), F.concat(label, F.lit(".visible must be boolean"))))
+            return F.when(item.isNull(), F.array(F.concat(label, F.lit(" must be an object")))).otherwise(F.concat(line, rest))
+
+        return F.when(told.isNull(), F.array().cast(NO_ERRORS)).otherwise(F.concat(errors((F.size(told) > most, f"parts.{name} has too many items (>{most})")), F.flatten(F.transform(told, of))))
+
+    found = [x for name, value in confidences.items() for x in share(value, f"parts.{name}")]
     found += [(flag.isNull(), f"parts.{name} must be boolean") for name, flag in flags.items()]
-    found += [(F.size(armrests) > 2, "parts.armrests must have at most 2 items"), (F.size(legs) > 8, "parts.legs must have at most 8 items")]
-    return F.array_distinct(errors(*found))
+    return F.array_distinct(F.concat(errors(*found), *[items(name, told, most) for name, (told, most) in lists.items()]))
 
 
 def pose_errors(keypoints: Column, width: Column, height: Column, expected_w: int, expected_h: int, names: list[str]) -> Column:
-    """keypoints is map<string, struct<x,y,confidence,visible>>: sizes, names, and every known point in order of name."""
+    """keypoints is map<string, struct<x,y,confidence,visible>>: sizes, names, and every known point in order of name.
+
+    What is null is missing: a size that does not match, no keypoints at all, a point or a number that is not there.
+    """
     known = F.array(*map(F.lit, names))
     missing = F.transform(F.array_sort(F.array_except(known, F.map_keys(keypoints))), lambda n: F.concat(F.lit("missing keypoint: "), n))
     unknown = F.transform(F.array_sort(F.array_except(F.map_keys(keypoints), known)), lambda n: F.concat(F.lit("unknown keypoint: "), n))
+    no_number = lambda v: v.isNull() | F.isnan(v)
 
     def of(name: Column) -> Column:
         p = keypoints[name]
-        return errors(
-            ((p["x"] < 0) | (p["x"] > expected_w - 1), F.concat(name, F.lit(".x out of bounds"))),
-            ((p["y"] < 0) | (p["y"] > expected_h - 1), F.concat(name, F.lit(".y out of bounds"))),
-            ((p["confidence"] < 0) | (p["confidence"] > 1), F.concat(name, F.lit(".confidence out of range"))),
+        x, y, confidence = p["x"], p["y"], p["confidence"]
+        nowhere = no_number(x) | no_number(y)
+        told = errors(
+            (nowhere, F.concat(name, F.lit(".x and "), name, F.lit(".y must be numeric"))),
+            (~nowhere & ((x < 0) | (x > expected_w - 1)), F.concat(name, F.lit(".x out of bounds"))),
+            (~nowhere & ((y < 0) | (y > expected_h - 1)), F.concat(name, F.lit(".y out of bounds"))),
+            (no_number(confidence), F.concat(name, F.lit(".confidence must be numeric"))),
+            (~no_number(confidence) & ((confidence < 0) | (confidence > 1)), F.concat(name, F.lit(".confidence out of range"))),
             (p["visible"].isNull(), F.concat(name, F.lit(".visible must be boolean"))),
         )
+        return F.when(p.isNull(), F.array(F.concat(name, F.lit(" must be an object")))).otherwise(told)
 
     points = F.flatten(F.transform(F.array_sort(F.array_intersect(known, F.map_keys(keypoints))), of))
-    return F.concat(errors((width != expected_w, "image_width mismatch"), (height != expected_h, "image_height mismatch")), missing, unknown, points)
+    size = lambda told, expected, name: (~told.eqNullSafe(F.lit(expected)), f"{name} mismatch")
+    sizes = errors(size(width, expected_w, "image_width"), size(height, expected_h, "image_height"))
+    return F.when(keypoints.isNull(), F.concat(sizes, F.array(F.lit("keypoints must be an object")))).otherwise(F.concat(sizes, missing, unknown, points))
 
 
 def checker_errors(score: Column, checks: Column, failures: Column, names: list[str]) -> Column:
@@ -170,6 +200,13 @@ def polygon_rejections(points: Column, width: int, height: int) -> Column:
     )
 
 
+def prediction_rejections(valid_json: Column, schema_valid: Column, points: Column, width: int, height: int) -> Column:
+    """Why a prediction is not used: no JSON, not of the schema, no polygon, or what makes its polygon not credible."""
+    only = lambda reason: F.array(F.lit(reason))
+    told = lambda flag: F.coalesce(flag, F.lit(False))
+    return F.when(~told(valid_json), only("invalid_json")).when(~told(schema_valid), only("schema_invalid")).when(points.isNull() | (F.size(points) == 0), only("empty_polygon")).otherwise(polygon_rejections(points, width, height))
+
+
 def target_error(target: Column, text: Column, task: str, shape: str, points: int = 0) -> Column:
     """The first fault of a training target, or null.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions.arrays import fixed
+from tessera.operators import documents as D
 from tessera.operators import pose as P
 from tessera.operators import validate as V
 from tessera.plans.common import FRAME, dim, polygon, r4, sql_edges, sql_points
@@ -178,26 +179,124 @@ def sanitize_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "ok", F.concat_ws("; ", F.array_distinct("notes")).alias("notes"), r4(G.polygon_area(F.col("seat"))).alias("seat_area"), r4(F.col("floor")[0]["y"]).alias("floor_y"), r4(F.col("back")[0]["y"]).alias("back_y"))
 
 
+def _line_items(kind: str, most: str, seed: int) -> str:
+    """Items of a list of parts made of a document's numbers: some have a line of one point, no confidence or flag, or leave the frame."""
+    point = lambda k: f"named_struct('x', cast((n_chars * (i + {k + 1}) + {seed}) % 260 - 10 AS double), 'y', cast((n_chars * (i + {k + 2}) + {seed}) % 240 - 5 AS double))"
+    line = f"IF((doc_id + i) % 7 = 0, array({point(0)}), array({point(0)}, {point(1)}))"
+    told = f"IF((doc_id + i + {seed}) % 11 = 0, NULL, cast((i * 37 + n_chars) % 130 AS double) / 100)"
+    item = f"named_struct('line', {line}, 'confidence', {told}, 'visible', IF((doc_id + i) % 13 = 0, NULL, (doc_id + i) % 2 = 0))"
+    return f"IF({most} = 0, cast(array() AS {kind}), transform(sequence(0, cast({most} AS int) - 1), i -> {item}))"
+
+
 def parts_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as parts: confidences from their length, flags from their labels."""
+    """Documents as parts: confidences and lines from their length, flags from their labels."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
     seat, floor, back = ((F.col("n_chars") % n) / float(n) for n in (101, 103, 107))
     seat = F.when(F.col("doc_id") % 11 != 0, seat)
     over = F.when(F.col("doc_id") % 13 == 0, back + 1).otherwise(back)
     seen, below = F.col("quality") == 1, F.when(F.col("doc_id") % 29 != 0, F.col("toxic") == 0)
+    rows = rows.select("*", F.expr(_line_items(D.ITEMS, "n_chars % 4", 3)).cast(D.ITEMS).alias("arms"), F.expr(_line_items(D.ITEMS, "n_chars % 10", 5)).cast(D.ITEMS).alias("legs"))
     issues = V.part_issues(seat, floor, back, seen, below, 0.2)
-    legs = F.sequence(F.lit(1), (F.col("n_chars") % 10 + 1).cast("int"))
-    errors = V.part_errors({"seat_confidence": seat, "backrest_confidence": over, "floor_confidence": floor}, {"seat_visible": seen, "floor_visible": below}, F.array(F.lit(1)), legs)
+    lists = {"armrests": (F.col("arms"), 2), "legs": (F.when(F.col("doc_id") % 5 != 0, F.col("legs")), 8)}
+    errors = V.part_errors({"seat_confidence": seat, "backrest_confidence": over, "floor_confidence": floor}, {"seat_visible": seen, "floor_visible": below}, lists, F.lit(FRAME), F.lit(FRAME))
     return rows.select("doc_id", F.concat_ws("; ", issues).alias("issues"), F.concat_ws("; ", errors).alias("errors"))
 
 
-PARTS = """WITH r AS (SELECT doc_id, CASE WHEN doc_id%11<>0 THEN (n_chars%101)/101.0::DOUBLE END AS s, (n_chars%103)/103.0::DOUBLE AS f, (n_chars%107)/107.0::DOUBLE AS b, quality=1 AS sv, CASE WHEN doc_id%29<>0 THEN toxic=0 END AS fv, n_chars
-FROM documents JOIN labels USING (doc_id))
-SELECT doc_id, concat_ws('; ', CASE WHEN s IS NULL THEN 'seat_confidence missing' END, CASE WHEN s<0.2 THEN 'seat_confidence='||printf('%.3f',s)||' below threshold 0.200' END,
+def _sql_items(name: str, label: str, count: str, most: int, seed: int, where: str = "true") -> str:
+    x = lambda k: f"((n_chars*(i+{k + 1})+{seed})%260-10)"
+    y = lambda k: f"((n_chars*(i+{k + 2})+{seed})%240-5)"
+    head = f"'parts.{label}['||i||']"
+    full = "(doc_id+i)%7<>0"
+    conf = f"CASE WHEN (doc_id+i+{seed})%11<>0 THEN ((i*37+n_chars)%130)/100.0::DOUBLE END"
+    parts = [
+        ("0", f"{head}.line must be a list of 2 points'", "(doc_id+i)%7=0"),
+        *[(f"1{k}0", f"{head}.line[{k}].x out of bounds'", f"{full} AND ({x(k)}<0 OR {x(k)}>223)") for k in (0, 1)],
+        *[(f"1{k}1", f"{head}.line[{k}].y out of bounds'", f"{full} AND ({y(k)}<0 OR {y(k)}>223)") for k in (0, 1)],
+        ("2", f"{head}.confidence must be numeric'", f"({conf}) IS NULL"), ("3", f"{head}.confidence must be in [0,1]'", f"({conf})>1"), ("4", f"{head}.visible must be boolean'", "(doc_id+i)%13=0"),
+    ]
+    each = " UNION ALL ".join(f"SELECT doc_id, i, '{o}' AS o, {text} AS m FROM {name}_i WHERE {cond}" for o, text, cond in parts)
+    return f"""{name}_i AS (SELECT doc_id, n_chars, unnest(range({count})) AS i FROM r WHERE {where}), {name}_m AS ({each}),
+{name} AS (SELECT doc_id, string_agg(m, '; ' ORDER BY i, o) AS t FROM {name}_m GROUP BY doc_id)"""
+
+
+PARTS = f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id%11<>0 THEN (n_chars%101)/101.0::DOUBLE END AS s, (n_chars%103)/103.0::DOUBLE AS f, (n_chars%107)/107.0::DOUBLE AS b, quality=1 AS sv, CASE WHEN doc_id%29<>0 THEN toxic=0 END AS fv, n_chars
+FROM documents JOIN labels USING (doc_id)), {_sql_items("arms", "armrests", "n_chars%4", 2, 3)}, {_sql_items("legs", "legs", "n_chars%10", 8, 5, "doc_id%5<>0")}
+SELECT r.doc_id, concat_ws('; ', CASE WHEN s IS NULL THEN 'seat_confidence missing' END, CASE WHEN s<0.2 THEN 'seat_confidence='||printf('%.3f',s)||' below threshold 0.200' END,
  CASE WHEN f<0.2 THEN 'floor_confidence='||printf('%.3f',f)||' below threshold 0.200' END, CASE WHEN NOT sv THEN 'seat_visible is false' END, CASE WHEN NOT coalesce(fv,false) THEN 'floor_visible is false' END,
  CASE WHEN b<0.1 THEN 'backrest_confidence too low for stable torso anchoring ('||printf('%.3f',b)||')' END) AS issues,
- concat_ws('; ', CASE WHEN s IS NULL THEN 'parts.seat_confidence must be a number in [0, 1]' END, CASE WHEN doc_id%13=0 AND b>0 THEN 'parts.backrest_confidence must be a number in [0, 1]' END,
- CASE WHEN fv IS NULL THEN 'parts.floor_visible must be boolean' END, CASE WHEN n_chars%10+1>8 THEN 'parts.legs must have at most 8 items' END) AS errors FROM r"""
+ concat_ws('; ', CASE WHEN s IS NULL THEN 'parts.seat_confidence must be numeric' END, CASE WHEN r.doc_id%13=0 AND b>0 THEN 'parts.backrest_confidence must be in [0,1]' END,
+ CASE WHEN fv IS NULL THEN 'parts.floor_visible must be boolean' END, CASE WHEN n_chars%4>2 THEN 'parts.armrests has too many items (>2)' END, arms.t, CASE WHEN n_chars%10>8 AND r.doc_id%5<>0 THEN 'parts.legs has too many items (>8)' END, legs.t) AS errors
+FROM r LEFT JOIN arms USING (doc_id) LEFT JOIN legs USING (doc_id)"""
+
+
+def _told_points(first: int, n: int, spread: float, shift: float) -> Column:
+    return polygon(first, n, spread, shift, None).cast(D.POINTS)
+
+
+def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and a part document: told on a grid of 100 or in pixels, some of it out of the frame, missing or too long."""
+    small = F.col("vec_id") % 3 == 0
+    region = lambda first, n: F.when(small, _told_points(first, n, 104.0, -4.0)).otherwise(_told_points(first, n, 240.0, -8.0))
+    item = lambda j: F.struct(F.when((F.col("vec_id") + j) % 7 != 0, region(16 + 4 * j, 2)).alias("line"), F.when((F.col("vec_id") + j) % 5 != 0, dim(20 + j) + 0.7).alias("confidence"), F.when((F.col("vec_id") + j) % 9 != 0, dim(21 + j) > 0).alias("visible"))
+    items = lambda first, n, every: F.when(F.col("vec_id") % every != 0, F.array(*[item(first + j) for j in range(n)])).cast(D.ITEMS)
+    values = [F.when(F.col("vec_id") % (17 + j) != 0, dim(40 + j) + 0.75).alias(k) for j, k in enumerate(D.CONFIDENCES)] + [F.when(F.col("vec_id") % (23 + j) != 0, dim(43 + j) > -0.45).alias(k) for j, k in enumerate(D.FLAGS)]
+    parts = F.when(F.col("vec_id") % 41 != 0, F.struct(*values, items(0, 3, 6).alias("armrests"), items(2, 9, 8).alias("legs")).cast(D.PARTS))
+    seat = F.when(F.col("vec_id") % 31 == 0, region(0, 3)).otherwise(region(0, 4))
+    side = lambda n: F.when(F.col("vec_id") % 37 == 0, None).when(small, 100).otherwise(n).cast("int")
+    doc = F.struct(side(FRAME).alias("image_width"), side(FRAME).alias("image_height"), seat.alias("seat_region"), region(8, 2).alias("floor_line"), region(12, 2).alias("backrest_region"), parts.alias("parts"))
+    return fixed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "doc", doc.cast(D.PART_DOCUMENT)).select("vec_id", "doc")
+
+
+def document_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry and part documents brought to a frame of 640 x 480, by rescaling and by the rules for compact grids."""
+    rows = part_documents(spark, sf_dir)
+    doc, w, h = F.col("doc"), 640, 480
+    contact = F.transform(F.get(F.col("doc.parts.legs"), F.lit(0))["line"], lambda p: F.struct(F.when(F.col("vec_id") % 10 != 3, p["x"]).alias("x"), p["y"].alias("y")))
+    geometry = F.struct(doc["image_width"], doc["image_height"], doc["seat_region"], doc["floor_line"], doc["backrest_region"], F.concat(doc["floor_line"], contact).alias("seat_contact_region")).cast(D.GEOMETRY)
+    made = F.struct(
+        D.rescale_geometry(geometry, w, h).alias("g"), D.rescale_parts(doc, w, h).alias("p"), D.denormalise_geometry(geometry, w, h).alias("dg"), D.denormalise_parts(doc, w, h).alias("dp"),
+    )
+    rows = fixed(rows, "m", made)
+    y = lambda path: r4(F.get(F.col(path), F.lit(1))["y"])
+    return rows.select(
+        "vec_id", F.col("m.g.image_width").alias("width"), y("m.g.seat_region").alias("seat_y"), F.size("m.g.seat_contact_region").alias("n_contact"), F.size("m.p.parts.armrests").alias("n_arms"), F.size("m.p.parts.legs").alias("n_legs"),
+        F.col("m.p.parts.seat_visible").alias("seat_visible"), r4(F.col("m.p.parts.floor_confidence")).alias("floor_confidence"), F.col("m.dg.scaled").alias("geometry_scaled"), y("m.dg.doc.floor_line").alias("geometry_floor_y"),
+        F.col("m.dp.scaled").alias("parts_scaled"), y("m.dp.doc.backrest_region").alias("parts_back_y"), r4(F.get(F.get(F.col("m.dp.doc.parts.legs"), F.lit(0))["line"], F.lit(0))["x"]).alias("leg_x"),
+    )
+
+
+def parts_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part documents that are complete, cleaned up: whether they are valid then, their values, and what was done."""
+    rows = part_documents(spark, sf_dir).where("size(doc.seat_region) = 4 AND doc.image_width IS NOT NULL")
+    rows = rows.select("vec_id", F.col("doc.seat_region").alias("seat"), F.col("doc.floor_line").alias("floor"), F.col("doc.backrest_region").alias("back"), F.col("doc.parts").alias("parts"))
+    rows = D.sanitize_parts(rows, FRAME, FRAME)
+    return rows.select("vec_id", "ok", r4(F.col("parts.seat_confidence")).alias("seat_confidence"), F.size("parts.armrests").alias("n_arms"), F.size("parts.legs").alias("n_legs"), F.concat_ws("; ", F.array_distinct("notes")).alias("notes"))
+
+
+def _part_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part_documents(spark, sf_dir).where("size(doc.seat_region) = 4 AND doc.image_width IS NOT NULL")
+    rows = rows.select("vec_id", F.col("doc.seat_region").alias("seat"), F.col("doc.floor_line").alias("floor"), F.col("doc.backrest_region").alias("back"), F.col("doc.parts").alias("parts"))
+    return D.geometry_from_parts(rows, FRAME, FRAME, 0.35)
+
+
+def part_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geometry that a part document gives, or why it gives none."""
+    rows = _part_geometry(spark, sf_dir)
+    area = F.when(F.col("ok"), r4(G.polygon_area(F.col("seat"))))
+    return rows.select("vec_id", "ok", area.alias("seat_area"), F.when(F.col("ok"), r4(F.col("floor")[0]["y"])).alias("floor_y"), F.concat_ws("; ", F.array_distinct("notes")).alias("notes"))
+
+
+def geometry_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade: the stage's geometry or what it told, the parts' geometry, the canonical one; then repair, parts, canonical."""
+    doc = F.col("doc")
+    told = F.struct(doc["image_width"], doc["image_height"], doc["seat_region"], doc["floor_line"], doc["backrest_region"], F.lit(None).alias("seat_contact_region")).cast(D.GEOMETRY)
+    rows = part_documents(spark, sf_dir).select("vec_id", told.alias("doc"))
+    valid = F.size(V.geometry_errors(F.col("doc.seat_region"), F.col("doc.floor_line"), F.col("doc.backrest_region"), F.col("doc.image_width"), F.col("doc.image_height"))) == 0
+    rows = rows.withColumn("stage_ok", valid & (F.col("vec_id") % 2 == 0))
+    parts = _part_geometry(spark, sf_dir).select("vec_id", F.col("ok").alias("part_ok"), F.col("seat").alias("part_seat"), F.col("floor").alias("part_floor"), F.col("back").alias("part_back"))
+    rows = rows.join(parts, "vec_id", "left").withColumn("part_ok", F.coalesce("part_ok", F.lit(False)))
+    rows = D.recover_geometry(rows, FRAME, FRAME)
+    return rows.select("vec_id", "source", "denormalised", "prior_source", "n_issues", r4(G.polygon_area(F.col("seat"))).alias("seat_area"), r4(F.col("floor")[0]["y"]).alias("floor_y"), r4(F.col("back")[0]["y"]).alias("back_y"))
 
 
 def pose_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,11 +306,12 @@ def pose_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def keypoint(j: int):
         value = F.struct(((dim(j * 3) + 0.5) * 260 - 18).alias("x"), ((dim(j * 3 + 1) + 0.5) * 260 - 18).alias("y"), (dim(j * 3 + 2) + 0.4).alias("confidence"), F.when(F.col("vec_id") % (j + 20) != 0, F.lit(True)).alias("visible"))
+        value = value.withField("x", F.when((F.col("vec_id") + 3 * j) % 43 != 0, value["x"])).withField("confidence", F.when((F.col("vec_id") + 5 * j) % 47 != 0, value["confidence"]))
         return F.struct(F.lit(names[j]).alias("key"), F.when((F.col("vec_id") + j) % 17 != 0, value.cast(kind)).alias("value"))
 
     entries = F.filter(F.array(*[keypoint(j) for j in range(len(names))]), lambda e: e["value"].isNotNull())
     rows = fixed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "k", F.map_from_entries(entries))
-    errors = V.pose_errors(F.col("k"), F.when(F.col("vec_id") % 31 == 0, 100).otherwise(FRAME), F.lit(FRAME), FRAME, FRAME, P.KEYPOINTS)
+    errors = V.pose_errors(F.col("k"), F.when(F.col("vec_id") % 31 == 0, 100).when(F.col("vec_id") % 37 != 0, FRAME), F.lit(FRAME), FRAME, FRAME, P.KEYPOINTS)
     marks = [((F.col("vec_id") % (3 + j) > 0).cast("int")).alias(n) for j, n in enumerate(P.CHECKS)]
     checks = F.create_map(*[x for n, c in zip(P.CHECKS, marks) for x in (F.lit(n), c)])
     told = (F.col("vec_id") % 6).cast("int")
@@ -221,10 +321,11 @@ def pose_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = [*P.KEYPOINTS, "tail"]
 POSE_VALIDATE = f"""WITH n AS (SELECT unnest({NAMES!r}) AS name, unnest(range({len(NAMES)})) AS j),
-p AS (SELECT vec_id, name, j, (embedding[j*3+1]::DOUBLE+0.5)*260-18 AS x, (embedding[j*3+2]::DOUBLE+0.5)*260-18 AS y, embedding[j*3+3]::DOUBLE+0.4 AS c, vec_id%(j+20)=0 AS blind, (vec_id+j)%17=0 AS missing FROM embeddings, n),
-m AS (SELECT vec_id, '0' AS o, 'image_width mismatch' AS t FROM embeddings WHERE vec_id%31=0 UNION ALL SELECT vec_id, '1'||name, 'missing keypoint: '||name FROM p WHERE missing AND name<>'tail'
+p AS (SELECT vec_id, name, j, CASE WHEN (vec_id+3*j)%43<>0 THEN (embedding[j*3+1]::DOUBLE+0.5)*260-18 END AS x, (embedding[j*3+2]::DOUBLE+0.5)*260-18 AS y, CASE WHEN (vec_id+5*j)%47<>0 THEN embedding[j*3+3]::DOUBLE+0.4 END AS c, vec_id%(j+20)=0 AS blind, (vec_id+j)%17=0 AS missing FROM embeddings, n),
+m AS (SELECT vec_id, '0' AS o, 'image_width mismatch' AS t FROM embeddings WHERE vec_id%31=0 OR vec_id%37=0 UNION ALL SELECT vec_id, '1'||name, 'missing keypoint: '||name FROM p WHERE missing AND name<>'tail'
  UNION ALL SELECT vec_id, '2'||name, 'unknown keypoint: '||name FROM p WHERE NOT missing AND name='tail'
- UNION ALL SELECT vec_id, '3'||name||'0', name||'.x out of bounds' FROM p WHERE NOT missing AND name<>'tail' AND (x<0 OR x>223) UNION ALL SELECT vec_id, '3'||name||'1', name||'.y out of bounds' FROM p WHERE NOT missing AND name<>'tail' AND (y<0 OR y>223)
+ UNION ALL SELECT vec_id, '3'||name||'0', name||'.x out of bounds' FROM p WHERE NOT missing AND name<>'tail' AND (x<0 OR x>223) UNION ALL SELECT vec_id, '3'||name||'1', name||'.y out of bounds' FROM p WHERE NOT missing AND name<>'tail' AND x IS NOT NULL AND (y<0 OR y>223)
+ UNION ALL SELECT vec_id, '3'||name||'0', name||'.x and '||name||'.y must be numeric' FROM p WHERE NOT missing AND name<>'tail' AND x IS NULL UNION ALL SELECT vec_id, '3'||name||'2', name||'.confidence must be numeric' FROM p WHERE NOT missing AND name<>'tail' AND c IS NULL
  UNION ALL SELECT vec_id, '3'||name||'2', name||'.confidence out of range' FROM p WHERE NOT missing AND name<>'tail' AND (c<0 OR c>1) UNION ALL SELECT vec_id, '3'||name||'3', name||'.visible must be boolean' FROM p WHERE NOT missing AND name<>'tail' AND blind)
 SELECT e.vec_id, coalesce((SELECT string_agg(t,'; ' ORDER BY o) FROM m WHERE m.vec_id=e.vec_id),'') AS pose_errors,
  concat_ws('; ', CASE WHEN vec_id%6>4 THEN 'score must be an integer in [0, 4]' END, CASE WHEN (vec_id%3>0)::INT+(vec_id%4>0)::INT+(vec_id%5>0)::INT+(vec_id%6>0)::INT<>vec_id%6 THEN 'score mismatch' END,
@@ -240,5 +341,9 @@ QUERIES = {
     "denormalise_grid": (denormalise_grid, DENORMALISE),
     "sanitize_repair": (sanitize_repair, None),
     "parts_quality": (parts_quality, PARTS),
+    "document_rescale": (document_rescale, None),
+    "parts_sanitize": (parts_sanitize, None),
+    "part_geometry": (part_geometry, None),
+    "geometry_recovery": (geometry_recovery, None),
     "pose_validate": (pose_validate, POSE_VALIDATE),
 }

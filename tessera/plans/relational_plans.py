@@ -335,24 +335,11 @@ def folded(rows: DataFrame) -> DataFrame:
 
 
 def repair_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to six recorded repair attempts of each of 300 runs, folded: as its SQL, the first 1800 events and no others."""
-    return folded(repair_attempts(spark, sf_dir, F.col("event_id") % 300, F.floor(F.col("event_id") / 300)).where("attempt < 6"))
-
-
-def repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as an attempt of a run of six ids, folded: the runs grow with the table."""
     return folded(repair_attempts(spark, sf_dir, F.floor(F.col("event_id") / 6), F.col("event_id")))
 
 
-REPAIR_FOLD = """WITH RECURSIVE t AS (SELECT event_id%300 AS run, event_id//300 AS attempt, (floor(value)::BIGINT%5)::INTEGER AS score, event_type<>'error' AS ok FROM events WHERE event_id//300<6),
-f AS (SELECT run, -1::BIGINT AS attempt, 1 AS score, 0 AS used, 0 AS accepted, false AS stopped FROM (SELECT DISTINCT run FROM t)
- UNION ALL SELECT f.run, t.attempt, CASE WHEN f.stopped OR f.score>=3 THEN f.score WHEN t.ok AND t.score>=f.score THEN t.score ELSE f.score END,
-  CASE WHEN f.stopped OR f.score>=3 THEN f.used ELSE f.used+1 END, CASE WHEN f.stopped OR f.score>=3 OR NOT (t.ok AND t.score>=f.score) THEN f.accepted ELSE f.accepted+1 END,
-  CASE WHEN f.stopped OR f.score>=3 THEN f.stopped ELSE NOT t.ok END FROM f JOIN t ON t.run=f.run AND t.attempt=f.attempt+1)
-SELECT run, score, used, accepted, CASE WHEN score>=3 THEN 'ok' WHEN stopped THEN 'failed' ELSE 'low_score' END AS status
-FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY attempt DESC) AS k FROM f) WHERE k=1"""
-
-REPAIR_RUNS = """WITH RECURSIVE t AS (SELECT event_id//6 AS run, row_number() OVER (PARTITION BY event_id//6 ORDER BY event_id, floor(value)::BIGINT%5, event_type<>'error') AS k, (floor(value)::BIGINT%5)::INTEGER AS score, event_type<>'error' AS ok FROM events),
+REPAIR_FOLD = """WITH RECURSIVE t AS (SELECT event_id//6 AS run, row_number() OVER (PARTITION BY event_id//6 ORDER BY event_id, floor(value)::BIGINT%5, event_type<>'error') AS k, (floor(value)::BIGINT%5)::INTEGER AS score, event_type<>'error' AS ok FROM events),
 f AS (SELECT run, 0::BIGINT AS k, 1 AS score, 0 AS used, 0 AS accepted, false AS stopped FROM (SELECT DISTINCT run FROM t)
  UNION ALL SELECT f.run, t.k, CASE WHEN t.ok AND t.score>=f.score THEN t.score ELSE f.score END, f.used+1, f.accepted+(t.ok AND t.score>=f.score)::INTEGER, NOT t.ok
   FROM f JOIN t ON t.run=f.run AND t.k=f.k+1 WHERE NOT f.stopped AND f.score<3)
@@ -386,5 +373,4 @@ QUERIES = {
     "fallback_decision": (fallback_decision, FALLBACK_DECISION),
     "gate_first_pass": (gate_first_pass, GATE_FIRST),
     "repair_fold": (repair_fold, REPAIR_FOLD),
-    "repair_runs": (repair_runs, REPAIR_RUNS),
 }

@@ -48,7 +48,7 @@ def test_query(spark, duck, name):
 
 def test_every_event_belongs_to_a_repair_run(spark, duck):
     told = duck.sql("SELECT count(DISTINCT event_id // 6) FROM events").fetchall()[0][0]
-    assert plans.QUERIES["repair_runs"](spark, SF).count() == told
+    assert plans.QUERIES["repair_fold"](spark, SF).count() == told
 
 
 def test_entry(spark):
