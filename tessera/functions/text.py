@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Task names by target shape and coordinate mode (fixed values).
 TASKS = {
@@ -27,14 +28,6 @@ def target_key(shape: Column) -> Column:
     return F.when(shape == "bbox", "seat_contact_box").otherwise("seat_contact_polygon")
 
 
-def prompt(shape: Column, mode: Column, crop: Column, grid: int) -> Column:
-    """A short instruction by task, with a hint for crops; the wording is a parameter of the data, not of the engine."""
-    ask = F.when(shape == "bbox", F.lit("Return one box")).when(shape == "quad", F.lit("Return four corners")).otherwise(F.lit("Return an outline"))
-    on = F.when((shape == "bbox") & (mode == "grid"), F.format_string(f"on a {grid} by {grid} grid")).otherwise(F.lit("in pixels"))
-    hint = F.when(crop, F.lit("The image shows one object."))
-    return F.concat_ws(" ", hint, ask, on, F.concat(F.lit("as "), target_key(shape)))
-
-
 def first_filled(*values: Column) -> Column:
     """The first value that is not blank."""
     return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values])
@@ -62,6 +55,22 @@ def version_number(path: Column) -> Column:
     return F.regexp_extract(path, r"([0-9]+)[^0-9]*$", 1).try_cast("int")
 
 
+def last_by_version(df: DataFrame, by: list[str], path: str) -> DataFrame:
+    """Of each group the path that an order by version puts last: by the number that ends it, then by name; one without a number comes first."""
+    order = F.struct(F.coalesce(version_number(F.col(path)), F.lit(-1)).alias("v"), F.col(path).alias("p"))
+    return df.groupBy(*by).agg(F.max(order).alias("_last")).select(*by, F.col("_last.p").alias(path), F.col("_last.v").alias("version"))
+
+
+def serialised(df: DataFrame, name: str) -> Column:
+    """A column of any type as JSON can hold it: numbers, booleans and texts as they are, nested values as JSON, all else as text."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.StringType)) and not isinstance(kind, T.DecimalType):
+        return F.col(name)
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(name, {"ignoreNullFields": "false"})
+    return F.col(name).cast("string")
+
+
 def schedule(text: Column) -> Column:
     """Positive whole numbers from a comma-separated list; others are left out."""
     steps = F.transform(F.split(text, ","), lambda s: F.trim(s).try_cast("int"))

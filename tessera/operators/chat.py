@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTENT = "array<struct<type:string,text:string>>"
@@ -54,14 +54,20 @@ def completion_of(messages: Column) -> Column:
     return F.when(F.size(rest) == 0, F.slice(messages, -1, 1)).otherwise(rest)
 
 
+def dataset_summary(rows: DataFrame) -> DataFrame:
+    """One row: how many rows there are, the columns, and the first row's id and first image, by id; empty texts where there is none."""
+    first = F.min(F.struct("id", F.coalesce(F.get("images", F.lit(0)), F.lit("")).alias("image")))
+    told = rows.agg(F.count("*").alias("rows"), first.alias("f"))
+    keys = F.array(*map(F.lit, rows.columns)) if rows.columns else F.array().cast("array<string>")
+    return told.select("rows", F.when(F.col("rows") > 0, keys).alias("keys"), F.coalesce("f.id", F.lit("")).alias("first_id"), F.coalesce("f.image", F.lit("")).alias("first_image"))
+
+
 def file_report(lines: DataFrame, preview: int = 20) -> DataFrame:
     """For each file: lines, good and bad ones, and the first errors in order; lines has file, lineno, error (null if good).
 
     Only the first errors are gathered: within each block of line numbers, and then overall.
     """
     counts = lines.groupBy("file").agg(F.count("*").alias("n_lines"), F.count_if(F.col("error").isNull()).alias("n_ok"), F.count("error").alias("n_bad"))
-    from pyspark.sql import Window
-
     bad = lines.where("error IS NOT NULL").withColumn("_block", F.floor(F.col("lineno") / 4096))
     first = F.row_number().over(Window.partitionBy("file", "_block").orderBy("lineno", "error"))
     first = bad.withColumn("_k", first).where(F.col("_k") <= preview)

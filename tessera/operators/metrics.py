@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Gate thresholds: metric, whether it must not fall below (else not exceed), bound.
@@ -28,16 +28,46 @@ def rate(flag: str | Column) -> Column:
     return F.avg(F.col(flag).cast("int") if isinstance(flag, str) else flag.cast("int"))
 
 
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], blocks: int = 1024) -> DataFrame:
+    """Exact interpolated percentiles of each group, by name of share, without a group's values ever standing in one task.
+
+    Values are counted by block, equal parts of each group's range; the counts tell which blocks hold the
+    wanted ranks. Of these alone the distinct values are counted and put in order, so a task sees a block's
+    distinct values. Nulls and NaN are left out, and so is a group without values.
+    """
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    told = rows.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    limits = told.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    part = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * blocks)
+    block = F.when(F.col("high") > F.col("low"), F.least(part, F.lit(blocks - 1))).otherwise(F.lit(0)).cast("int")
+    placed = told.join(limits, "g").select("g", "v", "n", block.alias("b"))
+    counts = placed.groupBy("g", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    counts = counts.withColumn("before", F.sum("k").over(Window.partitionBy("g").orderBy("b")) - F.col("k"))
+    place = {name: F.lit(share) * (F.col("n") - 1) for name, share in shares.items()}
+    ranks = F.array_distinct(F.array(*[rank for p in place.values() for rank in (F.floor(p), F.ceil(p))]))
+    held = lambda first: lambda r: (r >= F.col(first)) & (r < F.col(first) + F.col("k"))
+    wanted = counts.withColumn("ranks", F.filter(ranks, held("before"))).where("size(ranks) > 0").select("g", "b", "before", "ranks")
+    values = placed.join(wanted, ["g", "b"]).groupBy("g", "b", "v").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n", "before", "ranks")])
+    values = values.withColumn("first", F.col("before") + F.sum("k").over(Window.partitionBy("g", "b").orderBy("v")) - F.col("k"))
+    hits = values.select("g", "n", "v", F.explode(F.filter("ranks", held("first"))).alias("r"))
+    hits = hits.groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at"))
+    between = lambda p: F.col("at")[F.floor(p)] + (F.col("at")[F.ceil(p)] - F.col("at")[F.floor(p)]) * (p - F.floor(p))
+    return hits.select(*[F.col(f"g.{c}").alias(c) for c in by], *[between(p).alias(name) for name, p in place.items()])
+
+
 def evaluation_summary(rows: DataFrame, *by: str, digits: int = 4) -> DataFrame:
     """Rates and IoU summaries of rows with valid_json, schema_valid, placeholder and iou; means of nothing are 0."""
     valid = F.when(F.col("schema_valid"), F.col("iou"))
-    return rows.groupBy(*by).agg(
+    told = rows.groupBy(*by).agg(
         F.count("*").alias("num_samples"),
         *[F.round(rate(c), digits).alias(f"{c}_rate") for c in ("valid_json", "schema_valid", "placeholder")],
         F.round(F.coalesce(F.avg("iou"), F.lit(0.0)), digits).alias("mean_iou_all"),
         F.round(F.coalesce(F.avg(valid), F.lit(0.0)), digits).alias("mean_iou_schema_valid_only"),
-        F.round(F.coalesce(F.percentile(valid, F.lit(0.5)), F.lit(0.0)), digits).alias("median_iou_schema_valid_only"),
     )
+    medians = exact_percentiles(rows.select(*by, valid.alias("iou")), list(by), "iou", {"_median": 0.5})
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by]
+    joined = told.alias("t").join(medians.alias("m"), same or F.lit(True), "left")
+    return joined.select("t.*", F.round(F.coalesce("_median", F.lit(0.0)), digits).alias("median_iou_schema_valid_only"))
 
 
 def selection_score() -> Column:
@@ -50,3 +80,35 @@ def selection_score() -> Column:
 def first_gate_failure() -> Column:
     """The first threshold that a row of metrics misses, or null."""
     return F.coalesce(*[F.when(F.col(n) < t if low else F.col(n) > t, F.lit(f"{n} {'<' if low else '>'} {t:.2f}")) for n, low, t in GATE])
+
+
+def gate_runs(told: DataFrame, attempts: DataFrame, schedule: list[int], delta: int, most: int, retries: int) -> DataFrame:
+    """How each run goes through a gate that trains to a step, evaluates it, and goes on from it until one passes.
+
+    told has run, step and the metrics of GATE; attempts has run, step, attempt (from 1) and trained. The steps are the
+    schedule, then on by `delta` up to `most`. A step is tried `retries` times more; if none trains it, or nothing is
+    told of it, the run has failed. Returns run, status (passed, failed, exhausted), pass_step, n_evaluated, n_attempts and
+    resume_step, the last step that was evaluated and did not pass.
+    """
+    steps = [*schedule, *range(schedule[-1] + delta, most + 1, delta)] if delta > 0 else list(schedule)
+    plan = told.unionByName(attempts.select("run"), allowMissingColumns=True).select("run").distinct().select("run", F.explode(F.array(*map(F.lit, steps))).alias("step"))
+    tried = attempts.where(F.col("step").isin(steps)).groupBy("run", "step").agg(F.min(F.when(F.col("trained"), F.col("attempt"))).alias("good"), F.count("*").alias("n"))
+    graded = told.where(F.col("step").isin(steps)).select("run", "step", first_gate_failure().isNull().alias("passed"))
+    rows = plan.join(tried, ["run", "step"], "left").join(graded, ["run", "step"], "left")
+    trained = F.coalesce(F.col("good") <= retries + 1, F.lit(False)) & F.col("passed").isNotNull()
+    used = F.when(F.col("good") <= retries + 1, F.col("good")).otherwise(F.least(F.lit(retries + 1), F.coalesce("n", F.lit(0))))
+    each = F.array_sort(F.collect_list(F.struct("step", trained.alias("trained"), F.coalesce("passed", F.lit(False)).alias("passed"), used.cast("long").alias("used"))))
+    runs = rows.groupBy("run").agg(each.alias("s"))
+    stop = F.array_min(F.transform(F.filter("s", lambda x: ~x["trained"] | x["passed"]), lambda x: x["step"]))
+    runs = runs.select("run", "s", stop.alias("stop"))
+    done = F.filter("s", lambda x: F.col("stop").isNull() | (x["step"] <= F.col("stop")))
+    at_stop = F.exists("s", lambda x: (x["step"] == F.col("stop")) & x["trained"] & x["passed"])
+    passed = F.coalesce(at_stop, F.lit(False))
+    return runs.select(
+        "run",
+        F.when(passed, "passed").when(F.col("stop").isNull(), "exhausted").otherwise("failed").alias("status"),
+        F.when(passed, F.col("stop")).alias("pass_step"),
+        F.size(F.filter(done, lambda x: x["trained"])).cast("long").alias("n_evaluated"),
+        F.aggregate(done, F.lit(0).cast("long"), lambda n, x: n + x["used"]).alias("n_attempts"),
+        F.array_max(F.transform(F.filter(done, lambda x: x["trained"] & ~x["passed"]), lambda x: x["step"])).alias("resume_step"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.functions import geometry as G
 from tessera.functions.hull import quadrilateral
+from tessera.operators import targets as TG
 from tessera.plans.common import FRAME, GRID, polygon, polygons, r4, sql_bbox, sql_edges, sql_grid, sql_points
 from tessera.session import table
 
@@ -52,10 +53,10 @@ SELECT label, count(*) AS n_polygons, (6*count(*))::BIGINT AS n_points, round(su
 
 
 def poly_point_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = F.sequence(F.lit(0), F.lit(FRAME - 1), F.lit(16))
-    points = polygons(spark, sf_dir).select("vec_id", "gt", F.explode(axis).alias("gy")).select("*", F.explode(axis).alias("gx"))
-    inside = G.point_in_polygon(F.col("gx").cast("double"), F.col("gy").cast("double"), F.col("gt"))
-    return points.groupBy("vec_id").agg(F.count("*").alias("n_grid"), F.count_if(inside).alias("n_inside"))
+    """The points of a grid that each polygon holds, counted in its own row."""
+    grid = F.array(*[G.point(float(x), float(y)) for y in range(0, FRAME, 16) for x in range(0, FRAME, 16)])
+    inside = F.filter(grid, lambda p: G.point_in_polygon(p["x"], p["y"], F.col("gt")))
+    return polygons(spark, sf_dir).select("vec_id", F.size(grid).cast("long").alias("n_grid"), F.size(inside).cast("long").alias("n_inside"))
 
 
 POLY_POINT_IN = f"""WITH {GT}, {EDGES}, grid AS (SELECT x.g*16.0 AS gx, y.g*16.0 AS gy FROM range(14) x(g), range(14) y(g)),
@@ -227,6 +228,54 @@ r AS (SELECT vec_id//10 AS doc, label, vec_id, area, row_number() OVER (PARTITIO
 SELECT doc, r.label, vec_id, round(area,4) AS area, 4 AS target_count, a0 AS x_min, b0 AS y_min, a1 AS x_max, b1 AS y_max FROM r JOIN g USING (vec_id) WHERE k=1"""
 
 
+def target_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest polygon of each label within a block of ids as a box, a quadrilateral and twelve points; what has no such shape is left out."""
+    rows = polygons(spark, sf_dir).select("vec_id", "label", F.floor(F.col("vec_id") / 10).alias("doc"), "gt", G.polygon_area(F.col("gt")).alias("area"))
+    best = rows.where("area >= 8").groupBy("doc", "label").agg(F.max_by(F.struct("vec_id", "gt"), F.struct("area", (-F.col("vec_id")).alias("k"))).alias("s"))
+    best = best.select("doc", "label", "s.vec_id", "s.gt")
+    out = None
+    for shape in ("bbox", "quad", "polygon"):
+        part = TG.in_shape(best, "gt", shape, FRAME, FRAME, whole=False).where("target_count > 0")
+        part = part.select("doc", "label", "vec_id", F.lit(shape).alias("shape"), F.col("target_count").alias("n"), F.posexplode("target").alias("i", "p"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc", "label", "vec_id", "shape", "n", "i", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))
+
+
+TARGET_SHAPES = f"""WITH {GT}, {EDGES}, {AREA}, r AS (SELECT vec_id//10 AS doc, label, vec_id, row_number() OVER (PARTITION BY vec_id//10, label ORDER BY area DESC, vec_id) AS k FROM a WHERE area>=8),
+q AS ({CONVEX_QUAD}), s AS ({POLY_RESAMPLE.replace(",4) AS x", ",2) AS x").replace(",4) AS y", ",2) AS y")}),
+t AS (SELECT vec_id, 'bbox' AS shape, 4 AS n, 0 AS i, round(min(x),2) AS x, round(min(y),2) AS y FROM v GROUP BY vec_id UNION ALL SELECT vec_id, 'bbox', 4, 1, round(max(x),2), round(max(y),2) FROM v GROUP BY vec_id
+ UNION ALL SELECT vec_id, 'quad', 4, i, x, y FROM q UNION ALL SELECT vec_id, 'polygon', 12, i, x, y FROM s)
+SELECT doc, label, vec_id, shape, n::INTEGER AS n, i::INTEGER AS i, x, y FROM r JOIN t USING (vec_id) WHERE k=1"""
+
+
+def target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat rows of annotations: prompts by shape, mode and crop, and the answer as compact JSON on the grid or in pixels."""
+    mode, crop = F.when(F.col("vec_id") % 2 == 0, "grid").otherwise("pixel"), F.when(F.col("vec_id") % 3 == 0, "chair").otherwise("none")
+    on_grid = G.grid_box(G.scale_box(G.bounding_box(F.col("gt")), FRAME, FRAME, GRID, GRID), GRID, GRID)
+    rows = TG.in_shape(polygons(spark, sf_dir).select("vec_id", "gt"), "gt", "bbox", FRAME, FRAME)
+    grid = F.transform(F.array(F.struct(on_grid["x_min"].alias("x"), on_grid["y_min"].alias("y")), F.struct(on_grid["x_max"].alias("x"), on_grid["y_max"].alias("y"))), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    rows = rows.withColumn("target", F.when(mode == "grid", grid).otherwise(F.col("target")))
+    side = F.when(mode == "grid", GRID).otherwise(FRAME)
+    rows = TG.chat_rows_of(rows, F.lit("bbox"), mode, crop, F.lit(GRID), side, side)
+    text = lambda k, b: F.col("messages")[k]["content"][b]["text"]
+    return rows.select(
+        "vec_id", "task_name", F.concat_ws(",", F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.size(m["content"]).cast("string")))).alias("roles"),
+        text(0, 0).alias("system"), text(1, 1).alias("user"), text(2, 0).alias("answer"),
+    )
+
+
+def _sql_text(template: str) -> str:
+    return "'" + template.replace("'", "''").replace("{grid}", str(GRID)).replace("{hint}", f"'||CASE WHEN vec_id%3=0 THEN '{TG.HINT}' ELSE '' END||'") + "'"
+
+
+TARGET_CHAT = f"""WITH {GT}, {sql_bbox("b", "v")}, {sql_grid("g", "b")}
+SELECT vec_id, CASE WHEN vec_id%2=0 THEN 'seat_contact_bounding_box_grid' ELSE 'seat_contact_bounding_box' END AS task_name, 'system:1,user:2,assistant:1' AS roles,
+ CASE WHEN vec_id%2=0 THEN {_sql_text(TG.SYSTEM["bbox", "grid"])} ELSE {_sql_text(TG.SYSTEM["bbox", None])} END AS system, CASE WHEN vec_id%2=0 THEN {_sql_text(TG.USER["bbox", "grid"])} ELSE {_sql_text(TG.USER["bbox", None])} END AS user,
+ CASE WHEN vec_id%2=0 THEN '{{"task":"seat_contact_bounding_box_grid","image_size":{{"width":{GRID},"height":{GRID}}},"seat_contact_box":{{"x_min":'||a0||',"y_min":'||b0||',"x_max":'||a1||',"y_max":'||b1||'}}}}'
+  ELSE '{{"task":"seat_contact_bounding_box","image_size":{{"width":{FRAME},"height":{FRAME}}},"seat_contact_box":{{"x_min":'||round_even(x0,0)::INT||',"y_min":'||round_even(y0,0)::INT||',"x_max":'||round_even(x1,0)::INT||',"y_max":'||round_even(y1,0)::INT||'}}}}' END AS answer
+FROM b JOIN g USING (vec_id)"""
+
+
 def depth_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seat's side nearest to the back's centre, and where the seat's centroid lies in depth and across."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", polygon(0, 4).alias("seat"), polygon(8, 2).alias("back"))
@@ -277,6 +326,8 @@ QUERIES = {
     "scale_laws": (scale_laws, SCALE_LAWS),
     "crop_shift": (crop_shift, CROP_SHIFT),
     "target_annotation": (target_annotation, TARGET_ANNOTATION),
+    "target_shapes": (target_shapes, TARGET_SHAPES),
+    "target_chat": (target_chat, TARGET_CHAT),
     "depth_projection": (depth_projection, DEPTH),
     "distance_dedupe": (distance_dedupe, DISTANCE_DEDUPE),
 }

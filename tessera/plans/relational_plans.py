@@ -194,8 +194,8 @@ ROW_PROFILE = "SELECT event_type AS img, day(ts)::INTEGER AS y, count(*) AS widt
 
 
 def row_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pixels(spark, sf_dir).groupBy("img", "y").agg(F.percentile("x", F.array(F.lit(0.015), F.lit(0.985))).alias("p"))
-    return rows.select("img", "y", F.col("p")[0].cast("int").alias("left"), F.col("p")[1].cast("int").alias("right"))
+    rows = M.exact_percentiles(_pixels(spark, sf_dir), ["img", "y"], "x", {"left": 0.015, "right": 0.985})
+    return rows.select("img", "y", F.col("left").cast("int").alias("left"), F.col("right").cast("int").alias("right"))
 
 
 ROW_PERCENTILE = """SELECT event_type AS img, day(ts)::INTEGER AS y, trunc(quantile_cont(value,0.015))::INTEGER AS "left", trunc(quantile_cont(value,0.985))::INTEGER AS "right" FROM events GROUP BY 1,2"""
@@ -297,6 +297,29 @@ FALLBACK_DECISION = """SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_li
 FROM lineitem WHERE l_extendedprice>=2000 GROUP BY l_returnflag"""
 
 
+def gate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as training runs: their orders are evaluated steps, and an order's lines the attempts to train it."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    step = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) * 10
+    share = lambda n: (F.col("o_totalprice").cast("long") % n) / float(n)
+    told = orders.select(F.col("o_custkey").alias("run"), step.alias("step"), "o_orderkey", (0.7 + share(31) * 0.3).alias("valid_json_rate"), (0.6 + share(37) * 0.4).alias("schema_valid_rate"),
+                         (share(41) * 0.15).alias("placeholder_rate"), (0.1 + share(43) * 0.3).alias("mean_iou_schema_valid_only"), (0.08 + share(47) * 0.3).alias("mean_iou_all"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("attempt"), (F.col("l_returnflag") != "R").alias("trained"))
+    attempts = lines.join(told.select("run", "step", "o_orderkey"), "o_orderkey").select("run", "step", "attempt", "trained")
+    return M.gate_runs(told.drop("o_orderkey"), attempts, schedule=[10, 30], delta=20, most=90, retries=1)
+
+
+GATE_SCHEDULE = """WITH e AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)*10 AS step, o_orderkey, o_totalprice::BIGINT AS p0, trunc(o_totalprice)::BIGINT AS p FROM orders),
+s AS (SELECT run, step, step AS s, 0.7+(p%31)/31.0::DOUBLE*0.3>=0.80 AND 0.6+(p%37)/37.0::DOUBLE*0.4>=0.70 AND (p%41)/41.0::DOUBLE*0.15<=0.10 AND 0.1+(p%43)/43.0::DOUBLE*0.3>=0.18 AND 0.08+(p%47)/47.0::DOUBLE*0.3>=0.12 AS passed,
+  (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey=o_orderkey AND l_returnflag<>'R') AS first_good, (SELECT count(*) FROM lineitem WHERE l_orderkey=o_orderkey) AS n FROM e WHERE step IN (10,30,50,70,90)),
+w AS (SELECT run, unnest([10,30,50,70,90]) AS step FROM (SELECT DISTINCT run FROM e)),
+j AS (SELECT w.run, w.step, passed, coalesce(first_good<=2,false) AS trained, CASE WHEN first_good<=2 THEN first_good ELSE least(2,coalesce(n,0)) END AS used FROM w LEFT JOIN s ON s.run=w.run AND s.step=w.step),
+f AS (SELECT *, min(CASE WHEN NOT trained OR passed THEN step END) OVER (PARTITION BY run) AS stop FROM j)
+SELECT run, CASE WHEN max(CASE WHEN step=stop AND trained AND passed THEN 1 ELSE 0 END)=1 THEN 'passed' WHEN max(stop) IS NULL THEN 'exhausted' ELSE 'failed' END AS status,
+ max(CASE WHEN step=stop AND trained AND passed THEN step END)::INTEGER AS pass_step, count(*) FILTER (trained AND (stop IS NULL OR step<=stop)) AS n_evaluated, sum(CASE WHEN stop IS NULL OR step<=stop THEN used ELSE 0 END)::BIGINT AS n_attempts,
+ max(CASE WHEN trained AND NOT passed AND (stop IS NULL OR step<stop) THEN step END)::INTEGER AS resume_step FROM f GROUP BY run"""
+
+
 def gate_first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each run: the first step whose score passes, after how many tries, with steps in order of time."""
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run"), "event_id", "value")
@@ -371,6 +394,7 @@ QUERIES = {
     "limit_sample": (limit_sample, LIMIT_SAMPLE),
     "skip_counters": (skip_counters, SKIP),
     "fallback_decision": (fallback_decision, FALLBACK_DECISION),
+    "gate_schedule": (gate_schedule, GATE_SCHEDULE),
     "gate_first_pass": (gate_first_pass, GATE_FIRST),
     "repair_fold": (repair_fold, REPAIR_FOLD),
 }

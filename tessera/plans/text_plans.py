@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import jsonx
 from tessera.functions import text as X
 from tessera.operators import chat as C
+from tessera.operators import targets as TG
 from tessera.operators import validate as V
 from tessera.session import table
 
@@ -117,6 +118,47 @@ SELECT file, count(*) AS n_lines, count(*) FILTER (error IS NULL) AS n_ok, count
  coalesce((SELECT string_agg(lineno||':'||error,'; ' ORDER BY lineno) FROM b WHERE b.file=v.file AND r<=20),'') AS preview FROM v GROUP BY file"""
 
 
+def chat_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as chat rows of files by type, whose answers are polygons; every fifth user's image does not exist."""
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    path = F.concat(F.lit("images/"), F.col("user_id").cast("string"), F.lit(".png"))
+    images = rows.where("user_id % 5 <> 0").select(path.alias("path"))
+    at = lambda x, y: F.concat(F.lit('{"x":'), x.cast("string"), F.lit(',"y":'), y.cast("string"), F.lit("}"))
+    last = F.when(F.col("event_id") % 13 == 0, "").otherwise(F.concat(F.lit(","), at(F.lit(7), F.col("value").cast("int"))))
+    polygon = F.concat(F.lit('"seat_contact_polygon":['), at(F.col("k"), F.lit(5)), F.lit(","), at(F.lit(9), F.when(F.col("event_id") % 17 == 0, F.lit("null")).otherwise(F.lit("8"))), last, F.lit("]"))
+    note = F.when(F.col("event_id") % 29 == 0, F.lit(',"note":"and so on ..."}')).otherwise(F.lit("}"))
+    answer = F.concat(F.lit(f'{{"task":"{X.TASKS[None, None]}","image_size":{{"width":100,"height":100}},'), polygon, note)
+    answer = F.when(F.col("event_id") % 23 == 0, F.lit("no json")).otherwise(answer)
+    messages = TG.target_messages(F.lit("s"), F.lit("u"), answer)
+    lines = rows.select(
+        F.col("event_type").alias("file"), F.col("event_id").alias("lineno"),
+        F.when(F.col("event_id") % 31 != 0, F.array(path)).alias("images"), F.when(F.col("event_id") % 37 != 0, messages).alias("messages"),
+    )
+    report = C.file_report(TG.checked_lines(lines, images, X.TASKS[None, None], "polygon", 3))
+    return report.select("file", "n_lines", "n_ok", "n_bad", F.concat_ws("; ", F.transform("errors", lambda e: F.concat(e["lineno"].cast("string"), F.lit(":"), e["error"]))).alias("preview"))
+
+
+CHAT_FILE_REPORT = """WITH e AS (SELECT event_type AS file, event_id AS lineno, user_id, trunc(value)::INTEGER AS v, (props::JSON->>'$.k')::INTEGER AS k FROM events),
+w AS (SELECT file, lineno, CASE WHEN lineno%31=0 THEN 'images missing' WHEN lineno%37=0 THEN 'messages missing' WHEN user_id%5=0 THEN 'image does not exist' WHEN lineno%23=0 THEN 'assistant target must be a JSON object'
+ WHEN lineno%13=0 THEN 'seat_contact_polygon must contain >=3 points' WHEN lineno%17=0 THEN 'point x/y must be finite numbers' WHEN k<0 OR k>99 OR v<0 OR v>99 THEN 'point out of image boundary'
+ WHEN lineno%29=0 THEN 'assistant text contains placeholder-like tokens' END AS error FROM e),
+b AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY lineno) AS r FROM w WHERE error IS NOT NULL)
+SELECT file, count(*) AS n_lines, count(*) FILTER (error IS NULL) AS n_ok, count(error) AS n_bad,
+ coalesce((SELECT string_agg(lineno||':'||error,'; ' ORDER BY lineno) FROM b WHERE b.file=w.file AND r<=20),'') AS preview FROM w GROUP BY file"""
+
+
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pages of each language and host, the path that an order by version puts last."""
+    path = F.regexp_replace(F.col("url"), r"[?#].*$", "")
+    host = F.regexp_extract(path, r"//([^/]+)/", 1)
+    return X.last_by_version(table(spark, sf_dir, "pages").select(host.alias("host"), path.alias("path")), ["host"], "path")
+
+
+LATEST_VERSION = r"""WITH p AS (SELECT regexp_replace(url,'[?#].*$','') AS path FROM pages),
+v AS (SELECT regexp_extract(path,'//([^/]+)/',1) AS host, path, coalesce(try_cast(regexp_extract(path,'([0-9]+)[^0-9]*$',1) AS INTEGER),-1) AS version FROM p)
+SELECT host, path, version FROM (SELECT DISTINCT *, row_number() OVER (PARTITION BY host ORDER BY version DESC, path DESC) AS r FROM v) WHERE r=1"""
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested record flattened to manifest columns, with a preview of the text."""
     meta = F.struct("lang", "source", F.col("n_chars").alias("chars"), F.struct((F.col("n_chars") % 224).alias("width"), (F.col("n_chars") % 97).alias("height")).alias("size"))
@@ -150,16 +192,19 @@ def name_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", shape.alias("shape"), mode.alias("mode"), "lang", "source", F.contains(F.lower("text"), F.lit("tired")).alias("is_tired"))
     return rows.select(
         "doc_id", X.task_name(F.col("shape"), F.col("mode")).alias("task"), X.target_key(F.col("shape")).alias("target_key"),
-        X.prompt(F.col("shape"), F.col("mode"), F.col("lang") == "en", 16).alias("prompt"), "is_tired",
+        TG.from_template(TG.SYSTEM, F.col("shape"), F.col("mode"), F.when(F.col("lang") == "en", "chair").otherwise("none"), F.lit(16)).alias("prompt"), "is_tired",
         X.first_filled(F.when(F.col("lang") == "fr", F.lit(" ")).otherwise(F.col("lang")), F.col("source"), F.lit("base")).alias("model"),
     )
 
 
-NAME_RESOLVER = """WITH d AS (SELECT *, ['bbox','quad','polygon'][doc_id%3+1] AS shape, doc_id%2=0 AS grid FROM documents)
+def _sql_system(shape: str | None, mode: str | None) -> str:
+    return "'" + TG.SYSTEM[shape, mode].replace("{grid}", "16").replace("{hint}", f"'||CASE WHEN lang='en' THEN '{TG.HINT}' ELSE '' END||'") + "'"
+
+
+NAME_RESOLVER = f"""WITH d AS (SELECT *, ['bbox','quad','polygon'][doc_id%3+1] AS shape, doc_id%2=0 AS grid FROM documents)
 SELECT doc_id, CASE WHEN shape='bbox' AND grid THEN 'seat_contact_bounding_box_grid' WHEN shape='bbox' THEN 'seat_contact_bounding_box' WHEN shape='quad' THEN 'seat_contact_quad_points' ELSE 'seat_contact_segmentation_points' END AS task,
  CASE WHEN shape='bbox' THEN 'seat_contact_box' ELSE 'seat_contact_polygon' END AS target_key,
- concat_ws(' ', CASE WHEN lang='en' THEN 'The image shows one object.' END, CASE shape WHEN 'bbox' THEN 'Return one box' WHEN 'quad' THEN 'Return four corners' ELSE 'Return an outline' END,
-  CASE WHEN shape='bbox' AND grid THEN 'on a 16 by 16 grid' ELSE 'in pixels' END, 'as '||CASE WHEN shape='bbox' THEN 'seat_contact_box' ELSE 'seat_contact_polygon' END) AS prompt,
+ CASE WHEN shape='bbox' AND grid THEN {_sql_system("bbox", "grid")} WHEN shape='bbox' THEN {_sql_system("bbox", None)} WHEN shape='quad' THEN {_sql_system("quad", None)} ELSE {_sql_system(None, None)} END AS prompt,
  contains(lower(text),'tired') AS is_tired, CASE WHEN lang='fr' THEN source ELSE lang END AS model FROM d"""
 
 
@@ -208,6 +253,8 @@ QUERIES = {
     "json_props": (json_props, JSON_PROPS),
     "json_recover": (json_recover, JSON_RECOVER),
     "file_validation_report": (file_validation_report, FILE_REPORT),
+    "chat_file_report": (chat_file_report, CHAT_FILE_REPORT),
+    "latest_version": (latest_version, LATEST_VERSION),
     "manifest": (manifest, MANIFEST),
     "key_sets": (key_sets, KEY_SETS),
     "name_resolver": (name_resolver, NAME_RESOLVER),
