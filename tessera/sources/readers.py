@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import struct
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +28,10 @@ PREDICTIONS = "id string, pred_text string"
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of a dataset build; unusable combinations are refused when it is made."""
+    """Settings of a dataset build; unusable combinations are refused when it is made.
+
+    from_environment() takes what is set there under a prefix, in capitals, over the defaults.
+    """
 
     min_area: float = 8.0
     grid: int = 16
@@ -34,8 +39,30 @@ class Config:
     train: float = 0.85
     val: float = 0.10
     max_retries: int = 2
+    target_shape: str = "polygon"
+    coord_mode: str = "pixel"
+    crop_mode: str = "none"
+    gate_steps: tuple[int, ...] = (10, 20, 30)
+    gate_delta: int = 10
+    gate_most: int = 60
+
+    @classmethod
+    def from_environment(cls, prefix: str = "TESSERA_", env: Mapping[str, str] | None = None, **told: object) -> Config:
+        env = os.environ if env is None else env
+        found: dict[str, object] = {}
+        for field in fields(cls):
+            if text := env.get(prefix + field.name.upper(), "").strip():
+                kind = type(field.default)
+                found[field.name] = tuple(int(part) for part in text.split(",") if part.strip()) if kind is tuple else kind(text)
+        return cls(**(found | told))
 
     def __post_init__(self) -> None:
+        if self.target_shape not in ("bbox", "quad", "polygon") or self.coord_mode not in ("pixel", "grid") or self.crop_mode not in ("none", "chair"):
+            raise ValueError("target_shape, coord_mode and crop_mode must be known ones")
+        if self.coord_mode == "grid" and self.target_shape != "bbox":
+            raise ValueError("a grid goes with boxes only")
+        if not self.gate_steps or any(a >= b for a, b in zip(self.gate_steps, self.gate_steps[1:])) or self.gate_steps[0] < 1:
+            raise ValueError("gate_steps must be positive and rise")
         if self.max_retries < 1:
             raise ValueError("max_retries must be at least 1")
         if self.grid < 2 or self.points < 3:
@@ -100,14 +127,38 @@ def header_size(content: bytes) -> tuple[int, int] | None:
     return None
 
 
+def _whole(content: Column, first: int, n: int, little: bool) -> Column:
+    """n bytes of a binary column as a whole number, from byte `first` (from 0)."""
+    text = F.hex(F.substring(content, first + 1, n))
+    if little:
+        text = F.concat(*[F.substring(text, 2 * k + 1, 2) for k in reversed(range(n))])
+    return F.conv(text, 16, 10).cast("long")
+
+
+def _signed(value: Column) -> Column:
+    return F.abs(F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value))
+
+
 def image_size(content: Column) -> Column:
-    """struct<width,height> of a binary column, null where the header is not known."""
+    """struct<width,height> of a binary column, null where the header is not known.
+
+    PNG, GIF and BMP headers are read by expressions from their first 26 bytes; only a JPEG, whose frame header may
+    stand anywhere, goes to Python.
+    """
 
     @F.pandas_udf("struct<width:int,height:int>")
-    def size(contents: pd.Series) -> pd.DataFrame:
+    def walked(contents: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([header_size(bytes(c)) or (None, None) if c is not None else (None, None) for c in contents], columns=["width", "height"]).astype("Int32")
 
-    return size(content)
+    magic, n = F.hex(F.substring(content, 1, 8)), F.octet_length(content)
+    size = lambda w, h: F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"))
+    jpeg = walked(F.when(magic.startswith("FFD8"), content))
+    return (
+        F.when((magic == "89504E470D0A1A0A") & (n >= 24), size(_whole(content, 16, 4, False), _whole(content, 20, 4, False)))
+        .when(magic.startswith("474946383761") | magic.startswith("474946383961"), F.when(n >= 10, size(_whole(content, 6, 2, True), _whole(content, 8, 2, True))))
+        .when(magic.startswith("424D"), F.when(n >= 26, size(_signed(_whole(content, 18, 4, True)), _signed(_whole(content, 22, 4, True)))))
+        .when(magic.startswith("FFD8") & jpeg["width"].isNotNull(), jpeg)
+    )
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:

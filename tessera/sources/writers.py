@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +50,28 @@ def label_texts(polygons: DataFrame, samples: DataFrame) -> DataFrame:
     return samples.select("sample_id").distinct().join(texts, "sample_id", "left").select("sample_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def write_label_texts(texts: DataFrame, path: str) -> None:
-    """A folder per sample with its text; what was there is replaced."""
-    texts.select("sample_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("sample_id").text(path)
+def write_label_texts(texts: DataFrame, path: str, overwrite: bool = True) -> int:
+    """A file `<sample_id>.txt` for every sample in one folder, written by the tasks themselves; the number of files.
+
+    path is a folder that all executors reach, by any scheme that Arrow's file systems know. A task
+    that runs twice writes the same files again.
+    """
+    if overwrite:
+        system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        system.create_dir(folder, recursive=True)
+        system.delete_dir_contents(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for sample, text in zip(*(c.to_pylist() for c in batch.columns)):
+                with system.open_output_stream(f"{folder}/{sample}.txt") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = texts.select(F.col("sample_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def dataset_description(root: str, names: list[str]) -> str:
@@ -57,6 +80,12 @@ def dataset_description(root: str, names: list[str]) -> str:
     return f"path: {root}\ntrain: images/train\nval: images/val\ntest: images/test\nnames:\n{listed}\n"
 
 
+def exit_code(rows: DataFrame, status: str = "status") -> int:
+    """0 if every result is ok, else 2; none at all are not ok."""
+    told = rows.agg(F.count("*").alias("n"), F.count_if(F.col(status) == "ok").alias("ok")).first()
+    return 0 if told["n"] and told["n"] == told["ok"] else 2
+
+
 def write_results(rows: DataFrame, path: str) -> None:
     """Result documents, one per line, nulls kept."""
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
