@@ -75,3 +75,41 @@ def file_report(lines: DataFrame, preview: int = 20) -> DataFrame:
     told = first.withColumn("_k", again).where(F.col("_k") <= preview).groupBy("file")
     shown = told.agg(F.array_sort(F.collect_list(F.struct("lineno", "error"))).alias("errors"))
     return counts.join(shown, "file", "left")
+
+
+def staged_retries(attempts: DataFrame, most: int, system: str, stage: str = "stage", preview: int = 240) -> DataFrame:
+    """What a stage gives that is tried up to `most` times, each time told what was wrong before: one row a run.
+
+    attempts has run, attempt (from 1), and what was recorded of it: api_error (null if the call went through), raw,
+    parsed (the object in raw as text, null if there is none) and errors (an array: what a validator says of parsed).
+    The first attempt without any error ends the run. Returns ok, attempts, data (its parsed text), errors (a message for
+    each failed attempt), prompts (what each attempt was asked), last_raw and last_parsed.
+    """
+    name = F.concat(F.lit(f"{stage} attempt "), F.col("attempt").cast("string"))
+    shown = F.substring(F.translate("raw", "\n", " "), 1, preview)
+    joined = F.array_join("errors", "; ")
+    invalid = F.size(F.coalesce("errors", F.array().cast("array<string>"))) > 0
+    message = (
+        F.when(F.col("api_error").isNotNull(), F.concat(name, F.lit(": API error: "), "api_error"))
+        .when(F.col("parsed").isNull(), F.concat(name, F.lit(": JSON parse failed; raw_preview="), F.coalesce(shown, F.lit(""))))
+        .when(invalid, F.concat(name, F.lit(": validation failed: "), joined))
+    )
+    carried = F.when(F.col("api_error").isNull() & F.col("parsed").isNotNull(), F.when(invalid, joined)).otherwise(message)
+    told = attempts.where(F.col("attempt") <= most).select("run", "attempt", "api_error", "raw", "parsed", message.alias("message"), carried.alias("carried"))
+    runs = told.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("attempt", "api_error", "raw", "parsed", "message", "carried"))).alias("tries"))
+    end = F.array_min(F.transform(F.filter("tries", lambda t: t["message"].isNull()), lambda t: t["attempt"]))
+    runs = runs.select("run", "tries", end.alias("end"))
+    used = F.filter("tries", lambda t: F.col("end").isNull() | (t["attempt"] <= F.col("end")))
+    issue = lambda i: F.when(i > 0, F.get(used, i - 1)["carried"])
+    ask = lambda t, i: F.concat_ws("\n\n", F.lit(system), F.concat(F.lit("Previous output issues:\n"), issue(i), F.lit("\nReturn ONLY valid JSON object.")))
+    last = lambda values: F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+    return runs.select(
+        "run",
+        F.col("end").isNotNull().alias("ok"),
+        F.coalesce("end", F.lit(most)).alias("attempts"),
+        F.when(F.col("end").isNotNull(), F.try_element_at(used, F.lit(-1))["parsed"]).alias("data"),
+        F.filter(F.transform(used, lambda t: t["message"]), lambda m: m.isNotNull()).alias("errors"),
+        F.transform(used, ask).alias("prompts"),
+        last(F.transform(used, lambda t: F.when(t["api_error"].isNull(), t["raw"]))).alias("last_raw"),
+        last(F.transform(used, lambda t: t["parsed"])).alias("last_parsed"),
+    )

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import fixed
+from tessera.operators import pose as P
 from tessera.operators import raster as R
 from tessera.plans.common import FRAME, polygons, r4, sql_edges, sql_points
 
@@ -154,6 +156,30 @@ def mask_hip_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir, measure, "n_zone", "n_candidates")
 
 
+def mask_seat_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a chair's mask to a geometry that sitting priors allow, and its contact polygon: rows, band, depth trim, outline, clean-up, repair."""
+    kind = "array<struct<x:double,y:double>>"
+
+    @F.pandas_udf(f"struct<seat:{kind},floor:{kind},back:{kind},n_contact:int,n_polygon:int>")
+    def found(gt: pd.Series, pred: pd.Series) -> pd.DataFrame:
+        rows = []
+        for polygons_of in zip(gt, pred):
+            a, b = (np.array([(p["x"], p["y"]) for p in told], float) for told in polygons_of)
+            chair = R.hull_mask(R.fill(a, FRAME, FRAME) | R.fill(b, FRAME, FRAME))
+            geometry = R.seat_geometry(chair)
+            if geometry is None:
+                rows.append((None, None, None, 0, 0))
+                continue
+            area = R.seat_contact(chair, geometry)
+            told = [[{"x": x, "y": y} for x, y in geometry[k]] for k in ("seat", "floor", "back")]
+            rows.append((*told, int(area.sum()), len(R.contact_polygon(area, geometry["seat"]))))
+        return pd.DataFrame(rows, columns=["seat", "floor", "back", "n_contact", "n_polygon"])
+
+    rows = fixed(polygons(spark, sf_dir), "m", found("gt", "pred")).select("vec_id", "m.*").where("seat IS NOT NULL")
+    rows = P.repair(rows, FRAME, FRAME)
+    return rows.select("vec_id", "ok", "n_contact", "n_polygon", r4(F.col("seat")[0]["x"]).alias("seat_x"), r4(F.col("seat")[0]["y"]).alias("seat_y"), r4(F.col("floor")[0]["y"]).alias("floor_y"), r4(F.col("back")[0]["y"]).alias("back_y"))
+
+
 def mask_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners of the outline, and of the polygon cut to a rectangle."""
     return _measured(spark, sf_dir, lambda m, _, a: (len(R.outline(m)), len(R.clip_polygon(a, 40.0, 40.0, 180.0, 180.0))), "n_ring", "n_clipped")
@@ -192,5 +218,6 @@ QUERIES = {
     "mask_styles": (mask_styles, None),
     "mask_depth_trim": (mask_depth_trim, MASK_DEPTH),
     "mask_hip_zone": (mask_hip_zone, None),
+    "mask_seat_geometry": (mask_seat_geometry, None),
     "mask_outline": (mask_outline, None),
 }

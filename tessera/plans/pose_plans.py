@@ -154,6 +154,30 @@ z AS (SELECT vec_id, px AS x, py AS y, round(exp(-0.5*power((t-0.35)/0.23,2))*ex
 SELECT vec_id, rank::INTEGER AS rank, x, y, weight, depth_t FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY weight DESC, y, x) AS rank FROM z) WHERE rank<=5"""
 
 
+SEAT_CANDIDATES = f"""WITH {SQL_ISSUES}, {sql_points("c", 16, 3)}, {sql_edges("ce", "c")},
+ca AS (SELECT vec_id, vec_id%2=1 AND abs(sum(sx*ey-ex*sy))*0.5>1.0 AS given FROM ce GROUP BY vec_id),
+o AS (SELECT vec_id, i, x, y FROM v JOIN ca USING (vec_id) WHERE NOT given UNION ALL SELECT vec_id, i, x, y FROM c JOIN ca USING (vec_id) WHERE given),
+oe AS (SELECT vec_id, sx, sy, ex, ey FROM e JOIN ca USING (vec_id) WHERE NOT given UNION ALL SELECT vec_id, sx, sy, ex, ey FROM ce JOIN ca USING (vec_id) WHERE given),
+a AS (SELECT vec_id, greatest(4.0,least(30.0,0.04*sqrt(greatest(abs(sum(sx*ey-ex*sy))*0.5,1.0)))) AS margin FROM oe GROUP BY vec_id),
+ob AS (SELECT vec_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, avg(x) AS mx, avg(y) AS my FROM o GROUP BY vec_id),
+n AS (SELECT vec_id, e.i, row_number() OVER (PARTITION BY vec_id ORDER BY sqrt(power((sx+ex)*0.5-kx,2)+power((sy+ey)*0.5-ky,2)), e.i) AS r FROM e JOIN bk USING (vec_id)),
+q AS (SELECT n.vec_id, p.x, p.y, (p.i-n.i+4)%4 AS o FROM n JOIN v p ON p.vec_id=n.vec_id WHERE r=1),
+s0 AS (SELECT vec_id, max(x) FILTER (o=0) AS ax, max(y) FILTER (o=0) AS ay, max(x) FILTER (o=1) AS bx, max(y) FILTER (o=1) AS b_y,
+  (max(x) FILTER (o=0)+max(x) FILTER (o=1))*0.5 AS mx, (max(y) FILTER (o=0)+max(y) FILTER (o=1))*0.5 AS my, (max(x) FILTER (o=2)+max(x) FILTER (o=3))*0.5 AS fx, (max(y) FILTER (o=2)+max(y) FILTER (o=3))*0.5 AS f_y FROM q GROUP BY vec_id),
+s AS (SELECT *, CASE WHEN NOT given THEN [0.08,0.92,0.35,0.23] WHEN up>=0.75 THEN [0.34,0.84,0.54,0.16] WHEN up>=0.55 THEN [0.27,0.88,0.49,0.18] ELSE [0.2,0.9,0.46,0.2] END::DOUBLE[] AS band
+  FROM (SELECT s0.*, given, abs(f_y-my)/sqrt(greatest((fx-mx)*(fx-mx)+(f_y-my)*(f_y-my),1e-8)) AS up FROM s0 JOIN ca USING (vec_id))),
+gy AS (SELECT vec_id, unnest(range(greatest(floor(y0),0)::INTEGER, least(ceil(y1),223)::INTEGER+1, 12)) AS gy FROM ob), gx AS (SELECT vec_id, unnest(range(greatest(floor(x0),0)::INTEGER, least(ceil(x1),223)::INTEGER+1, 12)) AS gx FROM ob),
+g AS (SELECT vec_id, gx::DOUBLE AS px, gy::DOUBLE AS py FROM gy JOIN gx USING (vec_id)),
+d AS (SELECT g.vec_id, px, py, sum(CASE WHEN (sy>py) <> (ey>py) AND px < (sx-ex)*(py-ey)/((sy-ey)+1e-8)+ex THEN 1 ELSE 0 END)%2=1 AS inside,
+  min(CASE WHEN power(ex-sx,2)+power(ey-sy,2)<1e-8 THEN sqrt(power(px-sx,2)+power(py-sy,2)) ELSE sqrt(power(px-(sx+greatest(0.0,least(1.0,((px-sx)*(ex-sx)+(py-sy)*(ey-sy))/(power(ex-sx,2)+power(ey-sy,2))))*(ex-sx)),2)
+   +power(py-(sy+greatest(0.0,least(1.0,((px-sx)*(ex-sx)+(py-sy)*(ey-sy))/(power(ex-sx,2)+power(ey-sy,2))))*(ey-sy)),2)) END) AS dist FROM g JOIN oe USING (vec_id) GROUP BY g.vec_id, px, py),
+w AS (SELECT vec_id, px, py, band, ((px-mx)*(fx-mx)+(py-my)*(f_y-my))/(power(fx-mx,2)+power(f_y-my,2)) AS t, ((px-ax)*(bx-ax)+(py-ay)*(b_y-ay))/(power(bx-ax,2)+power(b_y-ay,2)) AS u
+  FROM d JOIN a USING (vec_id) JOIN s USING (vec_id) WHERE inside AND dist>=margin),
+z AS (SELECT vec_id, px AS x, py AS y, round(exp(-0.5*power((t-band[3])/band[4],2))*exp(-0.5*power((u-0.5)/0.33,2)),4) AS weight, round(t,4) AS depth_t FROM w WHERE t BETWEEN band[1] AND band[2]),
+r AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY weight DESC, y, x)::INTEGER AS rank, x, y, weight, depth_t FROM z)
+SELECT * FROM r UNION ALL SELECT vec_id, 1, round_even(mx,2), round_even(my,2), 1.0, 0.5 FROM ob WHERE vec_id NOT IN (SELECT vec_id FROM z)"""
+
+
 def denormalise_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometries told on a grid of 100 cells, scaled to a frame of 640 x 480; those of other frames stay."""
     points = F.concat(polygon(0, 4, 110.0, -5.0, 0.0), polygon(8, 2, 110.0, -5.0, 0.0))
@@ -337,7 +361,7 @@ QUERIES = {
     "local_check_score": (local_check_score, LOCAL_CHECK),
     "fallback_cascade": (fallback_cascade, FALLBACK),
     "hip_candidates": (hip_candidates, HIP),
-    "seat_candidates": (seat_candidates, None),
+    "seat_candidates": (seat_candidates, SEAT_CANDIDATES),
     "denormalise_grid": (denormalise_grid, DENORMALISE),
     "sanitize_repair": (sanitize_repair, None),
     "parts_quality": (parts_quality, PARTS),

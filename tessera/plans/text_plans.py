@@ -98,6 +98,30 @@ SELECT event_id, kind IN (0,1,2,5) AS valid_json, kind IN (0,1,2) AS schema_vali
        CASE WHEN kind IN (0,1) THEN {SQL_FULL} WHEN kind IN (2,5) THEN '{{"k":'||k||'}}' END AS last FROM e"""
 
 
+def stage_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as recorded attempts of runs of four, at most three of which are made: some calls fail, some answers hold no object or a wrong one."""
+    rows = table(spark, sf_dir, "events").select("event_id", "props", jsonx.recovered(_noisy(), TASK, KEY).alias("r"), _noisy().alias("raw"))
+    errors = F.when(F.col("r.schema_valid"), F.array().cast("array<string>")).otherwise(F.array(F.lit("not of the schema"), F.concat(F.lit("keys: "), F.concat_ws(",", F.json_object_keys("r.last")))))
+    rows = rows.select(
+        F.floor(F.col("event_id") / 4).alias("run"), (F.col("event_id") % 4 + 1).cast("int").alias("attempt"), F.when(F.col("event_id") % 11 == 0, "timeout").alias("api_error"),
+        "raw", F.when(F.col("r.valid_json"), F.col("r.last")).alias("parsed"), errors.alias("errors"),
+    )
+    runs = C.staged_retries(rows, 3, "Answer in JSON.", "stage A", 20)
+    return runs.select("run", "ok", "attempts", F.md5("data").alias("data_md5"), F.concat_ws("|", "errors").alias("errors"), F.md5(F.concat_ws("|", "prompts")).alias("prompts_md5"), F.md5("last_parsed").alias("last_md5"))
+
+
+SQL_RAW = f"""CASE kind WHEN 3 THEN replace(f,'"',chr(39)) ELSE left(f,60) END"""
+STAGE_RETRY = f"""WITH e AS (SELECT event_id, event_id//4 AS run, event_id%4+1 AS attempt, event_id%6 AS kind, props, (props::JSON->>'$.k')::INTEGER AS k, event_id%11=0 AS api FROM events WHERE event_id%4<3),
+j AS (SELECT *, CASE WHEN kind IN (0,1) THEN {SQL_FULL} WHEN kind IN (2,5) THEN '{{"k":'||k||'}}' END AS parsed,
+  '{{"task": "{TASK}", "image_size": {{"width": 224, "height": "224"}}, "{KEY}": {{"x_min": '||k||', "y_min": "12px", "x_max": '||(k+40)||', "y_max": 90.5}}}}' AS f FROM e),
+m AS (SELECT *, 'stage A attempt '||attempt AS name, CASE WHEN kind=5 THEN 'not of the schema; keys: k' END AS bad FROM j),
+t AS (SELECT *, CASE WHEN api THEN name||': API error: timeout' WHEN parsed IS NULL THEN name||': JSON parse failed; raw_preview='||left(replace({SQL_RAW},chr(10),' '),20) WHEN bad IS NOT NULL THEN name||': validation failed: '||bad END AS message FROM m),
+c AS (SELECT *, CASE WHEN NOT api AND parsed IS NOT NULL THEN bad ELSE message END AS carried, min(CASE WHEN message IS NULL THEN attempt END) OVER (PARTITION BY run) AS stop FROM t),
+u AS (SELECT *, 'Answer in JSON.'||coalesce(chr(10)||chr(10)||'Previous output issues:'||chr(10)||lag(carried) OVER (PARTITION BY run ORDER BY attempt)||chr(10)||'Return ONLY valid JSON object.','') AS prompt FROM c WHERE stop IS NULL OR attempt<=stop)
+SELECT run, any_value(stop) IS NOT NULL AS ok, coalesce(any_value(stop),3)::INTEGER AS attempts, md5(max(CASE WHEN attempt=stop THEN parsed END)) AS data_md5, coalesce(string_agg(message,'|' ORDER BY attempt),'') AS errors,
+ md5(string_agg(prompt,'|' ORDER BY attempt)) AS prompts_md5, md5(arg_max(parsed, attempt) FILTER (parsed IS NOT NULL)) AS last_md5 FROM u GROUP BY run"""
+
+
 def file_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines of files by type: each is a target whose box lies in a frame of 100 pixels."""
     rows = table(spark, sf_dir, "events").select("event_type", "event_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k"), "props")
@@ -252,6 +276,7 @@ QUERIES = {
     "placeholder_rate": (placeholder_rate, PLACEHOLDER_RATE),
     "json_props": (json_props, JSON_PROPS),
     "json_recover": (json_recover, JSON_RECOVER),
+    "stage_retry": (stage_retry, STAGE_RETRY),
     "file_validation_report": (file_validation_report, FILE_REPORT),
     "chat_file_report": (chat_file_report, CHAT_FILE_REPORT),
     "latest_version": (latest_version, LATEST_VERSION),

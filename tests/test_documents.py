@@ -207,3 +207,79 @@ def test_rejections_in_order(spark):
     for valid, schema, polygon, want in cases:
         row = spark.range(1).select(V.prediction_rejections(F.expr(f"cast({valid} AS boolean)"), F.expr(schema), F.expr(f"cast({polygon} AS array<struct<x:double,y:double>>)"), 224, 224).alias("e")).first()
         assert row.e == want
+
+
+def plain_seat(chair):
+    """seat_geometry() by rows of sets."""
+    ys = [y for y in range(chair.shape[0]) if chair[y].any()]
+    if not ys:
+        return None
+    tall, wide, y0, h = chair.shape[0], chair.shape[1], ys[0], ys[-1] - ys[0] + 1
+    row = {y - y0: [x for x in range(wide) if chair[y, x]] for y in range(ys[0], ys[-1] + 1)}
+    xs = [x for r in row.values() for x in r]
+    cut = plain.cut
+
+    def ends(r):
+        r = int(cut(r, 0, h - 1))
+        for d in range(max(8, h // 6) + 1):
+            for at in (r - d, r + d):
+                if row.get(at):
+                    return row[at][0], row[at][-1]
+        return min(xs), max(xs)
+
+    low, high = int(0.30 * h), int(0.82 * h)
+    low, high = (0, h) if high <= low else (low, high)
+    peak = max(range(low, high), key=lambda r: (len(row[r]), -r))
+    drop = next((r for r in range(peak, h) if len(row[r]) < max(5, int(0.55 * max(1, len(row[peak]))))), int(cut(0.78 * h, 0, h - 1)))
+    bottom = int(cut(drop - int(0.02 * h), int(0.46 * h), int(0.90 * h)))
+    top = max(int(0.18 * h), bottom - int(cut(int(0.15 * h), max(6, int(0.07 * h)), max(10, int(0.24 * h)))))
+    if top >= bottom:
+        top = max(0, bottom - max(6, int(0.07 * h)))
+    a, b = ends(int((top + bottom) * 0.5))
+    a, b = (min(xs), max(xs)) if b <= a else (a, b)
+    m = max(2, int(0.11 * max(12, b - a)))
+    sx0 = int(cut(a + m, 0, wide - 1))
+    sx1 = max(int(min(b - m, wide - 1)), sx0 + 2)
+    back = max(int(0.08 * h), top - max(8, int(0.18 * h)))
+    a, b = ends(back)
+    a, b = (sx0, sx1) if b <= a else (a, b)
+    m = max(2, int(0.08 * max(1, b - a)))
+    bx0 = int(cut(a + m, 0, wide - 1))
+    bx1 = max(int(min(b - m, wide - 1)), bx0 + 2)
+    floor = min(max(ys[-1] + int(0.06 * tall), y0 + bottom + int(0.12 * tall)), tall - 1)
+    fx0 = int(cut(sx0 - 0.65 * (sx1 - sx0), 0, wide - 1))
+    fx1 = max(int(min(sx1 + 0.65 * (sx1 - sx0), wide - 1)), fx0 + 2)
+    up, lo = y0 + top, y0 + bottom
+    return {"seat": [(sx0, up), (sx1, up), (sx1, lo), (sx0, lo)], "floor": [(fx0, floor), (fx1, floor)], "back": [(bx0, y0 + back), (bx1, y0 + back)]}
+
+
+def test_seat_geometry_of_masks():
+    import numpy as np
+
+    from tessera.operators import raster as R
+
+    rng = np.random.default_rng(5)
+    assert R.seat_geometry(np.zeros((9, 9), bool)) is None
+    for k in range(120):
+        shape = (int(rng.integers(5, 90)), int(rng.integers(5, 90)))
+        chair = R.fill(rng.random((6, 2)) * (shape[1], shape[0]), *shape) & (rng.random(shape) < (0.8 if k % 3 else 1))
+        got, want = R.seat_geometry(chair), plain_seat(chair)
+        assert got == want
+        if got:
+            area = R.seat_contact(chair, got)
+            polygon = R.contact_polygon(area, got["seat"])
+            assert area.shape == chair.shape and len(polygon) >= 3
+            back, front = R.seat_axis(got["seat"], got["back"])
+            sides = [tuple(np.mean([got["seat"][i], got["seat"][(i + 1) % 4]], axis=0)) for i in range(4)]
+            middle = np.mean(got["back"], axis=0)
+            assert math.dist(back, middle) == min(math.dist(s, middle) for s in sides) and front == sides[(sides.index(back) + 2) % 4]
+
+
+def test_resized_masks():
+    import numpy as np
+
+    from tessera.operators import raster as R
+
+    mask = np.random.default_rng(1).random((7, 5)) < 0.5
+    for h, w in ((7, 5), (14, 10), (3, 2), (1, 1), (20, 3)):
+        assert (R.resized(mask, h, w) == [[mask[y * 7 // h, x * 5 // w] for x in range(w)] for y in range(h)]).all()
