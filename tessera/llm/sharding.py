@@ -13,6 +13,8 @@ from tessera.llm.common import text_of
 JUMP_MULTIPLIER = np.uint64(2862933555777941757)
 #: Rows of a shard are numbered in this many blocks, so that numbering never puts a shard into one task.
 BLOCKS = 1024
+#: A block of more rows than this, and than eight times the mean, holds a key that repeats very often: it is cut into PARTS by the text.
+HOT_ROWS, PARTS = 100_000, 256
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -69,30 +71,42 @@ def shard_documents(
     slot numbers the rows of a shard from 0 without gaps, by block and then by key,
     size and checksum. A block is a hash of the key; block sizes are counted in a first
     pass that reads only the key column, and the shards x BLOCKS offsets, a table of
-    fixed size, are broadcast. So no task ever holds a whole shard. Rows that repeat
-    with one key get slots of their own. A null key counts as empty text; an empty
-    table gives an empty result; other columns of the input are not read.
+    fixed size, are broadcast. So no task ever holds a whole shard. A block that is far
+    larger than the others, because one key repeats very often, is cut into parts by a hash of
+    the text, counted in a second pass. Rows that repeat with one key get slots of
+    their own. A null key counts as empty text; an empty table gives an empty result;
+    other columns of the input are not read.
     """
-    block = block_of(F.col(key)).alias("_block")
-    shard = jump_shard(F.col(key), shards).alias("shard")
-    counts = docs.select(F.col(key)).select(shard, block).groupBy("shard", "_block").agg(F.count("*").alias("_n"))
-    before = (
-        "sum(_n) OVER (PARTITION BY shard ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _n AS _base"
-    )
-    offsets = F.broadcast(counts.selectExpr("shard", "_block", before))
-    size = (F.octet_length("_text") + overhead).cast("long").alias("size")
-    rows = docs.select(F.col(key), text_of(docs, text).alias("_text")).select(
-        F.col(key),
-        size,
+    own = docs.select(F.col(key).alias("_key"), text_of(docs, text).alias("_text"))
+    block = block_of(F.col("_key")).alias("_block")
+    shard = jump_shard(F.col("_key"), shards).alias("shard")
+    counts = own.select(shard, block).groupBy("shard", "_block").agg(F.count("*").alias("_n")).collect()
+    limit = max(HOT_ROWS, 8 * sum(r["_n"] for r in counts) // (shards * BLOCKS))
+    hot = sorted({r["_block"] for r in counts if r["_n"] > limit})
+    part = F.when(F.col("_block").isin(hot), F.pmod(F.xxhash64("_text"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
+    sizes = [(r["shard"], r["_block"], 0, r["_n"]) for r in counts if r["_block"] not in hot]
+    if hot:
+        again = own.select(shard, block, "_text").where(F.col("_block").isin(hot)).withColumn("_part", part)
+        sizes += [tuple(r) for r in again.groupBy("shard", "_block", "_part").agg(F.count("*")).collect()]
+    bases, reached = [], {}
+    for at, b, p, n in sorted(sizes):
+        bases.append((at, b, p, reached.get(at, 0)))
+        reached[at] = reached.get(at, 0) + n
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(bases, "shard int, _block int, _part int, _base long"))
+    rows = own.select(
+        "_key",
+        (F.octet_length("_text") + overhead).cast("long").alias("size"),
         F.crc32(F.col("_text").cast("binary")).alias("text_crc32"),
         shard,
-        jump_shard(F.col(key), shards + 1).alias("grown_shard"),
+        jump_shard(F.col("_key"), shards + 1).alias("grown_shard"),
         block,
-    )
-    inner = f"row_number() OVER (PARTITION BY shard, _block ORDER BY `{key}`, size, text_crc32) - 1 AS _inner"
-    numbered = rows.selectExpr("*", inner).join(offsets, ["shard", "_block"], "left")
+        *(["_text"] if hot else []),
+    ).withColumn("_part", part)
+    inner = "row_number() OVER (PARTITION BY shard, _block, _part ORDER BY _key, size, text_crc32) - 1 AS _inner"
+    rows = rows.drop("_text")
+    numbered = rows.selectExpr("*", inner).join(offsets, ["shard", "_block", "_part"], "left")
     return numbered.select(
-        F.col(key),
+        F.col("_key").alias(key),
         "size",
         "text_crc32",
         F.lit("key").alias("law"),

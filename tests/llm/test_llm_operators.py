@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ngram_join, queries, url_filters
+from tessera.llm import ngram_join, queries, sharding, url_filters
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.components import connected_components
 from tessera.llm.common import Scratch
@@ -99,6 +99,9 @@ def test_exact_dedup_of_repeated_rows_and_null_keys(spark, digest_all):
     assert sorted((r.group_size, r.kept) for r in got) == [(1, True), (1, True), (3, False), (3, False), (3, True)]
     assert [r.doc_id for r in got if r.group_size == 3 and r.kept] == [None]  # it has the most code points
     assert exact_dedup(df.where("false"), digest_all=digest_all).count() == 0
+    rows = [(9, "x  y", 4), (9, "x y", 1), (9, "x y", 0), (8, "x\ty ", 2), (7, "z", 3), (None, None, 5), (None, "", 6)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, n long"), digest_all=digest_all, row="n").collect()
+    assert {r.n: (r.keep_id, r.group_size, r.kept) for r in got} == {4: (8, 4, False), 1: (8, 4, False), 0: (8, 4, False), 2: (8, 4, True), 3: (7, 1, True), 5: (None, 2, True), 6: (None, 2, False)}
 
 
 def test_sharding(spark, docs, clashing, none, rows):
@@ -113,6 +116,17 @@ def test_sharding(spark, docs, clashing, none, rows):
     assert len(again) == 3 and len({(r.shard, r.slot) for r in again}) == 3
 
 
+def test_sharding_of_a_key_that_repeats(spark, monkeypatch):
+    """A third of the rows have one key: its block is cut by text, and slots stay gapless and the same on every run."""
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    rows = [(5, f"text {i % 70}") for i in range(150)] + [(i, "other") for i in range(300)] + [(None, None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = [sorted(map(tuple, shard_documents(df, 3).collect()), key=str) for _ in range(2)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    for shard in range(3):
+        assert sorted(r[5] for r in got[0] if r[4] == shard) == list(range(sum(r[4] == shard for r in got[0])))
+
+
 def test_bpe(docs, clashing, none, rows):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.VOCABULARY)
     for df in (docs, clashing):

@@ -129,13 +129,13 @@ def test_pipeline_equals_brute_force(spark, duck, texts):
 
 
 def test_many_items_take_time_by_their_rare_words(spark):
-    """20,000 items: the planted ones are found and nothing else."""
+    """8,000 items, more than are summed one by one: the planted ones are found."""
     rng = np.random.default_rng(4)
     vocab = np.array([f"w{i}" for i in range(40_000)])
     draw = lambda n: " ".join(vocab[(rng.zipf(1.3, n) - 1) % len(vocab)])
-    items = [(i, f"{draw(25)}. {draw(6)}.") for i in range(20_000)]
+    items = [(i, f"{draw(25)}. {draw(6)}.") for i in range(8_000)]
     index = decontaminate.ItemIndex(items)
-    planted = [3, 777, 19_999]
+    planted = [3, 777, 7_999]
     texts = [f"{draw(200)} {items[i][1]} {draw(200)}" for i in planted] + [draw(400) for _ in range(20)]
     found = index.leaks(decontaminate.WordMemo(index.terms_of), texts, 0.5, 0.5)
     assert {(r[0], r[1]) for r in found if r[3] > 0.99} == set(enumerate(planted))
