@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: The six white-space characters of the contracts: space, tab, line feed, vertical tab, form feed, return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 _SPACE = re.compile(r"\s")
+#: Characters of texts that a Python worker cuts into words at a time.
+PIECE = 1 << 18
 _local_root: list[str] = []
 
 
@@ -178,7 +180,7 @@ def bounded_sample(rows: DataFrame, keys: list, most_chars: int) -> list[tuple[s
     return [texts[k] for k, _, _ in chosen]
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lets at most `most` bytes of rows travel to a Python worker at once (a longer row alone), which bounds its memory and the JVM's.
 
     This is a setting of the session; a smaller one that is already there stays.
@@ -205,7 +207,7 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return leaving_nothing
 
 
-def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts holding about `most` characters each; a longer text is alone."""
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -217,7 +219,7 @@ def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def pieces(text: str, most: int = 1 << 20) -> Iterator[str]:
+def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     """A text in parts of about `most` characters, cut before white space; one longer word is not cut."""
     start = 0
     while len(text) - start > most:
@@ -283,7 +285,7 @@ def sum_by_text(values: np.ndarray, counts: Iterable[int]) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def word_groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[tuple[int, str]]]:
+def word_groups(texts: list[str], most: int = PIECE) -> Iterator[list[tuple[int, str]]]:
     """The texts in groups of (text number, piece) of about `most` characters, in order; a text may go over several groups."""
     group, held = [], 0
     for i, text in enumerate(texts):

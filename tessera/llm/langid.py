@@ -28,17 +28,17 @@ def has_letter(text: str) -> bool:
 
 def word_ngrams(words: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of words with end marks: bucket and word number of each, in order of words."""
-    return ngrams_of_marked([f"\x02{w}\x03" for w in words], orders, buckets)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    return ngrams_of("\x02" + "\x03\x02".join(words) + "\x03" if words else "", sizes, orders, buckets)
 
 
-def ngrams_of_marked(marked: list[str], orders: tuple[int, ...], buckets: int, own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """word_ngrams() of words that have their end marks; own tells in how many first characters of each an n-gram may begin."""
-    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    owner = np.repeat(np.arange(len(marked)), sizes)
+def ngrams_of(joined: str, sizes: np.ndarray, orders: tuple[int, ...], buckets: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """word_ngrams() of marked words of the sizes told, joined; own tells in how many first characters of each an n-gram may begin."""
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     begins = None
-    if own is not None and own != sizes.tolist():
-        begins = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(np.asarray(own), sizes)
+    if own is not None:
+        begins = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(own, sizes)
     mixed = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     found, owners = [], []
     rolling = np.zeros(len(points), np.uint64)
@@ -53,46 +53,44 @@ def ngrams_of_marked(marked: list[str], orders: tuple[int, ...], buckets: int, o
                 inside &= begins[:last]
             code = rolling[inside]
             code = (code ^ (code >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-            found.append(((code >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))
+            found.append(((code >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32))
             owners.append(owner[:last][inside])
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     order = np.argsort(np.concatenate(owners), kind="stable")
     return np.concatenate(found)[order], np.concatenate(owners)[order]
 
 
-def segments(words: list[str], orders: tuple[int, ...], most: int = 1 << 20) -> Iterator[tuple[list[int], list[str], list[int]]]:
-    """Words in groups of about `most` characters, with the numbers they have and the characters in which their n-grams begin.
+def segments(words: list[str], orders: tuple[int, ...], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray | None]]:
+    """Words in groups of about `most` characters for ngrams_of(): the numbers they have, the marked words joined, their sizes, and `own`.
 
     A word longer than that comes in overlapping parts, each in a group of its own; n-grams
     that begin beyond a part's own characters are the next part's.
     """
-    numbers, group, held = [], [], 0
-    for i, word in enumerate(words):
-        marked = f"\x02{word}\x03"
-        if len(marked) > most:
-            for start in range(0, len(marked), most):
-                yield [i], [marked[start : start + most + max(orders) - 1]], [min(most, len(marked) - start)]
-            continue
-        if group and held + len(marked) > most:
-            yield numbers, group, list(map(len, group))
-            numbers, group, held = [], [], 0
-        numbers.append(i)
-        group.append(marked)
-        held += len(marked)
-    if group:
-        yield numbers, group, list(map(len, group))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    short = np.flatnonzero(sizes <= most)
+    group = np.cumsum(sizes[short]) // most
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(short)]])
+    whole = len(short) == len(words)
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        if a < b:
+            some = words[a:b] if whole else [words[i] for i in short[a:b].tolist()]
+            yield short[a:b], "\x02" + "\x03\x02".join(some) + "\x03", sizes[short[a:b]], None
+    for i in np.flatnonzero(sizes > most).tolist():
+        marked = f"\x02{words[i]}\x03"
+        for start in range(0, len(marked), most):
+            part = marked[start : start + most + max(orders) - 1]
+            yield np.array([i]), part, np.array([len(part)]), np.array([min(most, len(marked) - start)])
 
 
 def sum_ngrams(words: list[str], orders: tuple[int, ...], weights: np.ndarray) -> np.ndarray:
     """For each word the sums of its n-grams' rows of weights, and the number of its n-grams."""
     out = np.zeros((len(words), weights.shape[1] + 1))
-    for numbers, group, own in segments(words, orders):
-        found, owner = ngrams_of_marked(group, orders, len(weights), own)
-        at = np.asarray(numbers, np.int64)
+    for numbers, joined, sizes, own in segments(words, orders):
+        found, owner = ngrams_of(joined, sizes, orders, len(weights), own)
         for k in range(weights.shape[1]):
-            out[at, k] += np.bincount(owner, weights[found, k], len(group))
-        out[at, -1] += np.bincount(owner, minlength=len(group))
+            out[numbers, k] += np.bincount(owner, weights[found, k], len(numbers))
+        out[numbers, -1] += np.bincount(owner, minlength=len(numbers))
     return out
 
 
@@ -205,35 +203,44 @@ def predict_languages(
 
 
 class NgramCounter:
-    """In how many texts each bucket of n-grams occurs, with a bounded memo of the buckets of words."""
+    """In how many texts each bucket of n-grams occurs."""
 
-    def __init__(self, orders: tuple[int, ...], buckets: int, most: int = 100_000, most_chars: int = 2 << 20) -> None:
-        self.orders, self.most, self.most_chars = orders, most, most_chars
+    def __init__(self, orders: tuple[int, ...], buckets: int) -> None:
+        self.orders, self.texts = orders, 0
         self.df = np.zeros(buckets, np.int64)
-        self.texts = self.chars = 0
-        self.known: dict[str, np.ndarray] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        for numbers, group, own in segments(words, self.orders):
-            found, owner = ngrams_of_marked(group, self.orders, len(self.df), own)
-            cuts = np.searchsorted(owner, np.arange(len(group) + 1))
-            for i, a, b in zip(numbers, cuts, cuts[1:]):
-                part = np.unique(found[a:b]).astype(np.int32)
-                self.known[words[i]] = np.union1d(self.known[words[i]], part) if words[i] in self.known else part
-        self.chars += sum(map(len, words))
-
-    def add(self, text: str) -> None:
-        held = np.zeros(len(self.df), bool)
-        for group in word_groups([text]):
-            words = {w for _, piece in group for w in piece.lower().split()}
-            if new := [w for w in words if w not in self.known]:
-                if len(self.known) + len(new) > self.most or self.chars + sum(map(len, new)) > self.most_chars:
-                    self.known, self.chars, new = {}, 0, list(words)
-                self._learn(new)
-            if words:
-                held[np.concatenate([self.known[w] for w in words])] = True
-        self.df += held
-        self.texts += 1
+        self.held = np.zeros(buckets, bool)
+        self.open: int | None = None  # the text whose buckets are marked in held; it may go on in the next group
+
+    def add_all(self, texts: list[str]) -> None:
+        """Counts the texts, a group at a time: the distinct words of a group have their n-grams made together."""
+        for group in word_groups(texts):
+            words = [piece.lower().split() for _, piece in group]
+            known: dict[str, int] = {}
+            at = [np.fromiter((known.setdefault(w, len(known)) for w in set(ws)), np.int64) for ws in words]
+            names = list(known)
+            parts = [(numbers, *ngrams_of(joined, sizes, self.orders, len(self.df), own)) for numbers, joined, sizes, own in segments(names, self.orders)]
+            found = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
+            owner = np.concatenate([p[0][p[2]] for p in parts]) if parts else np.zeros(0, np.int64)
+            if len(parts) > 1:
+                order = np.argsort(owner, kind="stable")
+                found, owner = found[order], owner[order]
+            starts = np.searchsorted(owner, np.arange(len(names) + 1))
+            for (i, _), own in zip(group, at):
+                if self.open != i:
+                    self._close()
+                    self.open = i
+                length = starts[own + 1] - starts[own]
+                self.held[found[np.repeat(starts[own] - np.cumsum(length) + length, length) + np.arange(length.sum())]] = True
+        self._close()
+        self.texts += len(texts)
+
+    def _close(self) -> None:
+        """Counts what the open text holds, once for each bucket."""
+        if self.open is not None:
+            at = np.flatnonzero(self.held)
+            self.df[at] += 1
+            self.held[at] = False
+        self.open = None
 
 
 def count_ngrams(texts: DataFrame, orders: tuple[int, ...], buckets: int, blocks: int = 64) -> tuple[np.ndarray, int]:
@@ -246,8 +253,7 @@ def count_ngrams(texts: DataFrame, orders: tuple[int, ...], buckets: int, blocks
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = NgramCounter(orders, buckets)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counter.add(text)
+            counter.add_all(batch.column(0).to_pylist())
         if counter.texts:
             parts = [p.astype("<i8").tobytes() for p in np.split(counter.df, blocks)]
             n = [counter.texts, *[0] * (blocks - 1)]

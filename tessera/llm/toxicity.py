@@ -16,7 +16,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import WordMemo, word_groups
+from tessera.llm.common import PIECE, WordMemo, word_groups
 from tessera.llm.quality import labelled_sample, score_texts
 
 #: Marks that open or close a quotation (fixed values).
@@ -328,7 +328,7 @@ class ToxicityModel:
 
 
 #: A text of more characters is read in parts, and the ends of its parts are kept for the windows that reach over them.
-LONG_TEXT = 1 << 20
+LONG_TEXT = PIECE
 
 
 def score_toxicity(model: ToxicityModel | None, memo: WordMemo | None, texts: list[str]) -> np.ndarray:

@@ -285,6 +285,7 @@ def test_texts_in_parts_score_as_whole(monkeypatch, most):
     want = [score(m, WordMemo(m.word_rows)) for _, score, m in models]
     for module, _, _ in models:
         monkeypatch.setattr(module, "word_groups", lambda t, most=most: common.word_groups(t, most))
+    monkeypatch.setattr(toxicity, "LONG_TEXT", most)
     for (_, score, m), told in zip(models, want):
         assert np.allclose(score(m, WordMemo(m.word_rows)), told)
 
@@ -301,8 +302,8 @@ def test_ngrams_of_long_words_in_segments(words, most):
     weights = np.random.default_rng(0).normal(size=(64, 2))
     orders = (1, 2, 4)
     got = np.zeros((len(words), 3))
-    for numbers, group, own in langid.segments(words, orders, most):
-        found, owner = langid.ngrams_of_marked(group, orders, 64, own)
+    for numbers, joined, sizes, own in langid.segments(words, orders, most):
+        found, owner = langid.ngrams_of(joined, sizes, orders, 64, own)
         for n, o in zip(found, owner):
             got[numbers[o]] += [*weights[n], 1]
     assert np.allclose(got, langid.sum_ngrams(words, orders, weights))
@@ -311,12 +312,15 @@ def test_ngrams_of_long_words_in_segments(words, most):
 def test_ngram_counts_are_those_of_texts(monkeypatch):
     rng = random.Random(5)
     texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 30))) for _ in range(40)]
-    counter = langid.NgramCounter((1, 2, 3), 256, most=10, most_chars=60)
     want = np.zeros(256, int)
     for t in texts:
-        counter.add(t)
         want[np.unique(langid.word_ngrams(t.lower().split(), (1, 2, 3), 256)[0])] += 1
-    assert (counter.df == want).all() and counter.texts == 40
+    for most in (5, 70, 1 << 18):
+        monkeypatch.setattr(langid, "word_groups", lambda t, most=most: common.word_groups(t, most))
+        counter = langid.NgramCounter((1, 2, 3), 256)
+        counter.add_all(texts[:15])
+        counter.add_all(texts[15:])
+        assert (counter.df == want).all() and counter.texts == 40
 
 
 def test_memos_are_bounded_in_bytes(vocabulary):
