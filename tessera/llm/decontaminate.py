@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,8 +37,11 @@ _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
 
 def plain(word: str) -> str:
-    """A lower-case word without the marks at its ends."""
-    return _EDGE.sub("", word.lower())
+    """A lower-case word without the marks at its ends; the common forms are told without the pattern."""
+    word = word.lower()
+    if word.isalnum() or (word := word.rstrip(string.punctuation)).isalnum():
+        return word
+    return _EDGE.sub("", word)
 
 
 def words_of(text: str) -> list[str]:
@@ -285,7 +289,7 @@ class ItemIndex:
         none = len(self.term)
         if not none:
             return []
-        words = [t.split() for t in texts]
+        words = [t.lower().split() for t in texts]
         raw = np.fromiter(map(len, words), np.int64, len(words))
         if not raw.sum():
             return []
@@ -358,13 +362,14 @@ def shard_counts(told: DataFrame) -> Callable[[DataFrame], ItemCounts]:
 
 def leaks_column(
     docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    threshold: float = 0.5, overlap: float = 0.5, shard_items: int = 50_000,
+    threshold: float = 0.5, overlap: float = 0.5, shard_items: int = 50_000, shard_chars: int = 1 << 26,
 ) -> list[Column]:
     """For each shard of the items, the verified items that a text contains, as an array; see find_leaks()."""
     spark = docs.sparkSession
     small_batches(spark)
     told = items.where(F.col(item_text).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
-    shards = max(1, -(-told.count() // shard_items))
+    many, chars = told.agg(F.count("*"), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
+    shards = max(1, -(-many // shard_items), -(-chars // shard_chars))
     kind = T.StructType(
         [T.StructField(item, items.schema[item].dataType), T.StructField("passage", T.LongType())]
         + [T.StructField(name, T.DoubleType()) for name in ("score", "question", "answer")]
@@ -420,8 +425,8 @@ def find_leaks(
     of one sentence has no answer part, and its answer share is 1. Of several passages
     that hold an item, the first of those with the highest score is told.
 
-    The items are collected and broadcast in shards of at most `shard_items` rows, so
-    a benchmark of any size is searched with bounded memory, one scan per shard. Word
+    The items are collected and broadcast in shards of about `shard_items` rows or 64 Mi
+    characters, so a benchmark of any size is searched with bounded memory, one scan per shard. Word
     counts, lengths and passages are those of all items in any number of shards, so
     scores do not depend on it. An item of any length is indexed and verified whole; its
     passages are as long as it. Null and
