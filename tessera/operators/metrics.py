@@ -31,23 +31,24 @@ def rate(flag: str | Column) -> Column:
 def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], blocks: int = 1024) -> DataFrame:
     """Exact interpolated percentiles of each group, by name of share, without a group's values ever standing in one task.
 
-    Values are counted by block, equal parts of each group's range; the counts tell which blocks hold the
-    wanted ranks. Of these alone the distinct values are counted and put in order, so a task sees a block's
-    distinct values. Nulls and NaN are left out, and so is a group without values.
+    Distinct values are counted, and then by block, equal parts of each group's range; the counts tell which blocks
+    hold the wanted ranks. Of these alone the values are put in order, so a task sees a block's distinct
+    values. Nulls and NaN are left out, and so is a group without values.
     """
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     told = rows.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    limits = told.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    told = told.groupBy("g", "v").agg(F.count("*").alias("m"))  # one exchange, which all that follows uses again
+    limits = told.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("m").alias("n"))
     part = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * blocks)
     block = F.when(F.col("high") > F.col("low"), F.least(part, F.lit(blocks - 1))).otherwise(F.lit(0)).cast("int")
-    placed = told.join(limits, "g").select("g", "v", "n", block.alias("b"))
-    counts = placed.groupBy("g", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    placed = told.join(limits, "g").select("g", "v", "m", "n", block.alias("b"))
+    counts = placed.groupBy("g", "b").agg(F.sum("m").alias("k"), F.first("n").alias("n"))
     counts = counts.withColumn("before", F.sum("k").over(Window.partitionBy("g").orderBy("b")) - F.col("k"))
     place = {name: F.lit(share) * (F.col("n") - 1) for name, share in shares.items()}
     ranks = F.array_distinct(F.array(*[rank for p in place.values() for rank in (F.floor(p), F.ceil(p))]))
     held = lambda first: lambda r: (r >= F.col(first)) & (r < F.col(first) + F.col("k"))
     wanted = counts.withColumn("ranks", F.filter(ranks, held("before"))).where("size(ranks) > 0").select("g", "b", "before", "ranks")
-    values = placed.join(wanted, ["g", "b"]).groupBy("g", "b", "v").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n", "before", "ranks")])
+    values = placed.withColumnRenamed("m", "k").join(wanted, ["g", "b"])
     values = values.withColumn("first", F.col("before") + F.sum("k").over(Window.partitionBy("g", "b").orderBy("v")) - F.col("k"))
     hits = values.select("g", "n", "v", F.explode(F.filter("ranks", held("first"))).alias("r"))
     hits = hits.groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at"))

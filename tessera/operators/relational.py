@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def first_match(left: DataFrame, right: DataFrame, key: str, rank: Column, *order: str) -> DataFrame:
@@ -28,11 +28,9 @@ def keep_one(df: DataFrame, key: str | list[str], order: list[Column], last: boo
 def with_position(df: DataFrame, block: Column, order: list[Column], out: str = "position") -> tuple[DataFrame, Column]:
     """Adds each row's place from 0 in a global order, and gives the number of rows as a column over it.
 
-    block must rise with the order, be null for no row and take at most a few hundred values. Rows are numbered
+    block must rise with the order, be null for no row and take a bounded number of values, some ten thousand at most. Rows are numbered
     within their block; the blocks' offsets are a small table and broadcast.
     """
-    from pyspark.sql import Window
-
     keyed = df.withColumn("_block", block)
     sizes = keyed.groupBy("_block").agg(F.count("*").alias("_size"))
     offsets = sizes.selectExpr("_block", "sum(_size) OVER (ORDER BY _block) - _size AS _before", "sum(_size) OVER () AS _total")
@@ -43,9 +41,9 @@ def with_position(df: DataFrame, block: Column, order: list[Column], out: str =
 
 
 def hash_order(key: str) -> tuple[Column, list[Column]]:
-    """A shuffled order that is the same everywhere: by md5 of the key, then the key; with its blocks, by the first two digits. A null key comes first."""
+    """A shuffled order that is the same everywhere: by md5 of the key, then the key; with its 65,536 blocks, by the first four digits. A null key comes first."""
     digest = F.coalesce(F.md5(F.col(key).cast("string")), F.lit(""))
-    return F.substring(digest, 1, 2), [digest, F.col(key)]
+    return F.substring(digest, 1, 4), [digest, F.col(key)]
 
 
 def range_block(df: DataFrame, key: str, blocks: int = 64) -> Column:

@@ -116,7 +116,8 @@ def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth and prediction as boxes on the grid; both are told in one row, so there is nothing to join."""
     grid = lambda c: G.grid_box(G.scale_box(G.bounding_box(F.col(c)), FRAME, FRAME, GRID, GRID), GRID, GRID)
-    return polygons(spark, sf_dir).select("vec_id", "label", grid("gt").alias("g"), grid("pred").alias("p"))
+    rows = polygons(spark, sf_dir).select("vec_id", "label", "gt", "pred")
+    return A.fixed(rows, "b", F.struct(grid("gt").alias("g"), grid("pred").alias("p"))).select("vec_id", "label", "b.g", "b.p")
 
 
 IOU = f"""{GT}, {sql_points("w", 12)}, {sql_bbox("bv", "v")}, {sql_bbox("bw", "w")}, {sql_grid("g", "bv")}, {sql_grid("p", "bw")},
