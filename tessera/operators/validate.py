@@ -28,15 +28,15 @@ def then(done: Column, more: Column) -> Column:
 
 def point_errors(points: Column, label: str | Column, width: Column, height: Column) -> Column:
     """For each point: numbers must be there, and lie in the frame."""
-    told = F.lit(label) if isinstance(label, str) else label
+    prefix = F.lit(label) if isinstance(label, str) else label
 
     def of(p: Column, i: Column) -> Column:
-        name = F.concat(told, F.lit("["), i.cast("string"), F.lit("]"))
+        name = F.concat(prefix, F.lit("["), i.cast("string"), F.lit("]"))
         missing = p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"])
         out_x, out_y = (p["x"] < 0) | (p["x"] > width - 1), (p["y"] < 0) | (p["y"] > height - 1)
-        return F.when(missing, F.array(F.concat(name, F.lit(" must have numeric x and y")))).otherwise(
-            errors((out_x, F.concat(name, F.lit(".x out of bounds"))), (out_y, F.concat(name, F.lit(".y out of bounds"))))
-        )
+        bounds = errors((out_x, F.concat(name, F.lit(".x out of bounds"))), (out_y, F.concat(name, F.lit(".y out of bounds"))))
+        told = F.when(missing, F.array(F.concat(name, F.lit(".x and "), name, F.lit(".y must be numeric")))).otherwise(bounds)
+        return F.when(p.isNull(), F.array(F.concat(name, F.lit(" must be an object")))).otherwise(told)
 
     return F.flatten(F.transform(points, of))
 

@@ -170,16 +170,21 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fitted_size(width: Column, height: Column, longest: int) -> Column:
-    """The size after scaling the longer side down to `longest`, and whether that changes it."""
+    """The size after scaling the longer side down to `longest`, and whether that changes it; null for an unknown size."""
     scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
     side = lambda n: F.greatest(F.rint(n * scale).cast("int"), F.lit(1))
-    return F.struct(side(width).alias("width"), side(height).alias("height"), (scale < 1).alias("resized"))
+    return F.when(width.isNotNull() & height.isNotNull(), F.struct(side(width).alias("width"), side(height).alias("height"), (scale < 1).alias("resized")))
 
 
-def image_payload(spark: SparkSession, folder: str) -> DataFrame:
-    """Images as they are sent to a model: path, media type and base64 content."""
+def image_payload(spark: SparkSession, folder: str, longest: int = 1024) -> DataFrame:
+    """Images as they are sent to a model: path, media type, base64 content, their size, and the size they would have with the longer side at most `longest`.
+
+    Content stays as it is: images are not decoded here, so one that is `to_resize` is left to the caller.
+    """
     rows = spark.read.format("binaryFile").load(folder)
-    return rows.select("path", media_type(F.col("path")).alias("media"), F.base64("content").alias("data"))
+    rows = rows.select("path", media_type(F.col("path")).alias("media"), F.base64("content").alias("data"), image_size(F.col("content")).alias("s"))
+    rows = rows.select("*", fitted_size(F.col("s.width"), F.col("s.height"), longest).alias("f"))
+    return rows.select("path", "media", "data", "s.width", "s.height", F.col("f.width").alias("fitted_width"), F.col("f.height").alias("fitted_height"), F.col("f.resized").alias("to_resize"))
 
 
 def chat_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -193,8 +198,8 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def prompt_text(spark: SparkSession, path: str) -> DataFrame:
-    """A text file as one trimmed value."""
-    return spark.read.text(path, wholetext=True).select(F.trim("value").alias("text"))
+    """A text file as one value, without the white space around it."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
 
 
 def summaries(spark: SparkSession, folder: str, pattern: str = "val_*.json") -> DataFrame:

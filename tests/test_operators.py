@@ -323,7 +323,7 @@ def test_sources_and_sinks(spark, tmp_path):
     told = json.loads(writers.report(docs.select(F.when(F.col("is_bad"), "bad").otherwise("ok").alias("reason")), seed=42).first().value)
     assert told == {"total": 2, "counts": {"bad": 1, "ok": 1}, "settings": {"seed": 42}}
     (tmp_path / "p.txt").write_text("  hi\n")
-    assert readers.prompt_text(spark, str(tmp_path / "p.txt")).first().text.strip() == "hi"
+    assert readers.prompt_text(spark, str(tmp_path / "p.txt")).first().text == "hi"
     (folder / "val_1.json").write_text(json.dumps({"summary": {"num_samples": 3, "mean_iou_all": 0.5}, "samples": []}))
     assert [(r.file, r.num_samples, r.mean_iou_all) for r in readers.summaries(spark, str(folder)).collect()] == [("val_1.json", 3, 0.5)]
     with pytest.raises(ValueError):

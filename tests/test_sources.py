@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import struct
 
 import numpy as np
@@ -139,3 +140,38 @@ def test_lenient_number_equals_python(spark):
             return None
 
     assert got == {t: plain(t) for t in texts}
+
+
+def test_documents_lines_and_payloads(spark, tmp_path):
+    (tmp_path / "rows.jsonl").write_text('{"id":"a","images":["x.png"],"messages":[{"role":"user","content":[{"type":"text","text":"hi"}]}]}\n\n{"id":"b"}\n')
+    assert [(r.id, r.images) for r in readers.chat_lines(spark, str(tmp_path / "rows.jsonl")).collect()] == [("a", ["x.png"]), ("b", None)]
+    (tmp_path / "doc.json").write_text('{"a": {"b": 2}}')
+    (tmp_path / "bad.json").write_text("{oops")
+    assert readers.json_document(spark, str(tmp_path / "doc.json"), "a struct<b:int>").first().a.b == 2
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        readers.json_document(spark, str(tmp_path / "bad.json"), "a int").collect()
+    folder = tmp_path / "images"
+    folder.mkdir()
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 2000, 500)
+    (folder / "a.png").write_bytes(png)
+    (folder / "b.jpg").write_bytes(b"?")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in readers.image_payload(spark, str(folder), 1000).collect()}
+    a, b = rows["a.png"], rows["b.jpg"]
+    assert base64.b64decode(a.data) == png and (a.media, a.width, a.height, a.fitted_width, a.fitted_height, a.to_resize) == ("image/png", 2000, 500, 1000, 250, True)
+    assert (b.media, b.width, b.fitted_width) == ("image/jpeg", None, None)
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "train", None), ("b", "val", "x")], "id string, split string, note string")
+    for _ in range(2):
+        writers.write_chat(rows, str(tmp_path / "chat"))
+    lines = [p.read_text().strip() for p in sorted((tmp_path / "chat" / "split=train").glob("*.json"))]
+    assert lines == ['{"id":"a","note":null}'] and spark.read.json(str(tmp_path / "chat")).count() == 2
+    writers.write_results(rows, str(tmp_path / "results"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "results")).collect()) == ['{"id":"a","split":"train","note":null}', '{"id":"b","split":"val","note":"x"}']
+    writers.write_report(rows, str(tmp_path / "report"), "split", seed=1)
+    assert spark.read.text(str(tmp_path / "report")).first().value == '{"total":2,"counts":{"train":1,"val":1},"settings":{"seed":1}}'
+    for frame in (rows, rows.limit(1)):
+        writers.write_if_absent(frame, str(tmp_path / "once"))
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 2
+    assert writers.dataset_description("/d", ["seat", "back"]).splitlines() == ["path: /d", "train: images/train", "val: images/val", "test: images/test", "names:", "  0: seat", "  1: back"]
