@@ -267,6 +267,71 @@ def test_masks_against_plain_sets():
     assert shown > 5
 
 
+def test_trims_against_plain_sets():
+    """Rows around the peak and margins of rows, each against spans of sets of pixels."""
+    for mask in masks(80, 7):
+        own, spans = pixels_of(mask), spans_of(pixels_of(mask))
+        widths = {y: b - a + 1 for y, (a, b) in spans.items()}
+        assert R.row_widths(mask).tolist() == [widths.get(y, 0) for y in range(mask.shape[0])]
+        want = set(own)
+        if own and max(widths.values()) > 1:
+            peak = min(y for y, w in widths.items() if w == max(widths.values()))
+            least = max(1, round(0.68 * widths[peak]))
+            top = bottom = peak
+            while widths.get(top - 1, 0) >= least:
+                top -= 1
+            while widths.get(bottom + 1, 0) >= least:
+                bottom += 1
+            want = largest({(y, x) for y, x in own if top - 1 <= y <= bottom + 1})
+        assert pixels_of(R.trim_rows(mask, 0.68, 1)) == want
+        want = set()
+        for y, (a, b) in spans.items():
+            w = b - a + 1
+            trim = max(1, round(0.1 * w))
+            trim = max(0, (w - 3) // 2) if 2 * trim >= w - 2 else trim
+            left, right = (a, b) if b - trim <= a + trim else (a + trim, b - trim)
+            want |= {(y, x) for x in range(left, right + 1)}
+        assert pixels_of(R.trim_sides(mask, 0.1, 1)) == largest(want)
+        assert (R.trim_sides(mask, 0.0, 1) == mask).all()
+
+
+def test_hull_smoothing_against_half_planes():
+    """A pixel is in the hull unless a line through two corners has it on one side and all corners on the other; on a line it may be either."""
+    rng = np.random.default_rng(4)
+    for k in range(25):
+        mask, gate = rng.random((9, 9)) < 0.35, rng.random((9, 9)) < (1.0 if k % 2 else 0.8)
+        own = largest(pixels_of(mask))
+        corners = sorted({(x + dx, y + dy) for y, x in own for dx in (0, 1) for dy in (0, 1)})
+        side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        borders = [(a, b) for a in corners for b in corners if a != b and all(side(a, b, c) >= 0 for c in corners)]
+        within = lambda least: {(y, x) for y in range(9) for x in range(9) if own and all(side(a, b, (x + 0.5, y + 0.5)) >= least for a, b in borders)}  # noqa: B023, E731
+        hull = pixels_of(R.hull_mask(R.largest_component(mask)))
+        assert within(1e-9) <= hull <= within(0)
+        gated = hull & pixels_of(gate)
+        for least in (3, 20):
+            want = own if len(own) < least or not 0 < len(gated) <= 1.35 * len(own) else largest(gated)
+            assert pixels_of(R.smooth_by_hull(mask, gate, least)) == want
+
+
+def test_outlines_go_around():
+    """An outline's points are border pixels of the largest part, and the ends of every row lie on its sides."""
+    for mask in masks(40, 9):
+        own, ring = largest(pixels_of(mask)), R.outline(mask, 0.0, 10**9)
+        assert len(ring) == 0 if not own else all((int(y), int(x)) in own for x, y in ring)
+        if len(ring) < 3:
+            continue
+        sides = [(tuple(a), tuple(b)) for a, b in zip(ring, np.roll(ring, -1, axis=0))]
+
+        def away(p, a, b):
+            length2 = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+            t = min(1, max(0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / length2)) if length2 else 0
+            return math.dist(p, (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+
+        for y, ends in spans_of(own).items():
+            assert all(min(away((x, y), a, b) for a, b in sides) < 1e-6 for x in ends)
+        assert len(R.outline(mask, 1.5, 5)) <= max(5, 2) or len(ring) < 5
+
+
 def test_depth_trim():
     """The strictest range that leaves 36 % of the pixels and 64 of them, by how upright the axis is."""
     mask = np.ones((50, 40), bool)
