@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -165,8 +167,8 @@ class ItemIndex:
         self.rare_entries = np.array([e for entries, _ in lists for e in entries], np.int64)
         self.rare_shares = np.array([x for _, shares in lists for x in shares])
 
-    def open_blocks(self, at: np.ndarray, term: np.ndarray, same: np.ndarray, threshold: float) -> np.ndarray:
-        """The blocks that begin a passage in which some entry can reach the threshold.
+    def open_blocks(self, at: np.ndarray, term: np.ndarray, same: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks that begin a passage in which some entry can reach the threshold, and those entries: pairs in order.
 
         at and term are the distinct (block, term) pairs in order; same tells where the
         next block is of the same text. A term in both blocks counts twice, so the sums
@@ -192,14 +194,15 @@ class ItemIndex:
             if n <= DENSE_ENTRIES:
                 sums = np.bincount(cell, self.rare_shares[where], (b + 1 - a) * n).reshape(-1, n)
                 sums[:-1] += sums[1:] * same[a:b, None]
-                found.append(a + np.flatnonzero((sums[:-1] >= need).any(axis=1)))
+                block, entry = np.nonzero(sums[:-1] >= need)
             else:
-                found.append(a + self._open_sparse(cell, self.rare_shares[where], same[a:b], need))
+                block, entry = np.divmod(self._open_sparse(cell, self.rare_shares[where], same[a:b], need), n)
+            found.append((a + block, entry))
             a = b
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
     def _open_sparse(self, cell: np.ndarray, share: np.ndarray, same: np.ndarray, need: np.ndarray) -> np.ndarray:
-        """open_blocks() over (block, entry) cells that have a share, each block's cells with those of the next one."""
+        """The cells of open_blocks(), of those that have a share in a block or in the next one."""
         n = len(need)
         order = np.argsort(cell, kind="stable")
         cell, share = cell[order], share[order]
@@ -217,32 +220,34 @@ class ItemIndex:
         is_open = (here >= need[entry]) & (block < len(same))
         # a passage whose first block gives an entry nothing, and its second enough
         only_second = before & (own >= need[entry])
-        return np.union1d(block[is_open], block[only_second] - 1)
+        return np.union1d(cell[is_open], cell[only_second] - n)
 
     def terms_of(self, words: list[str]) -> np.ndarray:
         """The term number of each raw word, the number of terms where it has none, -1 where the word is marks alone."""
         none = len(self.term)
         return np.fromiter((self.term.get(p, none) if (p := plain(w)) else -1 for w in words), np.int64, len(words))[:, None]
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: (entry, score) of every entry whose score is at least the threshold."""
+    def search(self, terms: list[int], threshold: float, among: list[int] | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: (entry, score) of every entry whose score is at least the threshold.
+
+        among may name, in order, the only entries that can have it; lists are then gone through from one of these to the next.
+        """
         cursors = [[self.postings[t].entries[0], 0, self.postings[t]] for t in terms]
         found = []
         slack = threshold - 1e-9
 
         def advance(cursor: list, to: int) -> None:
-            """Moves to the first entry not before `to`, skipping whole blocks."""
-            posting: Posting = cursor[2]
-            at, n = cursor[1], len(posting.entries)
-            while at < n and posting.last[at // POSTINGS_BLOCK] < to:
-                at = (at // POSTINGS_BLOCK + 1) * POSTINGS_BLOCK
-            while at < n and posting.entries[at] < to:
-                at += 1
-            cursor[1] = at
-            cursor[0] = posting.entries[at] if at < n else -1
-
+            """Moves to the first entry not before `to`."""
+            entries = cursor[2].entries
+            at = cursor[1] = bisect_left(entries, to, cursor[1])
+            cursor[0] = entries[at] if at < len(entries) else -1
+
+        if among is not None:
+            for c in cursors:
+                advance(c, among[0])
+            cursors = [c for c in cursors if c[0] >= 0]
         while cursors:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort(key=itemgetter(0))
             bound, pivot = 0.0, -1
             for i, c in enumerate(cursors):
                 bound += c[2].most
@@ -252,13 +257,21 @@ class ItemIndex:
             if pivot < 0:
                 break
             entry = cursors[pivot][0]
+            if among is not None:
+                place = bisect_left(among, entry)
+                if place == len(among):
+                    break
+                if among[place] > entry:
+                    for c in cursors[: pivot + 1]:
+                        advance(c, among[place])
+                    cursors = [c for c in cursors if c[0] >= 0]
+                    continue
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == entry:
                 pivot += 1
             limit, bound = math.inf, 0.0
             for c in cursors[: pivot + 1]:
-                posting, block = c[2], c[1] // POSTINGS_BLOCK
-                while block < len(posting.last) and posting.last[block] < entry:
-                    block += 1
+                posting = c[2]
+                block = bisect_left(posting.last, entry, c[1] // POSTINGS_BLOCK)
                 if block < len(posting.last):
                     bound += posting.block_max[block]
                     limit = min(limit, posting.last[block] + 1)
@@ -284,7 +297,7 @@ class ItemIndex:
     def leaks(self, memo: WordMemo, texts: list[str], threshold: float, overlap: float) -> list[tuple[int, object, int, float, float, float]]:
         """(text number, item, first word of the passage, score, question, answer) of each verified item, once per text and item.
 
-        Only the passages that open_blocks() leaves are searched.
+        Only the passages that open_blocks() leaves are searched, for the entries it leaves.
         """
         none = len(self.term)
         if not none:
@@ -305,14 +318,16 @@ class ItemIndex:
         at, term = pairs // (none + 1), pairs % (none + 1)
         owner = np.repeat(np.arange(len(words)), blocks)
         same = np.append(owner[1:] == owner[:-1], False)
-        open_blocks = self.open_blocks(at, term, same, threshold)
+        open_block, open_entry = self.open_blocks(at, term, same, threshold)
+        open_blocks, first_pair = np.unique(open_block, return_index=True)
+        among = np.split(open_entry, first_pair[1:])
         best: dict[tuple[int, object], tuple] = {}
         told: tuple[int, list[str]] = -1, []
         starts = np.searchsorted(at, np.arange(len(owner) + 2))
-        for b in open_blocks.tolist():
+        for b, entries in zip(open_blocks.tolist(), among):
             i = int(owner[b])
             last = b + 1 if b + 1 < len(owner) and owner[b + 1] == i else b
-            found = self.search(np.unique(term[starts[b] : starts[last + 1]]).tolist(), threshold)
+            found = self.search(np.unique(term[starts[b] : starts[last + 1]]).tolist(), threshold, entries.tolist())
             if not found:
                 continue
             begin = (b - int(first[i])) * self.block

@@ -395,11 +395,12 @@ def test_open_blocks_lose_no_entry(monkeypatch, dense):
         same[-1] = False
         at = np.array([b for b, ts in enumerate(blocks) for _ in ts], np.int64)
         term = np.array([t for ts in blocks for t in ts], np.int64)
-        found = set(index.open_blocks(at, term, same, 0.5).tolist())
-        assert len(found) < 25
+        pairs = list(zip(*(x.tolist() for x in index.open_blocks(at, term, same, 0.5))))
+        assert pairs == sorted(set(pairs)) and len({b for b, _ in pairs}) < 25
         for b, ts in enumerate(blocks):
-            if index.search(sorted({*ts, *(blocks[b + 1] if same[b] else [])}), 0.5):
-                assert b in found
+            terms = sorted({*ts, *(blocks[b + 1] if same[b] else [])})
+            among, told = [e for own, e in pairs if own == b], index.search(terms, 0.5)
+            assert {e for e, _ in told} <= set(among) and (not among or index.search(terms, 0.5, among) == told)
 
 
 def test_sparse_and_dense_sums_find_the_same(monkeypatch):
