@@ -14,6 +14,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.langid import identify_language
 from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.oracle import ORACLE_SQL
+from tessera.llm.order_minhash import fingerprint_documents
 from tessera.llm.pii import KINDS, find_personal_data
 from tessera.llm.quality import classify_quality
 from tessera.llm.sharding import shard_documents
@@ -119,6 +120,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_documents(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -130,4 +137,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op13_fingerprints": op13_fingerprints,
 }
