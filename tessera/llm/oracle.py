@@ -101,4 +101,98 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown::I
 FROM c JOIN s USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op4_ngram_jaccard": OP4, "op5_url_filters": OP5, "op7_sharding": OP7}
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, byte by byte."""
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: {_crc_step(8)}), 4294967295)"
+
+
+_TURN_DIGEST = "sha256(strlen(role) || ':' || role || text)"
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, {_TURN_DIGEST} AS digest, strlen(text) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN_DIGEST}) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {_crc32("conv_id::VARCHAR")} % 9 AS h, conv_id - conv_id % 5 AS donor FROM (SELECT DISTINCT conv_id FROM t)),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+k AS (SELECT c.*, least(h, coalesce(n.n, 0)) AS taken FROM c LEFT JOIN n ON n.conv_id = c.donor),
+r AS (
+  SELECT k.conv_id, t.place AS depth, t.digest, t.bytes FROM k JOIN t ON t.conv_id = k.donor AND t.place <= k.taken
+  UNION ALL SELECT k.conv_id, t.place - k.h + k.taken, t.digest, t.bytes FROM k JOIN t ON t.conv_id = k.conv_id AND t.place > k.h),
+p AS (
+  SELECT conv_id, depth, bytes, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+m AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) = depth AS is_last FROM p),
+x AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_last), '')) AS ends_sha256
+  FROM m GROUP BY depth, path),
+ch AS (SELECT depth - 1 AS depth, left(path, 64 * (depth - 1)) AS path, count(*) AS n FROM x WHERE depth > 0 GROUP BY ALL),
+y AS (SELECT x.*, coalesce(ch.n, 0) AS n_children FROM x LEFT JOIN ch USING (depth, path)),
+s AS (
+  SELECT d AS depth, left(path, 64 * d) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM y) GROUP BY ALL)
+SELECT y.conv_id, y.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, y.n_convs, y.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, y.ends_sha256
+FROM y JOIN s USING (depth, path) LEFT JOIN y u ON u.depth = y.depth - 1 AND u.path = left(y.path, 64 * (y.depth - 1))
+"""
+
+OP12 = rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM o WHERE kind <> 0),
+p AS (
+  SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN_DIGEST}) AS place
+  FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS nth FROM p),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(i) OVER (PARTITION BY conv_id ORDER BY place) AS i_before
+  FROM r),
+moves(s, edit, i, to_s, cost) AS (VALUES
+  (0, 'D', '', 0, 4), (1, 'D', '', 1, 4), (2, 'D', '', 2, 4), (3, 'D', '', 3, 4),
+  (0, 'R', '', 2, 3), (1, 'R', '', 2, 3), (2, 'R', '', 3, 3), (3, 'R', '', 2, 3),
+  (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0)),
+inserts(s, added, to_s) AS (VALUES
+  (0, '', 0), (1, '', 1), (2, '', 2), (3, '', 3), (0, 'I', 2), (1, 'I', 2), (2, 'I', 3), (3, 'I', 2), (0, 'II', 3), (1, 'II', 3), (2, 'II', 2), (3, 'II', 3)),
+dp AS (
+  SELECT c.conv_id, 0::BIGINT AS t, n.to_s AS s, 3 * len(n.added) AS cost, n.added AS audit
+  FROM (SELECT DISTINCT conv_id FROM f) c, inserts n WHERE n.s = 0
+  UNION ALL
+  SELECT conv_id, t, s, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM (
+    SELECT x.conv_id, x.t + 1 AS t, n.to_s AS s,
+           min(lpad((x.cost + m.cost + 3 * len(n.added) + CASE WHEN f.fault = 'truncated' AND m.edit <> 'D' THEN 3 ELSE 0 END)::VARCHAR, 9, '0') || x.audit || m.edit || n.added) AS best
+    FROM dp x JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.place = x.t + 1
+    JOIN moves m ON m.s = x.s AND (m.edit = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (m.edit = 'R' OR m.i = f.i)))
+    JOIN inserts n ON n.s = m.to_s
+    GROUP BY x.conv_id, x.t, n.to_s)),
+g AS (
+  SELECT conv_id, greatest(0, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i_before IS NOT NULL AND i_before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+best AS (
+  SELECT g.conv_id, min(lpad(cost::VARCHAR, 9, '0') || audit) AS best FROM g JOIN dp ON dp.conv_id IS NOT DISTINCT FROM g.conv_id AND dp.t = g.n AND dp.s IN (0, 3) GROUP BY g.conv_id),
+a AS (SELECT conv_id, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM best),
+l AS (
+  SELECT conv_id, q, e, sum((e <> 'I')::INT) OVER w AS place, sum((e <> 'D')::INT) OVER w AS nth
+  FROM (SELECT conv_id, unnest(range(1, len(audit) + 1)) AS q, substr(audit, q::INT, 1) AS e FROM a) WINDOW w AS (PARTITION BY conv_id ORDER BY q)),
+k AS (
+  SELECT l.*, f.role, f.text, bool_or(e = 'K' AND f.i = 's') OVER (PARTITION BY l.conv_id) AS has_system
+  FROM l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.place = l.place WHERE e <> 'D'),
+z AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role ELSE CASE WHEN (nth - has_system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+                                    || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY q)) AS repaired
+  FROM k GROUP BY conv_id)
+SELECT c.conv_id, coalesce(g.gaps, 0)::BIGINT AS gaps, coalesce(g.blank, 0) AS blank, coalesce(g.duplicate, 0) AS duplicate, coalesce(g.truncated, 0) AS truncated,
+       coalesce(g.illegal, 0) AS illegal, coalesce(a.cost, 0) AS cost, coalesce(a.audit, '') AS audit, coalesce(z.repaired, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1, "op4_ngram_jaccard": OP4, "op5_url_filters": OP5, "op7_sharding": OP7, "op11_conversation_trie": OP11, "op12_conversation_repair": OP12}

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_round_trip
+from tessera.llm.conversation_repair import repair_conversations
+from tessera.llm.conversation_trie import prefix_trie
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.langid import identify_language
@@ -120,6 +122,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_documents(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
@@ -137,5 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_fingerprints": op13_fingerprints,
 }
