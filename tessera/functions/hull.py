@@ -1,14 +1,13 @@
-"""Convex hulls and quadrilaterals of polygons, by Arrow-batched pandas functions."""
+"""Convex hulls and quadrilaterals of polygons: as expressions over columns, and in numpy for masks."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import dedupe_points, fixed, rotate_to_top_left
-from tessera.functions.geometry import POINT, at, bounding_box, box_points, polygon_area, unique_rounded
+from tessera.functions.geometry import POINT, at, bounding_box, box_points, point, polygon_area, unique_rounded
 
 
 def hull_of(points: np.ndarray) -> np.ndarray:
@@ -31,14 +30,29 @@ def hull_of(points: np.ndarray) -> np.ndarray:
     return np.array(chain(rows) + chain(rows[::-1]))
 
 
+def _chain(points: Column) -> Column:
+    """One side of a hull of sorted points: a stack as an array, cut before each point to where the turn is to the left."""
+    turns = lambda done, j, p: (F.get(done, j - 1)["x"] - F.get(done, j - 2)["x"]) * (p["y"] - F.get(done, j - 2)["y"]) - (F.get(done, j - 1)["y"] - F.get(done, j - 2)["y"]) * (p["x"] - F.get(done, j - 2)["x"])
+
+    def pushed(done: Column, p: Column) -> Column:
+        left = F.filter(F.sequence(F.lit(1), F.size(done)), lambda j: (j == 1) | (turns(done, j, p) > 0))
+        return F.when(F.size(done) == 0, F.array(p)).otherwise(F.concat(F.slice(done, F.lit(1), F.array_max(left)), F.array(p)))
+
+    return F.aggregate(points, F.array().cast(f"array<{POINT}>"), pushed)
+
+
 def convex_hull(points: Column) -> Column:
-    @F.pandas_udf(f"array<{POINT}>")
-    def hull(polygons: pd.Series) -> pd.Series:
-        return pd.Series(
-            [[{"x": x, "y": y} for x, y in hull_of(np.array([(p["x"], p["y"]) for p in ps]).reshape(-1, 2)).tolist()] if ps is not None else None for ps in polygons]
-        )
+    """Counter-clockwise hull of an array of points, without points on its sides, as two folds over the sorted points.
+
+    The work is in proportion to the points times those of the hull, which are few for an annotation.
+    """
+    rows = F.array_sort(F.array_distinct(F.transform(points, lambda p: point(F.bround(p["x"], 6), F.bround(p["y"], 6)))))
+
+    def both(sorted_: Column) -> Column:
+        sides = F.transform(F.array(F.struct(_chain(sorted_).alias("a"), _chain(F.reverse(sorted_)).alias("b"))), lambda s: F.concat(F.slice(s["a"], F.lit(1), F.size(s["a"]) - 1), F.slice(s["b"], F.lit(1), F.size(s["b"]) - 1)))
+        return F.when(F.size(sorted_) < 3, sorted_).otherwise(sides[0])
 
-    return hull(points)
+    return F.transform(F.array(rows), both)[0]
 
 
 def quadrilateral(df: DataFrame, points: str, out: str) -> DataFrame:

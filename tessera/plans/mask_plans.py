@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import fixed
+from tessera.functions.geometry import point
+from tessera.functions.hull import convex_hull
 from tessera.operators import pose as P
 from tessera.operators import raster as R
-from tessera.plans.common import FRAME, polygons, r4, sql_edges, sql_points
+from tessera.operators import seat as S
+from tessera.operators import widemask as W
+from tessera.operators.fusion import band_gate, fuse_masks
+from tessera.operators.widemask import Grid
+from tessera.plans.common import FRAME, dim, polygons, r4, sql_edges, sql_points
+from tessera.session import table
 
 SIDE = 16
 CELL = FRAME / SIDE
 FINE = 56
+PHOTO, WIDE = Grid(FRAME, FRAME), Grid(480, 640)
 
 
 def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +36,11 @@ def _by_op(rows: DataFrame, counts: dict) -> DataFrame:
     return rows.select("vec_id", F.explode(told).alias("x")).select("vec_id", "x.op", "x.n").where("n > 0")
 
 
-def _sql_pixels(name: str, points: str, first: int) -> str:
+def _sql_pixels(name: str, points: str, first: int, side: int = SIDE) -> str:
+    cell = FRAME / side
     return f"""{sql_points(points, first)}, {sql_edges(points + "e", points)},
-{name} AS (SELECT vec_id, y, x FROM (SELECT vec_id, gy.g AS y, gx.g AS x, sum(CASE WHEN (sy>(gy.g+0.5)*{CELL}) <> (ey>(gy.g+0.5)*{CELL}) AND (gx.g+0.5)*{CELL} < (sx-ex)*((gy.g+0.5)*{CELL}-ey)/((sy-ey)+1e-8)+ex THEN 1 ELSE 0 END) AS n
-  FROM {points}e, range({SIDE}) gy(g), range({SIDE}) gx(g) GROUP BY vec_id, gy.g, gx.g) WHERE n%2=1)"""
+{name} AS (SELECT vec_id, y, x FROM (SELECT vec_id, gy.g AS y, gx.g AS x, sum(CASE WHEN (sy>(gy.g+0.5)*{cell}) <> (ey>(gy.g+0.5)*{cell}) AND (gx.g+0.5)*{cell} < (sx-ex)*((gy.g+0.5)*{cell}-ey)/((sy-ey)+1e-8)+ex THEN 1 ELSE 0 END) AS n
+  FROM {points}e, range({side}) gy(g), range({side}) gx(g) GROUP BY vec_id, gy.g, gx.g) WHERE n%2=1)"""
 
 
 BOTH = f"{_sql_pixels('a', 'v', 0)}, {_sql_pixels('b', 'w', 12)}"
@@ -158,31 +166,128 @@ def mask_hip_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_seat_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a chair's mask to a geometry that sitting priors allow, and its contact polygon: rows, band, depth trim, outline, clean-up, repair."""
-    kind = "array<struct<x:double,y:double>>"
-
-    @F.pandas_udf(f"struct<seat:{kind},floor:{kind},back:{kind},n_contact:int,n_polygon:int>")
-    def found(gt: pd.Series, pred: pd.Series) -> pd.DataFrame:
-        rows = []
-        for polygons_of in zip(gt, pred):
-            a, b = (np.array([(p["x"], p["y"]) for p in told], float) for told in polygons_of)
-            chair = R.hull_mask(R.fill(a, FRAME, FRAME) | R.fill(b, FRAME, FRAME))
-            geometry = R.seat_geometry(chair)
-            if geometry is None:
-                rows.append((None, None, None, 0, 0))
-                continue
-            area = R.seat_contact(chair, geometry)
-            told = [[{"x": x, "y": y} for x, y in geometry[k]] for k in ("seat", "floor", "back")]
-            rows.append((*told, int(area.sum()), len(R.contact_polygon(area, geometry["seat"]))))
-        return pd.DataFrame(rows, columns=["seat", "floor", "back", "n_contact", "n_polygon"])
-
-    rows = fixed(polygons(spark, sf_dir), "m", found("gt", "pred")).select("vec_id", "m.*").where("seat IS NOT NULL")
+    rows = polygons(spark, sf_dir).select("vec_id", F.concat("gt", "pred").alias("points"))
+    rows = fixed(fixed(rows, "hull", convex_hull(F.col("points"))), "chair", PHOTO.fill(F.col("hull")))
+    rows = S.seat_bands(rows, "chair", PHOTO).where("seat IS NOT NULL")
+    rows = fixed(S.contact_rows(rows, "chair", PHOTO), "axis", S.seat_axis(F.col("seat"), F.col("back")))
+    rows = rows.withColumn("traced", S.traced(F.col("area"), F.col("axis"), PHOTO))
+    rows = rows.withColumn("polygon", S.contact_polygon(F.col("traced.ring"), F.col("seat"), PHOTO))
+    rows = fixed(rows, "told", F.struct(F.col("traced.n").alias("n_contact"), F.size("polygon").alias("n_polygon"))).select("vec_id", "seat", "floor", "back", "told.*")
     rows = P.repair(rows, FRAME, FRAME)
     return rows.select("vec_id", "ok", "n_contact", "n_polygon", r4(F.col("seat")[0]["x"]).alias("seat_x"), r4(F.col("seat")[0]["y"]).alias("seat_y"), r4(F.col("floor")[0]["y"]).alias("floor_y"), r4(F.col("back")[0]["y"]).alias("back_y"))
 
 
 def mask_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corners of the outline, and of the polygon cut to a rectangle."""
-    return _measured(spark, sf_dir, lambda m, _, a: (len(R.outline(m)), len(R.clip_polygon(a, 40.0, 40.0, 180.0, 180.0))), "n_ring", "n_clipped")
+    """The outer border of a mask's largest part, whole and of the mask cut to a rectangle: its steps, the area it encloses, its box."""
+
+    def measure(a: np.ndarray) -> dict:
+        mask = R.fill(a / CELL, SIDE, SIDE)
+        out = {}
+        for kind, part in (("whole", mask), ("cut", R.Box(3, 4, 12, 11).cut(mask))):
+            ring = R.border(R.largest_component(part))
+            box = (*ring.min(axis=0).tolist(), *ring.max(axis=0).tolist()) if len(ring) else (0, 0, 0, 0)
+            out[kind] = (len(ring), R.ring_area(ring), *box)
+        return out
+
+    told = "struct<n_pixels:int,ring_area:double,x_min:int,y_min:int,x_max:int,y_max:int>"
+    rows = fixed(polygons(spark, sf_dir).select("vec_id", "gt"), "m", R.measured([F.col("gt")], measure, f"struct<whole:{told},cut:{told}>"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"m.{kind}").alias("m")) for kind in ("whole", "cut")])).alias("k")
+    rows = rows.select("vec_id", kinds).select("vec_id", "k.kind", "k.m.*").where("n_pixels > 0")
+    steps = F.when(F.col("n_pixels") > 1, F.col("n_pixels")).otherwise(0).alias("n_steps")
+    return rows.select("vec_id", "kind", steps, "ring_area", "x_min", "y_min", "x_max", "y_max")
+
+
+# A border's area is what its pixels' centres enclose: of every two by two pixels, one where all are inside, a half where three are. By Pick's
+# theorem its steps are twice the pixels inside and on it less twice the area less two.
+MASK_OUTLINE = f"""WITH RECURSIVE {_sql_pixels("a", "v", 0)}, p AS (SELECT vec_id, 'whole' AS kind, y, x FROM a UNION ALL SELECT vec_id, 'cut', y, x FROM a WHERE y BETWEEN 4 AND 11 AND x BETWEEN 3 AND 12),
+l AS (SELECT vec_id, kind, y, x, y*{SIDE}+x AS r FROM p UNION SELECT q.vec_id, q.kind, q.y, q.x, l.r FROM l JOIN p q ON q.vec_id=l.vec_id AND q.kind=l.kind AND abs(q.y-l.y)<=1 AND abs(q.x-l.x)<=1),
+m AS (SELECT vec_id, kind, y, x, min(r) AS r FROM l GROUP BY ALL),
+s AS (SELECT vec_id, kind, r, row_number() OVER (PARTITION BY vec_id, kind ORDER BY count(*) DESC, r) AS k FROM m GROUP BY vec_id, kind, r),
+o AS (SELECT m.vec_id, m.kind, m.y, m.x FROM m JOIN s USING (vec_id, kind, r) WHERE k=1),
+g AS (SELECT c.vec_id, c.kind, gy.g-1 AS y, gx.g-1 AS x FROM (SELECT DISTINCT vec_id, kind FROM o) c, range({SIDE + 2}) gy(g), range({SIDE + 2}) gx(g)),
+f AS (SELECT g.* FROM g ANTI JOIN o USING (vec_id, kind, y, x)),
+w AS (SELECT * FROM f WHERE y=-1 AND x=-1 UNION SELECT f.vec_id, f.kind, f.y, f.x FROM w JOIN f ON f.vec_id=w.vec_id AND f.kind=w.kind AND abs(f.y-w.y)+abs(f.x-w.x)=1),
+i AS (SELECT g.* FROM g ANTI JOIN w USING (vec_id, kind, y, x)),
+b AS (SELECT vec_id, kind, y-dy.d AS y, x-dx.d AS x, count(*) AS n FROM i, range(2) dy(d), range(2) dx(d) GROUP BY ALL),
+e AS (SELECT vec_id, kind, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0 END)::DOUBLE AS ring_area FROM b GROUP BY ALL),
+t AS (SELECT vec_id, kind, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM i GROUP BY ALL)
+SELECT t.vec_id, t.kind, (2*(n-ring_area-1))::INTEGER AS n_steps, ring_area, x0::INTEGER AS x_min, y0::INTEGER AS y_min, x1::INTEGER AS x_max, y1::INTEGER AS y_max FROM t JOIN e USING (vec_id, kind)"""
+
+
+def mask_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of whole photographs, 640 by 480, as bit words: areas, overlap, and dilated and eroded by a square of three."""
+    stretched = lambda points: F.transform(points, lambda p: point(p["x"] * (WIDE.width / FRAME), p["y"] * (WIDE.height / FRAME)))
+    rows = polygons(spark, sf_dir).select("vec_id", stretched(F.col("gt")).alias("p"), stretched(F.col("pred")).alias("q"))
+    rows = fixed(rows, "a", WIDE.fill(F.col("p"))).select("vec_id", "a", "q")
+    rows = fixed(rows, "b", WIDE.fill(F.col("q"))).select("vec_id", "a", "b")
+    a, b = F.col("a"), F.col("b")
+    n = lambda mask, name: W.count(mask).alias(name)
+    return rows.select("vec_id", n(a, "n_a"), n(b, "n_b"), n(W.common(a, b), "n_common"), n(W.without(a, b), "n_only_a"), r4(W.overlap(a, b)).alias("iou"), n(WIDE.dilate(a), "n_dilated"), n(WIDE.erode(a), "n_eroded"))
+
+
+def _sql_runs(name: str, points: str, first: int) -> str:
+    """Runs [s, e) of set pixels by row of a polygon at full size, from pairs of crossings."""
+    w, h = WIDE.width, WIDE.height
+    return f"""{sql_points(points, first)}, {points}s AS (SELECT vec_id, label, i, x*({w}/{FRAME}::DOUBLE) AS x, y*({h}/{FRAME}::DOUBLE) AS y FROM {points}), {sql_edges(points + "e", points + "s")},
+{points}c AS (SELECT vec_id, g AS y, greatest(0,least({w},ceil((sx-ex)*((g+0.5)-ey)/((sy-ey)+1e-8)+ex-0.5)))::INTEGER AS x FROM {points}e, range({h}) t(g) WHERE (sy>g+0.5) <> (ey>g+0.5)),
+{points}n AS (SELECT *, row_number() OVER (PARTITION BY vec_id, y ORDER BY x) AS k, lead(x) OVER (PARTITION BY vec_id, y ORDER BY x) AS nx FROM {points}c),
+{name} AS (SELECT vec_id, y, x AS s, nx AS e FROM {points}n WHERE k%2=1 AND nx>x)"""
+
+
+def _sql_grown_runs(name: str, runs: str) -> str:
+    """Runs grown by a pixel to all sides and merged."""
+    w, h = WIDE.width, WIDE.height
+    return f"""{name}r AS (SELECT vec_id, y+d.d-1 AS y, greatest(0,s-1) AS s, least({w},e+1) AS e FROM {runs}, range(3) d(d) WHERE y+d.d-1 BETWEEN 0 AND {h - 1}),
+{name}m AS (SELECT *, max(e) OVER (PARTITION BY vec_id, y ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM {name}r),
+{name} AS (SELECT vec_id, sum(e-greatest(s,coalesce(reached,0))) FILTER (e>coalesce(reached,0)) AS n FROM {name}m GROUP BY vec_id)"""
+
+
+MASK_WIDE = f"""WITH {_sql_runs("a", "v", 0)}, {_sql_runs("b", "w", 12)}, {_sql_grown_runs("d", "a")},
+ends AS (SELECT vec_id, y, s, e FROM a UNION ALL SELECT vec_id, g, 0, 0 FROM embeddings, range({WIDE.height}) t(g)),
+gaps AS (SELECT vec_id, y, e AS s, coalesce(lead(s) OVER (PARTITION BY vec_id, y ORDER BY s, e), {WIDE.width}) AS e FROM ends),
+none AS (SELECT * FROM gaps WHERE e>s), {_sql_grown_runs("x", "none")},
+na AS (SELECT vec_id, sum(e-s) AS n FROM a GROUP BY vec_id), nb AS (SELECT vec_id, sum(e-s) AS n FROM b GROUP BY vec_id),
+c AS (SELECT a.vec_id, sum(least(a.e,b.e)-greatest(a.s,b.s)) AS n FROM a JOIN b ON a.vec_id=b.vec_id AND a.y=b.y AND a.s<b.e AND b.s<a.e GROUP BY a.vec_id)
+SELECT vec_id, coalesce(na.n,0)::BIGINT AS n_a, coalesce(nb.n,0)::BIGINT AS n_b, coalesce(c.n,0)::BIGINT AS n_common, (coalesce(na.n,0)-coalesce(c.n,0))::BIGINT AS n_only_a,
+  round(coalesce(c.n,0)/greatest(1,coalesce(na.n,0)+coalesce(nb.n,0)-coalesce(c.n,0))::DOUBLE,4) AS iou, coalesce(d.n,0)::BIGINT AS n_dilated, ({WIDE.width * WIDE.height}-coalesce(x.n,0))::BIGINT AS n_eroded
+FROM embeddings LEFT JOIN na USING (vec_id) LEFT JOIN nb USING (vec_id) LEFT JOIN c USING (vec_id) LEFT JOIN d USING (vec_id) LEFT JOIN x USING (vec_id)"""
+
+FUSED = 70
+
+
+def mask_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of six masks: the best one, up to three partners by true overlap, their union, and what a band around the best one's prior leaves of it."""
+    grid = Grid(FUSED, FUSED)
+    rows = polygons(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 6).cast("long").alias("image"), "gt", "pred")
+    rows = rows.join(table(spark, sf_dir, "embeddings").select("vec_id", F.greatest(F.lit(0.05), F.round(dim(24) + 0.5, 6)).alias("confidence")), "vec_id")
+    masks = fixed(rows, "mask", grid.fill(F.col("gt"), FRAME / FUSED))
+    fused = fuse_masks(masks, "image", "mask", "confidence", "vec_id", grid)
+    priors = fixed(rows.select(F.col("vec_id").alias("best"), "pred"), "prior", grid.fill(F.col("pred"), FRAME / FUSED))
+    used = F.filter(F.transform(grid.row_table(F.col("prior")), lambda r, y: F.when(r["n"] > 0, y)), lambda y: y.isNotNull())
+    priors = fixed(priors, "rows", used).select("best", F.array_min("rows").alias("first"), F.array_max("rows").alias("last"))
+    gated = fixed(fused.join(priors, "best"), "gated", band_gate(F.col("fused"), F.col("first"), F.col("last"), 0.18, 0.1, grid))
+    lines = fixed(gated, "lines", F.filter(F.transform(grid.row_table(F.col("gated")), lambda r, y: F.struct(r["n"].alias("n"), r["first"].alias("first"), r["last"].alias("last"), y.alias("y"))), lambda r: r["n"] > 0))
+    total = lambda value, name: F.aggregate("lines", F.lit(0).cast("long"), lambda n, r: n + value(r)).alias(name)
+    return lines.select(
+        "image", "best", "n_fused", W.count(F.col("fused")).alias("n_union"), W.count(F.col("gated")).alias("n_gated"), total(lambda r: r["y"] * r["n"], "y_sum"), total(lambda r: r["first"], "first_sum"), total(lambda r: r["last"], "last_sum")
+    )
+
+
+MASK_FUSION = f"""WITH {_sql_pixels("a", "v", 0, FUSED)}, {_sql_pixels("b", "w", 12, FUSED)},
+n AS (SELECT a.vec_id, a.vec_id//6 AS image, count(*) AS area, greatest(0.05, round(any_value(embedding[25])::DOUBLE+0.5,6)) AS conf FROM a JOIN embeddings e USING (vec_id) GROUP BY a.vec_id HAVING count(*)>1),
+o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY conf*area DESC, vec_id) AS k FROM n),
+t AS (SELECT o.*, p.vec_id AS best, p.area AS b_area, p.conf AS b_conf FROM o JOIN o p ON p.image=o.image AND p.k=1),
+c AS (SELECT t.vec_id, count(*) AS n FROM t JOIN a x ON x.vec_id=t.vec_id JOIN a y ON y.vec_id=t.best AND y.y=x.y AND y.x=x.x GROUP BY t.vec_id),
+f AS (SELECT t.*, coalesce(c.n,0)/(area+b_area-coalesce(c.n,0))::DOUBLE AS iou FROM t LEFT JOIN c USING (vec_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY k) AS r FROM f WHERE k=1 OR (conf>=0.25*b_conf AND area BETWEEN 0.30*b_area AND 10.0*b_area AND iou BETWEEN 0.02 AND 0.70)),
+u AS (SELECT DISTINCT image, best, y, x FROM h JOIN a USING (vec_id) WHERE r<=4),
+z AS (SELECT vec_id AS best, min(y) AS y0, max(y) AS y1 FROM b GROUP BY vec_id),
+q AS (SELECT best, greatest(0,round_even(y0-(y1-y0+1)*0.18,0))::INTEGER AS lo, least({FUSED - 1},round_even(y1+(y1-y0+1)*0.1,0))::INTEGER AS hi FROM z),
+k AS (SELECT u.* FROM u LEFT JOIN q USING (best) WHERE NOT coalesce(hi>lo,false) OR y BETWEEN lo AND hi),
+s AS (SELECT image, sum(n)::BIGINT AS n_gated, sum(y*n)::BIGINT AS y_sum, sum(x0)::BIGINT AS first_sum, sum(x1)::BIGINT AS last_sum FROM (SELECT image, y, count(*) AS n, min(x) AS x0, max(x) AS x1 FROM k GROUP BY image, y) GROUP BY image),
+m AS (SELECT image, best, count(*) AS n_fused FROM h WHERE r<=4 GROUP BY ALL), w2 AS (SELECT image, count(*) AS n_union FROM u GROUP BY image)
+SELECT image::BIGINT AS image, best, n_fused, n_union, coalesce(n_gated,0) AS n_gated, coalesce(y_sum,0) AS y_sum, coalesce(first_sum,0) AS first_sum, coalesce(last_sum,0) AS last_sum
+FROM m JOIN w2 USING (image) LEFT JOIN s USING (image)"""
 
 
 def mask_depth_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,5 +324,7 @@ QUERIES = {
     "mask_depth_trim": (mask_depth_trim, MASK_DEPTH),
     "mask_hip_zone": (mask_hip_zone, None),
     "mask_seat_geometry": (mask_seat_geometry, None),
-    "mask_outline": (mask_outline, None),
+    "mask_outline": (mask_outline, MASK_OUTLINE),
+    "mask_wide": (mask_wide, MASK_WIDE),
+    "mask_fusion": (mask_fusion, MASK_FUSION),
 }

@@ -253,26 +253,49 @@ def plain_seat(chair):
     return {"seat": [(sx0, up), (sx1, up), (sx1, lo), (sx0, lo)], "floor": [(fx0, floor), (fx1, floor)], "back": [(bx0, y0 + back), (bx1, y0 + back)]}
 
 
-def test_seat_geometry_of_masks():
+@pytest.mark.parametrize("shape", [(60, 70), (90, 33), (9, 12)])
+def test_seat_geometry_of_masks(spark, shape):
+    """Seat bands against rows of sets, and each later step of the plan against the same step on a boolean grid."""
     import numpy as np
 
+    from tessera.functions.arrays import fixed
     from tessera.operators import raster as R
-
-    rng = np.random.default_rng(5)
-    assert R.seat_geometry(np.zeros((9, 9), bool)) is None
-    for k in range(120):
-        shape = (int(rng.integers(5, 90)), int(rng.integers(5, 90)))
-        chair = R.fill(rng.random((6, 2)) * (shape[1], shape[0]), *shape) & (rng.random(shape) < (0.8 if k % 3 else 1))
-        got, want = R.seat_geometry(chair), plain_seat(chair)
+    from tessera.operators import seat as S
+    from tessera.operators.widemask import Grid
+
+    rng, grid = np.random.default_rng(5), Grid(*shape)
+    chairs = [R.fill(rng.random((6, 2)) * (shape[1], shape[0]), *shape) & (rng.random(shape) < (0.8 if k % 3 else 1)) for k in range(30)]
+    chairs.append(np.zeros(shape, bool))
+    df = spark.createDataFrame([(k, S.packed(c)) for k, c in enumerate(chairs)], "k int, chair array<bigint>")
+    df = fixed(S.contact_rows(S.seat_bands(df, "chair", grid), "chair", grid), "axis", S.seat_axis(F.col("seat"), F.col("back")))
+    df = df.withColumn("traced", S.traced(F.col("area"), F.col("axis"), grid))
+    for r in df.withColumn("polygon", S.contact_polygon(F.col("traced.ring"), F.col("seat"), grid)).collect():
+        chair, want = chairs[r.k], plain_seat(chairs[r.k])
+        got = {name: [tuple(p) for p in r[name]] for name in ("seat", "floor", "back")} if r.seat is not None else None
         assert got == want
-        if got:
-            area = R.seat_contact(chair, got)
-            polygon = R.contact_polygon(area, got["seat"])
-            assert area.shape == chair.shape and len(polygon) >= 3
-            back, front = R.seat_axis(got["seat"], got["back"])
-            sides = [tuple(np.mean([got["seat"][i], got["seat"][(i + 1) % 4]], axis=0)) for i in range(4)]
-            middle = np.mean(got["back"], axis=0)
-            assert math.dist(back, middle) == min(math.dist(s, middle) for s in sides) and front == sides[(sides.index(back) + 2) % 4]
+        if want is None:
+            assert r.area is None and r.traced.n is None
+            continue
+        area, found = np.zeros(shape, bool), 0
+        for y in range(want["seat"][0][1], min(want["seat"][2][1], shape[0] - 1) + 1):
+            xs = np.flatnonzero(chair[y])
+            if len(xs) >= 4:
+                left, right = (int(v) for v in np.percentile(xs, (1.5, 98.5)))
+                if right > left:
+                    m = max(1, int(0.025 * (right - left + 1)))
+                    left, found = min(left + m, shape[1] - 1), found + 1
+                    area[y, left : max(min(right - m, shape[1] - 1), left + 2) + 1] = True
+        if found < 8:
+            area[want["seat"][0][1] : want["seat"][2][1] + 1, want["seat"][0][0] : want["seat"][1][0] + 1] = True
+        used = np.flatnonzero(chair.any(axis=1))
+        k = max(3, int(0.012 * (used[-1] - used[0] + 1))) // 2 * 2 + 1
+        area = R.open_(R.close(area, k), 3)
+        assert (S.unpacked(r.area, grid) == area).all()
+        sides = [tuple(np.mean([want["seat"][i], want["seat"][(i + 1) % 4]], axis=0)) for i in range(4)]
+        middle = np.mean(want["back"], axis=0)
+        back, front = tuple(r.axis.back), tuple(r.axis.front)
+        assert math.dist(back, middle) == min(math.dist(s, middle) for s in sides) and front == sides[(sides.index(back) + 2) % 4]
+        assert r.traced.n == R.trim_depth(R.largest_component(area), back, front).sum() and len(r.polygon) >= 3
 
 
 def test_resized_masks():

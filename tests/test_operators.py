@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,11 +13,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions import jsonx
 from tessera.functions import text as X
+from tessera.functions.arrays import fixed
+from tessera.functions.hull import convex_hull, hull_of
 from tessera.operators import chat as C
 from tessera.operators import metrics as M
 from tessera.operators import pose
 from tessera.operators import raster as R
 from tessera.operators import relational as Rel
+from tessera.operators import seat as S
+from tessera.operators import widemask as W
+from tessera.operators.fusion import any_of
 from tessera.sources import readers, writers
 from tessera.streaming import arrivals
 
@@ -313,23 +319,121 @@ def test_hull_smoothing_against_half_planes():
             assert pixels_of(R.smooth_by_hull(mask, gate, least)) == want
 
 
-def test_outlines_go_around():
-    """An outline's points are border pixels of the largest part, and the ends of every row lie on its sides."""
-    for mask in masks(40, 9):
-        own, ring = largest(pixels_of(mask)), R.outline(mask, 0.0, 10**9)
-        assert len(ring) == 0 if not own else all((int(y), int(x)) in own for x, y in ring)
-        if len(ring) < 3:
+def filled_ring(ring, shape):
+    """The pixels that a closed walk goes through, and those it goes around: what a walk from outside does not reach."""
+    walk = {(int(y), int(x)) for x, y in ring}
+    seen, todo = set(), [(-1, -1)]
+    while todo:
+        y, x = todo.pop()
+        if (y, x) in seen or (y, x) in walk or not (-1 <= y <= shape[0] and -1 <= x <= shape[1]):
             continue
-        sides = [(tuple(a), tuple(b)) for a, b in zip(ring, np.roll(ring, -1, axis=0))]
-
-        def away(p, a, b):
-            length2 = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
-            t = min(1, max(0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / length2)) if length2 else 0
-            return math.dist(p, (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-
-        for y, ends in spans_of(own).items():
-            assert all(min(away((x, y), a, b) for a, b in sides) < 1e-6 for x in ends)
-        assert len(R.outline(mask, 1.5, 5)) <= max(5, 2) or len(ring) < 5
+        seen.add((y, x))
+        todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    return {(y, x) for y in range(shape[0]) for x in range(shape[1])} - seen
+
+
+def test_borders_go_all_around():
+    """A border walks from neighbour to neighbour and, filled, is its component with the holes: thin shapes, tips and cut pixels included."""
+    v = np.zeros((12, 21), bool)
+    for k in range(10):
+        v[1 + k, 10 - k] = v[1 + k, 10 + k] = True
+    bars = np.zeros((9, 9), bool)
+    bars[4, :] = bars[:, 4] = True
+    corner = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1]], bool)
+    shown = [v, bars, corner, np.ones((1, 6), bool), np.ones((1, 1), bool), np.zeros((3, 3), bool), *masks(120, 9)]
+    for mask in shown:
+        own = R.largest_component(mask)
+        ring = R.border(own)
+        if not own.any():
+            assert len(ring) == 0
+            continue
+        outside = filled_ring([(x, y) for y, x in pixels_of(own)], mask.shape)
+        assert filled_ring(ring, mask.shape) == outside and {(int(y), int(x)) for x, y in ring} <= pixels_of(own)
+        if len(ring) > 1:
+            assert np.abs(ring - np.roll(ring, -1, axis=0)).max(axis=1).tolist() == [1] * len(ring)
+        assert (0 if len(ring) == 1 else len(ring)) == 2 * (len(outside) - R.ring_area(ring) - 1)
+        assert len(R.outline(mask, 1.5, 5)) <= 5
+    assert R.outline(v, 0.5).tolist() == [[10, 1], [19, 10], [10, 1], [1, 10]]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_borders_of_all_polygons():
+    """Every polygon of the larger tables on two grids: the box of the border is that of the component, and Pick's theorem holds."""
+    import pyarrow.parquet as pq
+
+    vectors = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["embedding"])["embedding"].to_pylist(), float)
+    for side in (56, 16):
+        for points in np.clip((vectors[:, :12] + 0.5) * side, 0, side - side / 224).reshape(-1, 6, 2):
+            own = R.largest_component(R.fill(points, side, side))
+            if own.any():
+                ring = R.border(own)
+                assert (*ring.min(axis=0), *ring.max(axis=0)) == R.bbox(own)
+                assert 2 * (own.sum() - R.ring_area(ring) - 1) <= max(len(ring), 0) or len(ring) == 1
+
+
+def test_components_and_distances_at_image_size():
+    """A serpentine, noise and blobs of photograph size: labels as flooding gives them, distances as brute force gives them on a part."""
+    snake = np.zeros((480, 640), bool)
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    assert R.components(snake).max() == 1
+    rng = np.random.default_rng(8)
+    for mask in (snake[:41, :37], rng.random((40, 50)) < 0.45, rng.random((40, 50)) < 0.6, np.zeros((4, 5), bool), np.ones((4, 5), bool)):
+        labels, left, n = R.components(mask), pixels_of(mask), 0
+        for y, x in sorted(left):
+            if (y, x) in left:
+                n, todo = n + 1, [(y, x)]
+                while todo:
+                    p = todo.pop()
+                    if p in left:
+                        left.remove(p)
+                        assert labels[p] == n
+                        todo += [(p[0] + dy, p[1] + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        assert labels.max() == n and (labels > 0).sum() == mask.sum()
+        away = np.pad(mask, 1)
+        zero = np.argwhere(~away) - 1
+        want = np.array([[np.sqrt(((zero - (y, x)) ** 2).sum(axis=1).min()) for x in range(mask.shape[1])] for y in range(mask.shape[0])])
+        assert np.allclose(R.edge_distance(mask), want)
+    assert R.edge_distance(np.ones((480, 640), bool)).max() == 240
+
+
+@pytest.mark.parametrize("shape", [(20, 70), (9, 64), (13, 130), (12, 30)])
+def test_wide_masks_equal_grids(spark, shape):
+    """Bit words over several words a row, one full word and less, against boolean grids."""
+    rng, g = np.random.default_rng(0), W.Grid(*shape)
+    (h, w), draw = shape, lambda n: rng.random((n, 2)) * [shape[1], shape[0]]
+    shown = [(draw(int(rng.integers(3, 8))), draw(5)) for _ in range(12)]
+    kind = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(i, *[[tuple(map(float, p)) for p in polygon] for polygon in pair]) for i, pair in enumerate(shown)], f"i int, p {kind}, q {kind}")
+    df = fixed(fixed(df, "a", g.fill(F.col("p"))), "b", g.fill(F.col("q")))
+    a, b, lit = F.col("a"), F.col("b"), F.lit
+    seed = W.common(a, g.rectangle(lit(0), lit(0), lit(20), lit(5)))
+    wide = {"d": g.dilate(a, 2), "e": g.erode(a, 1), "c": g.close(a, lit(1)), "o": g.open(a, 2), "f": g.flip(a), "u": W.union(a, b), "m": W.without(a, b), "n": g.band(a, lit(3), lit(7)), "r": g.rectangle(lit(3), lit(2), lit(66), lit(8)), "l": g.flood(seed, a, 6), "x": W.union_of(F.array(a, b), g)}
+    rows = df.select("i", "a", "b", *[c.alias(k) for k, c in wide.items()], W.overlap(a, b).alias("iou"), W.count(a).alias("pixels"), g.row_table(a).alias("t"), g.columns_of(a, lit(5)).alias("five")).collect()
+    for row in rows:
+        m, o = (R.fill(points, h, w) for points in shown[row.i])
+        ys, xs = np.ogrid[:h, :w]
+        corner = (ys < 6) & (xs < 21)
+        want = {"a": m, "b": o, "d": R.dilate(m, 5), "e": R.erode(m, 3), "c": R.close(m, 3), "o": R.open_(m, 5), "f": m[:, ::-1], "u": m | o, "m": m & ~o, "n": R.only_rows(m, 3, 7), "r": (ys > 1) & (ys < 9) & (xs > 2) & (xs < 67), "l": R.flood(m & corner, m, 6), "x": m | o}
+        for k, grid in want.items():
+            assert (S.unpacked(row[k], g) == grid).all(), k
+        assert row.pixels == m.sum() and row.iou == pytest.approx((m & o).sum() / max(1, (m | o).sum())) and row.five == np.flatnonzero(m[5]).tolist()
+        for y, told in enumerate(row.t):
+            on = np.flatnonzero(m[y])
+            assert tuple(told) == ((len(on), on[0], on[-1]) if len(on) else (0, None, None))
+        assert S.packed(m) == row.a
+    words = {(r.i, r.at): r.bits for r in any_of(df.select((F.col("i") % 2).alias("i"), "a"), "i", "a").collect()}
+    for half in (0, 1):
+        every = np.any([R.fill(p, h, w) for i, (p, _) in enumerate(shown) if i % 2 == half], axis=0)
+        assert [words[half, k] for k in range(h * g.words)] == S.packed(every)
+
+
+def test_hulls_are_folds(spark):
+    rng = np.random.default_rng(2)
+    shown = [rng.integers(-6, 7, (int(n), 2)).astype(float) for n in rng.integers(1, 25, 60)]
+    df = spark.createDataFrame([(i, [tuple(map(float, p)) for p in points]) for i, points in enumerate(shown)], "i int, p array<struct<x:double,y:double>>")
+    for r in df.select("i", convex_hull(F.col("p")).alias("h")).collect():
+        assert [tuple(p) for p in r.h] == [tuple(p) for p in hull_of(shown[r.i]).tolist()]
 
 
 def test_depth_trim():
