@@ -28,30 +28,57 @@ def rate(flag: str | Column) -> Column:
     return F.avg(F.col(flag).cast("int") if isinstance(flag, str) else flag.cast("int"))
 
 
-def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], blocks: int = 1024) -> DataFrame:
-    """Exact interpolated percentiles of each group, by name of share, without a group's values ever standing in one task.
+#: Values that a task may put in order to find one rank; more are narrowed down first.
+ORDERED_MOST = 1 << 16
+#: Quantiles that a round of narrowing compares a rank with, and the accuracy of their sketch, eight steps within each.
+QUANTILES = 256
 
-    Distinct values are counted, and then by block, equal parts of each group's range; the counts tell which blocks
-    hold the wanted ranks. Of these alone the values are put in order, so a task sees a block's distinct
-    values. Nulls and NaN are left out, and so is a group without values.
+
+def _narrowed(told: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same ranks between nearer bounds, from a sketch of the values between the old ones.
+
+    A sketch's ranks are wrong by an eighth of a quantile at most, and a whole one is left on both sides; values are counted
+    again between the new bounds, and bounds that the count does not confirm stay as they were.
+    """
+    inside = told.join(wanted, "g").where("v BETWEEN low AND high")
+    steps = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
+    cuts = inside.groupBy("g", "r").agg(F.percentile_approx("v", steps, F.lit(8 * QUANTILES)).alias("cuts"))
+    met = wanted.join(cuts, ["g", "r"])
+    at = F.floor((F.col("r") - F.col("before")) / F.col("held") * QUANTILES).cast("int")
+    near = met.withColumn("near_low", F.coalesce(F.get("cuts", at - 2), "low")).withColumn("near_high", F.coalesce(F.get("cuts", at + 1), "high")).drop("cuts")
+    near = near.withColumn("near_low", F.greatest("near_low", "low")).withColumn("near_high", F.least("near_high", "high"))
+    counted = told.join(near, "g").where("v BETWEEN low AND near_high").groupBy("g", "r").agg(
+        F.count_if(F.col("v") < F.col("near_low")).alias("less"), F.count_if(F.col("v") >= F.col("near_low")).alias("kept")
+    )
+    near = near.join(counted, ["g", "r"])
+    good = (F.col("before") + F.col("less") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("less") + F.col("kept"))
+    pick = lambda new, old: F.when(good, new).otherwise(F.col(old)).alias(old)
+    return near.select("g", "r", "n", pick(F.col("near_low"), "low"), pick(F.col("near_high"), "high"), pick(F.col("before") + F.col("less"), "before"), pick(F.col("kept"), "held"))
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], most: int = ORDERED_MOST) -> DataFrame:
+    """Exact interpolated percentiles of each group, by name of share, with no more than `most` values of a group in one task.
+
+    Bounds around each wanted rank start as the group's least and greatest value. While they hold more than `most` rows,
+    a mergeable sketch of the values between them gives nearer ones: bounds follow ranks and not values, so outliers and
+    other odd distributions change nothing, and each round leaves about an eightieth. Between the
+    bounds, the distinct values are put in order. Nulls and NaN are left out, and so is a group without values.
     """
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    told = rows.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    told = told.groupBy("g", "v").agg(F.count("*").alias("m"))  # one exchange, which all that follows uses again
-    limits = told.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("m").alias("n"))
-    part = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * blocks)
-    block = F.when(F.col("high") > F.col("low"), F.least(part, F.lit(blocks - 1))).otherwise(F.lit(0)).cast("int")
-    placed = told.join(limits, "g").select("g", "v", "m", "n", block.alias("b"))
-    counts = placed.groupBy("g", "b").agg(F.sum("m").alias("k"), F.first("n").alias("n"))
-    counts = counts.withColumn("before", F.sum("k").over(Window.partitionBy("g").orderBy("b")) - F.col("k"))
+    told = rows.select(group.alias("g"), F.explode(F.array(F.col(value).cast("double"))).alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     place = {name: F.lit(share) * (F.col("n") - 1) for name, share in shares.items()}
     ranks = F.array_distinct(F.array(*[rank for p in place.values() for rank in (F.floor(p), F.ceil(p))]))
-    held = lambda first: lambda r: (r >= F.col(first)) & (r < F.col(first) + F.col("k"))
-    wanted = counts.withColumn("ranks", F.filter(ranks, held("before"))).where("size(ranks) > 0").select("g", "b", "before", "ranks")
-    values = placed.withColumnRenamed("m", "k").join(wanted, ["g", "b"])
-    values = values.withColumn("first", F.col("before") + F.sum("k").over(Window.partitionBy("g", "b").orderBy("v")) - F.col("k"))
-    hits = values.select("g", "n", "v", F.explode(F.filter("ranks", held("first"))).alias("r"))
-    hits = hits.groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at"))
+    values = told.groupBy("g", "v").agg(F.count("*").alias("m"))  # one exchange, which both uses below share
+    wanted = values.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("m").alias("n"))
+    wanted = wanted.select("g", F.explode(ranks).alias("r"), "n", "low", "high", F.lit(0).cast("long").alias("before"), F.col("n").alias("held"))
+    if (rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > most:  # counted without working the values out
+        open_ = (F.col("held") > most) & (F.col("low") < F.col("high"))
+        left = None
+        while (now := wanted.where(open_).agg(F.sum("held")).first()[0]) and now != left:
+            left, wanted = now, _narrowed(told, wanted)
+    within = values.join(wanted, "g").where("v BETWEEN low AND high")
+    first = F.col("before") + F.sum("m").over(Window.partitionBy("g", "r").orderBy("v")) - F.col("m")
+    hits = within.withColumn("first", first).where("r >= first AND r < first + m").groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at"))
     between = lambda p: F.col("at")[F.floor(p)] + (F.col("at")[F.ceil(p)] - F.col("at")[F.floor(p)]) * (p - F.floor(p))
     return hits.select(*[F.col(f"g.{c}").alias(c) for c in by], *[between(p).alias(name) for name, p in place.items()])
 

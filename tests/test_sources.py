@@ -87,21 +87,34 @@ def test_last_by_version(spark):
     assert {r.g: (r.p, r.version) for r in X.last_by_version(df, ["g"], "p").collect()} == {"g": ("run-10", 10), "h": ("b", -1), "i": ("y-1", 1)}
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 1024])
-def test_exact_percentiles(spark, blocks):
-    rng = np.random.default_rng(blocks)
+@pytest.mark.parametrize("most", [40, 1 << 16])
+def test_exact_percentiles(spark, most):
+    rng = np.random.default_rng(most)
     groups = {"a": rng.normal(size=301), "b": np.round(rng.exponential(size=200), 1), "c": np.array([4.0]), "d": np.full(50, 2.0), None: rng.random(10) ** 9, "e": np.array([])}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("e", None), ("a", None), ("a", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    got = {r.g: (r.p, r.q, r.r) for r in M.exact_percentiles(df, ["g"], "v", {"p": 0.015, "q": 0.5, "r": 1.0}, blocks).collect()}
+    got = {r.g: (r.p, r.q, r.r) for r in M.exact_percentiles(df, ["g"], "v", {"p": 0.015, "q": 0.5, "r": 1.0}, most).collect()}
     assert got.keys() == groups.keys() - {"e"}
     for g, found in got.items():
         assert found == pytest.approx(np.quantile(groups[g], [0.015, 0.5, 1.0]))
-    whole = M.exact_percentiles(df, [], "v", {"q": 0.5}, blocks).first()
+    whole = M.exact_percentiles(df, [], "v", {"q": 0.5}, most).first()
     assert whole.q == pytest.approx(np.median(np.concatenate(list(groups.values()))))
     assert M.exact_percentiles(df.where("false"), ["g"], "v", {"q": 0.5}).count() == 0
 
 
+def test_percentiles_with_an_outlier(spark):
+    """One value far off, a fifth of equal ones and a long tail: rounds of narrowing leave few values to put in order, and the result is exact."""
+    v = F.when(F.col("id") == 7, 1e300).when(F.col("id") % 5 == 0, F.lit(0.25)).otherwise((F.xxhash64("id") / 2.0**63) ** 9)
+    df = spark.range(60001).select((F.col("id") % 2).alias("k"), v.alias("v"))
+    held = df.toPandas()
+    told = df.select(F.struct("k").alias("g"), "v")
+    wanted = told.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).selectExpr("g", "CAST(15000 AS LONG) AS r", "n", "low", "high", "0L AS before", "n AS held")
+    assert all(r.held < 1000 or r.low == r.high for r in M._narrowed(told, wanted).collect())
+    got = {r.k: (r.a, r.b) for r in M.exact_percentiles(df, ["k"], "v", {"a": 0.5, "b": 0.985}, 2000).collect()}
+    for k, g in held.groupby("k"):
+        assert got[k] == pytest.approx(np.percentile(g.v, [50, 98.5]), rel=1e-12)
+
+
 def test_gate_runs(spark):
     """Passes at a step, after an extension, after a retry, not at all, or fails to train."""
     good, bad = (0.9, 0.9, 0.0, 0.5, 0.5), (0.9, 0.9, 0.5, 0.5, 0.5)
