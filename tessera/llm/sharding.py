@@ -13,8 +13,8 @@ from tessera.llm.common import text_of
 JUMP_MULTIPLIER = np.uint64(2862933555777941757)
 #: Rows of a shard are numbered in this many blocks, so that numbering never puts a shard into one task.
 BLOCKS = 1024
-#: A block of more rows than this, and than eight times the mean, holds a key that repeats very often: it is cut into PARTS by the text.
-HOT_ROWS, PARTS = 100_000, 256
+#: A block of more rows than this, and than eight times the mean, holds keys that repeat very often: each of these is numbered by itself, in PARTS parts.
+HOT_ROWS, PARTS = 100_000, 64
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -59,6 +59,20 @@ def jump_shard(column: Column, shards: int) -> Column:
     return shard(stable_key(column))
 
 
+def _segment(own: DataFrame, told: DataFrame, hot: list[int], least: int) -> Column:
+    """A row's place among the keys of its block that hold more than `least` rows: odd for such a key, even between two; 0 in all other blocks."""
+    if not hot:
+        return F.lit(0)
+    counted = told.where(F.col("_block").isin(hot)).groupBy("_block", "_key").agg(F.count("*").alias("_n")).where(F.col("_n") > least).collect()
+    kind = own.schema["_key"].dataType
+    found = F.lit(0)
+    for block in sorted({r["_block"] for r in counted}):
+        keys = [F.lit(r["_key"]).cast(kind) for r in counted if r["_block"] == block]
+        before = [F.when((k.isNull() & F.col("_key").isNotNull()) | F.coalesce(k < F.col("_key"), F.lit(False)), 2).when(k.eqNullSafe(F.col("_key")), 1).otherwise(0) for k in keys]
+        found = F.when(F.col("_block") == block, sum(before[1:], before[0])).otherwise(found)
+    return found
+
+
 def shard_documents(
     docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", overhead: int = 8
 ) -> DataFrame:
@@ -68,12 +82,12 @@ def shard_documents(
     text_crc32, law, shard, slot and grown_shard (the shard with one shard more: the
     same, or the new one). Equal texts with different keys may go to different shards.
 
-    slot numbers the rows of a shard from 0 without gaps, by block and then by key,
-    size and checksum. A block is a hash of the key; block sizes are counted in a first
+    slot numbers the rows of a shard from 0 without gaps, by block, then by key (null first), a hash of the text, size
+    and checksum, at every size of the table. A block is a hash of the key; block sizes are counted in a first
     pass that reads only the key column, and the shards x BLOCKS offsets, a table of
-    fixed size, are broadcast. So no task ever holds a whole shard. A block that is far
-    larger than the others, because one key repeats very often, is cut into parts by a hash of
-    the text, counted in a second pass. Rows that repeat with one key get slots of
+    fixed size, are broadcast. So no task ever holds a whole shard. In a block that is far
+    larger than the others, keys that hold half of that bound or more (a few thousand at most, whatever the size of the table) are numbered
+    by themselves and by parts of the hash, between the other keys of their block. Rows that repeat with one key get slots of
     their own. A null key counts as empty text; an empty table gives an empty result;
     other columns of the input are not read.
     """
@@ -83,28 +97,30 @@ def shard_documents(
     counts = own.select(shard, block).groupBy("shard", "_block").agg(F.count("*").alias("_n")).collect()
     limit = max(HOT_ROWS, 8 * sum(r["_n"] for r in counts) // (shards * BLOCKS))
     hot = sorted({r["_block"] for r in counts if r["_n"] > limit})
-    part = F.when(F.col("_block").isin(hot), F.pmod(F.xxhash64("_text"), F.lit(PARTS)).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
-    sizes = [(r["shard"], r["_block"], 0, r["_n"]) for r in counts if r["_block"] not in hot]
+    told = own.withColumns({"_block": block_of(F.col("_key")), "_part": F.pmod(F.xxhash64("_text"), F.lit(PARTS)).cast("int")})
+    told = told.withColumn("_segment", _segment(own, told, hot, limit // 2)).withColumn("_split", F.when(F.col("_segment") % 2 == 1, F.col("_part")).otherwise(0))
+    sizes = [(r["shard"], r["_block"], 0, 0, r["_n"]) for r in counts if r["_block"] not in hot]
     if hot:
-        again = own.select(shard, block, "_text").where(F.col("_block").isin(hot)).withColumn("_part", part)
-        sizes += [tuple(r) for r in again.groupBy("shard", "_block", "_part").agg(F.count("*")).collect()]
+        again = told.where(F.col("_block").isin(hot)).groupBy(shard, "_block", "_segment", "_split").agg(F.count("*"))
+        sizes += [tuple(r) for r in again.collect()]
     bases, reached = [], {}
-    for at, b, p, n in sorted(sizes):
-        bases.append((at, b, p, reached.get(at, 0)))
+    for at, b, segment, split, n in sorted(sizes):
+        bases.append((at, b, segment, split, reached.get(at, 0)))
         reached[at] = reached.get(at, 0) + n
-    offsets = F.broadcast(docs.sparkSession.createDataFrame(bases, "shard int, _block int, _part int, _base long"))
-    rows = own.select(
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(bases, "shard int, _block int, _segment int, _split int, _base long"))
+    rows = told.select(
         "_key",
         (F.octet_length("_text") + overhead).cast("long").alias("size"),
         F.crc32(F.col("_text").cast("binary")).alias("text_crc32"),
         shard,
         jump_shard(F.col("_key"), shards + 1).alias("grown_shard"),
-        block,
-        *(["_text"] if hot else []),
-    ).withColumn("_part", part)
-    inner = "row_number() OVER (PARTITION BY shard, _block, _part ORDER BY _key, size, text_crc32) - 1 AS _inner"
-    rows = rows.drop("_text")
-    numbered = rows.selectExpr("*", inner).join(offsets, ["shard", "_block", "_part"], "left")
+        "_block",
+        "_segment",
+        "_split",
+        "_part",
+    )
+    inner = "row_number() OVER (PARTITION BY shard, _block, _segment, _split ORDER BY _key, _part, size, text_crc32) - 1 AS _inner"
+    numbered = rows.selectExpr("*", inner).join(offsets, ["shard", "_block", "_segment", "_split"], "left")
     return numbered.select(
         F.col("_key").alias(key),
         "size",

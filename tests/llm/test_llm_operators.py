@@ -26,7 +26,7 @@ from tessera.llm.pii import find_personal_data
 from tessera.llm.quality import classify_quality
 from tessera.llm.sharding import shard_documents
 from tessera.llm.toxicity import classify_toxicity
-from tessera.llm.url_filters import filter_urls, validity
+from tessera.llm.url_filters import filter_urls, host_of, validity
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -117,14 +117,47 @@ def test_sharding(spark, docs, clashing, none, rows):
 
 
 def test_sharding_of_a_key_that_repeats(spark, monkeypatch):
-    """A third of the rows have one key: its block is cut by text, and slots stay gapless and the same on every run."""
-    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    """A third of the rows have one key: slots are the same as without splitting its block, gapless and the same on every run."""
     rows = [(5, f"text {i % 70}") for i in range(150)] + [(i, "other") for i in range(300)] + [(None, None)] * 40
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    got = [sorted(map(tuple, shard_documents(df, 3).collect()), key=str) for _ in range(2)]
-    assert got[0] == got[1] and len(got[0]) == len(rows)
-    for shard in range(3):
-        assert sorted(r[5] for r in got[0] if r[4] == shard) == list(range(sum(r[4] == shard for r in got[0])))
+    whole = sorted(map(tuple, shard_documents(df, 3).collect()), key=str)
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    monkeypatch.setattr(sharding, "BLOCKS", 32)  # other keys share the hot one's block
+    few = [sorted(map(tuple, shard_documents(df, 3).collect()), key=str)]
+    for bound in (60, 100_000):
+        monkeypatch.setattr(sharding, "HOT_ROWS", bound)
+        few.append(sorted(map(tuple, shard_documents(df, 3).collect()), key=str))
+    assert few[0] == few[1] == few[2] and len(whole) == len(few[0]) == len(rows)
+    for got in (whole, few[0]):
+        for shard in range(3):
+            assert sorted(r[5] for r in got if r[4] == shard) == list(range(sum(r[4] == shard for r in got)))
+
+
+@pytest.mark.parametrize("most", [3, 7, 1 << 20])
+def test_common_shingles_are_the_most_common(spark, monkeypatch, most):
+    """However high the counts are, as many of the most common shingles are told as the bound allows, but for a slice of a hash."""
+    monkeypatch.setattr(ngram_join, "COMMON", most)
+    sets = [np.array([k for k in range(12) if n < 9000 - 600 * k], "<u8") for n in range(9000)]
+    rows = [(bytearray(n.to_bytes(4, "big")), bytearray(s.tobytes())) for n, s in enumerate(sets)]
+    told, rank = ngram_join._common_shingles(spark.createDataFrame(rows, "set binary, counted binary"), Scratch(spark, "test"))
+    assert sorted(told.tolist()) == list(range(min(most, 12))) and rank.tolist() == [min(most, 12) - 1 - int(t) for t in told]
+
+
+def test_hosts(spark):
+    cases = {
+        "http://[2001:db8::1]/x": "[2001:db8::1]",
+        "https://[2001:DB8::1]:8080/x": "[2001:db8::1]",
+        "http://user:p@ss@example.com/a": "example.com",
+        "http://example.com\\@evil.com/": "example.com",
+        "http://Example.COM.:80?q": "example.com",
+        "http://a@b#c": "b",
+        "http:///x": None,
+        "http://[broken/x": None,
+        "no url": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    assert {r.url: r.h for r in df.select("url", host_of(F.col("url")).alias("h")).collect()} == cases
 
 
 def test_bpe(docs, clashing, none, rows):
