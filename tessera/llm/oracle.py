@@ -15,7 +15,12 @@ SELECT doc_id,
 FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """
 
-_HOST = r"nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '')"
+_AUTHORITY = r"split_part(split_part(split_part(split_part(substr(url, strpos(url, '://') + 3), '/', 1), '\', 1), '?', 1), '#', 1)"
+_LAST = f"split_part({_AUTHORITY}, '@', -1)"
+_HOST = (
+    r"CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN nullif(rtrim(lower("
+    rf"CASE WHEN starts_with({_LAST}, '[') THEN CASE WHEN contains({_LAST}, ']') THEN split_part({_LAST}, ']', 1) || ']' ELSE '' END ELSE split_part({_LAST}, ':', 1) END), '.'), '') END"
+)
 OP5 = (
     r"""
 WITH h AS (SELECT DISTINCT {host} AS host FROM pages),
@@ -37,7 +42,7 @@ intervals AS (
   WHERE change = 'add' AND (b IS NULL OR b > a)),
 p AS (
   SELECT page_id, url, (DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INT))::DATE AS fetched_at, {host} AS host,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)', 1)) AS path
+         lower(replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/\\?#]*[/\\]([^?#]*)', 1), '\', '/')) AS path
   FROM pages),
 hit AS (
   SELECT p.url, p.fetched_at, i.*,

@@ -11,16 +11,25 @@ from tessera.llm.common import Scratch, unused
 BROADCAST_ROWS = 200_000
 
 
+#: Scheme, authority up to a slash (either way), question mark or number sign, and the rest of an absolute URL.
+AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/\\?#]*)"
+
+
 def host_of(url: Column) -> Column:
-    """The host of an absolute URL in lower case, without user, port or final dot; null if there is none."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """The host of an absolute URL in lower case, without final dots; null if there is none.
+
+    User and password end at the authority's last @; a port is digits after the last colon, outside the brackets of an address.
+    """
+    authority = F.regexp_extract(url, AUTHORITY, 1)
+    host = F.regexp_replace(authority, r"^.*@", "")
+    host = F.when(host.startswith("["), F.regexp_extract(host, r"^(\[[^\]]*\])", 1)).otherwise(F.regexp_replace(host, r":.*$", ""))
     host = F.regexp_replace(F.lower(host), r"\.+$", "")
     return F.when(host != "", host)
 
 
 def path_of(url: Column) -> Column:
-    """The path of an absolute URL, without query and fragment and without the first slash."""
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
+    """The path of an absolute URL, without query and fragment and without the first slash; a backslash counts as a slash."""
+    return F.translate(F.regexp_extract(url, AUTHORITY + r"[/\\]([^?#]*)", 2), "\\", "/")
 
 
 def validity(entries: DataFrame) -> DataFrame:
