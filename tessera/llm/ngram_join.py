@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, lean, slices, small_batches
@@ -316,10 +316,17 @@ def _scan(rows: DataFrame, carry: list[str]) -> DataFrame:
     return rows.mapInArrow(lean(run), ", ".join(told))
 
 
+def _slice_of(token: str) -> Column:
+    """One of 65,536 slices of a hash of a shingle."""
+    return F.pmod(F.xxhash64(token), F.lit(1 << 16))
+
+
 def _common_shingles(counted: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that two or more sets of the counted share hold, sorted, and their ranks by count.
 
-    They are at most COMMON, the most common ones; counts are combined before their shuffle.
+    They are the COMMON most common ones, whatever their counts are: levels of counts are taken from the highest on, and of the last
+    level, which would be too many, as many slices of a hash as fit. Counts are combined before their shuffle, and
+    what the driver sees of them is two histograms of fixed size.
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,13 +337,22 @@ def _common_shingles(counted: DataFrame, scratch: Scratch) -> tuple[np.ndarray,
     once = counted.groupBy("set").agg(F.first("counted").alias("counted")).select("counted")
     counts = once.mapInArrow(lean(tokens), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     counts = scratch.stage(counts, "counts")
-    histogram = sorted((r[0], r[1]) for r in counts.groupBy(F.least("n", F.lit(4096)).alias("c")).count().collect())
-    total, least = 0, 4097
+    few = 4096
+    level = F.when(F.col("n") < few, F.col("n")).otherwise(few + F.floor(F.log2(F.col("n") / few) * 256)).cast("int")
+    histogram = sorted((r[0], r[1]) for r in counts.groupBy(level.alias("c")).count().collect())
+    total, least, cut = 0, histogram[-1][0] + 1 if histogram else 0, 0
     for c, many in reversed(histogram):
         if total + many > COMMON:
+            slices_of = counts.where(level == c).groupBy(_slice_of("token").alias("s")).count().collect()
+            for s, held in sorted((r[0], r[1]) for r in slices_of):
+                if total + held > COMMON:
+                    break
+                total, cut = total + held, s + 1
             break
         total, least = total + many, c
-    found = counts.where(F.col("n") >= least).select("token", "n").collect() if total else []
+    below = max((c for c, _ in histogram if c < least), default=-1)
+    kept = (level >= least) | ((level == below) & (_slice_of("token") < cut))
+    found = counts.where(kept).select("token", "n").collect() if total else []
     told = np.array([r[0] for r in found], np.int64).astype(np.uint64)
     n = np.array([r[1] for r in found], np.int64)
     order = np.argsort(told)
