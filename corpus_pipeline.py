@@ -11,8 +11,10 @@ that the operators' docstrings state; no stage fails on them.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +36,11 @@ BROADCAST_ROWS = 200_000
 def marked(docs: DataFrame) -> tuple[DataFrame, str]:
     """The table with a column that tells its rows apart, the same in every scan, and that column's name.
 
-    Rows of files are told apart by file and place in it. Any other table is written
+    Rows of Parquet files are told apart by file and place in it. Any other table is written
     down with numbers first, as its rows have no order of their own.
     """
     name = unused("_row", docs)
-    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+    with contextlib.suppress(AnalysisException):  # not rows of files, or of files without places
         return docs.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index")), name
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
     return Scratch(docs.sparkSession, "pipeline-rows").stage(numbered, "rows"), name
