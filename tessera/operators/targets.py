@@ -96,7 +96,7 @@ TARGET = f"struct<task:string,image_size:struct<width:int,height:int>,seat_conta
 def checked_lines(rows: DataFrame, images: DataFrame, task: str, shape: str, points: int = 0) -> DataFrame:
     """file, lineno and the first error of every chat row, null for a good one.
 
-    rows has file, lineno, images and messages; images is an index with a path for each image that exists, of any
+    rows has file, lineno, images and messages, and may have is_bad for lines that were no JSON; images is an index with a path for each image that exists, of any
     size: it is joined by path. The answer is the last assistant message's first text.
     """
     index = images.select(F.col("path").alias("_path"), F.lit(True).alias("_exists")).distinct()
@@ -106,6 +106,7 @@ def checked_lines(rows: DataFrame, images: DataFrame, task: str, shape: str, poi
     target = F.when(F.col("_target._corrupt").isNull(), F.col("_target"))
     no_list = lambda c: F.col(c).isNull() | (F.size(c) == 0)
     error = V.first_error(
+        (F.col("is_bad") if "is_bad" in rows.columns else F.lit(False), "invalid JSON"),
         (no_list("images"), "images missing"),
         (no_list("messages"), "messages missing"),
         (F.col("_exists").isNull(), "image does not exist"),

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,9 +187,37 @@ def image_payload(spark: SparkSession, folder: str, longest: int = 1024) -> Data
     return rows.select("path", "media", "data", "s.width", "s.height", F.col("f.width").alias("fitted_width"), F.col("f.height").alias("fitted_height"), F.col("f.resized").alias("to_resize"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with their numbers: file, lineno from 1, value. Blank lines count and are left out.
+
+    A large file is read in splits, whose lines have no number of their own. A first pass that reads no text but counts lines
+    by file and split gives each split its offset in the file; a line's place in its split comes from the order
+    in which a task reads it, in either pass. The offsets are one row a split.
+    """
+    read = spark.read.text(path)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value")
+    splits = lines.groupBy("file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_before", F.sum("_n").over(Window.partitionBy("file").orderBy("_start")) - F.col("_n")).drop("_n")
+    numbered = lines.join(splits, ["file", "_start"]).withColumn("lineno", F.col("_at") - F.col("_first") + F.col("_before") + 1)
+    return numbered.where(F.trim(F.col("value")) != "").select("file", "lineno", "value")
+
+
 def chat_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Chat rows of JSON lines; blank lines are left out."""
-    return spark.read.schema(CHAT).json(path)
+    """Chat rows of JSON lines with file, lineno and is_bad; blank lines are left out.
+
+    A line that is no JSON object of this shape is a row with is_bad and nulls, to be told by its file and number (targets.checked_lines).
+    """
+    lines = numbered_lines(spark, path)
+    told = F.from_json("value", f"struct<{_fields(CHAT)},_corrupt:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.select("file", "lineno", "value", F.explode(F.array(told)).alias("row"))
+    bad = F.col("row").isNull() | F.col("row._corrupt").isNotNull() | ~F.ltrim("value").startswith("{")
+    names = [f.name for f in _ddl(CHAT).fields]
+    return rows.select("file", "lineno", bad.alias("is_bad"), *[F.when(~bad, F.col(f"row.{c}")).alias(c) for c in names])
+
+
+def _fields(ddl: str) -> str:
+    """Fields of a table as those of a struct."""
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in _ddl(ddl).fields)
 
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:

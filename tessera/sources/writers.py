@@ -1,20 +1,45 @@
-"""Sinks: chat lines, manifests, reports, polygon label texts, dataset descriptions, result documents."""
+"""Sinks: chat lines, manifests, reports, polygon label texts, dataset descriptions, result documents.
+
+What replaces a folder is written beside it first and takes its place when the whole job is done, so a job that fails
+leaves the old files as they were.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import Row, StructType
 
 from tessera.functions import geometry as G
 
 
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Lets write(folder) fill a folder beside `path`, then puts it in its place by two renames; a failed write leaves `path` as it was."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex[:12]
+    new, old, here = at(f"{path.rstrip('/')}.new-{mark}"), at(f"{path.rstrip('/')}.old-{mark}"), at(path)
+    try:
+        write(new.toString())
+        if system.exists(here) and not system.rename(here, old):
+            raise OSError(f"{path} can't be moved")
+        if not system.rename(new, here):
+            system.rename(old, here)
+            raise OSError(f"{path} can't be put in place")
+        system.delete(old, True)
+    finally:
+        system.delete(new, True)
+
+
 def write_chat(rows: DataFrame, path: str) -> None:
     """JSON lines by split, nulls kept; what was there is replaced."""
-    rows.write.mode("overwrite").partitionBy("split").option("ignoreNullFields", "false").json(path)
+    replace_folder(rows.sparkSession, path, rows.write.partitionBy("split").option("ignoreNullFields", "false").json)
 
 
 def packed_box(box: Column) -> Column:
@@ -23,7 +48,7 @@ def packed_box(box: Column) -> Column:
 
 def write_manifest(rows: DataFrame, path: str) -> None:
     """CSV with a header; values that need quotes have them, and quotes in them are doubled."""
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    replace_folder(rows.sparkSession, path, rows.write.option("header", True).option("escape", '"').csv)
 
 
 def report(rows: DataFrame, reason: str = "reason", **settings: str | int | float) -> DataFrame:
@@ -33,7 +58,7 @@ def report(rows: DataFrame, reason: str = "reason", **settings: str | int | floa
 
 
 def write_report(rows: DataFrame, path: str, reason: str = "reason", **settings: str | int | float) -> None:
-    report(rows, reason, **settings).write.mode("overwrite").text(path)
+    replace_folder(rows.sparkSession, path, report(rows, reason, **settings).write.text)
 
 
 def label_line(points: Column, width: Column, height: Column, label: int = 0) -> Column:
@@ -50,28 +75,94 @@ def label_texts(polygons: DataFrame, samples: DataFrame) -> DataFrame:
     return samples.select("sample_id").distinct().join(texts, "sample_id", "left").select("sample_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def write_label_texts(texts: DataFrame, path: str, overwrite: bool = True) -> int:
-    """A file `<sample_id>.txt` for every sample in one folder, written by the tasks themselves; the number of files.
+@dataclass
+class Written(WriterCommitMessage):
+    """The files that a task has finished."""
+
+    names: list[str]
+
 
-    path is a folder that all executors reach, by any scheme that Arrow's file systems know. A task
-    that runs twice writes the same files again.
+class LabelTextWriter(DataSourceWriter):
+    """Writes a file a row, named by its first column, into a folder that takes the target's place when all tasks are done.
+
+    A task writes each file under a name of its own attempt and then gives it its name, so a task that runs twice or is lost
+    leaves no part of a file. Attempts' leftovers and the folder go at commit or abort.
     """
-    if overwrite:
-        system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        system.create_dir(folder, recursive=True)
-        system.delete_dir_contents(folder)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        system.create_dir(folder, recursive=True)
-        for batch in batches:
-            for sample, text in zip(*(c.to_pylist() for c in batch.columns)):
-                with system.open_output_stream(f"{folder}/{sample}.txt") as out:
-                    out.write(text.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite, self.mark = path.rstrip("/"), overwrite, uuid.uuid4().hex[:12]
+
+    def prepared(self) -> LabelTextWriter:
+        """Makes the folder before any task runs: one that still writes when the job has been given up finds none, and so leaves nothing."""
+        system, _, staged = self._opened()
+        system.create_dir(f"{staged}/_drafts", recursive=True)
+        return self
+
+    def _opened(self) -> tuple[fs.FileSystem, str, str]:
+        system, folder = fs.FileSystem.from_uri(self.path)
+        return system, folder, f"{folder}.new-{self.mark}"
+
+    def write(self, rows: Iterator[Row]) -> Written:
+        system, _, staged = self._opened()
+        drafts, names = f"{staged}/_drafts", []
+        for sample, text in rows:
+            if not sample or sample in (".", "..") or any(c in sample for c in "/\\\0"):
+                raise ValueError(f"{sample!r} is no name of a file")
+            draft = f"{drafts}/{uuid.uuid4().hex}"
+            with system.open_output_stream(draft) as out:
+                out.write(text.encode())
+            system.move(draft, f"{staged}/{sample}.txt")
+            names.append(f"{sample}.txt")
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, folder, staged = self._opened()
+        system.delete_dir(f"{staged}/_drafts")
+        there = system.get_file_info(folder).type == fs.FileType.Directory
+        if self.overwrite or not there:
+            if there:
+                system.move(folder, f"{folder}.old-{self.mark}")
+            system.move(staged, folder)
+            if there:
+                system.delete_dir(f"{folder}.old-{self.mark}")
+            return
+        for message in messages:
+            for name in message.names if message else ():
+                system.move(f"{staged}/{name}", f"{folder}/{name}")
+        system.delete_dir(staged)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, _, staged = self._opened()
+        if system.get_file_info(staged).type == fs.FileType.Directory:
+            system.delete_dir(staged)
+
+
+class LabelTexts(DataSource):
+    """The sink of write_label_texts(): option path, a folder as a URI."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "label_texts"
+
+    def writer(self, schema: StructType, overwrite: bool) -> LabelTextWriter:
+        return LabelTextWriter(self.options["path"], overwrite).prepared()
+
+
+def write_label_texts(texts: DataFrame, path: str, overwrite: bool = True) -> int:
+    """A file `<sample_id>.txt` for every sample in one folder, written by the tasks themselves; the number of files written.
+
+    The folder's old files stay until all tasks are done, and for good if one fails. Without overwrite, files are added, and
+    one of the same name is replaced. path is a folder that all executors reach, by a scheme that Arrow's file systems know; without a
+    scheme it belongs to the session's default file system. A sample_id that is empty or would leave the folder is an error.
+    """
+    spark = texts.sparkSession
+    spark.dataSource.register(LabelTexts)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
     rows = texts.select(F.col("sample_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("n")).write.format("label_texts").mode("overwrite" if overwrite else "append").option("path", whole).save()
+    return seen.get["n"]
 
 
 def dataset_description(root: str, names: list[str]) -> str:
@@ -88,7 +179,7 @@ def exit_code(rows: DataFrame, status: str = "status") -> int:
 
 def write_results(rows: DataFrame, path: str) -> None:
     """Result documents, one per line, nulls kept."""
-    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    replace_folder(rows.sparkSession, path, rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.text)
 
 
 def write_if_absent(rows: DataFrame, path: str) -> None:
