@@ -179,3 +179,22 @@ def lenient_number(text: Column) -> Column:
     plain = F.when(told.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"), told).when(bare.rlike(r"^[+-]?(?:[0-9]+(?:_[0-9]+)*\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), F.replace(bare, F.lit("_"), F.lit("")))
     value = plain.try_cast("double")
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def value_kind(value: Column) -> Column:
+    """What a variant holds: boolean, number, text, array, object or null; null for no variant at all.
+
+    A truth value is no number, and neither is a text of digits.
+    """
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    names = {"BOOLEAN": "boolean", "STRING": "text", "ARRAY": "array", "OBJECT": "object", "VOID": "null"}
+    told = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "number")
+    for own, name in names.items():
+        told = told.when(kind == own, name)
+    return told
+
+
+def finite_number(value: Column) -> Column:
+    """The number that a variant holds, null for anything else and for what is not finite."""
+    number = F.when(value_kind(value) == "number", F.try_variant_get(value, "$", "double"))
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)

@@ -146,11 +146,12 @@ SELECT count(*) AS num_samples, round(avg(j::INT),4) AS valid_json_rate, round(a
 
 
 def reject_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators.validate import polygon_rejections
+    """Why a predicted polygon is rejected: reasons of its shape, and the outcome, for which an answer that is no JSON or breaks the schema comes first."""
+    from tessera.operators.validate import polygon_rejections, prediction_rejections
 
-    rows = polygons(spark, sf_dir).select("vec_id", polygon_rejections(F.col("gt"), FRAME, FRAME).alias("r"))
-    first = F.when(F.col("vec_id") % 13 == 0, F.lit("invalid_json")).when(F.col("vec_id") % 7 == 0, F.lit("schema_invalid"))
-    return rows.select("vec_id", F.concat_ws("|", "r").alias("reasons"), F.coalesce(first, F.try_element_at("r", F.lit(1)), F.lit("accepted")).alias("outcome"))
+    told = F.struct(polygon_rejections(F.col("gt"), FRAME, FRAME).alias("shape"), prediction_rejections(F.col("vec_id") % 13 != 0, F.col("vec_id") % 7 != 0, F.col("gt"), FRAME, FRAME).alias("all"))
+    rows = polygons(spark, sf_dir).select("vec_id", told.alias("r"))
+    return rows.select("vec_id", F.concat_ws("|", "r.shape").alias("reasons"), F.coalesce(F.get("r.all", F.lit(0)), F.lit("accepted")).alias("outcome"))
 
 
 REJECT = f"""WITH {GT}, {EDGES}, {AREA}, {sql_bbox("b", "v")},

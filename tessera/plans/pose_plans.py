@@ -125,10 +125,12 @@ SELECT vec_id, source, CASE source WHEN 'model' THEN 'ok' WHEN 'parts' THEN 'low
 
 
 def hip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five heaviest contact points of each seat, by rounded weight and then in scan order, as its SQL; seat_candidates has all."""
-    rows = P.contact_candidates(geometries(spark, sf_dir).select("vec_id", "seat", "back"), FRAME, FRAME)
+    """A report of the five heaviest contact points of each seat, by rounded weight and then in scan order, with a row for a seat that has none; seat_candidates has all."""
+    seats = geometries(spark, sf_dir).select("vec_id", "seat", "back")
+    rows = P.contact_candidates(seats, FRAME, FRAME)
     order = Window.partitionBy("vec_id").orderBy(F.col("weight").desc(), "y", "x")
-    return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("vec_id", "rank", "x", "y", "weight", "depth_t")
+    best = rows.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("vec_id", "rank", "x", "y", "weight", "depth_t")
+    return seats.select("vec_id").join(best, "vec_id", "left")
 
 
 def seat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,18 +291,33 @@ def document_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _part_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and parts of every part document, and whether it is complete; one that is not has the canonical regions, which nothing is told of."""
+    whole = (F.size("doc.seat_region") == 4) & F.col("doc.image_width").isNotNull()
+    rows = part_documents(spark, sf_dir).withColumn("complete", F.coalesce(whole, F.lit(False)))
+    regions = zip(("seat", "floor", "back"), ("seat_region", "floor_line", "backrest_region"), P.canonical(FRAME, FRAME))
+    return rows.select("vec_id", "complete", *[F.when(F.col("complete"), F.col(f"doc.{own}")).otherwise(instead).alias(name) for name, own, instead in regions], F.col("doc.parts").alias("parts"))
+
+
+def _if_complete(value, instead=None):
+    return F.when(F.col("complete"), value).otherwise(F.lit(instead))
+
+
 def parts_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part documents that are complete, cleaned up: whether they are valid then, their values, and what was done."""
-    rows = part_documents(spark, sf_dir).where("size(doc.seat_region) = 4 AND doc.image_width IS NOT NULL")
-    rows = rows.select("vec_id", F.col("doc.seat_region").alias("seat"), F.col("doc.floor_line").alias("floor"), F.col("doc.backrest_region").alias("back"), F.col("doc.parts").alias("parts"))
-    rows = D.sanitize_parts(rows, FRAME, FRAME)
-    return rows.select("vec_id", "ok", r4(F.col("parts.seat_confidence")).alias("seat_confidence"), F.size("parts.armrests").alias("n_arms"), F.size("parts.legs").alias("n_legs"), F.concat_ws("; ", F.array_distinct("notes")).alias("notes"))
+    """Part documents cleaned up: whether they are valid then, their values, and what was done; an incomplete one is not valid and has no values."""
+    rows = D.sanitize_parts(_part_regions(spark, sf_dir), FRAME, FRAME)
+    told = F.concat_ws("; ", F.array_distinct("notes"))
+    values = {"seat_confidence": r4(F.col("parts.seat_confidence")), "n_arms": F.size("parts.armrests"), "n_legs": F.size("parts.legs")}
+    return rows.select("vec_id", _if_complete(F.col("ok"), False).alias("ok"), *[_if_complete(v).alias(k) for k, v in values.items()], _if_complete(told, INCOMPLETE).alias("notes"))
+
+
+#: The note of a document without a frame or with too few corners of its seat.
+INCOMPLETE = "geometry document is incomplete"
 
 
 def _part_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = part_documents(spark, sf_dir).where("size(doc.seat_region) = 4 AND doc.image_width IS NOT NULL")
-    rows = rows.select("vec_id", F.col("doc.seat_region").alias("seat"), F.col("doc.floor_line").alias("floor"), F.col("doc.backrest_region").alias("back"), F.col("doc.parts").alias("parts"))
-    return D.geometry_from_parts(rows, FRAME, FRAME, 0.35)
+    rows = D.geometry_from_parts(_part_regions(spark, sf_dir), FRAME, FRAME, 0.35)
+    return rows.withColumns({"ok": _if_complete(F.col("ok"), False), "notes": F.when(F.col("complete"), F.col("notes")).otherwise(F.array(F.lit(INCOMPLETE)))})
 
 
 def part_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,12 +372,29 @@ SELECT e.vec_id, coalesce((SELECT string_agg(t,'; ' ORDER BY o) FROM m WHERE m.v
  concat_ws('; ', CASE WHEN vec_id%6>4 THEN 'score must be an integer in [0, 4]' END, CASE WHEN (vec_id%3>0)::INT+(vec_id%4>0)::INT+(vec_id%5>0)::INT+(vec_id%6>0)::INT<>vec_id%6 THEN 'score mismatch' END,
   CASE WHEN vec_id%6=4 AND vec_id%4=0 THEN 'failures must be empty when score is 4' END) AS checker_errors FROM embeddings e"""
 
+
+
+def project_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as base poses with a fallback each: scores and checks from sizes and priorities, some without a check or a second opinion."""
+    n = lambda k, m: ((F.col("o_orderkey") * k) % m).cast("int")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", n(7, 5).alias("local"), n(11, 5).alias("fallback"), n(13, 5).alias("checker"), F.when(n(17, 3) > 0, n(19, 5)).alias("again"), F.when(n(23, 4) > 0, n(29, 2)).alias("hip"), F.when(n(31, 5) > 0, n(37, 2)).alias("ankles"))
+    checks = {"hip_on_seat": F.col("hip"), "ankles_below_seat_near_floor": F.col("ankles")}
+    told = P.project_fallback(F.col("local"), checks, F.col("fallback"), F.col("checker"), F.lit(3), F.col("again"))
+    return fixed(rows, "t", told).select("o_orderkey", "t.must_project", "t.accepted", "t.checker", "t.local", "t.effective")
+
+
+PROJECT_FALLBACK = """WITH r AS (SELECT o_orderkey, (o_orderkey*7%5)::INTEGER AS l, (o_orderkey*11%5)::INTEGER AS f, (o_orderkey*13%5)::INTEGER AS c, CASE WHEN o_orderkey*17%3>0 THEN (o_orderkey*19%5)::INTEGER END AS g,
+  CASE WHEN o_orderkey*23%4>0 THEN o_orderkey*29%2 END AS h, CASE WHEN o_orderkey*31%5>0 THEN o_orderkey*37%2 END AS a FROM orders),
+m AS (SELECT *, l<3 OR coalesce(h,1)=0 OR coalesce(a,1)=0 AS must, coalesce(g,c) AS gc FROM r), t AS (SELECT *, must AND f>l AND least(gc,f)>=least(c,l) AS ok FROM m)
+SELECT o_orderkey, must AS must_project, ok AS accepted, CASE WHEN ok THEN gc ELSE c END AS checker, CASE WHEN ok THEN f ELSE l END AS local, CASE WHEN ok THEN least(gc,f) ELSE least(c,l) END AS effective FROM t"""
+
 QUERIES = {
     "geometry_validate": (geometry_validate, GEOMETRY_VALIDATE),
     "prior_issues": (prior_issues, PRIOR_ISSUES),
     "local_check_score": (local_check_score, LOCAL_CHECK),
     "fallback_cascade": (fallback_cascade, FALLBACK),
-    "hip_candidates": (hip_candidates, HIP),
+    "hip_candidates": (hip_candidates, f"SELECT e.vec_id, h.rank, h.x, h.y, h.weight, h.depth_t FROM embeddings e LEFT JOIN ({HIP}) h ON h.vec_id=e.vec_id"),
+    "project_fallback": (project_fallback, PROJECT_FALLBACK),
     "seat_candidates": (seat_candidates, SEAT_CANDIDATES),
     "denormalise_grid": (denormalise_grid, DENORMALISE),
     "sanitize_repair": (sanitize_repair, None),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import jsonx
 from tessera.functions import text as X
+from tessera.functions.arrays import fixed
 from tessera.operators import chat as C
 from tessera.operators import targets as TG
 from tessera.operators import validate as V
@@ -270,6 +271,41 @@ PATH_PARTS = r"""WITH p AS (SELECT page_id, regexp_replace(url,'[?#].*$','') AS
 SELECT page_id, regexp_replace(name,'(.)\.[^.]*$','\1') AS stem, lower(regexp_extract(path,'[^/]+(\.[^./]*)/*$',1)) AS suffix, 'image/jpeg' AS media,
  try_cast(regexp_extract(path,'([0-9]+)[^0-9]*$',1) AS INTEGER) AS version, (1+(page_id>0)::INT)::INTEGER AS n_steps FROM n"""
 
+def value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as values whose type is not known beforehand, in JSON: what each is, and the number it holds, if any."""
+    k = F.col("event_id") % 9
+    digits = F.col("value").cast("string")
+    raw = F.when(k == 0, digits).when(k == 1, "true").when(k == 2, F.concat(F.lit('"'), digits, F.lit('"'))).when(k == 3, "null").when(k == 4, F.concat(F.lit("["), digits, F.lit("]"))).when(k == 5, F.col("props")).when(k == 6, F.col("user_id").cast("string")).when(k == 7, F.concat(F.lit("-"), F.col("user_id").cast("string"), F.lit("e3"))).otherwise("{no json")
+    rows = fixed(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "v", F.try_parse_json("raw"))
+    inner = F.try_variant_get("v", "$.k", "variant")
+    return rows.select("event_id", jsonx.value_kind(F.col("v")).alias("kind"), jsonx.finite_number(F.col("v")).alias("number"), jsonx.finite_number(inner).alias("k"))
+
+
+VALUE_KINDS = """WITH r AS (SELECT event_id, props, CASE event_id%9 WHEN 0 THEN value::VARCHAR WHEN 1 THEN 'true' WHEN 2 THEN '"'||value||'"' WHEN 3 THEN 'null' WHEN 4 THEN '['||value||']' WHEN 5 THEN props WHEN 6 THEN user_id::VARCHAR WHEN 7 THEN '-'||user_id||'e3' ELSE '{no json' END AS raw FROM events),
+t AS (SELECT event_id, raw, CASE WHEN json_valid(raw) THEN json_type(raw) END AS k FROM r)
+SELECT event_id, CASE WHEN k IN ('DOUBLE','BIGINT','UBIGINT') THEN 'number' WHEN k='BOOLEAN' THEN 'boolean' WHEN k='VARCHAR' THEN 'text' WHEN k='NULL' THEN 'null' WHEN k='ARRAY' THEN 'array' WHEN k='OBJECT' THEN 'object' END AS kind,
+ CASE WHEN k IN ('DOUBLE','BIGINT','UBIGINT') THEN raw::DOUBLE END AS number, CASE WHEN k='OBJECT' THEN (raw::JSON->>'$.k')::DOUBLE END AS k FROM t"""
+
+
+def lora_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' types and brands as comma-separated lists with blanks between, before and after, some of them blank throughout."""
+    text = F.when(F.col("p_partkey") % 7 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit(" "), F.regexp_replace("p_type", " ", " , "), F.lit(",, "), "p_brand", F.lit(" ,")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", X.lora_targets(text)).alias("targets"))
+
+
+LORA_TARGETS = "SELECT p_partkey, CASE WHEN p_partkey%7=0 THEN 'all-linear' ELSE replace(trim(p_type),' ','|')||'|'||trim(p_brand) END AS targets FROM part"
+
+
+def serialised_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of every type as JSON can hold them: numbers, truth values and texts as they are, nested values as JSON, all else as text."""
+    nested = F.struct("user_id", F.array("event_type").alias("types"), F.when(F.col("event_id") % 2 == 0, F.lit(1)).alias("even"))
+    rows = table(spark, sf_dir, "events").select("event_id", "value", (F.col("user_id") > 9).alias("flag"), "event_type", F.to_date("ts").alias("day"), F.col("user_id").cast("decimal(9,2)").alias("amount"), nested.alias("nested"))
+    return rows.select("event_id", *[X.serialised(rows, c).alias(c) for c in rows.columns if c != "event_id"])
+
+
+SERIALISED = """SELECT event_id, value, user_id>9 AS flag, event_type, ts::DATE::VARCHAR AS day, user_id::DECIMAL(9,2)::VARCHAR AS amount,
+ '{"user_id":'||user_id||',"types":["'||event_type||'"],"even":'||CASE WHEN event_id%2=0 THEN '1' ELSE 'null' END||'}' AS nested FROM events"""
+
 QUERIES = {
     "chat_rows": (chat_rows, CHAT_ROWS),
     "prompt_completion": (prompt_completion, PROMPT_COMPLETION),
@@ -277,6 +313,9 @@ QUERIES = {
     "json_props": (json_props, JSON_PROPS),
     "json_recover": (json_recover, JSON_RECOVER),
     "stage_retry": (stage_retry, STAGE_RETRY),
+    "value_kinds": (value_kinds, VALUE_KINDS),
+    "lora_target_lists": (lora_target_lists, LORA_TARGETS),
+    "serialised_columns": (serialised_columns, SERIALISED),
     "file_validation_report": (file_validation_report, FILE_REPORT),
     "chat_file_report": (chat_file_report, CHAT_FILE_REPORT),
     "latest_version": (latest_version, LATEST_VERSION),
