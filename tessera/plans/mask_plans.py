@@ -312,6 +312,59 @@ f AS (SELECT vec_id, low, kept, row_number() OVER (PARTITION BY vec_id ORDER BY
 SELECT e.vec_id, coalesce(t.n,0)::INTEGER AS n_set, coalesce(f.low,-1.0)::DOUBLE AS low, coalesce(f.kept,t.n,0)::INTEGER AS n_kept FROM embeddings e LEFT JOIN t USING (vec_id) LEFT JOIN f ON f.vec_id=e.vec_id AND f.o=1"""
 
 
+BANDS = ("own", "prior", "sides", "rows", "filled")
+
+
+def mask_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks cut by the widths of their rows: the largest part, the seat's prior of a chair painted from end to end of its rows, margins off the sides,
+    the run of rows around the widest with a row beside it, and the prior filled from the mask; pixels and the sum of their numbers, for each that has any."""
+
+    def measure(a: np.ndarray, b: np.ndarray) -> dict:
+        mask = R.fill(a / CELL, SIDE, SIDE)
+        either = mask | R.fill(b / CELL, SIDE, SIDE)
+        first, widths = either.argmax(axis=1), R.row_widths(either)
+        prior = R.seat_prior(R.painted(first, first + widths - 1, SIDE))
+        made = (R.largest_component(mask), prior, R.trim_sides(mask, 0.1, 1), R.trim_rows(mask, 0.68, 1), R.backfill(mask, prior, 0.2, 0.2, 0.1))
+        return {op: (int(m.sum()), int(np.flatnonzero(m).sum())) for op, m in zip(BANDS, made)}
+
+    told = "struct<n:int,digest:long>"
+    rows = fixed(polygons(spark, sf_dir).select("vec_id", "gt", "pred"), "m", R.measured([F.col("gt"), F.col("pred")], measure, f"struct<{','.join(f'{op}:{told}' for op in BANDS)}>"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(op).alias("op"), F.col(f"m.{op}.n").alias("n"), F.col(f"m.{op}.digest").alias("digest")) for op in BANDS])).alias("k")
+    return rows.select("vec_id", kinds).select("vec_id", "k.*").where("n > 0")
+
+
+def _sql_largest(name: str, pixels: str, groups: str = "vec_id, op") -> str:
+    """The largest eight-neighbour component of each group's pixels, the first on a tie."""
+    keys = groups.split(", ")
+    same = " AND ".join(f"q.{k}={name}_l.{k}" for k in keys)
+    return f"""{name}_l AS (SELECT {groups}, y, x, y*{SIDE}+x AS r FROM {pixels} UNION SELECT {", ".join(f"q.{k}" for k in keys)}, q.y, q.x, {name}_l.r FROM {name}_l JOIN {pixels} q ON {same} AND abs(q.y-{name}_l.y)<=1 AND abs(q.x-{name}_l.x)<=1),
+{name}_m AS (SELECT {groups}, y, x, min(r) AS r FROM {name}_l GROUP BY ALL), {name}_s AS (SELECT {groups}, r, row_number() OVER (PARTITION BY {groups} ORDER BY count(*) DESC, r) AS k FROM {name}_m GROUP BY {groups}, r),
+{name} AS (SELECT {groups}, y, x FROM {name}_m JOIN {name}_s USING ({groups}, r) WHERE k=1)"""
+
+
+MASK_BANDS = f"""WITH RECURSIVE {BOTH}, s AS (SELECT vec_id, y, min(x) AS l, max(x) AS r, max(x)-min(x)+1 AS w FROM a GROUP BY vec_id, y),
+c AS (SELECT vec_id, y, min(x) AS l, max(x) AS r, max(x)-min(x)+1 AS w FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id, y),
+h AS (SELECT vec_id, min(y) AS y0, max(y) AS y1, max(y)-min(y)+1 AS h FROM c GROUP BY vec_id HAVING sum(w)>=20),
+pb AS (SELECT vec_id, y0+round_even(0.34*h,0) AS lo, least(y1, y0+round_even(0.70*h,0)) AS hi FROM h),
+pr AS (SELECT vec_id, y, least(l+round_even(0.12*w,0),{SIDE - 1})::INTEGER AS l, greatest(r-round_even(0.12*w,0), least(l+round_even(0.12*w,0),{SIDE - 1}))::INTEGER AS r FROM c JOIN pb USING (vec_id) WHERE hi>lo AND y BETWEEN lo AND hi),
+st AS (SELECT *, greatest(1,round_even(0.1*w,0))::INTEGER AS t0 FROM s), su AS (SELECT *, CASE WHEN t0*2>=w-2 THEN greatest(0,floor((w-3)/2.0))::INTEGER ELSE t0 END AS t FROM st),
+sd AS (SELECT vec_id, y, CASE WHEN r-t<=l+t THEN l ELSE l+t END AS l, CASE WHEN r-t<=l+t THEN r ELSE r-t END AS r FROM su),
+f AS (SELECT e.vec_id, g.g AS y, coalesce(s.w,0) AS w FROM (SELECT DISTINCT vec_id FROM a) e CROSS JOIN range({SIDE}) g(g) LEFT JOIN s ON s.vec_id=e.vec_id AND s.y=g.g),
+pk AS (SELECT vec_id, max(w) AS w, arg_max(y, (w, -y)) AS peak FROM f GROUP BY vec_id),
+nr AS (SELECT f.vec_id, any_value(pk.w) AS w, coalesce(max(f.y) FILTER (f.y<peak AND f.w<greatest(1,round_even(0.68*pk.w,0)))+1, 0)-1 AS lo, coalesce(min(f.y) FILTER (f.y>peak AND f.w<greatest(1,round_even(0.68*pk.w,0)))-1, {SIDE - 1})+1 AS hi FROM f JOIN pk USING (vec_id) GROUP BY f.vec_id),
+p AS (SELECT vec_id, 'own' AS op, y, x FROM a UNION ALL SELECT vec_id, 'prior', y, g FROM pr, range({SIDE}) t(g) WHERE g BETWEEN l AND r UNION ALL SELECT vec_id, 'sides', y, g FROM sd, range({SIDE}) t(g) WHERE g BETWEEN l AND r
+ UNION ALL SELECT a.vec_id, 'rows', y, x FROM a JOIN nr USING (vec_id) WHERE w>1 AND y BETWEEN lo AND hi),
+{_sql_largest("o", "p")},
+bx AS (SELECT vec_id, op, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM o WHERE op IN ('own','prior') GROUP BY ALL),
+br AS (SELECT m.vec_id, greatest(m.x0-greatest(2,round_even(0.2*(q.x1-q.x0+1),0)),q.x0) AS x0, least(m.x1+greatest(2,round_even(0.2*(q.x1-q.x0+1),0)),q.x1) AS x1,
+  greatest(m.y0-greatest(2,round_even(0.2*(q.y1-q.y0+1),0)),q.y0) AS y0, least(m.y1+greatest(1,round_even(0.1*(q.y1-q.y0+1),0)),q.y1) AS y1 FROM bx m JOIN bx q ON q.vec_id=m.vec_id AND q.op='prior' WHERE m.op='own'),
+re AS (SELECT o.vec_id, o.y, o.x FROM o JOIN br USING (vec_id) WHERE op='prior' AND br.x1>br.x0 AND br.y1>br.y0 AND x BETWEEN br.x0 AND br.x1 AND y BETWEEN br.y0 AND br.y1),
+fl AS (SELECT re.vec_id, re.y, re.x, 0 AS n FROM re JOIN o USING (vec_id, y, x) WHERE op='own' UNION SELECT re.vec_id, re.y, re.x, n+1 FROM fl JOIN re ON re.vec_id=fl.vec_id AND abs(re.y-fl.y)<=1 AND abs(re.x-fl.x)<=1 WHERE n<40),
+fp AS (SELECT DISTINCT vec_id, y, x FROM fl), {_sql_largest("k", "fp", "vec_id")},
+z AS (SELECT * FROM o UNION ALL SELECT vec_id, 'rows', y, x FROM a JOIN nr USING (vec_id) WHERE w<=1 UNION ALL SELECT vec_id, 'filled', y, x FROM k UNION ALL SELECT vec_id, 'filled', y, x FROM o WHERE op='own' AND vec_id NOT IN (SELECT vec_id FROM fp))
+SELECT vec_id, op, count(*)::INTEGER AS n, sum(y*{SIDE}+x)::BIGINT AS digest FROM z GROUP BY vec_id, op"""
+
+
 QUERIES = {
     "mask_iou": (mask_iou, MASK_IOU),
     "mask_set_ops": (mask_set_ops, MASK_SET_OPS),
@@ -325,6 +378,7 @@ QUERIES = {
     "mask_hip_zone": (mask_hip_zone, None),
     "mask_seat_geometry": (mask_seat_geometry, None),
     "mask_outline": (mask_outline, MASK_OUTLINE),
+    "mask_bands": (mask_bands, MASK_BANDS),
     "mask_wide": (mask_wide, MASK_WIDE),
     "mask_fusion": (mask_fusion, MASK_FUSION),
 }
