@@ -365,6 +365,70 @@ z AS (SELECT * FROM o UNION ALL SELECT vec_id, 'rows', y, x FROM a JOIN nr USING
 SELECT vec_id, op, count(*)::INTEGER AS n, sum(y*{SIDE}+x)::BIGINT AS digest FROM z GROUP BY vec_id, op"""
 
 
+def mask_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hip zone of every mask, by distance to its edge and depth, with the weights of the points sampled from it; and its deep and front styles."""
+
+    def measure(a: np.ndarray, b: np.ndarray) -> dict:
+        mask = R.fill(a / CELL, SIDE, SIDE)
+        either = mask | R.fill(b / CELL, SIDE, SIDE)
+        first, widths = either.argmax(axis=1), R.row_widths(either)
+        zone = R.hip_zone(mask)
+        told = R.zone_candidates(zone, *R.depth_axis(mask), 3) if zone.any() else []
+        deep = R.deep_style(mask, R.painted(first, first + widths - 1, SIDE), 0.42)
+        out = {"n_points": len(told), "weight": sum(p["weight"] for p in told)}
+        for name, m in (("zone", zone), ("deep", deep), ("front", R.front_style(deep, 0.5))):
+            out |= {f"n_{name}": int(m.sum()), f"{name}_sum": int(np.flatnonzero(m).sum())}
+        return out
+
+    schema = "struct<n_points:int,weight:double,n_zone:int,zone_sum:long,n_deep:int,deep_sum:long,n_front:int,front_sum:long>"
+    rows = fixed(polygons(spark, sf_dir).select("vec_id", "gt", "pred"), "m", R.measured([F.col("gt"), F.col("pred")], measure, schema))
+    return rows.select("vec_id", "m.*").withColumn("weight", F.round("weight", 2))
+
+
+def _sql_mended(name: str, src: str) -> str:
+    """A mask closed by a square of five, and its largest part."""
+    near = "abs(q.y-p.y)<=2 AND abs(q.x-p.x)<=2"
+    cells = f"(SELECT gy.g AS y, gx.g AS x FROM range({SIDE}) gy(g), range({SIDE}) gx(g))"
+    return f"""{name}_d AS (SELECT DISTINCT q0.vec_id, p.y, p.x FROM {src} q0 JOIN {cells} p ON abs(q0.y-p.y)<=2 AND abs(q0.x-p.x)<=2),
+{name}_c AS (SELECT k.vec_id, k.y, k.x FROM (SELECT p.vec_id, p.y, p.x, count(*) AS n FROM {name}_d p JOIN {name}_d q ON q.vec_id=p.vec_id AND {near} GROUP BY ALL) k
+  WHERE n=(least({SIDE - 1},k.y+2)-greatest(0,k.y-2)+1)*(least({SIDE - 1},k.x+2)-greatest(0,k.x-2)+1)), {_sql_largest(name, name + "_c", "vec_id")}"""
+
+
+MASK_ZONES = f"""WITH RECURSIVE {BOTH},
+c AS (SELECT vec_id, y, min(x) AS l, max(x) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id, y),
+rw AS (SELECT vec_id, y, count(*) AS n, sum(x) AS sx FROM a GROUP BY vec_id, y),
+u AS (SELECT vec_id, min(y) AS y0, max(y) AS y1, sum(n) AS n, greatest(4.0,max(y)-min(y))::DOUBLE AS tall FROM rw GROUP BY vec_id),
+sh AS (SELECT vec_id, any_value(y0) AS y0, any_value(y1) AS y1, any_value(tall) AS tall, CASE WHEN coalesce(sum(rw.n) FILTER (y<=y0+0.18::DOUBLE*tall),0)>=20 THEN 0.18::DOUBLE ELSE 0.25::DOUBLE END AS sb,
+  CASE WHEN coalesce(sum(rw.n) FILTER (y>=y0+(1-0.18::DOUBLE)*tall),0)>=20 THEN 0.18::DOUBLE ELSE 0.25::DOUBLE END AS sf FROM rw JOIN u USING (vec_id) GROUP BY vec_id),
+en AS (SELECT vec_id, sum(sx) FILTER (y<=y0+sb*tall)/sum(n) FILTER (y<=y0+sb*tall)::DOUBLE AS bx, sum(n*y) FILTER (y<=y0+sb*tall)/sum(n) FILTER (y<=y0+sb*tall)::DOUBLE AS b_y,
+  coalesce(sum(sx) FILTER (y>=y0+(1-sf)*tall)/sum(n) FILTER (y>=y0+(1-sf)*tall)::DOUBLE, sum(sx) FILTER (y=y1)/sum(n) FILTER (y=y1)::DOUBLE) AS fx,
+  coalesce(sum(n*y) FILTER (y>=y0+(1-sf)*tall)/sum(n) FILTER (y>=y0+(1-sf)*tall)::DOUBLE, sum(n*y) FILTER (y=y1)/sum(n) FILTER (y=y1)::DOUBLE) AS f_y FROM rw JOIN sh USING (vec_id) GROUP BY vec_id),
+ax AS (SELECT vec_id, bx, b_y, fx-bx AS wx, f_y-b_y AS wy, CASE WHEN power(fx-bx,2)+power(f_y-b_y,2)<1e-6 THEN 0.0 ELSE fx-bx END AS dx, CASE WHEN power(fx-bx,2)+power(f_y-b_y,2)<1e-6 THEN 1.0 ELSE f_y-b_y END AS dy FROM en),
+gr AS (SELECT gy.g-1 AS y, gx.g-1 AS x FROM range({SIDE + 2}) gy(g), range({SIDE + 2}) gx(g)),
+off AS (SELECT e.vec_id, gr.y, gr.x FROM (SELECT DISTINCT vec_id FROM a) e, gr WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.vec_id=e.vec_id AND a.y=gr.y AND a.x=gr.x)),
+ed AS (SELECT a.vec_id, a.y, a.x, min(power(a.y-off.y,2)+power(a.x-off.x,2)) AS d2 FROM a JOIN off USING (vec_id) GROUP BY a.vec_id, a.y, a.x),
+pt AS (SELECT ed.vec_id, ed.y, ed.x, sqrt(d2) AS away, ((x-bx)*dx+(y-b_y)*dy)/(dx*dx+dy*dy) AS t, least(greatest(0.045*sqrt(u.n),4.0),30.0) AS margin FROM ed JOIN ax USING (vec_id) JOIN u USING (vec_id) WHERE u.n>=20),
+li(op, share, least_, lo, hi) AS (VALUES (1, 1.0::DOUBLE, 4.0::DOUBLE, 0.30::DOUBLE, 0.86::DOUBLE), (2, 0.5::DOUBLE, 2.0::DOUBLE, 0.22::DOUBLE, 0.92::DOUBLE)),
+zp AS (SELECT vec_id, op, y, x FROM pt, li WHERE away>=greatest(least_, share*margin) AND t BETWEEN lo AND hi), {_sql_largest("zl", "zp")},
+zc AS (SELECT vec_id, op, count(*) AS n FROM zl GROUP BY ALL), zo AS (SELECT vec_id, CASE WHEN max(n) FILTER (op=1)>=80 THEN 1 ELSE 2 END AS op FROM zc GROUP BY vec_id),
+zn AS (SELECT zl.vec_id, y, x FROM zl JOIN zo USING (vec_id, op)),
+za AS (SELECT zn.vec_id, y, x, ((x-bx)*dx+(y-b_y)*dy)/(dx*dx+dy*dy) AS t, CASE WHEN sqrt(wx*wx+wy*wy)>=1e-6 THEN (-wy*(x-bx)+wx*(y-b_y))/sqrt(wx*wx+wy*wy) ELSE x-bx END AS p, min(x) OVER v AS x0, min(y) OVER v AS y0 FROM zn JOIN ax USING (vec_id) WINDOW v AS (PARTITION BY zn.vec_id)),
+zb AS (SELECT *, min(p) OVER v AS lo, max(p) OVER v AS hi FROM za WINDOW v AS (PARTITION BY vec_id)),
+zw AS (SELECT vec_id, count(*) AS k, sum(round(least(1.0,greatest(0.0,exp(-0.5*power((t-0.52)/0.20,2))*exp(-0.5*power(((p-lo)/greatest(1e-6,hi-lo)-0.50)/0.33,2)))),4)) AS w FROM zb WHERE (x-x0)%3=0 AND (y-y0)%3=0 GROUP BY vec_id),
+zt AS (SELECT vec_id, count(*) AS n, sum(y*{SIDE}+x) AS d FROM zn GROUP BY vec_id),
+{_sql_largest("o", "a", "vec_id")},
+oh AS (SELECT vec_id, min(y) AS y0, max(y) AS y1, max(y)-min(y)+1 AS h FROM o GROUP BY vec_id),
+ok AS (SELECT *, floor(greatest(3,round_even(0.42*h,0))/2)::INTEGER AS half FROM oh),
+dl AS (SELECT DISTINCT o.vec_id, c.y, g.g AS x FROM o JOIN ok USING (vec_id) JOIN c ON c.vec_id=o.vec_id AND abs(c.y-o.y)<=ok.half, range({SIDE}) g(g) WHERE abs(g.g-o.x)<=2 AND g.g BETWEEN c.l AND c.r AND c.y BETWEEN round_even(ok.y0-1.1*ok.h,0) AND round_even(ok.y1+0.35*ok.h,0)),
+{_sql_mended("dp", "dl")},
+dh AS (SELECT vec_id, max(y) AS y1, greatest(1,round_even(0.5*(max(y)-min(y)+1),0)) AS keep FROM dp GROUP BY vec_id), fr AS (SELECT dp.* FROM dp JOIN dh USING (vec_id) WHERE y>=y1-keep+1),
+{_sql_mended("ft", "fr")},
+dt AS (SELECT vec_id, count(*) AS n, sum(y*{SIDE}+x) AS d FROM dp GROUP BY vec_id), tt AS (SELECT vec_id, count(*) AS n, sum(y*{SIDE}+x) AS d FROM ft GROUP BY vec_id)
+SELECT e.vec_id, CASE WHEN zt.n IS NULL THEN 0 ELSE coalesce(zw.k,1) END::INTEGER AS n_points, round(CASE WHEN zt.n IS NULL THEN 0.0 ELSE coalesce(zw.w,1.0) END,2)::DOUBLE AS weight, coalesce(zt.n,0)::INTEGER AS n_zone, coalesce(zt.d,0)::BIGINT AS zone_sum,
+ coalesce(dt.n,0)::INTEGER AS n_deep, coalesce(dt.d,0)::BIGINT AS deep_sum, coalesce(tt.n,0)::INTEGER AS n_front, coalesce(tt.d,0)::BIGINT AS front_sum
+FROM embeddings e LEFT JOIN zt USING (vec_id) LEFT JOIN zw USING (vec_id) LEFT JOIN dt USING (vec_id) LEFT JOIN tt USING (vec_id)"""
+
+
 QUERIES = {
     "mask_iou": (mask_iou, MASK_IOU),
     "mask_set_ops": (mask_set_ops, MASK_SET_OPS),
@@ -379,6 +443,7 @@ QUERIES = {
     "mask_seat_geometry": (mask_seat_geometry, None),
     "mask_outline": (mask_outline, MASK_OUTLINE),
     "mask_bands": (mask_bands, MASK_BANDS),
+    "mask_zones": (mask_zones, MASK_ZONES),
     "mask_wide": (mask_wide, MASK_WIDE),
     "mask_fusion": (mask_fusion, MASK_FUSION),
 }
