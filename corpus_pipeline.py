@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_round_trip
-from tessera.llm.common import Scratch, unused
-from tessera.llm.decontaminate import leaks_column
+from tessera.llm.common import Scratch, text_of, unused
+from tessera.llm.decontaminate import leak_searches
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.langid import UNDETERMINED, language_column, train_language_model
 from tessera.llm.ngram_join import ngram_jaccard_join
@@ -84,10 +84,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a verified test item of benchmark."""
-    for leaks in leaks_column(docs, table(spark, sf_dir, "benchmark")):
-        docs = docs.where(F.size(leaks) == 0)
-    return docs
+    """Drops the documents that hold a verified test item of benchmark; what a shard of the items leaves is written for the next one's scan."""
+    scratch = Scratch(spark, "pipeline-leaks")
+    kept = None
+    for shard, search in enumerate(leak_searches(table(spark, sf_dir, "benchmark"))):
+        docs = docs if kept is None else scratch.stage(kept, f"shard{shard}")
+        kept = docs.where(F.size(search(text_of(docs))) == 0)
+    return kept
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,8 +36,8 @@ def components_of(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def leaks_of(texts, items, threshold=0.5, overlap=0.5, k1=1.2, b=0.75):
-    """Every passage against every item, each scored in full: (id, item) to passage, score, question, answer."""
+def leaks_of(texts, items, overlap=0.5, k1=1.2, b=0.75):
+    """Every window of one and a half times an item's words in every text: (id, item) to passage, score, question, answer."""
     clean = lambda t: [w for w in (re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in t.split()) if w]
 
     def parts(text):
@@ -53,30 +53,25 @@ def leaks_of(texts, items, threshold=0.5, overlap=0.5, k1=1.2, b=0.75):
         return len(runs(part) & runs(words)) / len(runs(part)) if part else 1.0
 
     told = [(item, clean(t), *parts(t)) for item, t in items if t and clean(t)]
+    assert all(q or a for _, _, q, a in told)
     df = Counter(w for _, words, _, _ in told for w in set(words))
     mean = sum(len(words) for _, words, _, _ in told) / max(1, len(told))
     found: dict = {}
-    group = lambda n: max(0, math.ceil(math.log2(n / 256))) if n > 256 else 0
-    longest: dict[int, int] = {}
-    for _, words, _, _ in told:
-        longest[group(len(words))] = max(len(words), 5, longest.get(group(len(words)), 0))
     weights = []
     for item, words, question, answer in told:
         norm = k1 * (1 - b + b * len(words) / mean)
         weight = {w: math.log(1 + (len(told) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (k1 + 1) / (tf + norm) for w, tf in Counter(words).items()}
-        weights.append((item, longest[group(len(words))], weight, sum(weight.values()), question, answer))
+        weights.append((item, (3 * max(5, len(words)) + 1) // 2, weight, sum(weight.values()), question, answer))
     for i, text in texts:
         words = clean(text or "")
-        for size in set(longest.values()):
-            for start in range(0, len(words), size):
-                passage = words[start : start + 2 * size]
-                held = set(passage)
-                for item, block, weight, whole, question, answer in weights:
-                    if block != size:
-                        continue
-                    score = sum(x for w, x in weight.items() if w in held) / whole
-                    if score >= threshold - 1e-9:
-                        q, a = share(question, passage), share(answer, passage)
-                        if q >= overlap and a >= overlap and ((i, item) not in found or score > found[i, item][1] + 1e-9):
-                            found[i, item] = (start, min(1.0, score), q, a)
+        for item, size, weight, whole, question, answer in weights:
+            if share(question, words) < overlap or share(answer, words) < overlap:
+                continue
+            for start in range(len(words)):
+                passage = words[start : start + size]
+                if passage[0] in weight:
+                    q, a = share(question, passage), share(answer, passage)
+                    if q >= overlap and a >= overlap and ((i, item) not in found or q + a > sum(found[i, item][2:])):
+                        held = weight.keys() & set(passage)
+                        found[i, item] = (start, min(1.0, sum(weight[w] for w in held) / whole), q, a)
     return {k: (p, round(s, 6), q, a) for k, (p, s, q, a) in found.items()}

@@ -382,25 +382,72 @@ def test_item_index_equals_full_scoring():
 
 
 @pytest.mark.parametrize("dense", [0, 1024])
-def test_open_blocks_lose_no_entry(monkeypatch, dense):
-    """Whatever a full scoring of both blocks of a passage finds is in an open block, by dense and by sparse sums."""
+def test_open_passages_lose_no_entry(monkeypatch, dense):
+    """Every passage in which the search finds an entry is open, by dense and by sparse sums, and most others are not."""
     monkeypatch.setattr(decontaminate, "DENSE_ENTRIES", dense)
     monkeypatch.setattr(decontaminate, "CELLS", 300)
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(90)]
     index = decontaminate.ItemIndex([(i, " ".join(rng.choice(vocab[: rng.choice([20, 90])]) for _ in range(rng.randint(3, 25)))) for i in range(60)])
     for _ in range(20):
-        blocks = [sorted({index.term[w] for w in rng.sample(vocab, rng.randint(0, 14)) if w in index.term}) for _ in range(25)]
-        same = np.array([rng.random() < 0.7 for _ in blocks])
-        same[-1] = False
-        at = np.array([b for b, ts in enumerate(blocks) for _ in ts], np.int64)
-        term = np.array([t for ts in blocks for t in ts], np.int64)
-        pairs = list(zip(*(x.tolist() for x in index.open_blocks(at, term, same, 0.5))))
-        assert pairs == sorted(set(pairs)) and len({b for b, _ in pairs}) < 25
-        for b, ts in enumerate(blocks):
-            terms = sorted({*ts, *(blocks[b + 1] if same[b] else [])})
-            among, told = [e for own, e in pairs if own == b], index.search(terms, 0.5)
-            assert {e for e, _ in told} <= set(among) and (not among or index.search(terms, 0.5, among) == told)
+        passages = [sorted({index.term[w] for w in rng.sample(vocab, rng.randint(0, 20)) if w in index.term}) for _ in range(25)]
+        at = np.array([p for p, ts in enumerate(passages) for _ in ts], np.int64)
+        term = np.array([t for ts in passages for t in ts], np.int64)
+        is_open = index.open_passages(at, term, len(passages)).tolist()
+        found = [p for p, ts in enumerate(passages) if index.search(ts)]
+        assert is_open == sorted(set(is_open)) and set(found) <= set(is_open) and len(is_open) < 25
+
+
+def test_windows_count_distinct_runs():
+    rng = random.Random(3)
+    for _ in range(200):
+        ids = np.array([rng.randint(-3, 4) for _ in range(rng.randint(0, 25))], np.int64)
+        n, width = rng.randint(1, 4), rng.randint(4, 12)
+        want = [len({ids[p] for p in range(s, min(len(ids), s + width - n + 1)) if ids[p] >= 0}) for s in range(len(ids))]
+        assert decontaminate.in_windows(ids, n, width).tolist() == want
+
+
+def test_least_share_is_a_bound():
+    """No window that holds enough of an item's parts has less than the share by which the item is retrieved."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(14)]
+    made = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, f"{made(rng.randint(1, 20))}. {made(rng.randint(1, 7))}.") for i in range(60)]
+    for overlap in (0.2, 0.5, 0.9):
+        index = decontaminate.ItemIndex(items, overlap)
+        passed = 0
+        for e, (_, text) in enumerate(items):
+            words = [index.term[w] for w in decontaminate.words_of(text)]
+            for _ in range(30):
+                a, b = rng.randint(0, len(words)), rng.randint(0, len(words))
+                window = words[a : a + rng.randint(0, 20)] + words[b:]
+                if window and all(part.covered(part.places(window), len(window))[0] >= overlap for part in index.parts[e]):
+                    passed += 1
+                    assert sum(index.share[e][t] for t in set(window)) >= index.least[e] - 1e-9
+        assert passed > 100
+
+
+def test_other_items_change_no_leak():
+    """Whatever items are added, an item is found in the same texts, at the same words, with the same shares of its parts."""
+    capital = (1, "What is the capital of France? Paris")
+    apart = "what is the capital of France? He said London and then he went to Paris"
+    rng = random.Random(22)
+    vocab = [f"w{i}" for i in range(25)] + decontaminate.words_of(apart)
+    made = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    first = [capital] + [(10 + i, f"{made(rng.randint(1, 30))}. {made(rng.randint(1, 4))}.") for i in range(15)]
+    texts = [apart, f"x y {capital[1]} z"] + [f"{made(40)} {t} {made(rng.randint(0, 60))}" for _, t in first for _ in range(2)] + [made(200) for _ in range(20)]
+
+    def found(items):
+        rows = [r for index in decontaminate.item_indexes(items) for r in index.leaks(WordMemo(index.terms_of), texts)]
+        return {(i, item, passage, q, a) for i, item, passage, _, q, a in rows if item < 100}
+
+    alone = found(first)
+    assert (1, 1, 2, 1.0, 1.0) in alone and (0, 1) not in {r[:2] for r in alone} and len(alone) > 30
+    for trial in range(8):
+        more = [(100 + i, f"{made(rng.choice([2, 60, 300]))}. {made(3)}.") for i in range(rng.randint(1, 30))]
+        assert found(first + more) == alone
+    for item in first:
+        assert {r for r in alone if r[1] == item[0]} == found([item])
 
 
 def test_sparse_and_dense_sums_find_the_same(monkeypatch):
@@ -412,7 +459,7 @@ def test_sparse_and_dense_sums_find_the_same(monkeypatch):
     told = []
     for dense in (1024, 0):
         monkeypatch.setattr(decontaminate, "DENSE_ENTRIES", dense)
-        told.append(sorted(index.leaks(WordMemo(index.terms_of), texts, 0.5, 0.5)))
+        told.append(sorted(index.leaks(WordMemo(index.terms_of), texts)))
     assert told[0] == told[1] and len(told[0]) >= 60
 
 
@@ -423,11 +470,11 @@ def test_leaks_in_long_texts():
     index = decontaminate.ItemIndex([*items, (99, ""), (98, "...")])
     noise = lambda n: " ".join(word() for _ in range(n))
     texts = [noise(300), "", noise(137) + " " + items[4][1].upper() + " " + noise(50), items[7][1], noise(3) + " " + items[1][1].split(". ")[0]]
-    got = {(i, item) for i, item, *_ in index.leaks(WordMemo(index.terms_of), texts, 0.5, 0.5)}
+    got = {(i, item) for i, item, *_ in index.leaks(WordMemo(index.terms_of), texts)}
     assert got == {(2, 4), (3, 7)}
     barred = [noise(60) + " " + " | ".join(items[9][1].split()) + " | " + noise(30), " ".join(w + "%%%" for w in items[11][1].split()), "| | % |"]
-    assert {(i, item) for i, item, *_ in index.leaks(WordMemo(index.terms_of), barred, 0.5, 0.5)} == {(0, 9), (1, 11)}
-    assert decontaminate.ItemIndex([]).leaks(WordMemo(index.terms_of), texts, 0.5, 0.5) == []
+    assert {(i, item) for i, item, *_ in index.leaks(WordMemo(index.terms_of), barred)} == {(0, 9), (1, 11)}
+    assert decontaminate.ItemIndex([]).leaks(WordMemo(index.terms_of), texts) == []
 
 
 @pytest.mark.parametrize("n", [255, 256, 257, 300, 600, 2000])
@@ -441,8 +488,8 @@ def test_long_items_are_verified_whole(n):
     half = " ".join(long[: n // 3]) + " " + clean
     texts = [clean, half, clean + " " + item + " " + clean, clean + " " + short[1], " ".join(long[:-1])]
     indexes = decontaminate.item_indexes([(1, item), short])
-    assert [index.block for index in indexes] == ([n] if n <= 256 else [23, n])
-    got = {(i, found): (q, a) for index in indexes for i, found, _, _, q, a in index.leaks(WordMemo(index.terms_of), texts, 0.5, 0.5)}
+    assert [index.width for index in indexes] == ([[(3 * n + 1) // 2, 35]] if n <= 256 else [[35], [(3 * n + 1) // 2]])
+    got = {(i, found): (q, a) for index in indexes for i, found, _, _, q, a in index.leaks(WordMemo(index.terms_of), texts)}
     assert got == {(2, 1): (1.0, 1.0), (3, 2): (1.0, 1.0)}
 
 

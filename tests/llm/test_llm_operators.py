@@ -308,7 +308,7 @@ def test_leaks(spark, docs, none, rows):
     for shard in (50_000, 1):
         found = find_leaks(docs, items, shard_items=shard).collect()
         assert {r.doc_id for r in found if r.item_id == 2} >= holders and not any(r.item_id in (3, 4, 5) for r in found)
-        assert all(r.score >= 0.5 and r.question >= 0.5 and r.answer >= 0.5 for r in found)
+        assert all(r.score > 0.3 and r.question >= 0.5 and r.answer >= 0.5 for r in found)
     assert find_leaks(none, items).count() == 0 and find_leaks(docs, items.where("false")).count() == 0
 
 
@@ -326,7 +326,7 @@ def test_leaks_do_not_depend_on_shards(spark):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(70)]
     made = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, f"{made(rng.randint(3, 30))}. {made(2)}.") for i in range(30)] + [(30, made(300)), (31, made(700)), (31, made(9)), (32, ""), (33, None), (34, "..."), (35, "one. two")]
+    items = [(i, f"{made(rng.randint(3, 30))}. {made(2)}.") for i in range(30)] + [(30, made(300)), (31, made(700)), (31, made(9)), (32, ""), (33, None), (34, "..."), (35, "one. two"), (36, "A: ."), (37, "Answer: w1")]
     docs = [(i, f"{made(40)} {' '.join((w := items[i % 32][1].split())[len(w) * (i % 4) // 8 :])} {made(rng.randint(0, 90))}") for i in range(90)]
     docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     one, few, many = (sorted(map(tuple, find_leaks(docs, items, shard_items=n).collect())) for n in (50_000, 13, 2))

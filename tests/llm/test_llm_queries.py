@@ -137,5 +137,5 @@ def test_many_items_take_time_by_their_rare_words(spark):
     index = decontaminate.ItemIndex(items)
     planted = [3, 777, 7_999]
     texts = [f"{draw(200)} {items[i][1]} {draw(200)}" for i in planted] + [draw(400) for _ in range(20)]
-    found = index.leaks(decontaminate.WordMemo(index.terms_of), texts, 0.5, 0.5)
+    found = index.leaks(decontaminate.WordMemo(index.terms_of), texts)
     assert {(r[0], r[1]) for r in found if r[3] > 0.99} == set(enumerate(planted))
