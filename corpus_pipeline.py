@@ -69,7 +69,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row that exact dedup keeps; of rows that are equal in all, one."""
     docs, row = marked(docs)
-    return without(docs, exact_dedup(docs, digest_all=True, row=row).where("NOT kept"), row)
+    return without(docs, exact_dedup(docs, row=row).where("NOT kept"), row)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
