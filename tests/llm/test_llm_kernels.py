@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -504,3 +505,57 @@ def test_memo_and_sums():
     cut = list(slices(texts, 10))
     assert cut[0][0] == 0 and cut[-1][1] == 5 and all(x[1] == y[0] for x, y in zip(cut, cut[1:]))
     assert zlib.crc32(b"1") % 5 == int(np.uint32(zlib.crc32(b"1"))) % 5
+
+
+def plain_ngram_buckets(word, orders, buckets):
+    """The bucket of every n-gram of a word with its end marks, one at a time in whole numbers."""
+    marked, full = [ord(c) + 1 for c in f"\x02{word}\x03"], (1 << 64) - 1
+    for n in orders:
+        for i in range(len(marked) - n + 1):
+            code = 0
+            for point in marked[i : i + n]:
+                code = (code * 0xD6E8FEB86659FD93 + point * 0x9E3779B97F4A7C15) & full
+            code = ((code ^ code >> 32) * 0xBF58476D1CE4E5B9) & full
+            yield (code >> 20) % buckets
+
+
+def scored_texts():
+    rng = random.Random(31)
+    words = "red Blue grün 道路 cold river stone %%% x ÄÖ".split()
+    return ["", "  ", *words, "red red red"] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+
+
+def test_quality_scores_equal_a_plain_scorer():
+    """Every score from the fitted tables, one word and one n-gram at a time."""
+    texts, buckets = scored_texts(), 1 << 10
+    model = quality.fit_quality_model(texts, [int("cold" in t) for t in texts], buckets=buckets)
+    got = quality.score_quality(model, WordMemo(model.word_rows), texts)
+    for text, score in zip(texts, got.tolist()):
+        words = text.lower().split()
+        units = words + ["\x01=" for a, b in zip(words, words[1:]) if a == b]
+        if not units:
+            assert score == 0.0
+            continue
+        logits = []
+        for unit in units:
+            at = [*plain_ngram_buckets(unit, quality.ORDERS, buckets), (zlib.crc32(unit.encode()) * 0x9E3779B1 >> 8) % buckets]
+            vector = [sum(float(model.table[b][d]) for b in at) / len(at) for d in range(model.table.shape[1])]
+            logits.append(sum(v * (float(o[1]) - float(o[0])) for v, o in zip(vector, model.out)))
+        logit = sum(logits) / len(logits) + float(model.bias[1]) - float(model.bias[0])
+        assert abs(score - 1 / (1 + math.exp(-logit))) < 1e-5
+
+
+def test_languages_equal_a_plain_scorer():
+    """Every language and score from the fitted weights, one word and one n-gram at a time."""
+    texts, buckets = scored_texts(), 1 << 10
+    model = langid.fit_language_model(texts, ["a" if "river" in t else "b" if "x" in t else "c" for t in texts], buckets=buckets)
+    names, scores = langid.predict_languages(model, WordMemo(model.word_rows), texts)
+    for text, name, score in zip(texts, names, scores):
+        if not any(c.isalpha() for c in text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        at = [b for word in text.lower().split() for b in plain_ngram_buckets(word, model.orders, buckets)]
+        logits = [(sum(model.weights[b][k] for b in at) / len(at) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+        high = [math.exp(x - max(logits)) for x in logits]
+        best = max(range(len(high)), key=high.__getitem__)
+        assert name == model.languages[best] and abs(score - high[best] / sum(high)) < 1e-9
