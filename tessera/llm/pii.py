@@ -5,15 +5,16 @@ fixed rules. The model, trained in numpy from labelled spans, adds spans of the
 in forms that the rules do not know: addresses written out or defanged, national telephone
 numbers, cards with other marks between their digits. It tells them by their surroundings
 from dates, decimals, serial numbers and the like; what it finds is kept if it has such a
-form and passes the kind's own test (octets, checksum, number of digits). It reads the
-windows around anchors (digits, @, + and a written-out dot, without which none of these
-forms exists); windows of a text overlap, and their spans are reconciled over the whole text.
+form and passes the kind's own test (octets, checksum, number of digits). It reads every
+character of every text, in windows that overlap; each character has its tag from one of
+them, and spans are made of the tags of the whole text.
 """
 
 from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,6 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ANCHORS = re.compile(r"[0-9@+]+|\bdot\b", re.IGNORECASE)
 _AT, _DOT = r"(?:\s?@\s?|\s?[(\[{]at[)\]}]\s?|\sat\s)", r"(?:\.|\s?[(\[{](?:dot|\.)[)\]}]\s?|\sdot\s)"
 #: The forms in which the model's spans of each kind are kept.
 _FORMS = (
@@ -90,7 +90,9 @@ def base_spans(text: str) -> list[Span]:
 
 # -- the model ---------------------------------------------------------------------
 
-WINDOW, STRIDE, MARGIN = 64, 32, 16
+WINDOW = 64  # characters of a window to learn from
+READ, MARGIN = 512, 16  # characters of a window that is read, and at its ends those that the windows beside it tell
+STEP, ROUND = READ - 2 * MARGIN, 128  # a text's last window has a multiple of ROUND characters
 TAGS = 1 + 2 * len(KINDS)  # outside, and for each kind its first and its further characters
 
 
@@ -205,19 +207,42 @@ class Tagger:
         return float((total - score).sum() * scale), grads
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window (Viterbi)."""
-        e, _ = self.emissions(ids)
-        steps, batch, _ = e.shape
-        best, back = e[0], np.empty((steps, batch, TAGS), np.int8)
+        """The best tag sequence of each window (Viterbi).
+
+        The same numbers as `emissions` gives, without what only learning needs: characters go to gates by a table, and all
+        gates take one exponential, as tanh(x) is 2 sigmoid(2 x) - 1. Of the paths only their scores are kept; the way back
+        looks at the tags before the one that it came from.
+        """
+        n, (rows, steps) = self.hidden, ids.shape
+        signs = np.repeat(np.array([-1, -1, -1, -2], np.float32), n)
+        weights = self._both("h") * signs
+        tables = [(self.p["chars"] @ self.p[f"x{way}"] + self.p[f"b{way}"]) * signs for way in "fb"]
+        emit, at = self.p["emit"].reshape(2, n, TAGS), np.ascontiguousarray(ids.T, np.intp)
+        told = np.empty((steps, 2, rows, TAGS), np.float32)
+        h, c, s = (np.zeros((2, rows, n), np.float32) for _ in range(3))
+        g, more = (np.empty((2, rows, 4 * n), np.float32) for _ in range(2))
+        i, f, o, u = (g[..., k * n : (k + 1) * n] for k in range(4))
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                np.take(tables[0], at[t], axis=0, out=g[0], mode="clip")
+                np.take(tables[1], at[steps - 1 - t], axis=0, out=g[1], mode="clip")
+                g += np.matmul(h, weights, out=more)
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                c *= f
+                c += np.multiply(i, np.subtract(2 * u, 1, out=s), out=s)
+                np.multiply(o, np.tanh(c, out=s), out=h)
+                np.matmul(h, emit, out=told[t])
+        best = np.ascontiguousarray((told[:, 0] + told[::-1, 1] + self.p["emit_b"]).transpose(0, 2, 1))
+        trans, ways = self.p["trans"], np.empty((TAGS, TAGS, rows), np.float32)
         for t in range(1, steps):
-            ways = best[:, :, None] + self.p["trans"]
-            back[t] = ways.argmax(1)
-            best = ways.max(1) + e[t]
-        tags = np.empty((batch, steps), np.int8)
-        tags[:, -1] = best.argmax(1)
+            best[t] += np.add(best[t - 1][:, None], trans[:, :, None], out=ways).max(0)
+        tags = np.empty((steps, rows), np.int8)
+        tags[-1] = best[-1].argmax(0)
         for t in range(steps - 1, 0, -1):
-            tags[:, t - 1] = back[t, np.arange(batch), tags[:, t]]
-        return tags
+            tags[t - 1] = (best[t - 1] + trans[:, tags[t]]).argmax(0)
+        return tags.T
 
 
 def train_tagger(windows: list[tuple[str, list[Span]]], steps: int = 700, batch: int = 48, rate: float = 0.02, seed: int = 11) -> Tagger:
@@ -329,80 +354,96 @@ def training_windows(labelled: list[tuple[str, list[Span]]], each: int = 3, seed
     return out
 
 
-def windows_of(text: str) -> np.ndarray:
-    """Starts of the overlapping windows that hold an anchor or stand within MARGIN of one."""
-    edges = np.array([m.span() for m in _ANCHORS.finditer(text)], np.int64).reshape(-1, 2)
-    if not len(edges):
-        return np.zeros(0, np.int64)
-    first = np.maximum(0, (edges[:, 0] - MARGIN - WINDOW + STRIDE) // STRIDE + 1)
-    last = np.minimum((edges[:, 1] + MARGIN) // STRIDE, (len(text) - 1) // STRIDE)
-    first[1:] = np.maximum(first[1:], last[:-1] + 1)  # what the anchor before has already
-    many = np.maximum(0, last - first + 1)
-    return STRIDE * (np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum()))
+def windows_of(n: int) -> list[tuple[int, int]]:
+    """(start, size) of the windows of n characters: one begins every STEP, until the last character is read; the last one is padded."""
+    starts = range(0, max(1, n - 2 * MARGIN), STEP) if n else ()
+    return [(a, min(READ, -(-(n - a) // ROUND) * ROUND)) for a in starts]
+
+
+def text_ids(text: str, most: int = 1 << 16) -> np.ndarray:
+    """Classes of a text's characters, and of the padding after it."""
+    told = [char_ids(text[a : a + most]).astype(np.uint8) for a in range(0, len(text), most)]
+    return np.concatenate([*told, np.zeros(ROUND, np.uint8)])
+
+
+def tags_of(model: Tagger, texts: list[str], batch: int = 512) -> list[np.ndarray]:
+    """The model's tag of every character of every text.
+
+    A character has it from the window in which it stands MARGIN from both ends at least, or from the one at the text's own end.
+    Windows of one size are decoded together, whatever their texts; a window's tags depend on its characters alone.
+    """
+    ids, out = [text_ids(t) for t in texts], [np.zeros(len(t), np.int8) for t in texts]
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for k, text in enumerate(texts):
+        for begin, size in windows_of(len(text)):
+            by_size.setdefault(size, []).append((k, begin))
+    for size, windows in sorted(by_size.items()):
+        for first in range(0, len(windows), batch):
+            some = windows[first : first + batch]
+            tags = model.decode(np.stack([ids[k][begin : begin + size] for k, begin in some]))
+            for row, (k, begin) in zip(tags, some):
+                low = MARGIN if begin else 0
+                high = READ - MARGIN if begin + READ < len(texts[k]) else len(texts[k]) - begin
+                out[k][begin + low : begin + high] = row[low:high]
+    return out
+
+
+def tagged_spans(tags: np.ndarray) -> Iterator[Span]:
+    """Runs of characters of one kind; a kind's first tag begins another."""
+    places = np.flatnonzero(tags)
+    told = tags[places]
+    kinds = (told - 1) // 2
+    opens = (np.diff(places, prepend=-2) != 1) | (np.diff(kinds, prepend=-1) != 0) | (told % 2 == 1)
+    begins = np.flatnonzero(opens)
+    ends = np.append(begins[1:], len(places)) - 1
+    yield from zip(kinds[begins].tolist(), places[begins].tolist(), (places[ends] + 1).tolist() if len(begins) else [])
+
+
+def is_free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a range touches none of an ordered list of ranges that do not overlap."""
+    k = bisect_left(taken, (b, b))
+    return not k or taken[k - 1][1] <= a
 
 
-def reconcile(text: str, starts: np.ndarray, tags: np.ndarray, base: list[Span]) -> list[Span]:
-    """The model's spans over the whole text, from those of overlapping windows.
+def added_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
+    """The model's spans over a whole text, from its characters' tags.
 
-    Each character takes its tag from the window in whose middle it stands best; runs of
-    one kind become spans. Of the form that a span's kind has, the longest match that
-    lies at least half in the span and holds at least half of it is taken; it stays if it passes the kind's test and touches no
-    base span. Windows that hang together are looked at together, so memory is in
-    proportion to such a run.
+    Of the form that a span's kind has, the longest match that lies at least half in the span and
+    holds at least half of it is taken; it stays if it passes the kind's test and touches no base
+    span. Such a match ends within the span's own length of it on both sides, so no more is searched.
     """
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):  # of several kinds, so they may overlap
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
     found: set[Span] = set()
-    cuts = np.flatnonzero(np.diff(starts) > WINDOW) + 1
-    place = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
-    for part in np.split(np.arange(len(starts)), cuts):
-        begin, end = int(starts[part[0]]), min(int(starts[part[-1]]) + WINDOW, len(text))
-        depth, tag = np.full(end - begin, -1, np.int8), np.zeros(end - begin, np.int8)
-        for k in part.tolist():
-            a = int(starts[k]) - begin
-            n = min(WINDOW, len(depth) - a)
-            own = place[:n] if a + begin else WINDOW - 1 - np.arange(n)
-            better = own > depth[a : a + n]
-            depth[a : a + n][better], tag[a : a + n][better] = own[better], tags[k][:n][better]
-        kind = np.where(tag > 0, (tag - 1) // 2, -1)
-        opens = (kind >= 0) & ((np.diff(kind, prepend=-1) != 0) | (tag % 2 == 1))
-        closes = np.append((kind[1:] != kind[:-1]) | opens[1:], True) & (kind >= 0)
-        for a, b in zip(np.flatnonzero(opens).tolist(), (np.flatnonzero(closes) + 1).tolist()):
-            k, a, b = int(kind[a]), a + begin, b + begin
-            low, high = max(0, a - MARGIN), min(len(text), b + MARGIN)
-            best = None
-            for m in _FORMS[k].finditer(text, low, high):
-                x, y = m.span()
-                shared = min(b, y) - max(a, x)
-                if 2 * shared >= max(y - x, b - a) and (best is None or y - x > best[1] - best[0]):
-                    best = x, y
-            if best and plausible(k, text[best[0] : best[1]]) and not any(x < best[1] and best[0] < y for x, y in taken):
-                found.add((k, *best))
+    for k, a, b in tagged_spans(tags):
+        reach = max(MARGIN, b - a + 3)
+        best = None
+        for m in _FORMS[k].finditer(text, max(0, a - reach), min(len(text), b + reach)):
+            x, y = m.span()
+            shared = min(b, y) - max(a, x)
+            if 2 * shared >= max(y - x, b - a) and (best is None or y - x > best[1] - best[0]):
+                best = x, y
+        if best and plausible(k, text[best[0] : best[1]]) and is_free(taken, *best):
+            found.add((k, *best))
     kept: list[Span] = []
+    apart: list[tuple[int, int]] = []
     for span in sorted(found, key=lambda s: (s[1] - s[2], s)):  # of spans that overlap, the longest
-        if not any(span[1] < y and x < span[2] for _, x, y in kept):
+        if is_free(apart, *span[1:]):
+            insort(apart, span[1:])
             kept.append(span)
     return kept
 
 
-def find_spans(model: Tagger, texts: list[str], batch: int = 512) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text; all its windows that can hold a span are decoded."""
-    base = [base_spans(t) for t in texts]
-    starts = [windows_of(t) for t in texts]
-    ends = np.cumsum([len(ss) for ss in starts])
-    owner = np.repeat(np.arange(len(texts)), [len(ss) for ss in starts])
-    flat = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    tags = np.zeros((len(flat), WINDOW), np.int8)
-    for k in range(0, len(flat), batch):
-        part = range(k, min(k + batch, len(flat)))
-        ids = np.zeros((len(part), WINDOW), np.int64)
-        for row, at in enumerate(part):
-            got = char_ids(texts[owner[at]][flat[at] : flat[at] + WINDOW])
-            ids[row, : len(got)] = got
-        tags[k : k + batch] = model.decode(ids)
+def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text; the model reads all of it."""
     out = []
-    for text, own, ss, end in zip(texts, base, starts, ends):
-        added = reconcile(text, ss, tags[end - len(ss) : end], own) if len(ss) else []
-        out.append((own, sorted({*own, *added})))
+    for text, tags in zip(texts, tags_of(model, texts)):
+        base = base_spans(text)
+        out.append((base, sorted({*base, *added_spans(text, tags, base)})))
     return out
 
 
@@ -418,8 +459,8 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
     on labelled windows of generated spans and look-alikes, whose surrounding words come from
     at most `most` texts of `most_chars` characters together, one a key, those with the smallest
     md5 of the key: a bounded sample, and the model has a fixed size, so it is broadcast. A
-    null or empty text has no spans. A very long text is searched whole; the model reads windows
-    of it. Rows are independent: ties, repeated rows and null keys pass through; an empty table
+    null or empty text has no spans. Every text, however long, is searched whole, and the model
+    reads every character of it. Rows are independent: ties, repeated rows and null keys pass through; an empty table
     gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -434,7 +475,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in batches:
             texts = batch.to_pylist()
             found = []
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 21):
                 for base, spans in find_spans(model, texts[a:b]):
                     own = set(base)
                     found.append([{"kind": KINDS[k], "start": s, "end": e, "base": (k, s, e) in own} for k, s, e in spans])

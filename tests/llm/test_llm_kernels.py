@@ -232,6 +232,46 @@ def test_reconciled_windows_of_a_long_text(tagger):
     assert len(set(found) & set(want)) >= 0.97 * len(want) and len(found) <= len(want)
 
 
+def test_model_reads_text_without_digits_or_signs():
+    """Every word is shown to the model, also far from any digit, @, + or written-out dot, and a long one is kept whole."""
+
+    class Words:
+        def decode(self, ids):
+            return np.where(ids > pii.char_ids(" ")[0], 2, 0).astype(np.int8)  # an address in every word
+
+    for said in ("mary[at]town.org", "john.miller(at)example.com", "a-rather-long-local-part-of-an-address-of-some-miller[at]house.example.org"):
+        for before in ("", "some words stand here and others follow " * 40):
+            text = f"{before}write to {said} about the house"
+            assert pii.find_spans(Words(), [text]) == [([], [(0, len(before) + 9, len(before) + 9 + len(said))])]
+
+
+def test_every_character_is_decoded_once(tagger):
+    """Tags of texts read together are those of each window by itself, by the emissions that learning uses; every character has one."""
+    rng = np.random.default_rng(3)
+    sizes = (0, 1, 16, 33, 511, 512, 513, 543, 544, 545, 992, 993, 1024, 2500)
+    texts = ["".join(chr(c) for c in rng.integers(32, 127, n)) for n in sizes]
+    for text, tags in zip(texts, pii.tags_of(tagger, texts)):
+        assert len(tags) == len(text)
+        told = np.full(len(text), -1)
+        for begin, size in pii.windows_of(len(text)):
+            ids = np.zeros((1, size), np.int64)
+            got = pii.char_ids(text[begin : begin + size])
+            ids[0, : len(got)] = got
+            e = tagger.emissions(ids)[0][:, 0]
+            best, back = e[0], []
+            for now in e[1:]:
+                ways = best[:, None] + tagger.p["trans"]
+                back.append(ways.argmax(0))
+                best = ways.max(0) + now
+            path = [int(best.argmax())]
+            for step in reversed(back):
+                path.append(int(step[path[-1]]))
+            low, high = pii.MARGIN if begin else 0, pii.READ - pii.MARGIN if begin + pii.READ < len(text) else len(got)
+            assert (told[begin + low : begin + high] == -1).all()
+            told[begin + low : begin + high] = path[::-1][low:high]
+        assert (told >= 0).all() and (told == tags).mean() >= 0.999 if text else not len(tags)
+
+
 def test_language_model_learns():
     texts, names = [], []
     rng = random.Random(1)
