@@ -1,14 +1,18 @@
 """Masks of any width as arrays of whole numbers: 64 pixels each, row after row, so that set operations, morphology and counts are bit operations.
 
-The words of a row follow each other, and the k-th bit of the w-th is column 64 w + k. All functions give expressions
-over such arrays; nothing here goes to Python. A mask that an expression reads at many places must be
-a column of its own (functions.arrays.fixed).
+The words of a row follow each other, and the k-th bit of the w-th is column 64 w + k. The functions give expressions
+over such arrays. A mask that an expression reads at many places must be a column of its own (functions.arrays.fixed).
+Expressions over arrays go word by word and are slow on masks of thousands of words; Batch does the same operations on
+many masks at once, in Arrow batches, where only numbers of the masks are wanted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,3 +205,80 @@ class Grid:
         is_set = lambda x: F.get(mask, row * self.words + F.floor(x / WORD).cast("int"))
         bit = lambda x: F.call_function("shiftrightunsigned", is_set(x), (x % WORD).cast("int")).bitwiseAND(_long(1))
         return F.filter(F.sequence(F.lit(0), F.lit(self.width - 1)), lambda x: bit(x) == 1)
+
+
+def _ends(n: np.ndarray) -> np.ndarray:
+    """Words with their lowest n bits set; none for n below 0, all from 64 on."""
+    return np.where(n > 0, np.uint64(0xFFFFFFFFFFFFFFFF) >> (WORD - np.clip(n, 1, WORD)).astype(np.uint64), np.uint64(0))
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Operations on many masks of one grid: numpy arrays of words by mask, row and word, with the results of Grid's expressions."""
+
+    grid: Grid
+
+    @property
+    def full(self) -> np.ndarray:
+        """The words of a row with all pixels set."""
+        return _ends(self.grid.width - WORD * np.arange(self.grid.words))
+
+    def fill(self, points: np.ndarray, cell: float = 1.0) -> np.ndarray:
+        """The masks of polygons, an array by polygon, point and axis; a point may be repeated."""
+        y = (np.arange(self.grid.height) + 0.5) * cell
+        starts = WORD * np.arange(self.grid.words)
+        masks = np.zeros((len(points), self.grid.height, self.grid.words), np.uint64)
+        for k in range(points.shape[1]):
+            (ax, ay), (bx, by) = (points[:, j % points.shape[1], :, None].swapaxes(0, 1) for j in (k, k + 1))
+            which, row = np.nonzero((ay > y) != (by > y))
+            ax, ay, bx, by = (v[which, 0] for v in (ax, ay, bx, by))
+            at = (ax - bx) * (y[row] - by) / ((ay - by) + G.EPS) + bx
+            before = np.clip(np.ceil(at / cell - 0.5), 0, self.grid.width).astype(np.int64)
+            masks[which, row] ^= _ends(before[:, None] - starts)
+        return masks
+
+    def count(self, masks: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(masks).sum(axis=(1, 2), dtype=np.int64)
+
+    def dilate(self, masks: np.ndarray) -> np.ndarray:
+        """Every set pixel's eight neighbours, with carries from word to word."""
+        one, last = np.uint64(1), np.uint64(WORD - 1)
+        wide = masks | (masks << one) | (masks >> one)
+        wide[..., 1:] |= masks[..., :-1] >> last
+        wide[..., :-1] |= masks[..., 1:] << last
+        tall = wide.copy()
+        tall[:, 1:] |= wide[:, :-1]
+        tall[:, :-1] |= wide[:, 1:]
+        return tall & self.full
+
+    def complement(self, masks: np.ndarray) -> np.ndarray:
+        return ~masks & self.full
+
+    def erode(self, masks: np.ndarray) -> np.ndarray:
+        return self.complement(self.dilate(self.complement(masks)))
+
+
+def ring_batch(polygons: pa.ListArray) -> np.ndarray:
+    """Polygons of an Arrow batch by polygon, point and axis; shorter ones repeat their last point, which adds no side. One without points is a point at 0."""
+    sizes = np.diff(polygons.offsets.to_numpy())
+    flat = polygons.flatten()
+    points = np.stack([np.append(flat.field(axis).to_numpy(zero_copy_only=False), 0.0) for axis in ("x", "y")], axis=1)
+    most = max(1, int(sizes.max(initial=0)))
+    at = np.minimum(np.arange(most), np.maximum(sizes - 1, 0)[:, None]) + (np.cumsum(sizes) - sizes)[:, None]
+    return points[np.where(sizes[:, None] > 0, at, len(points) - 1)]
+
+
+def compared(a: Column, b: Column, grid: Grid, measures: dict[str, Callable[[Batch, np.ndarray, np.ndarray], np.ndarray]], at_once: int = 16) -> Column:
+    """struct of whole numbers that measures give of the masks of two columns of polygons; `at_once` pairs of masks are in memory."""
+    told = ",".join(f"{name}:bigint" for name in measures)
+
+    @F.arrow_udf(f"struct<{told}>")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        make, out = Batch(grid), {name: np.zeros(len(left), np.int64) for name in measures}
+        for k in range(0, len(left), at_once):
+            m, n = (make.fill(ring_batch(side.slice(k, at_once))) for side in (left, right))
+            for name, measure in measures.items():
+                out[name][k : k + at_once] = measure(make, m, n)
+        return pa.StructArray.from_arrays([pa.array(v) for v in out.values()], list(out))
+
+    return run(a, b)

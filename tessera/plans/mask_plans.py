@@ -218,11 +218,18 @@ def mask_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks of whole photographs, 640 by 480, as bit words: areas, overlap, and dilated and eroded by a square of three."""
     stretched = lambda points: F.transform(points, lambda p: point(p["x"] * (WIDE.width / FRAME), p["y"] * (WIDE.height / FRAME)))
     rows = polygons(spark, sf_dir).select("vec_id", stretched(F.col("gt")).alias("p"), stretched(F.col("pred")).alias("q"))
-    rows = fixed(rows, "a", WIDE.fill(F.col("p"))).select("vec_id", "a", "q")
-    rows = fixed(rows, "b", WIDE.fill(F.col("q"))).select("vec_id", "a", "b")
-    a, b = F.col("a"), F.col("b")
-    n = lambda mask, name: W.count(mask).alias(name)
-    return rows.select("vec_id", n(a, "n_a"), n(b, "n_b"), n(W.common(a, b), "n_common"), n(W.without(a, b), "n_only_a"), r4(W.overlap(a, b)).alias("iou"), n(WIDE.dilate(a), "n_dilated"), n(WIDE.erode(a), "n_eroded"))
+    numbers = {
+        "n_a": lambda make, a, _: make.count(a),
+        "n_b": lambda make, _, b: make.count(b),
+        "n_common": lambda make, a, b: make.count(a & b),
+        "n_only_a": lambda make, a, b: make.count(a & ~b),
+        "n_either": lambda make, a, b: make.count(a | b),
+        "n_dilated": lambda make, a, _: make.count(make.dilate(a)),
+        "n_eroded": lambda make, a, _: make.count(make.erode(a)),
+    }
+    rows = rows.select("vec_id", W.compared(F.col("p"), F.col("q"), WIDE, numbers).alias("m")).select("vec_id", "m.*")
+    iou = r4(F.col("n_common") / F.greatest(F.lit(1), F.col("n_either"))).alias("iou")
+    return rows.select("vec_id", "n_a", "n_b", "n_common", "n_only_a", iou, "n_dilated", "n_eroded")
 
 
 def _sql_runs(name: str, points: str, first: int) -> str:
