@@ -6,8 +6,10 @@ row. Peaks, drops, nearest rows and percentiles of rows are expressions over it;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tessera.functions import geometry as G
 from tessera.functions.arrays import dedupe_by_distance, fixed
 from tessera.operators import raster as R
 from tessera.operators.widemask import WORD, Grid
+from tessera.session import lean
 
 #: Where a seat is looked for, as shares of a chair's height or of a span's width (fixed values).
 PEAK_BAND, DROP_SHARE, DROP_LEAST, NO_DROP = (0.30, 0.82), 0.55, 5, 0.78
@@ -173,28 +176,42 @@ def packed(mask: np.ndarray) -> list[int]:
     return np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
+def trace_batch(areas: pa.ListArray, axes: pa.StructArray, grid: Grid) -> pa.StructArray:
+    """struct<n,ring> of each area and axis of an Arrow batch; the rings' points are in two flat arrays, not in an object each."""
+    words, ends = areas.values.to_numpy(zero_copy_only=False), areas.offsets.to_numpy()
+    counts, rings = [], []
+    for i, there in enumerate(areas.is_valid().to_pylist()):
+        if not there:
+            counts.append(None)
+            rings.append(np.zeros((0, 2)))
+            continue
+        axis = axes[i].as_py()
+        kept = R.trim_depth(R.largest_component(unpacked(words[ends[i] : ends[i + 1]], grid)), *[(axis[e]["x"], axis[e]["y"]) for e in ("back", "front")])
+        ring = R.border(R.largest_component(kept)).astype(float)
+        around = float(np.hypot(*(np.roll(ring, -1, axis=0) - ring).T).sum())
+        simple = R.outline(kept, max(1.0, OUTLINE_SHARE * around), 10**9)
+        counts.append(int(kept.sum()))
+        rings.append(np.asarray(simple if len(simple) >= OUTLINE_LEAST else ring, float).reshape(-1, 2))
+    points = np.concatenate([np.zeros((0, 2)), *rings])
+    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, k])) for k in (0, 1)], ["x", "y"])
+    offsets = pa.array(np.cumsum([0, *map(len, rings)]), pa.int32())
+    told = pa.ListArray.from_arrays(offsets, flat, mask=pa.array([n is None for n in counts], pa.bool_()))
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int32()), told], ["n", "ring"])
+
+
 def traced(area: Column, axis: Column, grid: Grid) -> Column:
     """struct<n,ring>: the pixels of an area's largest part between back and front, and the border around them, simplified by its length.
 
-    The one step in Python: it follows the border of a mask that comes in bit words.
+    The one step in Python: it follows the border of a mask that comes in bit words. A worker holds a batch of masks at a
+    time, which session.small_batches bounds.
     """
+    run = lean(lambda batches: (trace_batch(areas, axes, grid) for areas, axes in batches))
+
+    @F.arrow_udf("struct<n:int,ring:array<struct<x:double,y:double>>>")
+    def rings(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from run(batches)
 
-    @F.pandas_udf("struct<n:int,ring:array<struct<x:double,y:double>>>")
-    def run(areas: pd.Series, axes: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for words, back, front in zip(areas, axes["back"], axes["front"]):
-            if words is None:
-                out.append((None, None))
-                continue
-            kept = R.trim_depth(R.largest_component(unpacked(words, grid)), *[(p["x"], p["y"]) for p in (back, front)])
-            ring = R.border(R.largest_component(kept)).astype(float)
-            around = float(np.hypot(*(np.roll(ring, -1, axis=0) - ring).T).sum())
-            simple = R.outline(kept, max(1.0, OUTLINE_SHARE * around), 10**9)
-            points = simple if len(simple) >= OUTLINE_LEAST else ring
-            out.append((int(kept.sum()), [{"x": x, "y": y} for x, y in points.tolist()]))
-        return pd.DataFrame(out, columns=["n", "ring"])
-
-    return run(area, axis)
+    return rings(area, axis)
 
 
 def contact_polygon(ring: Column, seat: Column, grid: Grid) -> Column:

@@ -16,7 +16,7 @@ from tessera.operators import widemask as W
 from tessera.operators.fusion import band_gate, fuse_masks
 from tessera.operators.widemask import Grid
 from tessera.plans.common import FRAME, dim, polygons, r4, sql_edges, sql_points
-from tessera.session import table
+from tessera.session import small_batches, table
 
 SIDE = 16
 CELL = FRAME / SIDE
@@ -166,6 +166,7 @@ def mask_hip_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_seat_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a chair's mask to a geometry that sitting priors allow, and its contact polygon: rows, band, depth trim, outline, clean-up, repair."""
+    small_batches(spark)
     rows = polygons(spark, sf_dir).select("vec_id", F.concat("gt", "pred").alias("points"))
     rows = fixed(fixed(rows, "hull", convex_hull(F.col("points"))), "chair", PHOTO.fill(F.col("hull")))
     rows = S.seat_bands(rows, "chair", PHOTO).where("seat IS NOT NULL")

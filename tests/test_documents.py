@@ -313,3 +313,17 @@ def test_resized_masks():
     mask = np.random.default_rng(1).random((7, 5)) < 0.5
     for h, w in ((7, 5), (14, 10), (3, 2), (1, 1), (20, 3)):
         assert (R.resized(mask, h, w) == [[mask[y * 7 // h, x * 5 // w] for x in range(w)] for y in range(h)]).all()
+
+
+def test_seat_geometry_sends_small_batches_to_python(spark):
+    """A worker that follows borders holds some megabytes of masks at a time, not 10,000 rows of them."""
+    from tessera.plans.mask_plans import mask_seat_geometry
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 30))
+    try:
+        mask_seat_geometry(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(name)) <= 4 << 20
+    finally:
+        spark.conf.set(name, before)
