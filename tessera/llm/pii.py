@@ -98,12 +98,13 @@ TAGS = 1 + 2 * len(KINDS)  # outside, and for each kind its first and its furthe
 
 def char_ids(text: str) -> np.ndarray:
     """Classes of characters: each of the printable ASCII ones, other letters, other white space, the rest."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    ids = np.where((points >= 32) & (points < 127), points - 30, np.where(points < 32, 97, 98))
-    return np.where((points >= 48) & (points < 58), 18, ids)  # one class for the ten digits
+    if text.isascii():
+        return np.frombuffer(text.encode().translate(_CLASS_OF.tobytes().ljust(256)), np.uint8)
+    return _CLASS_OF[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 127)]
 
 
 CLASSES = 99
+_CLASS_OF = np.array([97 if p < 32 else 18 if chr(p) in string.digits else p - 30 if p < 127 else 98 for p in range(128)], np.uint8)  # one class for the ten digits
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -206,42 +207,90 @@ class Tagger:
         np.add.at(grads["chars"], ids.T, d_vectors)
         return float((total - score).sum() * scale), grads
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window (Viterbi).
+    def gains(self, ids: np.ndarray) -> np.ndarray:
+        """What the emission of each tag has over that of the first one: (time, other tags, batch).
 
-        The same numbers as `emissions` gives, without what only learning needs: characters go to gates by a table, and all
-        gates take one exponential, as tanh(x) is 2 sigmoid(2 x) - 1. Of the paths only their scores are kept; the way back
-        looks at the tags before the one that it came from.
+        The same numbers as `emissions` gives, without what only learning needs. One tanh takes all gates, as sigmoid(x) is
+        (1 + tanh(x / 2)) / 2, and the halves are put into the weights. The batch is the last axis, so a gate is one block of
+        memory, and one direction is read after the other, so that what a step needs stays in a core's cache. One product a
+        step takes character vectors, bias and outputs to the gates, in four parts that BLAS multiplies without copying them.
         """
-        n, (rows, steps) = self.hidden, ids.shape
-        signs = np.repeat(np.array([-1, -1, -1, -2], np.float32), n)
-        weights = self._both("h") * signs
-        tables = [(self.p["chars"] @ self.p[f"x{way}"] + self.p[f"b{way}"]) * signs for way in "fb"]
-        emit, at = self.p["emit"].reshape(2, n, TAGS), np.ascontiguousarray(ids.T, np.intp)
-        told = np.empty((steps, 2, rows, TAGS), np.float32)
-        h, c, s = (np.zeros((2, rows, n), np.float32) for _ in range(3))
-        g, more = (np.empty((2, rows, 4 * n), np.float32) for _ in range(2))
-        i, f, o, u = (g[..., k * n : (k + 1) * n] for k in range(4))
-        with np.errstate(over="ignore"):
-            for t in range(steps):
-                np.take(tables[0], at[t], axis=0, out=g[0], mode="clip")
-                np.take(tables[1], at[steps - 1 - t], axis=0, out=g[1], mode="clip")
-                g += np.matmul(h, weights, out=more)
-                np.exp(g, out=g)
-                g += 1
-                np.reciprocal(g, out=g)
+        n, (rows, steps), others = self.hidden, ids.shape, TAGS - 1
+        chars, halves = np.ascontiguousarray(self.p["chars"].T), np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), n)
+        emit, bias = ((x[..., 1:] - x[..., :1]) for x in (self.p["emit"] / 2, self.p["emit_b"]))
+        at, dims = np.ascontiguousarray(ids.T, np.intp), len(chars)
+        out, back = np.empty((steps, others, rows), np.float32), np.empty((others, rows), np.float32)
+        made = np.empty((4 * n, rows), np.float32)
+        into, ifo, (i, f, o, u) = made.reshape(4, n, rows), made[: 3 * n], made.reshape(4, n, rows)
+        for k, way in enumerate("fb"):
+            parts = (np.concatenate([self.p[f"x{way}"], self.p[f"b{way}"][None], self.p[f"h{way}"] / 2]) * halves).T.reshape(4, n, -1)
+            tell = np.concatenate([bias[None] * (1 - k), emit[k * n : (k + 1) * n]]).T
+            parts, tell = (np.ascontiguousarray(x, np.float32) for x in (parts, tell))
+            given, c = np.zeros((dims + 1 + n, rows), np.float32), np.zeros((n, rows), np.float32)
+            given[dims] = 1
+            x, h, own = given[:dims], given[dims + 1 :], given[dims:]
+            for t in range(steps)[:: 1 - 2 * k]:
+                np.take(chars, at[t], axis=1, out=x, mode="clip")
+                np.matmul(parts, given, out=into)
+                np.tanh(made, out=made)
+                ifo += 1
                 c *= f
-                c += np.multiply(i, np.subtract(2 * u, 1, out=s), out=s)
-                np.multiply(o, np.tanh(c, out=s), out=h)
-                np.matmul(h, emit, out=told[t])
-        best = np.ascontiguousarray((told[:, 0] + told[::-1, 1] + self.p["emit_b"]).transpose(0, 2, 1))
-        trans, ways = self.p["trans"], np.empty((TAGS, TAGS, rows), np.float32)
+                c += np.multiply(i, u, out=i)
+                c *= 0.5
+                np.multiply(o, np.tanh(c, out=u), out=h)
+                if k:
+                    out[t] += np.matmul(tell, own, out=back)
+                else:
+                    np.matmul(tell, own, out=out[t])
+        return out
+
+    def undecided(self, gains: np.ndarray, block: int = 16) -> np.ndarray:
+        """The windows whose best path may have other tags than the first one.
+
+        A stretch of other tags gains at most what it would if at each of its characters the best tag were taken, and each tag
+        were reached by its best transition. In a window where no stretch gains anything by this bound, the path that has
+        the first tag throughout is the best one.
+        """
+        trans = self.p["trans"] - self.p["trans"][0, 0]
+        begun, longer = (np.empty((len(gains), gains.shape[2]), np.float32) for _ in range(2))
+        for a in range(0, len(gains), block):
+            some = gains[a : a + block]
+            np.max(some + trans[0, 1:, None], axis=1, out=begun[a : a + block])
+            np.max(some + trans[1:, 1:].max(0)[:, None], axis=1, out=longer[a : a + block])
+        away = gains[0].max(0)
+        most = away.copy()
+        for t in range(1, len(gains)):
+            away += longer[t]
+            np.maximum(away, begun[t], out=away)
+            np.maximum(most, away, out=most)
+        return np.flatnonzero(np.maximum(most + trans[1:, 0].max(), away) > -0.01)  # below 0, as sums are rounded
+
+    def decode(self, ids: np.ndarray, batch: int = 1000) -> np.ndarray:
+        """The best tag sequence of each window (Viterbi); most windows need no more than a bound to tell it."""
+        tags = np.zeros(ids.shape, np.int8)
+        at, held = [], []
+        for first in range(0, len(ids), batch):
+            gains = self.gains(ids[first : first + batch])
+            some = self.undecided(gains)
+            at.append(first + some)
+            held.append(gains[:, :, some])
+            many = sum(map(len, at))
+            if many and (2 * many >= batch or first + batch >= len(ids)):
+                tags[np.concatenate(at)] = self.best_paths(np.concatenate(held, axis=2))
+                at, held = [], []
+        return tags
+
+    def best_paths(self, gains: np.ndarray) -> np.ndarray:
+        """The best tag sequences by gains. Of the paths only their scores are kept; the way back looks at the tags before the one that it came from."""
+        steps, _, rows = gains.shape
+        best, trans, ways = np.zeros((steps, TAGS, rows), np.float32), self.p["trans"], np.empty((TAGS, TAGS, rows), np.float32)
+        best[:, 1:] = gains
         for t in range(1, steps):
             best[t] += np.add(best[t - 1][:, None], trans[:, :, None], out=ways).max(0)
-        tags = np.empty((steps, rows), np.int8)
-        tags[-1] = best[-1].argmax(0)
+        best, before, tags = np.ascontiguousarray(best.transpose(0, 2, 1)), np.ascontiguousarray(trans.T), np.empty((steps, rows), np.intp)
+        best[-1].argmax(1, out=tags[-1])
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = (best[t - 1] + trans[:, tags[t]]).argmax(0)
+            (best[t - 1] + before[tags[t]]).argmax(1, out=tags[t - 1])
         return tags.T
 
 
@@ -362,11 +411,11 @@ def windows_of(n: int) -> list[tuple[int, int]]:
 
 def text_ids(text: str, most: int = 1 << 16) -> np.ndarray:
     """Classes of a text's characters, and of the padding after it."""
-    told = [char_ids(text[a : a + most]).astype(np.uint8) for a in range(0, len(text), most)]
+    told = [char_ids(text[a : a + most]) for a in range(0, len(text), most)]
     return np.concatenate([*told, np.zeros(ROUND, np.uint8)])
 
 
-def tags_of(model: Tagger, texts: list[str], batch: int = 512) -> list[np.ndarray]:
+def tags_of(model: Tagger, texts: list[str], batch: int = 8000) -> list[np.ndarray]:
     """The model's tag of every character of every text.
 
     A character has it from the window in which it stands MARGIN from both ends at least, or from the one at the text's own end.
@@ -412,6 +461,8 @@ def added_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
     holds at least half of it is taken; it stays if it passes the kind's test and touches no base
     span. Such a match ends within the span's own length of it on both sides, so no more is searched.
     """
+    if not tags.any():
+        return []
     taken: list[tuple[int, int]] = []
     for a, b in sorted((a, b) for _, a, b in base):  # of several kinds, so they may overlap
         if taken and a < taken[-1][1]:
@@ -475,7 +526,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in batches:
             texts = batch.to_pylist()
             found = []
-            for a, b in slices(texts, 1 << 21):
+            for a, b in slices(texts, 1 << 22):
                 for base, spans in find_spans(model, texts[a:b]):
                     own = set(base)
                     found.append([{"kind": KINDS[k], "start": s, "end": e, "base": (k, s, e) in own} for k, s, e in spans])

@@ -272,6 +272,36 @@ def test_every_character_is_decoded_once(tagger):
         assert (told >= 0).all() and (told == tags).mean() >= 0.999 if text else not len(tags)
 
 
+def test_undecided_windows_hold_every_tag():
+    """Gains are those of the emissions that learning uses; a window that the bound decides has no tag on its best path, whatever the weights."""
+    rng = np.random.default_rng(4)
+    decided = 0
+    for seed in range(40):
+        model = pii.Tagger.fresh(hidden=4, dims=5, seed=seed)
+        model.p["trans"] = rng.normal(0, 2, (pii.TAGS, pii.TAGS)).astype(np.float32)
+        model.p["emit_b"][0] = seed % 8
+        ids = rng.integers(0, pii.CLASSES, (37, 19))
+        e = model.emissions(ids)[0]
+        gains = model.gains(ids)
+        assert gains == pytest.approx((e[..., 1:] - e[..., :1]).transpose(0, 2, 1), abs=1e-4)
+        paths, some = model.best_paths(gains), model.undecided(gains)
+        assert not np.delete(paths, some, axis=0).any()
+        assert (model.decode(ids, batch=8) == paths).all()
+        decided += len(ids) - len(some)
+    assert decided >= 100
+
+
+def test_plain_words_are_decided_by_the_bound(tagger):
+    """The best path is searched for in few windows of prose, and in those that hold something."""
+    rng = random.Random(5)
+    words = "some words that stand around here in a plain text of the town".split()
+    texts = [" ".join(rng.choice(words) for _ in range(100)) for _ in range(50)]
+    texts[7] = texts[7][:200] + " write to mary[at]town.org today " + texts[7][200:]
+    ids = np.stack([pii.text_ids(t)[:384] for t in texts])
+    some = tagger.undecided(tagger.gains(ids))
+    assert 7 in some and len(some) <= 25 and tagger.decode(ids)[7].any()
+
+
 def test_language_model_learns():
     texts, names = [], []
     rng = random.Random(1)
